@@ -1,0 +1,11 @@
+"""Named queries over the given tables."""
+
+from importlib import import_module
+
+MODULES = ("q_core",)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    for name in MODULES:
+        import_module(f"ledgerloom.plans.{name}")
