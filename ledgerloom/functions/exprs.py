@@ -16,8 +16,8 @@ def col(c: Column | str) -> Column:
 
 
 def r(x: Column, n: int) -> Column:
-    """Rounded by its decimal digits, so that engines agree on ties."""
-    return F.round(x.cast("decimal(30,12)"), n).cast("double")
+    """Rounded by its decimal digits, first to five more places, so that engines agree on ties."""
+    return F.round(F.round(x.cast("decimal(30,12)"), n + 5), n).cast("double")
 
 
 def clean_label(label: Column | str, mode: str = "statement") -> Column:

@@ -119,6 +119,6 @@ def embed(texts: DataFrame, dims: int = 256) -> DataFrame:
 def band_pairs(df: DataFrame, group: str, lo: float, hi: float, salts: int = 8) -> DataFrame:
     """Pairs of one group with a cosine in the band; a group's left side is dealt over salts."""
     a = df.select(F.col(group).alias("g"), F.col("vec_id").alias("a_id"), F.col("embedding").alias("a_v"), F.pmod("vec_id", F.lit(salts)).alias("s"))
-    b = df.select(F.col(group).alias("g"), F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("s"))
+    b = df.select(F.col(group).alias("g"), F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("s"))
     pairs = a.join(b, ["g", "s"]).where("a_id < b_id")
     return pairs.select("g", "a_id", "b_id", r(cosine(F.col("a_v"), F.col("b_v")), 4).alias("similarity")).where(F.col("similarity").between(lo, hi))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_core",)
+MODULES = ("q_core", "q_ledger")
 
 
 def load() -> None:

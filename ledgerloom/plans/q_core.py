@@ -13,7 +13,7 @@ from ledgerloom.plans.tables import QUARTERS, oracle, relation, table
 
 def R(x: str, n: int) -> str:
     """The rounding of exprs.r in DuckDB."""
-    return f"cast(round(cast({x} as decimal(30,12)), {n}) as double)"
+    return f"cast(round(round(cast({x} as decimal(30,12)), {n + 5}), {n}) as double)"
 
 
 _COLS = {
@@ -68,14 +68,14 @@ def _statements(s, d):
     """Facts as raw statements with a map of cells, to be unpivoted again."""
     titles = F.create_map(*[F.lit(x) for k, v in N.STATEMENTS.items() for x in (v, k)])
     rows = facts(s, d).withColumn("statement", F.element_at(titles, F.col("statement")))
-    cells = F.map_from_entries(F.collect_list(F.struct("period", F.coalesce(exprs.r(F.col("value"), 4).cast("decimal(24,4)").cast("string"), F.lit("-")))))
+    cells = F.map_from_entries(F.collect_list(F.struct("period", F.coalesce(F.col("value").cast("string"), F.lit("-")))))
     return rows.groupBy("ticker", "statement", F.col("line_no").cast("int").alias("row_no"), F.concat("line_item", F.lit(" +")).alias("label")).agg(F.map_concat(cells, F.create_map(F.lit("TTM"), F.lit("1"))).alias("cells"))
 
 
-@query("n3_unpivot", oracle("facts") + f" select ticker, statement, line_no, line_item, period, cast(period_year + case when period like 'Dec%' then -1 else 0 end as int) period_year, {R('value', 4)} as value from facts")
+@query("n3_unpivot", oracle("facts") + f" select ticker, statement, line_no, line_item, period, cast(period_year + case when period like 'Dec%' then -1 else 0 end as int) period_year, value from facts")
 def n3(s, d):
     """Raw statements to facts and back; TTM columns drop out."""
-    return N.unpivot_statements(_statements(s, d)).withColumn("value", exprs.r(F.col("value"), 4))
+    return N.unpivot_statements(_statements(s, d))
 
 
 @query("n4_statement_keys", "select n_name, case n_nationkey % 4 when 0 then 'profit_loss' when 1 then 'cash_flow' when 2 then replace(lower(n_name), ' ', '_') || '_and_x' else 'peers' end as k from nation")
