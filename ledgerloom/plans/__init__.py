@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_core", "q_ledger")
+MODULES = ("q_core", "q_ledger", "q_docs")
 
 
 def load() -> None:
