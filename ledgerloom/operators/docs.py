@@ -42,7 +42,7 @@ def split_sections(docs: DataFrame, headings: list[str], id_col: str = "doc_id")
         F.max(F.when(F.col("h"), F.trim("line"))).alias("title"), F.min(F.when(~F.col("h"), F.col("start"))).alias("start"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("text"),
     )
-    return agg.where(F.trim("text") != "").select(id_col, "section_no", F.coalesce("title", F.lit("Introduction")).alias("title"), "start", "text")
+    return agg.where(F.col("text").rlike(r"\S")).select(id_col, "section_no", F.coalesce("title", F.lit("Introduction")).alias("title"), "start", "text")
 
 
 TABLE_LINE = r"\||\t|\d[\d,.]*\s{2,}\d|^[-=+| ]{5,}$"

@@ -139,7 +139,7 @@ def d1(s, d):
 
 
 @query("d2_split_sections", _LINES + """, h as (select *, regexp_matches(line, '^(The|Of|Ing)[a-z]* ') h from ln), w as (select *, cast(sum(cast(h as int)) over (partition by doc_id order by line_no) as int) section_no from h),
- a as (select doc_id, section_no, max(case when h then trim(line) end) title, min(case when not h then start end) start, string_agg(case when not h then line end, chr(10) order by line_no) as text from w group by 1, 2) select doc_id, section_no, coalesce(title, 'Introduction') title, start, text from a where trim(text) <> ''""")
+ a as (select doc_id, section_no, max(case when h then trim(line) end) title, min(case when not h then start end) start, string_agg(case when not h then line end, chr(10) order by line_no) as text from w group by 1, 2) select doc_id, section_no, coalesce(title, 'Introduction') title, start, text from a where regexp_matches(text, '\\S')""")
 def d2(s, d):
     """Sections by headings."""
     return D.split_sections(corpus(s, d), ["^(The|Of|Ing)[a-z]* "])
