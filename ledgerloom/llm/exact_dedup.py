@@ -158,16 +158,21 @@ def merge_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     return same.select("digest", F.greatest("keep_id", "new_id").alias("keep_id"), (F.col("group_size") + F.col("new_size")).alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, in_batch: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) for every row; in_batch tells the new rows from the snapshot."""
+def duplicate_groups(docs: DataFrame, in_batch: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(digest, keep_id, group_size) of every distinct text, snapshot and batch together."""
+    new = F.coalesce(in_batch, F.lit(False))
     groups = staged(
-        text_groups(docs.where(~F.coalesce(in_batch, F.lit(False))), id_col, text_col).withColumn("new", F.lit(False))
-        .unionByName(text_groups(docs.where(F.coalesce(in_batch, F.lit(False))), id_col, text_col).withColumn("new", F.lit(True)))
-    )
-    snapshot, batch = groups.where("not new"), groups.where("new")
-    both = staged(merge_batch(snapshot, batch))
+        text_groups(docs.where(~new), id_col, text_col).withColumn("new", F.lit(False))
+        .unionByName(text_groups(docs.where(new), id_col, text_col).withColumn("new", F.lit(True)))
+    )
+    both = staged(merge_batch(groups.where("not new"), groups.where("new")))
     single = groups.select("digest", "keep_id", "group_size").join(both.select("digest"), "digest", "left_anti")
-    final = staged(single.unionByName(both))
+    return staged(single.unionByName(both))
+
+
+def exact_duplicates(docs: DataFrame, in_batch: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) for every row; in_batch tells the new rows from the snapshot."""
+    final = duplicate_groups(docs, in_batch, id_col, text_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.sha2(text_or_empty(text_col), 256).alias("digest"))
     return rows.join(final, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size",
