@@ -36,7 +36,7 @@ CAPACITY = 4096
 SALTS = 64
 #: Rounds of weights for each program, programs for one histogram, and sequences left to best fit alone.
 ROUNDS, PROGRAMS, REST = 12, 5, 400
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 END_ID = 1
 
 

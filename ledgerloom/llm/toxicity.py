@@ -30,12 +30,12 @@ from ledgerloom.llm.common import staged, text_or_empty
 #: Slots of the hashed feature space.
 SLOT_BITS = 22
 #: Most labelled rows that the model is fitted on, and most features kept of one of them.
-SAMPLE, SAMPLE_FEATURES = 16_000, 60_000
+SAMPLE, SAMPLE_FEATURES = 12_000, 60_000
 #: Rates and penalties of the learner, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 1.0, 5
 #: Rows of label 1 and 0 that are taken for granted, so that a few labels alone condemn nothing.
 PRIOR = (1.0, 9.0)
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 #: Words that are handled at once.
 BLOCK = 40_000
 
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     features = staged(rows.select("id", "y", "t").mapInArrow(made, "id long, y double, f binary"))
 
     def learn(batches):
-        data = [(y, np.frombuffer(f, "<i4")) for pdf in batches for y, f in zip(pdf["y"], pdf["f"], strict=True)]
+        data = [(y, np.frombuffer(f, "<i4").copy()) for pdf in batches for y, f in zip(pdf["y"], pdf["f"], strict=True)]
         if not data:
             return
         slots = 1 << SLOT_BITS
