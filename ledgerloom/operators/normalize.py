@@ -115,7 +115,7 @@ def latest_metric(facts: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 def tiered_lookup(df: DataFrame, column: str, entries: list[tuple[str, str, list[str]]], cutoff: float = 0.6, default: str | None = None) -> DataFrame:
     """Name to category: the same name, then an alias, then the nearest name by edit distance, else the default.
 
-    entries: (category, name, aliases). Edit similarity stands for the reference's sequence ratio.
+    entries: (category, name, aliases), a table of the caller's, broadcast.
     """
     spark = df.sparkSession
     rows = [(c, n.lower(), i, 0) for i, (c, n, _) in enumerate(entries)] + [(c, a.lower(), i, 1) for i, (c, _, names) in enumerate(entries) for a in names]

@@ -244,25 +244,43 @@ def quarterly_bridge(quarters: DataFrame) -> DataFrame:
     return rows.select("ticker", "period", growth.alias("pat_growth"), share.alias("other_income_share"), F.coalesce((growth > 0.30) | (share > 0.15), growth > 0.30, share > 0.15, F.lit(False)).alias("flag"))
 
 
+def _growth_pair() -> tuple[Column, Column]:
+    """Growth of profit and of cash over the year before."""
+    g = F.try_divide(F.col("pat") - F.col("pat0"), F.nullif(F.col("pat0"), F.lit(0.0)))
+    o = F.coalesce(F.try_divide(F.col("ocf") - F.col("ocf0"), F.nullif(F.abs("ocf0"), F.lit(0.0))), F.lit(0.0))
+    return g, o
+
+
 def annual_bridge(wide_facts: DataFrame, quarterly: DataFrame) -> DataFrame:
     """Where the quarter raised no flag: profit grew ahead of cash by over 10 points, or exceeds it."""
     w = Window.partitionBy("ticker").orderBy("period_year")
     rows = wide_facts.select("ticker", "period_year", "pat", "ocf", F.lag("pat").over(w).alias("pat0"), F.lag("ocf").over(w).alias("ocf0"))
     last = latest(rows).where("pat <> 0 and pat0 > 0")
-    g = F.try_divide(F.col("pat") - F.col("pat0"), F.col("pat0"))
-    o = F.coalesce(F.try_divide(F.col("ocf") - F.col("ocf0"), F.nullif(F.abs("ocf0"), F.lit(0.0))), F.lit(0.0))
+    g, o = _growth_pair()
     kept = last.join(quarterly.where("flag").select("ticker"), "ticker", "left_anti")
     return kept.select("ticker", "period_year", r(g, 4).alias("pat_growth"), r(o, 4).alias("ocf_growth"), F.coalesce((g > o + 0.10) | (F.col("pat") > F.col("ocf")), F.lit(False)).alias("flag"))
 
 
 def scorecard(facts: DataFrame, quarters: DataFrame, wacc: float = 0.12) -> DataFrame:
-    """One row a ticker: the latest year's findings, flags, gaps and a confidence."""
-    w = wide(facts)
-    own = latest(w).withColumns(dupont_columns() | roic_columns(wacc) | earnings_columns() | working_capital_columns() | leverage_columns() | {"gaps": gap_columns()})
-    q = quarterly_bridge(quarters).select("ticker", F.col("flag").alias("quarter_flag"))
-    a = annual_bridge(w, quarterly_bridge(quarters)).select("ticker", F.col("flag").alias("annual_flag"))
-    out = own.join(revenue_cagr(w), "ticker", "left").join(q, "ticker", "left").join(a, "ticker", "left")
-    flags = [F.col("roic_flag"), F.col("coverage_flag"), F.coalesce("quarter_flag", F.lit(False)), F.coalesce("annual_flag", F.lit(False))]
+    """One row a ticker: the latest year's findings, flags, gaps and a confidence.
+
+    Facts and quarters are read once each: what needs other years comes from windows over a ticker's years.
+    """
+    years = Window.partitionBy("ticker")
+    order = years.orderBy("period_year")
+    w = wide(facts).withColumns({
+        "pat0": F.lag("pat").over(order), "ocf0": F.lag("ocf").over(order), "_n": F.count("sales").over(years),
+        "_a": F.min_by("sales", F.when(F.col("sales").isNotNull(), F.col("period_year"))).over(years), "_b": F.max_by("sales", F.when(F.col("sales").isNotNull(), F.col("period_year"))).over(years),
+    })
+    columns = dupont_columns() | roic_columns(wacc) | earnings_columns() | working_capital_columns() | leverage_columns() | {"gaps": gap_columns()}
+    growing = (F.col("_n") >= 4) & (F.col("_a") > 0) & (F.col("_b") > 0)
+    columns["revenue_cagr_pct"] = F.when(growing, r((F.pow(F.try_divide(F.col("_b"), F.col("_a")), 1 / F.greatest(F.col("_n") - 1, F.lit(1))) - 1) * 100, 2))
+    own = latest(w).withColumns(columns)
+    out = own.join(quarterly_bridge(quarters).select("ticker", F.col("flag").alias("quarter_flag")), "ticker", "left")
+    g, o = _growth_pair()
+    quarter = F.coalesce("quarter_flag", F.lit(False))
+    annual = ~quarter & (F.col("pat") != 0) & (F.col("pat0") > 0) & ((g > o + 0.10) | (F.col("pat") > F.col("ocf")))
+    flags = [F.col("roic_flag"), F.col("coverage_flag"), quarter, F.coalesce(annual, F.lit(False))]
     n_flags = reduce(lambda x, y: x + y, [f.cast("int") for f in flags])
     return out.select(
         "ticker", "period_year", "roe", "driver", "roic", "roic_status", "ocf_ebitda", "fcf_pat", "ccc", "interest_coverage", "net_debt_ebitda", "revenue_cagr_pct",

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.exprs import r
 from ledgerloom.functions.fiscal import fiscal_window
 
-NO_HIT = "NO MATCHING CONTENT"
+#: Queries that are broadcast at once.
+BLOCK = 2000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,8 +29,13 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, filters: dict[str, obj
     """The k most similar chunks of each query among those that pass every filter.
 
     chunks: (vec_id, metadata..., embedding); queries: (query_id, qvec) and, for a filter by the query itself,
-    columns named q_<column>. Filters come before the similarity, so that they reach the scan. Queries are few.
+    columns named q_<column>. Filters come before the similarity, so that they reach the scan. Queries are
+    counted and broadcast in blocks of about BLOCK.
     """
+    blocks = -(-queries.count() // BLOCK) or 1
+    if blocks > 1:
+        part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+        return reduce(DataFrame.unionByName, [search(chunks, queries.where(part == b), k, filters, min_year) for b in range(2 * blocks)])
     rows = chunks.where("embedding is not null")
     for name, wanted in (filters or {}).items():
         values = [str(v).upper() if name == "ticker" else v for v in (wanted if isinstance(wanted, (list, tuple)) else [wanted])]

@@ -45,7 +45,7 @@ def s5(s, d):
         F.concat(F.lit("# "), F.col("n_nationkey").cast("string"), F.lit(". "), "n_name"), F.concat(F.lit("* **Doc Kind**: T"), (F.col("n_regionkey") + 1).cast("string")), F.lit("---"),
         F.lit("### [Text Block] Segment 1"), F.concat(F.lit("first line of "), "n_name"), F.lit("second line"), F.lit("### [Text Block] Segment 2"), F.lit("second line"),
     )
-    lines = n.select("n_nationkey", F.posexplode(body).alias("i", "line")).select((F.col("n_nationkey") * 100 + F.col("i")).alias("line_no"), "line")
+    lines = n.select("n_nationkey", "n_regionkey", F.posexplode(body).alias("i", "line")).select(F.col("n_regionkey").alias("file"), (F.col("n_nationkey") * 100 + F.col("i")).alias("line_no"), "line")
     out = S.parse_compilation(lines, {n_name: t for n_name, t in [("NATION_3", "THREE")]}, {"Doc Kind": "doc_kind"})
     return out.select("doc_no", "company", "ticker", "segment", "text", F.element_at("metadata", "doc_kind").alias("meta"))
 

@@ -331,9 +331,10 @@ _CON = _L + """, lv as (select l.*, e.embedding v from ledger l join embeddings
 
 def _contradictions(s, d):
     rows = led(s, d)
-    linked = rows.where("id % 10 = 0").select(F.col("id").alias("a_id")).join(F.broadcast(rows.where("id < 600").select(F.col("id").alias("b_id"))))
     vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return M.contradiction_pairs(rows.where("id % 2 = 1"), rows.where(_HALF), linked, vectors, 0.1, 0.92)
+    pairs = lambda linked: M.contradiction_pairs(rows.where("id % 2 = 1"), rows.where(_HALF), linked, vectors, 0.1, 0.92)
+    none = s.createDataFrame([], "a_id long, b_id long")
+    return pairs(pairs(none).where("a_id % 10 = 0 or b_id % 10 = 0"))
 
 
 @query("m11_contradiction_pairs", _CON + " select * from cp")

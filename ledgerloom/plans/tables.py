@@ -43,8 +43,7 @@ _FACT_ROWS = [
     ("cash_flow", 2, "Capital Expenditure", "-0.06e0 * sales"),
 ]
 
-FACTS = f"""
-with b as (
+_FACT_BASE = """with b as (
   select l_suppkey k, year(l_shipdate) + case when month(l_shipdate) >= 4 then 1 else 0 end fy,
          cast(l_extendedprice as decimal(12,2)) p, cast(l_discount as decimal(4,2)) d,
          cast(l_tax as decimal(4,2)) t, cast(l_quantity as decimal(6,0)) q, l_returnflag rf, l_linestatus ls
@@ -58,34 +57,28 @@ a as (
          cast(sum(case when rf = 'N' then p else 0 end) as double) * 0.1e0 rec,
          cast(sum(case when ls = 'F' then p else 0 end) as double) * 0.05e0 pay
   from b group by k, fy),
-w as (select a.*, op + oi - intr - dep pbt, (op + oi - intr - dep) * 0.75e0 pat from a),
-u as ({_union(_FACT_ROWS, "w")})
-select concat('S', cast(k as string)) ticker, st statement, ln line_no, item line_item,
+w as (select a.*, op + oi - intr - dep pbt, (op + oi - intr - dep) * 0.75e0 pat from a)"""
+_FACT_COLUMNS = """concat('S', cast(k as string)) ticker, st statement, ln line_no, item line_item,
        case when k % 10 = 3 then concat('Dec ', cast(fy - 1 as string)) else concat('Mar ', cast(fy as string)) end period,
-       fy period_year, v value
-from u
-"""
+       fy period_year, v value"""
+FACTS = f"{_FACT_BASE}, u as ({_union(_FACT_ROWS, 'w')}) select {_FACT_COLUMNS} from u"
+#: The same rows in Spark, where an array of rows is read off one aggregation instead of one for each line.
+_FACTS_SPARK = f"{_FACT_BASE}, u as (select k, fy, inline(array({', '.join(f'struct({chr(39)}{st}{chr(39)} as st, {ln} as ln, {chr(39)}{item}{chr(39)} as item, cast({v} as double) as v)' for st, ln, item, v in _FACT_ROWS)})) from w) select {_FACT_COLUMNS} from u"
 
-QUARTERS = """
-with b as (
+_QUARTER_BASE = """with b as (
   select l_suppkey k, year(l_shipdate) y, quarter(l_shipdate) q, cast(l_extendedprice as decimal(12,2)) p,
          cast(l_discount as decimal(4,2)) d, cast(l_tax as decimal(4,2)) t, l_returnflag rf
   from lineitem),
 a as (
   select k, y, q, cast(sum(p) as double) sales, cast(sum(p * (0.30 - 2 * d)) as double) op,
          cast(sum(case when rf = 'R' then p * t else 0 end) as double) oi
-  from b group by k, y, q),
-u as (
-  select k, y, q, 'Sales' item, sales v from a
-  union all select k, y, q, 'Operating Profit', op from a
-  union all select k, y, q, 'Other Income', oi from a
-  union all select k, y, q, 'Profit before tax', op + oi from a
-  union all select k, y, q, 'Net Profit', (op + oi) * 0.75e0 from a)
-select concat('S', cast(k as string)) ticker, 'quarterly_results' statement, item line_item,
+  from b group by k, y, q)"""
+_QUARTER_ROWS = {"Sales": "sales", "Operating Profit": "op", "Other Income": "oi", "Profit before tax": "op + oi", "Net Profit": "(op + oi) * 0.75e0"}
+_QUARTER_COLUMNS = """concat('S', cast(k as string)) ticker, 'quarterly_results' statement, item line_item,
        concat(case q when 1 then 'Mar ' when 2 then 'Jun ' when 3 then 'Sep ' else 'Dec ' end, cast(y as string)) period,
-       y * 4 + q period_no, v value
-from u
-"""
+       y * 4 + q period_no, v value"""
+QUARTERS = f"{_QUARTER_BASE}, u as ({' union all '.join(f'select k, y, q, {chr(39)}{i}{chr(39)} item, {v} v from a' for i, v in _QUARTER_ROWS.items())}) select {_QUARTER_COLUMNS} from u"
+_QUARTERS_SPARK = f"{_QUARTER_BASE}, u as (select k, y, q, inline(array({', '.join(f'struct({chr(39)}{i}{chr(39)} as item, {v} as v)' for i, v in _QUARTER_ROWS.items())})) from a) select {_QUARTER_COLUMNS} from u"
 
 PRICES = """
 select concat('S', cast(l_suppkey as string)) ticker, cast(date_trunc('week', l_shipdate) as date) dt,
@@ -125,7 +118,7 @@ _JSON = {"spark": "get_json_object(props, '$.k')", "duckdb": "json_extract_strin
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation as a DataFrame."""
-    sql = RELATIONS[name].replace("JSON_K", _JSON["spark"])
+    sql = {"facts": _FACTS_SPARK, "quarters": _QUARTERS_SPARK}.get(name, RELATIONS[name]).replace("JSON_K", _JSON["spark"])
     used = [t for t in TABLES if re.search(rf"from {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"from {t}\b", f"from {{{t}}}", sql)

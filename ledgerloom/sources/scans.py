@@ -49,26 +49,27 @@ def new_documents(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def parse_compilation(lines: DataFrame, tickers: dict[str, str], keys: dict[str, str], only: str | None = None) -> DataFrame:
-    """(doc_no, company, ticker, segment, text, metadata) from (line_no, line) of one compilation text.
+    """(file, doc_no, company, ticker, segment, text, metadata) from (file, line_no, line) of compilation texts.
 
-    `# N. Company` starts a document, `* **Key**: value` is metadata, `### [Text Block] Segment n` a segment.
-    The file's lines are in one order, so what starts a document is spread by one window over the starting
-    lines alone; the lines then join their document by range of line numbers, not through one task.
+    `# N. Company` starts a document, `* **Key**: value` is metadata, `### [Text Block] Segment n` a segment;
+    rulers and anchors are dropped. Files are independent; within one, what a line stands under is filled
+    forward, first the document by file, then the segment by document.
     """
     rows = lines.where(~F.trim("line").rlike(r"^(-{3,}|<a .*>.*)$"))
-    heads = rows.where(F.col("line").rlike(r"^# \d+\. ")).select(F.col("line_no").alias("at"), F.regexp_extract("line", r"^# (\d+)\. ", 1).cast("int").alias("doc_no"), F.trim(F.regexp_extract("line", r"^# \d+\. (.*)$", 1)).alias("company"))
-    heads = heads.withColumn("until", F.lead("at").over(Window.partitionBy(F.lit(0)).orderBy("at")))
+    head = F.when(F.col("line").rlike(r"^# \d+\. "), F.struct(F.regexp_extract("line", r"^# (\d+)\. ", 1).cast("int").alias("doc_no"), F.trim(F.regexp_extract("line", r"^# \d+\. (.*)$", 1)).alias("company")))
+    rows = rows.withColumn("h", F.last(head, ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))).where("h is not null")
+    rows = rows.select("file", "line_no", "line", "h.doc_no", "h.company").where(~F.col("line").rlike(r"^# \d+\. "))
     if only:
-        heads = heads.where(F.lower("company").contains(only.lower()))
-    inside = rows.join(F.broadcast(heads), (F.col("line_no") > F.col("at")) & (F.col("until").isNull() | (F.col("line_no") < F.col("until"))))
-    w = Window.partitionBy("doc_no").orderBy("line_no")
+        rows = rows.where(F.lower("company").contains(only.lower()))
     segment = F.nullif(F.regexp_extract("line", r"^### \[Text Block\] Segment (\d+)", 1), F.lit("")).cast("int")
-    tagged = inside.withColumn("segment", F.last(segment, ignorenulls=True).over(w)).withColumn("starts", segment.isNotNull())
+    tagged = rows.withColumn("segment", F.last(segment, ignorenulls=True).over(Window.partitionBy("file", "doc_no").orderBy("line_no"))).withColumn("starts", segment.isNotNull())
     named = F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
     key, value = F.regexp_extract("line", r"^\* \*\*(.+?)\*\*: ?(.*)$", 1), F.regexp_extract("line", r"^\* \*\*(.+?)\*\*: ?(.*)$", 2)
-    meta = tagged.where(F.col("segment").isNull() & (key != "")).groupBy("doc_no").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.coalesce(F.try_element_at(named, key), key).alias("k"), F.trim(value).alias("v"))))).alias("metadata"))
-    text = tagged.where(F.col("segment").isNotNull() & ~F.col("starts")).groupBy("doc_no", "company", "segment").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")).alias("text"))
-    return map_tickers(text.where("text <> ''").join(meta, "doc_no", "left"), "company", tickers)
+    pairs = F.array_sort(F.collect_set(F.struct(F.coalesce(F.try_element_at(named, key), key).alias("k"), F.trim(value).alias("v"))))
+    meta = tagged.where(F.col("segment").isNull() & (key != "")).groupBy("file", "doc_no").agg(F.map_from_entries(pairs).alias("metadata"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    text = tagged.where(F.col("segment").isNotNull() & ~F.col("starts")).groupBy("file", "doc_no", "company", "segment").agg(F.trim(body).alias("text"))
+    return map_tickers(text.where("text <> ''").join(meta, ["file", "doc_no"], "left"), "company", tickers)
 
 
 def compilation_stats(segments: DataFrame) -> DataFrame:

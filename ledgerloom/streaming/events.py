@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def events_from_feed(feed: DataFrame) -> DataFrame:
@@ -16,8 +15,8 @@ def events_from_feed(feed: DataFrame) -> DataFrame:
 
 def prefilter(events: DataFrame, noise: str = r"(?i)trading window") -> DataFrame:
     """No notices of noise; the first event of each lower-cased title."""
-    w = Window.partitionBy(F.lower(F.trim("title"))).orderBy("ts", "event_id")
-    return events.where(~F.col("title").rlike(noise)).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    first = F.min_by(F.struct(*events.columns), F.struct("ts", "event_id")).alias("e")
+    return events.where(~F.col("title").rlike(noise)).groupBy(F.lower(F.trim("title"))).agg(first).select("e.*")
 
 
 def prefilter_stream(events: DataFrame, delay: str = "1 hour", noise: str = r"(?i)trading window") -> DataFrame:
