@@ -123,3 +123,85 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
     named = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(staged(named), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity --------------------------------------------------------------------
+
+
+def candidate_links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) of fingerprints within the radius, to be checked by text.
+
+    classes: (fp), distinct. One aggregation over all tables finds the buckets; those of two, by far the
+    most, are read off its minimum and maximum. In buckets of up to `bucket` each is compared with those
+    after it. A fuller bucket gives no pairs of its own: each fingerprint goes with one centre, another in
+    every table, so that a large group meets up to as many centres as there are tables.
+    """
+    masks = covering_masks(radius)
+    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(masks)])
+    keyed = classes.select("fp", F.inline(tables)).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    met = staged(keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    near = _distance(F.col("a"), F.col("b")) <= radius
+    two = met.where("n = 2").select("a", "b").where(near)
+    more = met.where("n > 2").select("k", "key", "n")
+    if more.isEmpty():
+        return two.distinct()
+    held = staged(keyed.join(more, ["k", "key"]))
+    after = F.collect_list("fp").over(Window.partitionBy("k", "key").orderBy("fp").rowsBetween(1, bucket - 1))
+    some = held.where(F.col("n") <= bucket).select(F.col("fp").alias("a"), after.alias("later")).select("a", F.explode("later").alias("b")).where(near)
+    centre = staged(held.where(F.col("n") > bucket).groupBy("k", "key").agg(F.min_by("fp", F.xxhash64("fp", "k")).alias("b")))
+    full = held.where(F.col("n") > bucket).join(centre, ["k", "key"]).select(F.col("fp").alias("a"), "b").where("a <> b").where(near)
+    ordered = two.union(some).union(full).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ordered.distinct()
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of word shingles; the whole sequence if it is shorter; none without words."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.array([], np.uint64)
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts, stops = np.concatenate([[0], ends[:-words]]).tolist(), (ends[words - 1 :] - 1).tolist()
+    hashes = (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True))
+    return np.unique(np.fromiter(hashes, np.uint64, len(starts)))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 6, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): documents linked where the Jaccard similarity of their word shingles reaches the threshold.
+
+    Candidates are fingerprints of narrower shingles within the radius, found by covering tables; every
+    candidate pair is then checked on the whole texts, so what differs more is never linked. Documents of one
+    fingerprint are checked against the one of the smallest id. Rows with a null id are left out.
+    """
+    prints = staged(fingerprints(docs, width, id_col, text_col).where("id is not null").dropDuplicates(["id"]))
+    classes = staged(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")))
+    pairs = candidate_links(classes.select("fp"), radius)
+    node = lambda x: classes.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}"))
+    across = pairs.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = prints.join(staged(classes.where("n > 1").select("fp", "node")), "fp").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    tried = staged(across.union(same))
+    ids = staged(tried.select(F.explode(F.array("a", "b")).alias("i")).distinct())
+
+    def hashed(batches):
+        for batch in batches:
+            out = [shingle_hashes(t.as_py(), words).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["i", "s"])
+
+    wanted = docs.select(docs[id_col].cast("long").alias("i"), text_or_empty(text_col).alias("t")).join(ids, "i", "left_semi")
+    sets = staged(wanted.mapInArrow(hashed, "i long, s binary").dropDuplicates(["i"]))
+    both = tried.join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
+
+    def checked(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    links = both.select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long")
+    parts = connected_components(links)
+    return prints.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))

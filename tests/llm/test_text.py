@@ -9,12 +9,12 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm import licenses, pii, toxicity
+from ledgerloom.llm import licenses, pii, simhash, toxicity
 from ledgerloom.llm.common import read_table
 from ledgerloom.llm.queries import op8_licenses, op9_toxicity, op10_pii, oracle_sql
 from tests.compare import same
 from tests.llm.conftest import ODD
-from tests.llm.test_duplicates import brute_near
+from tests.llm.test_duplicates import components
 
 # --- licenses ---
 
@@ -139,6 +139,49 @@ def test_long_runs_take_linear_time():
 # --- pipeline ---
 
 
+def brute_similar(rows):
+    """Smallest ids of groups linked by a distance of 6 bits at most and a similarity of 0.8 at least."""
+    fp = [simhash.fingerprint(t or "", 2) for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if ((fp[a] ^ fp[b]) % 2**64).bit_count() <= 6 and like(sets[a], sets[b])]
+    root, least = components(len(rows), pairs), {}
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min(i, least.get(root[k], i))
+    return set(least.values())
+
+
+def test_near_copies_by_similarity(docs):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(30):
+        base = rng.choices(words, k=rng.choice([4, 40, 300]))
+        for _ in range(rng.randrange(1, 9)):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2, 40])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(rows)).collect()}
+    assert len(got) == len(rows) and {i for i, k in got.items() if i == k} == brute_similar(rows)
+
+
+def test_large_group_of_near_copies_keeps_one(docs):
+    rng = random.Random(12)
+    base = rng.choices([f"w{i}" for i in range(900)], k=400)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        own = list(base)
+        own[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(rng.choices([f"y{k}" for k in range(900)], k=300))) for i in range(50)]
+    got = [r["doc_id"] for r in simhash.similar_documents(docs(rows)).collect() if r["doc_id"] == r["component_id"]]
+    assert len([i for i in got if i < 1000]) <= 2 and len([i for i in got if i >= 1000]) == 50
+
+
 def test_pipeline_stages_against_brute_force(spark, sf_dir):
     import corpus_pipeline as cp
 
@@ -155,8 +198,7 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
         best[r["text"] or ""] = max(best.get(r["text"] or "", -1), r["doc_id"])
     assert {r["doc_id"] for r in b.collect()} == set(best.values()) and b.columns == columns
     c = cp.drop_near_copies(spark, b, sf_dir).cache()
-    near = brute_near([(r["doc_id"], r["text"]) for r in b.collect()])
-    assert {r["doc_id"] for r in c.collect()} == {i for i, _, k in near if i == k} and c.columns == columns
+    assert {r["doc_id"] for r in c.collect()} == brute_similar([(r["doc_id"], r["text"]) for r in b.collect()]) and c.columns == columns
     e = cp.redact_personal_data(spark, c, sf_dir).cache()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in e.collect()} == {r["doc_id"]: (pii.redacted(r["text"]), len(pii.redacted(r["text"]))) for r in c.collect()}
     assert e.columns == columns
