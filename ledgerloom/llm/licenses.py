@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_or_empty
+from ledgerloom.llm.common import staged, text_or_empty
 
 THRESHOLD = 0.8
 
@@ -52,12 +52,11 @@ TEMPLATES = {
 
 #: What parts words: every letter below 0x80 but digits and lower-case letters; lines are parted first.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_GAP_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _plain(text: Column) -> Column:
-    """Words with one space between them. lower() also changes letters beyond A-Z, which starts, ends and joins no word."""
-    return F.trim(F.regexp_replace(F.lower(text), _GAP, " "))
+def _words(text: Column) -> Column:
+    """Words in order, empty texts at the ends left in. lower() also changes letters beyond A-Z, which starts, ends and joins no word."""
+    return F.split(F.lower(text), _GAP)
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -68,17 +67,18 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(at, lambda i: reduce(lambda a, b: a & b, [F.get(words, i + k) == w for k, w in enumerate(parts)]))
 
 
-def _base(plain: Column) -> dict[str, Column]:
-    padded = F.concat(F.lit(" "), plain, F.lit(" "))
+def _base(words: Column, low: Column) -> dict[str, Column]:
+    """Places of the phrases, looked for only in texts that hold the letters of their first and last word."""
     none = F.array().cast("array<int>")
-    found = {p: F.when(padded.contains(f" {p} "), _places(F.split(plain, " "), p)).otherwise(none) for p in PHRASES}
-    return {"places": F.flatten(F.array(*found.values())), "labels": F.array_sort(F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(PHRASES[p])) for p, c in found.items()])))}
+    may = lambda p: low.contains(p.split(" ")[0]) & low.contains(p.split(" ")[-1]) & F.array_contains(words, p.split(" ")[-1])
+    found = {p: F.when(may(p), _places(words, p)).otherwise(none) for p in PHRASES}
+    return {"places": F.flatten(F.array(*found.values())), "base": F.array_sort(F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(PHRASES[p])) for p, c in found.items()])))}
 
 
 def word_ranks(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> list[str]:
     """The vocabulary by the number of documents that hold a word, rarest first; ties by the word."""
     words = F.array(*map(F.lit, vocabulary))
-    held = docs.select(F.explode(F.array_intersect(words, F.split(_plain(text_or_empty(text_col)), " "))).alias("w"))
+    held = docs.select(F.explode(F.array_intersect(words, _words(text_or_empty(text_col)))).alias("w"))
     counts = {r["w"]: r["count"] for r in held.groupBy("w").count().collect()}  # at most one row a template word
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -94,22 +94,30 @@ def template_prefixes(order: list[str], templates: dict[str, str], threshold: fl
     return out
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, line, label, containment) of every block at or above the threshold; h tells texts of one id apart."""
-    templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    order = word_ranks(docs, vocabulary, text_col)
-    prefixes = template_prefixes(order, templates, threshold)
+def scanned(docs: DataFrame, firsts: list[str], id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts: (id, h, n_words, places, base, t), h telling texts of one id apart.
+
+    t is the lower-cased text where it holds a prefix word of any template, else null.
+    """
+    text = text_or_empty(text_col)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), F.lower(text).alias("t"))
+    rows = rows.withColumn("w", F.split("t", _GAP))
+    # only the first and the last part can be empty
+    w = F.col("w")
+    rows = rows.withColumn("w", F.when(F.element_at(w, 1) == "", F.slice(w, F.lit(2), F.size(w))).otherwise(w))
+    w = F.col("w")
+    rows = rows.withColumn("w", F.when((F.size(w) > 0) & (F.get(w, F.size(w) - 1) == ""), F.slice(w, F.lit(1), F.size(w) - 1)).otherwise(w))
+    held = F.when(F.arrays_overlap(F.array(*map(F.lit, firsts)), F.col("w")), F.col("t"))
+    return rows.select("id", "h", F.size("w").cast("long").alias("n_words"), *[c.alias(k) for k, c in _base(F.col("w"), F.col("t")).items()], held.alias("t"))
+
+
+def matches(rows: DataFrame, order: list[str], prefixes: list[tuple]) -> DataFrame:
+    """(id, h, line, label, containment) of every block at or above the threshold in scanned rows."""
     least = min(p[2] for p in prefixes)
-    spark = docs.sparkSession
-    index = spark.createDataFrame(prefixes, "label string, n int, k int, words array<string>, w string, i int")
+    index = rows.sparkSession.createDataFrame(prefixes, "label string, n int, k int, words array<string>, w string, i int")
+    lines = rows.where("t is not null").select("id", "h", F.posexplode(F.split("t", "\n")).alias("line", "l"))
     ordered = F.array(*map(F.lit, order))
-    firsts = F.array(*[F.lit(w) for w in sorted({p[4] for p in prefixes})])
-    text = text_or_empty(text_col)
-    source = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), F.regexp_replace(F.lower(text), _GAP_IN_LINE, " ").alias("t"))
-    some = source.where(F.arrays_overlap(firsts, F.split("t", "[ \n]+")))
-    lines = some.select("id", "h", F.posexplode(F.split("t", "\n")).alias("line", "l"))
-    blocks = lines.select("id", "h", "line", F.array_intersect(ordered, F.split("l", " ")).alias("held")).where(F.size("held") >= least)
+    blocks = lines.select("id", "h", "line", F.array_intersect(ordered, F.split("l", _GAP)).alias("held")).where(F.size("held") >= least)
     probes = blocks.select("id", "h", "line", "held", F.posexplode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("j", "w"))
     m = F.size("held")
     pairs = probes.join(F.broadcast(index), "w").where(
@@ -125,13 +133,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     score is 1 where a phrase stands, else the best containment of a matched template, else 0.
     """
-    text = text_or_empty(text_col)
-    plain = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), _plain(text).alias("p"))
-    base = _base(F.col("p"))
-    n_words = F.when(F.col("p") == "", 0).otherwise(F.length("p") - F.length(F.replace("p", F.lit(" "), F.lit(""))) + 1)
-    rows = plain.select("id", "h", n_words.cast("long").alias("n_words"), base["places"].alias("places"), base["labels"].alias("base"))
-    matches = license_matches(docs, templates, threshold, id_col, text_col)
-    best = matches.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    templates = TEMPLATES if templates is None else templates
+    order = word_ranks(docs, sorted({w for t in templates.values() for w in t.split()}), text_col)
+    prefixes = template_prefixes(order, templates, threshold)
+    rows = staged(scanned(docs, sorted({p[4] for p in prefixes}), id_col, text_col))
+    found = matches(rows, order, prefixes)
+    best = found.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = rows.join(best, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
     none = F.array().cast("array<string>")
     return out.select(
