@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged, text_or_empty
+from ledgerloom.llm.common import staged, text_or_empty, written
 
 #: Digests for one filter, about; a filter takes some 2.3 bytes for each.
 BUCKET_DIGESTS = 400_000
@@ -161,13 +161,14 @@ def merge_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
 def duplicate_groups(docs: DataFrame, in_batch: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, keep_id, group_size) of every distinct text, snapshot and batch together."""
     new = F.coalesce(in_batch, F.lit(False))
-    groups = staged(
+    groups = (
         text_groups(docs.where(~new), id_col, text_col).withColumn("new", F.lit(False))
         .unionByName(text_groups(docs.where(new), id_col, text_col).withColumn("new", F.lit(True)))
     )
-    both = staged(merge_batch(groups.where("not new"), groups.where("new")))
-    single = groups.select("digest", "keep_id", "group_size").join(both.select("digest"), "digest", "left_anti")
-    return staged(single.unionByName(both))
+    with written(groups) as kept:
+        both = staged(merge_batch(kept.where("not new"), kept.where("new")))
+        single = kept.select("digest", "keep_id", "group_size").join(both.select("digest"), "digest", "left_anti")
+        return staged(single.unionByName(both))
 
 
 def exact_duplicates(docs: DataFrame, in_batch: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
