@@ -32,6 +32,8 @@ from ledgerloom.llm.common import connected_components, staged, text_or_empty
 BITS, SEED = 64, 42
 #: Classes of a bucket that are compared pair by pair.
 BUCKET = 48
+#: The same where every pair is checked by text afterwards.
+PAIRED = 4
 #: Shingles hashed at once, so that a very long text needs no more memory.
 BLOCK = 50_000
 
@@ -128,13 +130,13 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
 # --- near copies by similarity --------------------------------------------------------------------
 
 
-def candidate_links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+def candidate_links(classes: DataFrame, radius: int, bucket: int = PAIRED) -> DataFrame:
     """Pairs (a, b) of fingerprints within the radius, to be checked by text.
 
     classes: (fp), distinct. One aggregation over all tables finds the buckets; those of two, by far the
     most, are read off its minimum and maximum. In buckets of up to `bucket` each is compared with those
-    after it. A fuller bucket gives no pairs of its own: each fingerprint goes with one centre, another in
-    every table, so that a large group meets up to as many centres as there are tables.
+    after it. A fuller bucket gives a row a fingerprint: it goes with the smallest there. That is another one
+    from table to table, so that a large group is tied together over several centres.
     """
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(masks)])
@@ -142,14 +144,13 @@ def candidate_links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> Da
     met = staged(keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     near = _distance(F.col("a"), F.col("b")) <= radius
     two = met.where("n = 2").select("a", "b").where(near)
-    more = met.where("n > 2").select("k", "key", "n")
+    more = met.where("n > 2").select("k", "key", "n", F.col("a").alias("least"))
     if more.isEmpty():
         return two.distinct()
     held = staged(keyed.join(more, ["k", "key"]))
     after = F.collect_list("fp").over(Window.partitionBy("k", "key").orderBy("fp").rowsBetween(1, bucket - 1))
     some = held.where(F.col("n") <= bucket).select(F.col("fp").alias("a"), after.alias("later")).select("a", F.explode("later").alias("b")).where(near)
-    centre = staged(held.where(F.col("n") > bucket).groupBy("k", "key").agg(F.min_by("fp", F.xxhash64("fp", "k")).alias("b")))
-    full = held.where(F.col("n") > bucket).join(centre, ["k", "key"]).select(F.col("fp").alias("a"), "b").where("a <> b").where(near)
+    full = held.where(F.col("n") > bucket).select(F.col("fp").alias("a"), F.col("least").alias("b")).where("a <> b").where(near)
     ordered = two.union(some).union(full).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return ordered.distinct()
 
