@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from ledgerloom.llm.common import connected_components, staged, text_or_empty
+from ledgerloom.llm.common import connected_components, staged, text_or_empty, written
 
 BITS, SEED = 64, 42
 #: Classes of a bucket that are compared pair by pair.
 BUCKET = 48
-#: The same where every pair is checked by text afterwards.
+#: The same in the first of two rounds where pairs are checked by text.
 PAIRED = 4
 #: Shingles hashed at once, so that a very long text needs no more memory.
 BLOCK = 50_000
@@ -131,28 +131,76 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
 
 
 def candidate_links(classes: DataFrame, radius: int, bucket: int = PAIRED) -> DataFrame:
-    """Pairs (a, b) of fingerprints within the radius, to be checked by text.
+    """Rows (h, a, b) over fingerprints. Without h: a pair within the radius, to be checked by text.
+    With h, and without b: a is in the bucket h of more than `bucket` fingerprints.
 
-    classes: (fp), distinct. One aggregation over all tables finds the buckets; those of two, by far the
-    most, are read off its minimum and maximum. In buckets of up to `bucket` each is compared with those
-    after it. A fuller bucket gives a row a fingerprint: it goes with the smallest there. That is another one
-    from table to table, so that a large group is tied together over several centres.
+    classes: (fp), distinct. Rows are dealt once, by a hash of table and key (buckets that it merges hold more,
+    never less), and each bucket is read off the sorted rows. In buckets of up to `bucket` every pair is given;
+    a fuller one gives each fingerprint with the smallest there, and its members, for `open_pairs` to finish.
     """
-    masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(masks)])
-    keyed = classes.select("fp", F.inline(tables)).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    met = staged(keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    near = _distance(F.col("a"), F.col("b")) <= radius
-    two = met.where("n = 2").select("a", "b").where(near)
-    more = met.where("n > 2").select("k", "key", "n", F.col("a").alias("least"))
-    if more.isEmpty():
-        return two.distinct()
-    held = staged(keyed.join(more, ["k", "key"]))
-    after = F.collect_list("fp").over(Window.partitionBy("k", "key").orderBy("fp").rowsBetween(1, bucket - 1))
-    some = held.where(F.col("n") <= bucket).select(F.col("fp").alias("a"), after.alias("later")).select("a", F.explode("later").alias("b")).where(near)
-    full = held.where(F.col("n") > bucket).select(F.col("fp").alias("a"), F.col("least").alias("b")).where("a <> b").where(near)
-    ordered = two.union(some).union(full).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ordered.distinct()
+    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mask")) for k, m in enumerate(covering_masks(radius))])
+    keyed = classes.select("fp", F.inline(tables)).select(F.xxhash64("k", F.col("fp").bitwiseAND(F.col("mask"))).alias("h"), "fp")
+
+    def met(h: np.ndarray, fp: np.ndarray):
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(h)]]))
+        n, least = np.repeat(sizes, sizes), np.repeat(fp[starts], sizes)
+        near = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)) <= radius
+        left, right = [], []
+        for ahead in range(1, bucket):
+            i = np.flatnonzero((h[ahead:] == h[:-ahead]) & (n[:-ahead] <= bucket))
+            left.append(fp[i])
+            right.append(fp[i + ahead])
+        full = n > bucket
+        left, right = np.concatenate([*left, least[full]]), np.concatenate([*right, fp[full]])
+        close = near(left, right) & (left != right)
+        left, right, members = left[close], right[close], fp[full]
+        none = lambda k: pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([none(len(left)), pa.array(left), pa.array(right)], ["h", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[full]), pa.array(members), none(len(members))], ["h", "a", "b"])
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            h, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(h) and held and held[-1][0][-1] != h[-1]:
+                h, fp = (np.concatenate([*x, y]) for x, y in zip(zip(*held, strict=True), (h, fp), strict=True))
+                held = []
+            if not len(h):
+                continue
+            whole = 0 if held else int(np.searchsorted(h, h[-1]))
+            if whole:
+                yield from met(h[:whole], fp[:whole])
+            held.append((h[whole:], fp[whole:]))
+        if held:
+            yield from met(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return keyed.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(run, "h long, a long, b long")
+
+
+def open_pairs(found: DataFrame, units: DataFrame, several: DataFrame, radius: int) -> DataFrame:
+    """Pairs (fa, ca, fb, cb) of units within the radius that are in different components, so still to be checked.
+
+    found: candidate_links; units: (fp, c), the components of each fingerprint's documents; several: (fp), those of
+    more than one document. In a full bucket those outside its commonest component meet all others. Pairs of
+    one component need no check: whatever it says, they stay together. All pairs of the rest are here, so that
+    the components after it are exact.
+    """
+    members = found.where("h is not null").select("h", F.col("a").alias("fp")).join(units, "fp")
+    mixed = members.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("main")).where("lo <> hi")
+    members = staged(members.join(staged(mixed.select("h", "main")), "h"))
+    few = members.where("c <> main").select("h", F.col("fp").alias("fa"), F.col("c").alias("ca"))
+    every = members.select("h", "main", F.col("fp").alias("fb"), F.col("c").alias("cb"))
+    order = (F.col("cb") == F.col("main")) | (F.struct("fa", "ca") < F.struct("fb", "cb"))
+    full = few.join(every, "h").where((F.col("ca") != F.col("cb")) & order & (_distance(F.col("fa"), F.col("fb")) <= radius)).select("fa", "ca", "fb", "cb")
+    # of the documents of one fingerprint only the first has met those of others
+    own = units.join(several, "fp")
+    named = lambda df, x: df.select(F.col("fp").alias(f"f{x}"), F.col("c").alias(f"c{x}"))
+    pairs = found.where("h is null").select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    pairs = pairs.union(pairs.select("fb", "fa")).distinct()
+    cross = pairs.join(named(own, "a"), "fa").join(named(units, "b"), "fb").where("ca <> cb").select("fa", "ca", "fb", "cb")
+    same = named(own, "a").join(named(own, "b"), F.col("fa") == F.col("fb")).where("ca < cb").select("fa", "ca", "fb", "cb")
+    return full.union(cross).union(same).distinct()
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -173,16 +221,31 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """(id, component_id): documents linked where the Jaccard similarity of their word shingles reaches the threshold.
 
     Candidates are fingerprints of narrower shingles within the radius, found by covering tables; every
-    candidate pair is then checked on the whole texts, so what differs more is never linked. Documents of one
-    fingerprint are checked against the one of the smallest id. Rows with a null id are left out.
+    candidate pair is then checked on the whole texts, so what differs more is never linked. A first round
+    checks small buckets, and full ones against one fingerprint each; a second one every pair that the first
+    has left in different components. Rows with a null id are left out.
     """
     prints = staged(fingerprints(docs, width, id_col, text_col).where("id is not null").dropDuplicates(["id"]))
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")))
-    pairs = candidate_links(classes.select("fp"), radius)
-    node = lambda x: classes.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}"))
-    across = pairs.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    same = prints.join(staged(classes.where("n > 1").select("fp", "node")), "fp").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    tried = staged(across.union(same))
+    with written(candidate_links(classes.select("fp"), radius)) as found:
+        pairs = found.where("h is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        node = lambda x: classes.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}"))
+        across = pairs.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        several = staged(classes.where("n > 1").select("fp", "node"))
+        same = prints.join(several, "fp").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        links = staged(_checked_links(docs, staged(across.union(same)), similarity, words, id_col, text_col))
+        known = staged(prints.join(connected_components(links), F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("component", "id").alias("c")))
+        left = staged(open_pairs(found, staged(known.select("fp", "c").distinct()), several.select("fp"), radius))
+    if left.isEmpty():
+        return known.select(F.col("id").alias(id_col), F.col("c").alias("component_id"))
+    side = lambda x: known.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("c").alias(f"c{x}"))
+    tried = left.join(side("a"), ["fa", "ca"]).join(side("b"), ["fb", "cb"]).select("a", "b")
+    parts = connected_components(links.union(_checked_links(docs, staged(tried), similarity, words, id_col, text_col)))
+    return prints.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
+
+
+def _checked_links(docs: DataFrame, tried: DataFrame, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Of the pairs (a, b) of ids those whose texts reach the similarity."""
     ids = staged(tried.select(F.explode(F.array("a", "b")).alias("i")).distinct())
 
     def hashed(batches):
@@ -203,6 +266,4 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = both.select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long")
-    parts = connected_components(links)
-    return prints.join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long")

@@ -182,6 +182,22 @@ def test_large_group_of_near_copies_keeps_one(docs):
     assert len([i for i in got if i < 1000]) <= 2 and len([i for i in got if i >= 1000]) == 50
 
 
+def test_full_buckets_of_near_copies_stay_whole(docs):
+    rng = random.Random(13)
+    # texts of few words, one or two of them changed: fingerprints meet, similarities fall on both sides of 0.8
+    base = rng.choices([f"s{i}" for i in range(300)], k=60)
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for k in range(rng.choice([1, 1, 2])):
+            own[rng.randrange(60)] = f"z{i}_{k}"
+        rows.append((i, " ".join(own)))
+    base = rng.choices([f"w{i}" for i in range(900)], k=400)
+    rows += [(100 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(150)]
+    got = {i for i, k in ((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs(rows)).collect()) if i == k}
+    assert got == brute_similar(rows) and {i for i in got if i >= 100} == {100}
+
+
 def test_pipeline_stages_against_brute_force(spark, sf_dir):
     import corpus_pipeline as cp
 
