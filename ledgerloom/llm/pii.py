@@ -38,7 +38,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-_NAMED = re.compile(r"(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?([^\s,;]{8,200})")
+_NAMED = re.compile(r"(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?([^\s,;]{8,})")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _FOR = {"iban": ("iban", "account", "konto", "compte", "cuenta", "bank"), "ssn": ("ssn", "social security", "social-security")}
 _AGAINST = ("order", "invoice", "version", "serial", "isbn", "ticket")

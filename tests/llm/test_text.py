@@ -136,6 +136,12 @@ def test_long_runs_take_linear_time():
         pii.spans(text)
 
 
+def test_long_secret_is_one_span():
+    key = "eyJ" + "aZ09-_." * 200
+    assert pii.redacted(f"token={key} end") == "token=<SECRET> end"
+    assert pii.redacted("password: " + "k" * 200_000) == "password: <SECRET>"
+
+
 # --- pipeline ---
 
 
