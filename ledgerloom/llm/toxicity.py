@@ -29,8 +29,8 @@ from ledgerloom.llm.common import staged, text_or_empty
 
 #: Slots of the hashed feature space.
 SLOT_BITS = 22
-#: Most labelled rows that the model is fitted on, and most features kept of one of them.
-SAMPLE, SAMPLE_FEATURES = 12_000, 60_000
+#: Most labelled rows that the model is fitted on.
+SAMPLE = 12_000
 #: Rates and penalties of the learner, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 1.0, 5
 #: Rows of label 1 and 0 that are taken for granted, so that a few labels alone condemn nothing.
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     def made(batches):
         h = hasher()
         for batch in batches:
-            out = [h.features(t.as_py())[:SAMPLE_FEATURES].astype("<i4").tobytes() for t in batch.column(2)]
+            out = [h.features(t.as_py()).astype("<i4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "f"])
 
     features = staged(rows.select("id", "y", "t").mapInArrow(made, "id long, y double, f binary"))

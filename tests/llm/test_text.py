@@ -74,6 +74,15 @@ def test_toxicity_held_out_accuracy(spark):
     assert np.mean(toxic) >= 0.5 and np.mean(clean) <= 0.02  # some 300 labelled rows only
 
 
+def test_toxicity_learns_every_feature_of_a_long_text(spark, docs):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(i, long if i % 2 else f"calm {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    slots, _ = toxicity.fit(docs(rows), labels, "toxic")
+    features = toxicity.hasher().features(long)
+    assert len(features) > 60_000 and set(features.tolist()) <= set(slots.tolist())
+
+
 def test_toxicity_ignores_other_columns_and_odd_rows(spark, docs, empty):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
