@@ -1,14 +1,14 @@
 """Best-fit packing of documents into fixed-length training sequences by a configuration program.
 
 A configuration is a multiset of piece lengths that fits one sequence. The linear program asks for
-the fewest configurations that cover the length histogram. It is solved by multiplicative weights:
-every round prices the configurations with a knapsack table over the current weights, adds the best
-one for each length, and lowers the weight of lengths that got more than their share. The fractional
-solution is rounded down to whole sequences within what is left of the histogram; the rest is solved
-again, and the last few sequences are filled best-fit.
-
-Only the histogram (at most `capacity` lengths times `SALTS`) comes to the driver, whatever the size of
-the data. What goes back is the list of configurations, which is bounded by rounds times lengths.
+the fewest configurations that cover the length histogram, in groups of neighbouring lengths. It is
+solved by multiplicative weights: every round prices the configurations with a bounded knapsack table
+over the current weights, uses a little of those that are worth nearly as much as the best, and lowers
+the weights of what they cover. The fractional solution is rounded to whole sequences in true lengths
+within what is left of the histogram; the rest is solved again, and the last fraction is filled best-fit.
+
+Only the histogram (at most `capacity` lengths times `SALTS`) comes to the driver, and the driver works on
+runs of equal lengths, so its time and the list of configurations that goes back don't grow with the data.
 Every piece then finds its place from its rank among the pieces of its length; ranks are counted
 within salted parts, so a length that a third of all pieces have is not one task's work.
 
@@ -18,9 +18,11 @@ token; repeated rows are packed once each; a null id stays null; other columns a
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,13 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.llm.bpe_stream import byte_letters
 from ledgerloom.llm.common import local_threads, staged, text_or_empty, vocabulary_path
 
 CAPACITY = 4096
 #: Parts in which the pieces of one length are ranked.
 SALTS = 64
-#: Rounds of weights for each program, programs for one histogram, and sequences left to best fit alone.
-ROUNDS, PROGRAMS, REST = 12, 5, 400
+#: Groups of lengths in a program, rounds that cover them about once (MOST_ROUNDS times as many at most),
+#: configurations used in a round, and programs for one histogram.
+GROUPS, ROUNDS, MOST_ROUNDS, COLUMNS, PROGRAMS = 64, 160, 8, 8, 4
+#: How fast weights fall as a group is covered; share of worth, and of room, that a configuration may lack.
+RATE, SLACK = 12.0, 0.01
 MEMO_ENTRIES = 300_000
 END_ID = 1
 
@@ -58,7 +64,7 @@ class Words:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
-        self.letters = {b: c for c, b in _byte_letters().items()}
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.odd = re.compile(f"[^\\x00-{chr(self.WESTERN - 1)}]|<\\|").search
         marks = "".join(chr(c) for c in range(self.WESTERN) if unicodedata.category(chr(c))[0] == "L")
         digits = "".join(chr(c) for c in range(self.WESTERN) if unicodedata.category(chr(c))[0] == "N")
@@ -83,12 +89,6 @@ class Words:
         return b"".join([get(w) or slow(w) for w in self.find(unicodedata.normalize("NFC", text).lower())])
 
 
-def _byte_letters() -> dict[str, int]:
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
 @lru_cache(maxsize=2)
 def words(name: str) -> Words:
     """One for each Python worker."""
@@ -120,114 +120,192 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id
 
 # --- the program --------------------------------------------------------------------------------
 
+#: A program: groups of lengths, and for each configuration (a tuple of group numbers) how often it is used.
+Program = tuple[list[list[int]], dict[tuple[int, ...], float]]
+
+
+def grouped(histogram: dict[int, int], most: int = GROUPS) -> list[list[int]]:
+    """Lengths in up to `most` neighbouring groups, finer where lengths are short or hold many tokens."""
+    sizes = sorted(s for s, n in histogram.items() if n)
+    if len(sizes) <= most:
+        return [[s] for s in sizes]
+    tokens = np.cumsum([s * histogram[s] for s in sizes], dtype=float)
+    place = tokens / tokens[-1] + np.log(np.array(sizes) / sizes[0]) / np.log(sizes[-1] / sizes[0])
+    out: dict[int, list[int]] = {}
+    for s, part in zip(sizes, np.minimum(most - 1, (place / 2 * most).astype(int)).tolist(), strict=True):
+        out.setdefault(part, []).append(s)
+    return list(out.values())
 
-def price(weights: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack table: the most weight that fits each room, and the length last put in (0: none)."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(int(sizes[0]), capacity + 1):
-        fit = sizes[: np.searchsorted(sizes, room, "right")]
-        value = best[room - fit] + weights[: len(fit)]
-        k = int(value.argmax())
-        if value[k] > best[room - 1]:
-            best[room], take[room] = value[k], fit[k]
-        else:
-            best[room], take[room] = best[room - 1], 0
-    return best, take
-
-
-def filled(take: np.ndarray, room: int) -> list[int]:
-    out = []
-    while room > 0:
-        if take[room]:
-            out.append(int(take[room]))
-            room -= int(take[room])
-        else:
-            room -= 1
-    return out
 
+def price(values: np.ndarray, sizes: list[int], bounds: list[int], capacity: int) -> tuple[np.ndarray, list, list]:
+    """Bounded knapsack: the most value that fits each room, with the choices that lead there.
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """A fractional cover of the histogram by configurations, near the least number of them."""
-    sizes = np.array(sorted(histogram))
-    need = np.array([histogram[int(s)] for s in sizes], float)
-    at = {int(s): k for k, s in enumerate(sizes)}
-    weights = sizes / capacity
-    out: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        best, take = price(weights, sizes, capacity)
-        got = np.zeros(len(sizes))
-        columns = []
-        for k, size in enumerate(sizes.tolist()):
-            config = tuple(sorted([size, *filled(take, capacity - size)], reverse=True))
-            value = weights[k] + best[capacity - size]
-            # a length in a good configuration asks for as much as it needs, a poor one for little
-            ask = need[k] * size / capacity * np.exp(-40 * (1 - value / best[capacity]))
-            columns.append((config, ask))
-        scale = (need @ sizes) / capacity / max(sum(a for _, a in columns), 1e-9) / rounds
-        for config, ask in columns:
-            out[config] = out.get(config, 0.0) + ask * scale
-            for size in config:
-                got[at[size]] += ask * scale
-        over = np.clip(got * rounds / need, 0, 4)
-        weights = weights * np.exp(-0.02 * (over - 1))
+    A size that may be taken up to b times is offered in lots of 1, 2, 4, ... that make up b.
+    """
+    best = np.zeros(capacity + 1)
+    lots, taken = [], []
+    for g, (value, size, bound) in enumerate(zip(values.tolist(), sizes, bounds, strict=True)):
+        k = 1
+        while bound > 0:
+            k = min(k, bound)
+            bound -= k
+            if k * size <= capacity:
+                offer = best[: capacity + 1 - k * size] + k * value
+                more = offer > best[k * size :]
+                best[k * size :] = np.where(more, offer, best[k * size :])
+                lots.append((g, k))
+                taken.append(more)
+            k *= 2
+    return best, lots, taken
+
+
+def chosen(lots: list, taken: list, sizes: list[int], room: int) -> dict[int, int]:
+    """How often each size stands in the best filling of a room."""
+    out: dict[int, int] = {}
+    for (g, k), more in zip(reversed(lots), reversed(taken), strict=True):
+        at = room - k * sizes[g]
+        if at >= 0 and more[at]:
+            out[g] = out.get(g, 0) + k
+            room = at
     return out
 
 
-def rounded(program: dict[tuple[int, ...], float], left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Whole numbers of full configurations within what is left; fractions are carried on to the next one.
+def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Program:
+    """A fractional cover of the histogram by configurations, near the least number of them.
 
-    Configurations with unused room wait for the next program, or for best fit at the end.
+    A group's weight falls exponentially with the share of it that is covered. Each round prices all
+    configurations at once and uses a little of those worth nearly as much as the best, the least covered
+    groups first, until every group is covered. A group's length is its mean; `rounded` deals in true lengths.
+    """
+    groups = grouped(histogram)
+    need = np.array([sum(histogram[s] for s in g) for g in groups], float)
+    sizes = [math.ceil(sum(s * histogram[s] for s in g) / n) for g, n in zip(groups, need, strict=True)]
+    share = np.array(sizes, float) / capacity
+    least = float(need @ share)
+    # no more of a group than eight times what the average sequence holds of it
+    bounds = [int(min(capacity // s, n, math.ceil(8 * n / least) + 1)) for s, n in zip(sizes, need, strict=True)]
+    got, out = np.zeros(len(groups)), {}
+    for _ in range(MOST_ROUNDS * rounds):
+        lacking = got < 0.999 * need
+        if not lacking.any():
+            break
+        cover = got / need
+        values = share * np.exp(-RATE * (cover - cover[lacking].mean())) * lacking
+        best, lots, taken = price(values, sizes, bounds, capacity)
+        worth = values + best[capacity - np.array(sizes)]
+        firsts = np.flatnonzero(lacking & (worth >= (1 - SLACK) * best[capacity]))
+        firsts = firsts[np.argsort(cover[firsts], kind="stable")[:COLUMNS]]
+        for g in firsts.tolist():
+            config = chosen(lots, taken, sizes, capacity - sizes[g])
+            config[g] = config.get(g, 0) + 1
+            x = min(least / rounds / len(firsts), *(min(max(need[h] - got[h], 0.02 * need[h]), 0.1 * need[h]) / a for h, a in config.items()))
+            key = tuple(sorted((h for h, a in config.items() for _ in range(a)), reverse=True))
+            out[key] = out.get(key, 0.0) + x
+            for h, a in config.items():
+                got[h] += a * x
+    return groups, out
+
+
+def rounded(program: Program, left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers of configurations in true lengths, taken out of `left`; fractions are carried on to the next one.
+
+    All places of a configuration but the last take the length of their group that most pieces have; the
+    rest of the room takes the longest lengths that fit. Whole runs are placed at once: each uses up a
+    length or the configuration. What turns out much emptier than it was priced is left to the next program.
     """
+    groups, uses = program
+    there = np.zeros(capacity + 1, bool)
+    there[[s for s, n in left.items() if n]] = True
     out, carry = [], 0.0
-    for config, x in sorted(program.items(), key=lambda p: (-max(p[0]), p[0])):
-        if sum(config) < capacity:
-            continue
+
+    def longest(room: int) -> int:
+        k = int(there[room::-1].argmax()) if room > 0 else 0
+        return room - k if there[room - k] else 0
+
+    for config, x in sorted(uses.items(), reverse=True):
         carry += x
-        counts: dict[int, int] = {}
-        for size in config:
-            counts[size] = counts.get(size, 0) + 1
-        n = min(int(carry + 1e-9), *(left.get(s, 0) // c for s, c in counts.items()))
-        if n > 0:
-            carry -= n
-            out.append((config, n))
-            for s, c in counts.items():
+        copies = int(carry + 1e-9)
+        carry -= copies
+        spare = max(0, capacity - sum(groups[g][-1] for g in config))
+        while copies > 0:
+            room, own = capacity, Counter()
+            for g in config[:-1]:
+                fitting = [s for s in groups[g] if s <= room and left[s] > own[s]]
+                if not fitting:
+                    break
+                size = max(fitting, key=lambda s: left[s] / (own[s] + 1))
+                own[size] += 1
+                room -= size
+            else:
+                while size := longest(room):
+                    while size and left[size] <= own[size]:
+                        size = longest(size - 1)
+                    if not size:
+                        break
+                    own[size] += 1
+                    room -= size
+            if own.total() < len(config) - 1 or room > spare + SLACK * capacity:
+                break
+            n = min(copies, *(left[s] // c for s, c in own.items()))
+            copies -= n
+            out.append((tuple(sorted(own.elements(), reverse=True)), n))
+            for s, c in own.items():
                 left[s] -= n * c
-        carry = min(carry, 1.0)
+                there[s] = left[s] > 0
     return out
 
 
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Longest first, each into the fullest open sequence that has room."""
-    rooms: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    open_rooms = np.zeros(capacity + 1, bool)
+def best_fit(left: dict[int, int], capacity: int, begun: list[tuple[tuple[int, ...], int]] | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, into the fullest sequences that have room; runs of one length are placed at once.
+
+    begun: sequences that are there already.
+    """
+    rooms: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
+    some = np.zeros(capacity + 1, bool)
+
+    def put(config: tuple[int, ...], n: int) -> None:
+        room = capacity - sum(config)
+        rooms[room].append((config, n))
+        some[room] = True
+
+    for config, n in begun or []:
+        put(config, n)
     for size in sorted((s for s, n in left.items() if n), reverse=True):
-        for _ in range(left[size]):
-            fit = int(open_rooms[size:].argmax()) + size
-            if fit <= capacity and open_rooms[fit]:
-                bin_ = rooms[fit].pop()
-                open_rooms[fit] = bool(rooms[fit])
+        n = left[size]
+        while n:
+            room = int(some[size:].argmax()) + size
+            old = bool(some[room])
+            if old:
+                config, count = rooms[room].pop()
+                some[room] = bool(rooms[room])
             else:
-                bin_, fit = [], capacity
-            bin_.append(size)
-            rooms[fit - size].append(bin_)
-            open_rooms[fit - size] = True
-    return [(tuple(b), 1) for room in rooms for b in room]
+                room, config, count = capacity, (), n
+            each = min(room // size, n)
+            used = min(count, n // each)
+            put(config + (size,) * each, used)
+            if old and count > used:
+                put(config, count - used)
+            n -= used * each
+    return [x for room in rooms for x in room]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how often each is used; every piece of the histogram has exactly one place."""
+    """Configurations and how often each is used; every piece of the histogram has exactly one place.
+
+    Program after program runs on what the one before has left; the last fraction joins, by best fit, the
+    sequences with room.
+    """
     left = {s: n for s, n in histogram.items() if n}
     out = [((capacity,), left.pop(capacity))] if capacity in left else []
     for _ in range(PROGRAMS):
-        if sum(s * n for s, n in left.items()) <= REST * capacity:
+        if not left:
             break
         part = rounded(solve(left, capacity), left, capacity)
         left = {s: n for s, n in left.items() if n}
-        if sum(n * sum(c) for c, n in part) < 0.02 * sum(s * n for s, n in left.items()):
-            out += part
-            break
         out += part
-    return out + best_fit(left, capacity)
+        if sum(n * sum(c) for c, n in part) < 0.05 * sum(s * n for s, n in left.items()):
+            break
+    return best_fit(left, capacity, out)
 
 
 def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
