@@ -1,15 +1,17 @@
 """Licenses, toxicity, personal data and the pipeline."""
 
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm import licenses, pii, simhash, toxicity
+from ledgerloom.llm import licenses, near_copies, pii, toxicity
 from ledgerloom.llm.common import read_table
 from ledgerloom.llm.queries import op8_licenses, op9_toxicity, op10_pii, oracle_sql
 from tests.compare import same
@@ -154,63 +156,95 @@ def test_long_secret_is_one_span():
 # --- pipeline ---
 
 
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
 def brute_similar(rows):
-    """Smallest ids of groups linked by a distance of 6 bits at most and a similarity of 0.8 at least."""
-    fp = [simhash.fingerprint(t or "", 2) for _, t in rows]
-    sets = []
-    for _, t in rows:
-        w = (t or "").encode().lower().split()
-        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
-    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if ((fp[a] ^ fp[b]) % 2**64).bit_count() <= 6 and like(sets[a], sets[b])]
+    """For each row the smallest id it is linked to by similarities of 0.8 at least, fingerprints left aside."""
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     root, least = components(len(rows), pairs), {}
     for k, (i, _) in enumerate(rows):
         least[root[k]] = min(i, least.get(root[k], i))
-    return set(least.values())
+    return {i: least[root[k]] for k, (i, _) in enumerate(rows)}, [(rows[a][0], rows[b][0]) for a, b in pairs]
+
 
+def edited(rng, base, n, own, words):
+    out = list(base)
+    for k in range(n):
+        out[rng.randrange(len(out))] = f"{own}_{k}" if words is None else rng.choice(words)
+    return " ".join(out)
 
-def test_near_copies_by_similarity(docs):
+
+@pytest.mark.parametrize("bucket", [2, 1024])
+def test_near_copies_by_similarity(docs, monkeypatch, bucket):
+    # blocks of a few texts, so that large clusters are cut up
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(2000)]
     rows = []
-    for g in range(30):
-        base = rng.choices(words, k=rng.choice([4, 40, 300]))
-        for _ in range(rng.randrange(1, 9)):
-            own = list(base)
-            for _ in range(rng.choice([0, 1, 2, 40])):
-                own[rng.randrange(len(own))] = rng.choice(words)
-            rows.append((len(rows), " ".join(own)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(rows)).collect()}
-    assert len(got) == len(rows) and {i for i, k in got.items() if i == k} == brute_similar(rows)
-
-
-def test_large_group_of_near_copies_keeps_one(docs):
+    for _ in range(40):
+        base = rng.choices(words, k=rng.choice([4, 40, 300, 900]))
+        for _ in range(rng.randrange(1, 12)):
+            rows.append((len(rows), edited(rng, base, rng.choice([0, 1, 2, 3, 40]), len(rows), words)))
+    got = {r["doc_id"]: r for r in near_copies.similar_documents(docs(rows), bucket=bucket).collect()}
+    want, pairs = brute_similar(rows)
+    assert len(got) == len(rows)
+    for i, r in got.items():
+        assert want[r["component_id"]] == want[i]  # nothing is linked that should not be
+    found = [got[a]["component_id"] == got[b]["component_id"] for a, b in pairs]
+    assert len(pairs) > 200 and np.mean(found) >= 0.98
+
+
+def test_recall_on_real_texts(spark):
+    """Of all pairs at or above the similarity in sf0.01, by an index of all shingles, at least 0.98 are in one group."""
+    table = read_table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["text"] or "": r["doc_id"] for r in table.select("doc_id", "text").collect()}
+    sets = {i: shingles(t) for t, i in texts.items()}
+    holders = {}
+    for i, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    shared = Counter(p for own in holders.values() if len(own) > 1 for p in itertools.combinations(sorted(own), 2))
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_documents(table).collect()}
+    assert pairs and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.98
+
+
+def test_large_group_of_near_copies_keeps_one(docs, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 32)
     rng = random.Random(12)
     base = rng.choices([f"w{i}" for i in range(900)], k=400)
-    rows = [(0, " ".join(base))]
-    for i in range(1, 150):
-        own = list(base)
-        own[rng.randrange(400)] = f"x{i}"
-        rows.append((i, " ".join(own)))
+    rows = [(0, " ".join(base))] + [(i, edited(rng, base, 1, f"x{i}", None)) for i in range(1, 400)]
     rows += [(1000 + i, " ".join(rng.choices([f"y{k}" for k in range(900)], k=300))) for i in range(50)]
-    got = [r["doc_id"] for r in simhash.similar_documents(docs(rows)).collect() if r["doc_id"] == r["component_id"]]
-    assert len([i for i in got if i < 1000]) <= 2 and len([i for i in got if i >= 1000]) == 50
+    for bucket in (8, 1024):
+        got = [r["doc_id"] for r in near_copies.similar_documents(docs(rows), bucket=bucket).collect() if r["kept"]]
+        assert sorted(got) == [0, *range(1000, 1050)]
 
 
-def test_full_buckets_of_near_copies_stay_whole(docs):
+def test_groups_at_the_border_are_exact(docs, monkeypatch):
+    # texts of few words, one or two of them changed: similarities fall on both sides of 0.8
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
     rng = random.Random(13)
-    # texts of few words, one or two of them changed: fingerprints meet, similarities fall on both sides of 0.8
     base = rng.choices([f"s{i}" for i in range(300)], k=60)
-    rows = []
-    for i in range(80):
-        own = list(base)
-        for k in range(rng.choice([1, 1, 2])):
-            own[rng.randrange(60)] = f"z{i}_{k}"
-        rows.append((i, " ".join(own)))
-    base = rng.choices([f"w{i}" for i in range(900)], k=400)
-    rows += [(100 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(150)]
-    got = {i for i, k in ((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs(rows)).collect()) if i == k}
-    assert got == brute_similar(rows) and {i for i in got if i >= 100} == {100}
+    rows = [(i, edited(rng, base, rng.choice([1, 1, 2]), f"z{i}", None)) for i in range(150)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_documents(docs(rows), bucket=8).collect()}
+    assert got == brute_similar(rows)[0]
+
+
+def test_near_copies_odd_cases(docs, odd, empty):
+    got = near_copies.similar_documents(odd).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ODD)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[1]["component_id"] == by_id[2]["component_id"] == by_id[3]["component_id"] == 1
+    assert by_id[None]["kept"] and near_copies.similar_documents(empty).count() == 0
+    # two texts of one id: the one that is a near copy goes, the other stays
+    base = [f"v{i}" for i in range(200)]
+    rows = [(1, " ".join(base)), (7, " ".join([*base[:-1], "end"])), (7, "a text of its own that is like no other here")]
+    got = sorted((r["doc_id"], r["kept"]) for r in near_copies.similar_documents(docs(rows)).collect())
+    assert got == [(1, True), (7, False), (7, True)]
 
 
 def test_pipeline_stages_against_brute_force(spark, sf_dir):
@@ -229,7 +263,7 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
         best[r["text"] or ""] = max(best.get(r["text"] or "", -1), r["doc_id"])
     assert {r["doc_id"] for r in b.collect()} == set(best.values()) and b.columns == columns
     c = cp.drop_near_copies(spark, b, sf_dir).cache()
-    assert {r["doc_id"] for r in c.collect()} == brute_similar([(r["doc_id"], r["text"]) for r in b.collect()]) and c.columns == columns
+    assert {r["doc_id"] for r in c.collect()} == set(brute_similar([(r["doc_id"], r["text"]) for r in b.collect()])[0].values()) and c.columns == columns
     e = cp.redact_personal_data(spark, c, sf_dir).cache()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in e.collect()} == {r["doc_id"]: (pii.redacted(r["text"]), len(pii.redacted(r["text"]))) for r in c.collect()}
     assert e.columns == columns
