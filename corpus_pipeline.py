@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, packing, pii, simhash, toxicity
+from ledgerloom.llm import exact_dedup, near_copies, packing, pii, toxicity
 from ledgerloom.llm.common import read_table, shared_folder, staged, text_or_empty
 from ledgerloom.llm.queries import batch_of
 
@@ -29,29 +29,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.score(docs, model, docs["text"]) < THRESHOLD)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs named by kept: (id, digest), unique there. Of rows that repeat both, one stays."""
-    key = (docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))) & (F.sha2(text_or_empty("text"), 256) == F.col("_digest"))
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; of rows that repeat both, one."""
+    groups = exact_dedup.duplicate_groups(docs, batch_of()).select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest"))
+    key = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.sha2(text_or_empty("text"), 256) == F.col("_digest"))
     ids = docs.select(docs["doc_id"].cast("long").alias("i"), F.sha2(text_or_empty("text"), 256).alias("d"))
     repeated = staged(ids.groupBy("i", "d").count().where("count > 1").select("i", "d"))
-    keys = staged(kept.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")))
-    again = keys.join(repeated, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_digest") == F.col("d")), "left_semi")
+    keys = staged(groups)
     if repeated.isEmpty():
         return docs.join(keys, key, "left_semi")
-    once = keys.join(repeated, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_digest") == F.col("d")), "left_anti")
-    return docs.join(once, key, "left_semi").union(docs.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"]))
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _only(docs, exact_dedup.duplicate_groups(docs, batch_of()).select(F.col("keep_id").alias("id"), "digest"))
+    same = F.col("_id").eqNullSafe(F.col("i")) & (F.col("_digest") == F.col("d"))
+    once = docs.join(keys.join(repeated, same, "left_anti"), key, "left_semi")
+    again = docs.join(keys.join(repeated, same, "left_semi"), key, "left_semi").withColumn("_text", text_or_empty("text"))
+    return once.union(again.dropDuplicates(["doc_id", "_text"]).drop("_text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the row of the smallest doc_id stays, and rows without an id."""
-    groups = simhash.similar_documents(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    return docs.join(staged(gone), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    """Of each group of near copies (five words, similarity 0.8) the text of the smallest doc_id stays."""
+    gone = near_copies.similar_documents(docs).where("not kept").select(F.col("text_sha256").alias("_digest")).distinct()
+    return docs.join(staged(gone), F.sha2(text_or_empty("text"), 256) == F.col("_digest"), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
