@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerloom.llm.common import connected_components, staged, text_or_empty
-from ledgerloom.llm.simhash import BITS, SEED, covering_masks
+from ledgerloom.llm.common import Groups, connected_components, staged, text_or_empty
+from ledgerloom.llm.simhash import SEED, covering_masks
 
 #: Pieces of the fingerprint, and bits that may differ in one of them.
 PIECES, RADIUS = 4, 5
@@ -77,27 +77,6 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(starts)))
 
 
-class Groups:
-    """Groups of the numbers 0 to n - 1 that links join; each is named by its smallest number."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.root[a], self.root[b]
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (self.root != (up := self.root[self.root])).any():
-                self.root = up
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """One link for every number that is not the first of its group."""
-        other = np.flatnonzero(self.root != np.arange(len(self.root)))
-        return other, self.root[other]
-
-
 def met(node: np.ndarray, piece: np.ndarray, mask: int, radius: int, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
     """Links between nodes of one table that join those of a bucket within the radius, and all of a fuller bucket."""
     key = piece & np.int64(mask)
@@ -257,8 +236,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["node", "cluster", "s"])
 
     texts = staged(source.mapInArrow(printed, "id long, digest string, fp binary").groupBy("digest", "fp").agg(F.min("id").alias("id")))
-    texts = staged(texts.withColumn("node", F.monotonically_increasing_id()))
-    found = staged(clusters(texts.select("node", "fp"), texts.count(), radius, bucket))
+    texts = texts.withColumn("node", F.monotonically_increasing_id())  # the same each time: it numbers what is staged
+    found = clusters(texts.select("node", "fp"), texts.count(), radius, bucket)
     named = staged(found.join(texts.select("node", "digest"), "node").select("digest", "node", F.col("component").alias("cluster")))
     members = source.join(named, "digest").select("node", "cluster", "t").distinct()
     links = links_in_clusters(staged(members.mapInArrow(hashed, "node long, cluster long, s binary")), similarity)
