@@ -94,12 +94,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge: (node, component), both long.
 
     edges has long columns a and b, in any order, with repeats allowed; self edges and nulls are
-    left out. Large-star and small-star rounds (Kiveris et al., 2014) run until nothing changes; between
-    them each partition of edges is contracted by itself, which saves rounds. Minima are aggregated before
-    the shuffle, and each join meets two plain exchanges, so that adaptive execution can split a node of
-    very high degree.
+    left out. Large-star and small-star rounds (Kiveris et al., 2014) run until nothing changes. Between
+    them edges are contracted where they are, dealt by their larger node, which each partition then sends
+    once at most, and contracted again, so that a dense group soon has about an edge a node. Minima are
+    aggregated before the shuffle, and each join meets two plain exchanges, so that adaptive execution can
+    split a node of very high degree.
     """
-    contracted = lambda df: staged(df.where("hi <> lo").distinct().mapInArrow(_contracted, "hi long, lo long"))
+    kind = "hi long, lo long"
+    contracted = lambda df: staged(df.where("hi <> lo").mapInArrow(_contracted, kind).repartition("hi").mapInArrow(_contracted, kind))
     now = contracted(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
     seen = None
     for _ in range(max_rounds):
