@@ -36,8 +36,9 @@ from ledgerloom.llm.simhash import SEED, covering_masks
 
 #: Pieces of the fingerprint, and bits that may differ in one of them.
 PIECES, RADIUS = 4, 5
-#: Texts of a bucket whose pairs are looked at there; entries of a slot; texts dealt by one task, about.
-BUCKET, SLOT, DEALT = 1024, 200_000, 8_000
+#: Texts of a bucket whose pairs are looked at there; texts of one table in a slot and tables of a slot;
+#: texts dealt by one task, about.
+BUCKET, SLOT, TOGETHER, DEALT = 1024, 200_000, 8, 8_000
 #: Texts and bytes of a block.
 BLOCK, BLOCK_BYTES = 512, 8_000_000
 
@@ -101,10 +102,10 @@ def met(node: np.ndarray, piece: np.ndarray, mask: int, radius: int, bucket: int
 def clusters(classes: DataFrame, count: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(node, component) of all nodes that share a cluster with another. classes: (node, fp), fp PIECES x 8 bytes."""
     masks = covering_masks(radius)
-    slots = max(8, math.ceil(count / SLOT))
+    parts = max(1, math.ceil(count / SLOT))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The table's number and part, with the nodes and pieces that fall there."""
+        """The nodes and pieces that fall in each part of each table; TOGETHER tables share a slot for each part."""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -113,23 +114,35 @@ def clusters(classes: DataFrame, count: int, radius: int = RADIUS, bucket: int =
             for p in range(pieces.shape[1]):
                 own = np.ascontiguousarray(pieces[:, p])
                 for k, mask in enumerate(masks):
-                    part = (_mixed((own & np.int64(mask)).view(np.uint64), k) % np.uint64(slots)).astype(np.int64)
+                    part = (_mixed((own & np.int64(mask)).view(np.uint64), k) % np.uint64(parts)).astype(np.int64)
                     order = np.argsort(part, kind="stable")
-                    cut = np.searchsorted(part[order], np.arange(slots + 1))
-                    nodes, values = node[order], own[order]
-                    used = [s for s in range(slots) if cut[s] < cut[s + 1]]
-                    slot = [(p * len(masks) + k) * slots + s for s in used]
+                    cut = np.searchsorted(part[order], np.arange(parts + 1))
+                    nodes, values, table = node[order], own[order], p * len(masks) + k
+                    used = [s for s in range(parts) if cut[s] < cut[s + 1]]
+                    slot = [table // TOGETHER * parts + s for s in used]
                     blobs = [[x[cut[s] : cut[s + 1]].tobytes() for s in used] for x in (nodes, values)]
-                    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["slot", "nodes", "pieces"])
+                    columns = [pa.array(slot, pa.int64()), pa.array([table] * len(used), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)]
+                    yield pa.RecordBatch.from_arrays(columns, ["slot", "number", "nodes", "pieces"])
 
-    def linked(table: pa.Table) -> pa.Table:
-        mask = masks[table.column("slot")[0].as_py() // slots % len(masks)]
-        node, piece = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8") for c in ("nodes", "pieces"))
-        a, b = met(node, piece, mask, radius, bucket)
-        return pa.table({"a": a, "b": b})
+    def linked(rows: pa.Table) -> pa.Table:
+        """A link for every node that the slot's tables join to a smaller one."""
+        number = rows.column("number").to_numpy()
+        nodes, pieces = (rows.column(c).to_pylist() for c in ("nodes", "pieces"))
+        left, right = [], []
+        for n in np.unique(number).tolist():
+            own = np.flatnonzero(number == n).tolist()
+            node, piece = (np.frombuffer(b"".join([x[k] for k in own]), "<i8") for x in (nodes, pieces))
+            a, b = met(node, piece, masks[n % len(masks)], radius, bucket)
+            left.append(a)
+            right.append(b)
+        joined, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+        groups = Groups(len(joined))
+        groups.join(*at.reshape(2, -1))
+        a, b = groups.links()
+        return pa.table({"a": joined[a], "b": joined[b]})
 
     even = classes.repartition(max(1, math.ceil(count / DEALT)), "node")
-    links = even.mapInArrow(dealt, "slot long, nodes binary, pieces binary").groupBy("slot").applyInArrow(linked, "a long, b long")
+    links = even.mapInArrow(dealt, "slot long, number int, nodes binary, pieces binary").groupBy("slot").applyInArrow(linked, "a long, b long")
     return connected_components(links)
 
 
