@@ -6,12 +6,14 @@ thresholds weights at zero (McMahan et al., 2013), so the model is a short list
 Its size is bounded by the number of slots, hence safe to broadcast.
 
 The model is fitted on a bounded sample of labelled rows: those with the smallest hashes of their id,
-`sample` at most. Features are made where the rows are; one task then runs the sequential learner over
-them. Scoring is one pass over all rows without a shuffle.
+`sample` at most and as many whole rows as SAMPLE_BYTES holds; a sampled row keeps all its features.
+Features are made where the rows are; one task then runs the sequential learner over them. Scoring is one
+pass over all rows without a shuffle.
 
 Defined results: a null or empty text scores the intercept alone; rows with a null id or label are not
-learnt from but are scored; without any labelled row every score is 0; repeated rows each give a row;
-other columns are not read.
+learnt from but are scored; without any labelled row every score is 0; repeated rows each give a row; of
+several texts of one labelled id the one with the smallest features, byte by byte, is learnt from; of
+several labels of one id the largest counts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import staged, text_or_empty
 
 #: Slots of the hashed feature space.
 SLOT_BITS = 22
-#: Most labelled rows that the model is fitted on.
-SAMPLE = 12_000
+#: Most labelled rows that the model is fitted on, and most bytes of their features (4 each).
+SAMPLE, SAMPLE_BYTES = 12_000, 256_000_000
 #: Rates and penalties of the learner, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 1.0, 5
 #: Rows of label 1 and 0 that are taken for granted, so that a few labels alone condemn nothing.
@@ -129,7 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     features = staged(rows.select("id", "y", "t").mapInArrow(made, "id long, y double, f binary"))
 
     def learn(batches):
-        data = [(y, np.frombuffer(f, "<i4").copy()) for pdf in batches for y, f in zip(pdf["y"], pdf["f"], strict=True)]
+        data, held = [], 0
+        for y, f in (row for pdf in batches for row in zip(pdf["y"], pdf["f"], strict=True)):
+            held += len(f)
+            if held > SAMPLE_BYTES and data:
+                break
+            data.append((y, np.frombuffer(f, "<i4").copy()))
         if not data:
             return
         slots = 1 << SLOT_BITS
@@ -139,13 +147,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
         for epoch in range(EPOCHS):
             for k in np.random.default_rng(epoch).permutation(len(data)):
                 model.learn(np.append(data[k][1], slots), data[k][0])
-        w = model.weights(np.arange(slots + 1))
-        w[slots] += model.base
-        at = np.flatnonzero(w)
-        yield pd.DataFrame({"slot": np.where(at == slots, -1, at), "w": w[at]})
-
-    # rows come from at most `sample` ids (repeated rows of one id are learnt from once)
-    bounded = features.dropDuplicates(["id"]).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+        at = np.union1d(np.flatnonzero(np.abs(model.z) > model.l1), [slots])
+        w = model.weights(at)
+        w[-1] += model.base
+        yield pd.DataFrame({"slot": np.where(at == slots, -1, at), "w": w})
+
+    # rows come from at most `sample` ids, each learnt from once
+    one = Window.partitionBy("id").orderBy("f")
+    bounded = features.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
     model = bounded.mapInPandas(learn, "slot long, w double").toPandas()
     return model["slot"].to_numpy(np.int64), model["w"].to_numpy(float)
 
