@@ -5,9 +5,11 @@ neighbours are *compatible*: encoding the two together gives just these two. So
 prefix is a chain of "last token" links, and a longer input only adds links. A token is stable as
 soon as every chain that later bytes can still use runs through its end; it is emitted then, and
 nothing before it is kept. The merge list alone bounds how far ahead that can lie
-(`sufficient_lookahead`), so memory is constant whatever the length of a text.
+(`sufficient_lookahead`), so memory is constant whatever the length of a pre-token.
 
-Pre-tokens that come again are answered from a memo of bounded size.
+A text is fed in chunks. Merges never cross pre-tokens, and white space after other letters always starts
+one, so tokens are emitted up to the last such place and the rest waits. Short pre-tokens that come again
+are answered from a memo of bounded size beside the stream.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows each give a row; a
 null id stays null; other columns of the input are not read. The marker of the end of a text is one
@@ -41,7 +43,11 @@ WESTERN = 0x250
 MEMO_BYTES = 64
 #: Entries of a memo; it is emptied when full.
 MEMO_ENTRIES = 700_000
+#: Letters that are fed at once.
+CHUNK = 16_384
 NEVER = 1 << 60
+#: The code points with the Unicode property White_Space.
+BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def byte_letters() -> dict[str, int]:
@@ -257,19 +263,48 @@ class Encoder:
         out = self.memo[word] = self._short(raw)
         return out
 
+    def feed(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """Token numbers of a text that comes in chunks, each block as soon as no later letter can change it.
+
+        White space after other letters always starts a pre-token, so all before its last such place is
+        stable; the rest waits for the next chunk. What is held is a chunk, the last run without white
+        space, and the window of a long pre-token.
+        """
+        held, get, slow = "", self.memo.get, self.pre_token
+        for chunk in chunks:
+            held += chunk
+            cut = self._border(held, len(held) - len(chunk))
+            if cut:
+                yield b"".join([get(w) or slow(w) for w in self.find(held[:cut])])
+                held = held[cut:]
+        if held:
+            yield b"".join([get(w) or slow(w) for w in self.find(held)])
+
+    @staticmethod
+    def _border(text: str, done: int) -> int:
+        """The last place where white space follows another letter; 0 if there is none. Before `done` was looked already."""
+        for at in range(len(text) - 1, max(done - 1, 0), -1):
+            if text[at] in BLANKS and text[at - 1] not in BLANKS:
+                return at
+        return 0
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Token numbers of a text in pieces."""
         at = 0
         for mark in self.split.finditer(text):
-            yield from self._plain(text[at : mark.start()])
+            yield from self.feed(sliced(text, at, mark.start()))
             yield struct.pack("<I", self.m.specials[mark.group()])
             at = mark.end()
-        yield from self._plain(text[at:] if at else text)
+        yield from self.feed(sliced(text, at, len(text)))
+
 
-    def _plain(self, text: str) -> Iterator[bytes]:
-        if text:
-            get, slow = self.memo.get, self.pre_token
-            yield b"".join([get(w) or slow(w) for w in self.find(text)])
+def sliced(text: str, begin: int, end: int, size: int = CHUNK) -> Iterator[str]:
+    """A part of a text in chunks."""
+    if begin == 0 and end == len(text) <= size:
+        yield text
+    else:
+        for k in range(begin, end, size):
+            yield text[k : min(end, k + size)]
 
 
 class Decoder:
