@@ -144,13 +144,30 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return groups.select(F.sha2("t", 256).alias("digest"), "t", "keep_id", "group_size")
 
 
-def merge_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+def bucket_bits(*counts: int) -> int:
+    """Bits that choose a digest's bucket, so that neither side has more than about BUCKET_DIGESTS in one."""
+    return max(0, min(16, math.ceil(math.log2(max(1, max(counts) / BUCKET_DIGESTS)))))
+
+
+def store_filters(snapshot: DataFrame, path: str, bits: int) -> DataFrame:
+    """Write the filters of an immutable snapshot beside it, once; later batches read them. snapshot: (digest), distinct."""
+    filters_of(snapshot.select("digest"), bits).withColumn("bits", F.lit(bits)).write.mode("errorifexists").parquet(path)
+    return snapshot.sparkSession.read.parquet(path)
+
+
+def merge_batch(snapshot: DataFrame, batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The batch's groups that the snapshot holds too: (digest, keep_id, group_size) of both together.
 
-    Both come from text_groups. Digests that agree while texts don't are not merged.
+    Both come from text_groups. Digests that agree while texts don't are not merged. stored: the snapshot's
+    filters from `store_filters`; without them they are built here.
     """
-    bits = max(0, min(16, math.ceil(math.log2(max(1, snapshot.count() / BUCKET_DIGESTS)))))
-    positive = staged(screened(batch.select("digest"), filters_of(snapshot.select("digest"), bits), bits))
+    if stored is None:
+        bits = bucket_bits(snapshot.count(), batch.count())
+        filters = filters_of(snapshot.select("digest"), bits)
+    else:
+        bits = stored.agg(F.coalesce(F.max("bits"), F.lit(0)).alias("b")).first()["b"]
+        filters = stored.select("bucket", "filter")
+    positive = staged(screened(batch.select("digest"), filters, bits))
     back = screened(snapshot.select("digest"), filters_of(positive, bits), bits)
     new = batch.join(positive, "digest", "left_semi").select("digest", "t", F.col("keep_id").alias("new_id"), F.col("group_size").alias("new_size"))
     old = snapshot.join(back, "digest", "left_semi").select(F.col("digest").alias("d"), F.col("t").alias("old_t"), "keep_id", "group_size")
