@@ -34,6 +34,8 @@ from ledgerloom.llm.common import connected_components, staged
 CELL, SAMPLE, CENTRES = 4000, 4096, 1024
 #: Vectors of a leaf, children of a node, rows compared at once.
 LEAF, CHILDREN, ROWS = 48, 24, 512
+#: Vectors that the balls of a net must hold on the average for a node to have children.
+THIN = 3
 
 
 @dataclass
@@ -59,7 +61,7 @@ def build(x: np.ndarray, rows: np.ndarray, level: float = 2.0) -> Node:
         near = ((x[left] - x[left[0]]) ** 2).sum(axis=1) <= half * half
         parts.append(left[near])
         left = left[~near]
-    if len(left) * 2 > len(rows) and max(map(len, parts)) * 2 * CHILDREN < len(rows):
+    if len(left) and (len(rows) - len(left)) < THIN * len(parts):
         return node  # the net does not thin it out
     node.children = [build(x, p, half) for p in parts]
     if len(left):
@@ -77,6 +79,7 @@ class Walk:
         self.label = np.arange(len(x))
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
+        self.compared = 0  # pairs whose cosine was taken
 
     def _add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.pairs.append((a, b))
@@ -103,6 +106,7 @@ class Walk:
         for k in range(0, len(a), ROWS):
             own = a[k : k + ROWS]
             others = b[k:] if same else b
+            self.compared += len(own) * len(others)
             i, j = np.nonzero(self.x[own] @ self.x[others].T >= self.threshold)
             if same:
                 later = j > i
