@@ -11,7 +11,7 @@ from ledgerloom.llm import bpe_stream, cover_tree, exact_dedup, licenses, packin
 from ledgerloom.llm.common import read_table
 
 #: Bytes of a shard in the registered query.
-SHARD_BYTES = 8 * 1024 * 1024
+SHARD_BYTES = 256 * 1024
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

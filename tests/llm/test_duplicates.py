@@ -69,6 +69,17 @@ def test_exact_dedup_odd_cases(odd, empty):
     assert exact_dedup.exact_duplicates(empty, batch_of()).count() == 0
 
 
+def test_stored_filters_serve_later_batches(spark, docs, tmp_path):
+    old = exact_dedup.text_groups(docs([(i, f"text {i}") for i in range(300)]))
+    stored = exact_dedup.store_filters(old, str(tmp_path / "filters"), 3)
+    assert stored.count() == 8
+    for batch in ([(900, "text 7"), (901, "text 7"), (902, "new")], [(950, "text 8")], []):
+        new = exact_dedup.text_groups(docs(batch))
+        got = {(r["keep_id"], r["group_size"]) for r in exact_dedup.merge_batch(old, new, stored).collect()}
+        assert got == {(r["keep_id"], r["group_size"]) for r in exact_dedup.merge_batch(old, new).collect()}
+    assert exact_dedup.bucket_bits(0, 4_000_000) == exact_dedup.bucket_bits(4_000_000, 5) == 4
+
+
 def test_exact_dedup_across_and_within_batches(docs):
     rows = [(i, f"text {i % 7}") for i in range(60)] + [(100 + i, f"alone {i}") for i in range(50)]
     got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs(rows), F.col("doc_id") >= 30).collect()}
@@ -203,3 +214,19 @@ def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(table, sharding.assign_shards(table, 500), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.select("_shard").distinct().count() > 5
+
+
+def test_tree_prunes_clustered_vectors():
+    """Of all pairs, few are compared where vectors lie in clusters, however many there are."""
+    rng = np.random.default_rng(3)
+    shares = []
+    for clusters in (20, 80):
+        centres = rng.normal(size=(clusters, 64))
+        x = np.repeat(centres, 40, axis=0) + rng.normal(size=(clusters * 40, 64)) * 0.05
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        walk = cover_tree.Walk(x, np.ones(len(x), np.int64), 0.95)
+        walk.within(cover_tree.build(x, np.arange(len(x))))
+        near = x @ x.T >= 0.95
+        assert (walk.links == near.sum(axis=1) - 1).all()
+        shares.append(walk.compared / (len(x) * (len(x) - 1) / 2))
+    assert shares[1] < shares[0] and shares[1] < 0.1, shares

@@ -1,6 +1,7 @@
 """Licenses, toxicity, personal data and the pipeline."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import licenses, near_copies, pii, toxicity
 from ledgerloom.llm.common import read_table
@@ -76,6 +78,46 @@ def test_toxicity_held_out_accuracy(spark):
     assert np.mean(toxic) >= 0.5 and np.mean(clean) <= 0.02  # some 300 labelled rows only
 
 
+def test_learner_equals_plain_python(spark, docs):
+    """The same rows, order and rates in plain numbers, slot by slot."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randrange(1, 15)))) for i in range(120)]
+    toxic = {i: int(i % 5 == 0) for i, _ in rows}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    slots, weights = toxicity.fit(docs(rows), labels, "toxic")
+    h = toxicity.hasher()
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    data = [(toxic[i], [*h.features(dict(rows)[i]).tolist(), -1]) for i in order]
+    n_toxic = sum(toxic.values())
+    base = math.log((n_toxic + toxicity.PRIOR[0]) / (len(rows) - n_toxic + toxicity.PRIOR[1]))
+    z, n = Counter(), Counter()
+
+    def weight(s):
+        if abs(z[s]) <= toxicity.L1:
+            return 0.0
+        return -(z[s] - math.copysign(toxicity.L1, z[s])) / ((toxicity.BETA + math.sqrt(n[s])) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(data)):
+            y, own = data[k]
+            w = {s: weight(s) for s in own}
+            g = 1 / (1 + math.exp(-max(-35, min(35, base + sum(w.values()))))) - y
+            for s in own:
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / toxicity.ALPHA * w[s]
+                n[s] += g * g
+    want = {s: w for s in z if (w := weight(s) + (base if s == -1 else 0))}
+    got = dict(zip(slots.tolist(), weights.tolist(), strict=True))
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
+
+
+def test_sample_is_bounded_by_bytes_in_whole_rows(docs, spark, monkeypatch):
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1)
+    slots, _ = toxicity.fit(docs(rows), labels, "toxic")
+    assert len(slots) <= 1 + 7  # one row of seven features
+
+
 def test_toxicity_learns_every_feature_of_a_long_text(spark, docs):
     long = " ".join(f"w{i}" for i in range(20_000))
     rows = [(i, long if i % 2 else f"calm {i}") for i in range(40)]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,6 +74,29 @@ def test_words_equal_library(library, text):
     assert ids_of(packing.words("word_bpe_49k.json").ids(text)) == library[1].encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(LETTERS, st.integers(1, 9))
+def test_chunks_do_not_change_the_tokens(library, text, size):
+    encoder, _ = bpe_stream.coders("byte_bpe_50k.json")
+    if "<|" in text:
+        return
+    raw = b"".join(encoder.feed(text[k : k + size] for k in range(0, len(text), size)))
+    assert ids_of(raw) == library[0].encode(text, add_special_tokens=False).ids
+
+
+def test_memory_does_not_grow_with_the_text():
+    encoder, decoder = bpe_stream.coders("byte_bpe_50k.json")
+    peaks = []
+    for n in (100_000, 100_000, 1_000_000):  # the first fills the memos
+        text = "some words that come again, 12345 and so on\n" * (n // 44)
+        tracemalloc.start()
+        letters = sum(map(len, decoder.decode(encoder.encode(text))))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert letters == len(text)
+    assert peaks[2] < peaks[1] * 1.5 + 200_000
+
+
 def test_round_trip_query(spark, sf_dir, library):
     got = {r["doc_id"]: r for r in op3_bpe_stream(spark, sf_dir).collect()}
     rows = read_table(spark, sf_dir, "documents").select("doc_id", "text").collect()
