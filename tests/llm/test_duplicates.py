@@ -229,4 +229,4 @@ def test_tree_prunes_clustered_vectors():
         near = x @ x.T >= 0.95
         assert (walk.links == near.sum(axis=1) - 1).all()
         shares.append(walk.compared / (len(x) * (len(x) - 1) / 2))
-    assert shares[1] < shares[0] and shares[1] < 0.1, shares
+    assert max(shares) < 0.1, shares
