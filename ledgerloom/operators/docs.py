@@ -16,8 +16,142 @@ from ledgerloom.functions.exprs import count_of, r
 LONG_TYPES, LONG, SHORT = ("annual_report", "credit_report", "concall_transcript"), (8000, 1600), (4000, 800)
 
 
-def classify_documents(text: Column, patterns: dict[str, list[str]], head: int = 5000) -> Column:
+#: Document types and the patterns that speak for each.
+DOC_TYPES = {
+    "annual_report": [
+        r"(?i)annual\s*report",
+        r"(?i)director'?s?\s*report",
+        r"(?i)board'?s?\s*report",
+        r"(?i)balance\s*sheet\s*as\s*at",
+        r"(?i)notes\s*to\s*(?:the\s*)?financial\s*statements",
+        r"(?i)auditor'?s?\s*report",
+    ],
+    "concall_transcript": [
+        r"(?i)(?:con\s*call|conference\s*call|earnings\s*call)",
+        r"(?i)(?:q[1-4]\s*(?:fy|20))",
+        r"(?i)(?:transcript|q\s*&\s*a\s*session)",
+        r"(?i)(?:management|moderator)\s*:\s*",
+    ],
+    "investor_presentation": [
+        r"(?i)investor\s*(?:presentation|deck|update)",
+        r"(?i)(?:corporate|business)\s*(?:presentation|overview)",
+        r"(?i)capital\s*markets?\s*day",
+    ],
+    "quarterly_results": [
+        r"(?i)(?:quarterly|q[1-4])\s*result",
+        r"(?i)financial\s*results?\s*for\s*(?:the\s*)?(?:quarter|period)",
+        r"(?i)unaudited\s*financial\s*results?",
+    ],
+    "credit_report": [
+        r"(?i)(?:credit|rating)\s*(?:report|rationale|action)",
+        r"(?i)(?:crisil|icra|care|india\s*ratings|fitch|moody)",
+    ],
+    "research_report": [
+        r"(?i)(?:equity|stock|sector)\s*research",
+        r"(?i)(?:buy|sell|hold|outperform|underperform)\s*(?:rating|target)",
+        r"(?i)target\s*price",
+    ],
+}
+#: Headings of sections.
+HEADINGS = [
+    r"(?i)^(?:#{1,3}\s+)?(director'?s?\s*report)",
+    r"(?i)^(?:#{1,3}\s+)?(management\s*discussion\s*(?:and|&)\s*analysis)",
+    r"(?i)^(?:#{1,3}\s+)?(notes\s*to\s*(?:the\s*)?financial\s*statements?)",
+    r"(?i)^(?:#{1,3}\s+)?(corporate\s*governance)",
+    r"(?i)^(?:#{1,3}\s+)?(auditor'?s?\s*report)",
+    r"(?i)^(?:#{1,3}\s+)?(risk\s*management)",
+    r"(?i)^(?:#{1,3}\s+)?(related\s*party\s*transactions?)",
+    r"(?i)^(?:#{1,3}\s+)?(contingent\s*liabilities?)",
+    r"(?i)^(?:#{1,3}\s+)?(opening\s*(?:statement|remarks?))",
+    r"(?i)^(?:#{1,3}\s+)?(question\s*(?:and|&)\s*answer|q\s*&\s*a)",
+    r"(?i)^(?:#{1,3}\s+)?(closing\s*(?:statement|remarks?))",
+]
+#: Families of risk patterns, and the letters before and after a match that are its context.
+RISKS = {
+    "contingent_liabilities": [
+        r"(?i)contingent\s*liabilit(?:y|ies)",
+        r"(?i)off[\s-]*balance[\s-]*sheet",
+        r"(?i)corporate\s*guarantee",
+        r"(?i)pending\s*litigation",
+        r"(?i)claims\s*(?:against|not\s*acknowledged)",
+        r"(?i)disputed\s*(?:tax|demand)",
+    ],
+    "rpt_disclosures": [
+        r"(?i)related\s*party\s*(?:transaction|disclosure|dealing)",
+        r"(?i)transaction(?:s)?\s*with\s*(?:related|associated)\s*(?:party|parties|company|companies)",
+    ],
+    "audit_red_flags": [
+        r"(?i)emphasis\s*of\s*matter",
+        r"(?i)qualified\s*opinion",
+        r"(?i)adverse\s*opinion",
+        r"(?i)disclaimer\s*of\s*opinion",
+        r"(?i)material\s*uncertainty.{0,60}going\s*concern",
+        r"(?i)going\s*concern\s*(?:assumption|doubt|uncertainty)",
+        r"(?i)(?:resignation|removal)\s*of\s*(?:the\s*)?(?:statutory\s*)?auditor",
+        r"(?i)auditor[s]?\s*(?:has|have|had)?\s*resigned",
+        r"(?i)change\s*(?:of|in)\s*(?:the\s*)?statutory\s*auditor",
+    ],
+    "pledge_mentions": [
+        r"(?i)promoter[s']*\s*(?:share[s]?\s*)?(?:pledge|pledged|encumber)",
+        r"(?i)(?:pledge|encumbrance)\s*(?:of|on)\s*(?:promoter|shares)",
+        r"(?i)shares?\s*pledged\s*(?:by|with)",
+    ],
+}
+#: What near an audit flag says that the auditor changed.
+AUDITOR_CHANGE = r"(?i)resign|removal|change"
+#: Evasive phrases of all sectors, and of one.
+HEDGES = [
+    "challenging environment", "one-time", "one time", "strategic investment", "going forward", "as I said", "let me clarify",
+    "I think we need to", "it's too early to", "we'll have to wait", "difficult to predict", "cautiously optimistic",
+    "calibrated approach", "headwinds", "sustainable profitable growth", "long-term value creation", "we remain confident", "broadly in line",
+]
+SECTOR_HEDGES = {
+    "fmcg": [
+        "controlling controllables", "premiumization journey", "right-sizing portfolio", "calibrated pricing", "investing behind brands",
+        "grammage rationalization", "building distribution muscle",
+    ],
+    "banking": ["granular monitoring", "proactive provisioning", "dispensation period", "restructured book", "elevated slippages", "one-off recovery"],
+    "it_services": ["deal pipeline robust", "seasonal furloughs", "ramp-up delays", "vendor consolidation opportunity", "discretionary spending pause"],
+    "pharma": ["price erosion environment", "regulatory pathway clarity", "complex generics portfolio"],
+}
+#: Words of a sector's name and the set of phrases it takes.
+SECTORS = [
+    ("fmcg", "fmcg"), ("consumer", "fmcg"), ("food", "fmcg"), ("personal care", "fmcg"), ("household", "fmcg"),
+    ("bank", "banking"), ("financial", "banking"), ("nbfc", "banking"), ("insurance", "banking"),
+    ("software", "it_services"), ("it ", "it_services"), ("technology", "it_services"), ("consulting", "it_services"),
+    ("pharma", "pharma"), ("drug", "pharma"), ("healthcare", "pharma"),
+]
+#: Forward-looking passages, in Python's spelling.
+GUIDANCE = [
+    r"(?i)(?:we expect|guidance|outlook|target|aim to|going forward).*?(?:growth|margin|revenue|volume|capex)",
+    r"(?i)(?:growth|margin|revenue|volume).*?(?:we expect|guidance|outlook|target)",
+    r"(?i)(?:next quarter|coming quarter|H[12]|FY\d{2,4}).*?(?:we expect|guidance|target|guide)",
+]
+#: An analyst's question up to its mark.
+QUESTION = (
+    r"(?i)(?:question|could you|would you|can you|what is|what are|how do you|"
+    r"why did|please share|any guidance|any color|any update|elaborate on).*?\?"
+)
+#: Words of financial statements and of disclosures.
+STATEMENT_WORDS = [
+    "balance sheet", "profit and loss", "statement of profit", "cash flow", "total assets", "revenue from operations",
+    "shareholders", "equity and liabilities", "particulars", "notes to", "schedule",
+]
+DISCLOSURE_WORDS = [
+    "related party", "contingent liabilities", "remuneration", "audit fees", "managerial remuneration", "key management personnel",
+    "loans and advances", "segment reporting", "deferred tax", "employee benefit", "gratuity", "lease liabilities",
+]
+
+
+def hedges_of(sector: str | None = None) -> list[tuple[str, str | None]]:
+    """(phrase, sector or null) for one set of SECTOR_HEDGES, or for all sets if none is named."""
+    sets = SECTOR_HEDGES if sector is None else {sector: SECTOR_HEDGES.get(sector, [])}
+    return [(p, None) for p in HEDGES] + [(p, name) for name, own in sets.items() for p in own]
+
+
+def classify_documents(text: Column, patterns: dict[str, list[str]] | None = None, head: int = 5000) -> Column:
     """The type most of whose patterns occur in the head; the first on ties; `other` if none does."""
+    patterns = DOC_TYPES if patterns is None else patterns
     start = F.substring(text, 1, head)
     scores = {t: reduce(lambda a, b: a + b, [start.rlike(p).cast("int") for p in ps]) for t, ps in patterns.items()}
     best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
@@ -32,9 +166,9 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("int"))
 
 
-def split_sections(docs: DataFrame, headings: list[str], id_col: str = "doc_id") -> DataFrame:
+def split_sections(docs: DataFrame, headings: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, section_no, title, start, text): a line that matches a heading starts a section; empty ones go."""
-    is_head = reduce(lambda a, b: a | b, [F.col("line").rlike(p) for p in headings])
+    is_head = reduce(lambda a, b: a | b, [F.col("line").rlike(p) for p in headings or HEADINGS])
     rows = lines_of(docs, id_col).withColumn("h", is_head)
     w = Window.partitionBy(id_col).orderBy("line_no")
     rows = rows.withColumn("section_no", F.sum(F.col("h").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
@@ -113,14 +247,18 @@ def chunk_records(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id") ->
     return rows.select(id_col, key.alias("chunk_id"), "section_no", "chunk_no", total.alias("section_chunks"), F.concat(F.lit("["), "fiscal_period", F.lit("]\n"), "text").alias("text"), F.length("text").alias("n_chars"))
 
 
-def table_pages(text: Column, statement_words: list[str], disclosure_words: list[str]) -> tuple[Column, Column]:
-    """(share of number-only lines, whether a page is a table); pages under 5 lines are not."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    numeric = F.size(F.filter(lines, lambda x: F.trim(x).rlike(r"^[\d\s,.()%₹-]+$")))
-    share = r(F.try_divide(numeric.cast("double"), F.size(lines).cast("double")), 4)
+def table_pages(text: Column, statement_words: list[str] | None = None, disclosure_words: list[str] | None = None) -> tuple[Column, Column]:
+    """(share of number-only lines, whether a page is a table); pages under 5 lines are not.
+
+    Lines are those of the trimmed text, blank ones included; a number-only line holds digits and , . ( ) - alone.
+    """
+    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n")
+    numeric = F.size(F.filter(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+$|^\s+", "")).rlike(r"^[,.()-]*[0-9][0-9,.()-]*$")))
+    share = numeric.cast("double") / F.size(lines)
     has = lambda ws: reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in ws])
-    table = (F.size(lines) >= 5) & ((share > 0.25) | ((share > 0.15) & has(statement_words)) | ((share > 0.08) & has(disclosure_words)))
-    return F.coalesce(share, F.lit(0.0)), F.coalesce(table, F.lit(False))
+    words = has(statement_words or STATEMENT_WORDS), has(disclosure_words or DISCLOSURE_WORDS)
+    table = (F.size(lines) >= 5) & ((share > 0.25) | ((share > 0.15) & words[0]) | ((share > 0.08) & words[1]))
+    return F.coalesce(r(share, 4), F.lit(0.0)), F.coalesce(table, F.lit(False))
 
 
 def qa_section(text: Column, headings: list[str], speaker: str) -> Column:
@@ -133,30 +271,50 @@ def qa_section(text: Column, headings: list[str], speaker: str) -> Column:
 def kwic(docs: DataFrame, patterns: list[str], before: int, after: int, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
     """(id, pattern_no, start, match, context): every match of each pattern, in batches with Python's matcher.
 
-    Spark finds where only the first match stands. Texts without any match are left out before that.
+    Spark finds where only the first match stands. `most` keeps the first ones of a text in order of pattern,
+    then of place. A null text has no match.
     """
     import re
 
-    some = reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in patterns])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [re.compile(p) for p in patterns]
         for pdf in batches:
             out = []
             for key, text in zip(pdf["id"], pdf["text"], strict=True):
-                own = sorted((m.start(), k, m.group()) for k, p in enumerate(compiled) for m in p.finditer(text))
-                out += [(key, k, a, g, text[max(0, a - before) : a + len(g) + after]) for a, k, g in own[:most]]
+                own = [(k, m.start(), m.group()) for k, p in enumerate(compiled) for m in p.finditer(text or "")]
+                out += [(key, k, a, g, text[max(0, a - before) : a + len(g) + after]) for k, a, g in own[:most]]
             yield pd.DataFrame(out, columns=["id", "pattern_no", "start", "match", "context"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(some).select(F.col(id_col).alias("id"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), "text")
     return rows.mapInPandas(run, f"id {kind}, pattern_no int, start int, match string, context string").withColumnRenamed("id", id_col)
 
 
-def risk_signals(docs: DataFrame, families: dict[str, list[str]], id_col: str = "doc_id") -> DataFrame:
-    """Whether and how often each family of patterns occurs; a text without letters has no row."""
+def guidance(docs: DataFrame, id_col: str = "doc_id", most: int = 10) -> DataFrame:
+    """The first forward-looking passages of each text."""
+    return kwic(docs, GUIDANCE, 50, 150, id_col, most)
+
+
+def analyst_questions(docs: DataFrame, id_col: str = "doc_id", most: int = 10) -> DataFrame:
+    """The first questions of each text."""
+    return kwic(docs, [QUESTION], 50, 300, id_col, most)
+
+
+def risk_signals(docs: DataFrame, families: dict[str, list[str]] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Whether and how often each family of patterns occurs; a text without letters has no row.
+
+    With the families of RISKS, also whether an audit flag's context (200 letters before, 300 after) speaks of
+    a change of auditor.
+    """
+    families = RISKS if families is None else families
     hits = {name: reduce(lambda a, b: a + b, [F.regexp_count("text", F.lit(p)) for p in ps]) for name, ps in families.items()}
     cells = [c for name, n in hits.items() for c in (n.cast("int").alias(f"n_{name}"), (n > 0).alias(f"has_{name}"))]
+    if families is RISKS:
+        every = "|".join(f"(?:{p.removeprefix('(?i)')})" for p in RISKS["audit_red_flags"])
+        near = [rf"(?:resign[\s\S]{{0,194}}|removal[\s\S]{{0,193}}|change[\s\S]{{0,194}})(?:{every})", rf"(?:{every})(?:[\s\S]{{0,294}}resign|[\s\S]{{0,293}}removal|[\s\S]{{0,294}}change)"]
+        inside = "|".join(f"(?:{p.removeprefix('(?i)')})" for p in RISKS["audit_red_flags"][6:])
+        changed = reduce(lambda a, b: a | b, [F.col("text").rlike(f"(?i){p}") for p in (inside, *near)])
+        cells.append(((hits["audit_red_flags"] > 0) & changed).alias("auditor_changed"))
     return docs.where(F.coalesce(F.trim("text"), F.lit("")) != "").select(id_col, *cells)
 
 
@@ -166,7 +324,7 @@ def hedging(docs: DataFrame, phrases: list[tuple[str, str | None]], id_col: str
     phrases: (phrase, sector or null for all). One column a phrase, then unpivoted: no join.
     """
     low = F.lower("text")
-    cells = [F.struct(F.lit(p).alias("phrase"), F.lit(s is not None).alias("sector_only"), count_of(low, p).alias("n"), F.instr(low, p).alias("at")) for p, s in phrases]
+    cells = [F.struct(F.lit(p.lower()).alias("phrase"), F.lit(s is not None).alias("sector_only"), count_of(low, p.lower()).alias("n"), F.instr(low, p.lower()).alias("at")) for p, s in phrases]
     rows = docs.select(id_col, "text", F.inline(F.array(*cells))).where("n > 0")
     total = F.sum("n").over(Window.partitionBy(id_col))
     w = Window.partitionBy(id_col).orderBy(F.desc("n"), "phrase")
@@ -225,12 +383,15 @@ def segments_from_payload(payloads: DataFrame) -> DataFrame:
 
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Lines that repeat an earlier one, bullets and case aside, go; headings and blank lines stay."""
-    rows = docs.select(id_col, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    key = F.lower(F.trim(F.regexp_replace("line", r"^[\s*•-]+", "")))
-    first = F.row_number().over(Window.partitionBy(id_col, key).orderBy("line_no"))
-    kept = rows.withColumn("_k", first).where((F.col("_k") == 1) | (key == "") | F.col("line").startswith("#"))
-    return kept.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """Lines that repeat an earlier one, bullets and case aside, go; headings and blank lines stay. No shuffle."""
+    keys = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[\s*•-]+", ""))))
+    rows = docs.select(id_col, F.split("text", "\n").alias("_l"), keys.alias("_k"))
+    # the place of each key's first line, by one pass over the sorted places
+    order = F.array_sort(F.transform("_k", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    first = F.transform(order, lambda x, j: F.when((j == 0) | (F.get(order, j - 1)["k"] != x["k"]), x["i"]))
+    rows = rows.select(id_col, "_l", "_k", F.array_sort(F.array_compact(first)).alias("_f"))
+    kept = F.filter(F.transform("_l", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_contains("_f", s["i"]) | (F.get("_k", s["i"]) == "") | s["x"].startswith("#"))
+    return rows.select(id_col, F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias("text"))
 
 
 def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:

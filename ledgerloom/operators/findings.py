@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions.exprs import r
 from ledgerloom.functions.fiscal import chronology_ok
 
-#: Keys that show evidence behind a finding.
-EVIDENCE = ("evidence", "source", "citation", "citations", "quote", "page", "document", "verified_fact")
+#: Keys that mark a finding as backed by evidence.
+EVIDENCE = ("evidence", "source", "source_citation", "citation", "quote", "basis", "reference", "ref")
 #: The order in which agents are listed.
-AGENTS = ("forensic_quant", "forensic_investigator", "narrative_decoder", "moat_architect", "capital_allocator", "management_quality", "pm_synthesis", "critic_agent")
-#: Deepest nesting that is searched.
-DEPTH = 8
+AGENTS = (
+    "forensic_quant",
+    "forensic_investigator",
+    "narrative_decoder",
+    "moat_architect",
+    "capital_allocator",
+    "management_quality",
+    "critic_agent",
+    "pm_synthesis",
+)
+#: Severities that count as severe.
+SEVERE = ("HIGH", "CRITICAL")
+#: Lowest evasion scores of the bands, and their verdicts.
+EVASION_BANDS = (
+    (75, "HIGH EVASION — Management is likely deflecting on critical issues"),
+    (45, "MODERATE EVASION — Some hedging detected, selective transparency"),
+    (25, "LOW EVASION — Minor hedging, mostly transparent communication"),
+    (0, "TRANSPARENT — Management communication appears forthcoming"),
+)
 
 
 def clean_payload(raw: Column) -> Column:
@@ -31,42 +50,87 @@ def parse_payloads(df: DataFrame, column: str = "payload") -> tuple[DataFrame, D
     return rows.where("parsed is not null"), rows.where("parsed is null").drop("parsed")
 
 
-def objects_of(df: DataFrame, key: str, column: str = "parsed", depth: int = DEPTH) -> DataFrame:
-    """(key, path, object): every object at any depth up to the bound, by exploding one level at a time."""
-    level = df.select(key, F.lit("$").alias("path"), F.col(column).alias("v"))
-    found = []
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        found.append(level.where(kind.startswith("OBJECT")))
-        level = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        level.createOrReplaceTempView("_findings_level")
-        nested = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("pos"), F.col("key").alias("k"), F.col("value").alias("value")))
-        level = nested.select(key, F.concat("path", F.when(F.col("k").isNotNull(), F.concat(F.lit("."), "k")).otherwise(F.concat(F.lit("["), F.lpad(F.col("pos").cast("string"), 4, "0"), F.lit("]")))).alias("path"), F.col("value").alias("v"))
-    return reduce(DataFrame.union, found)
+def _objects(value: object) -> Iterator[tuple[str, dict]]:
+    """(path, object) of every object in a JSON value, whatever its depth."""
+    todo = [("$", value)]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            yield path, v
+            todo += [(f"{path}.{k}", x) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [(f"{path}[{k:04d}]", x) for k, x in enumerate(v)]
+
+
+def _evidence(value: object) -> tuple[int, int]:
+    """(findings with evidence, findings).
+
+    An object with an evidence key is one finding and is not searched further. Another one is as many
+    findings as stand below it, or one if there are none and it has two keys or more.
+    """
+    counts: dict[int, tuple[int, int]] = {}
+    todo = [(value, False)]
+    while todo:
+        v, done = todo.pop()
+        below = list(v.values()) if isinstance(v, dict) else v if isinstance(v, list) else []
+        if isinstance(v, dict) and any(k in EVIDENCE or k.startswith("evidence") or k.endswith("_citation") for k in map(str.lower, v)):
+            counts[id(v)] = (1, 1)
+        elif not done:
+            todo += [(v, True), *((x, False) for x in below)]
+        else:
+            e, t = (sum(counts[id(x)][k] for x in below) for k in (0, 1))
+            counts[id(v)] = (e, 1 if isinstance(v, dict) and not t and len(v) > 1 else t)
+    return counts[id(value)]
+
+
+def _counted(payload: Column) -> Column:
+    """(evidence, findings) of a JSON text."""
+
+    @F.pandas_udf("struct<evidence: int, findings: int>")
+    def run(payloads: pd.Series) -> pd.DataFrame:
+        rows = [_evidence(json.loads(p)) if p is not None else (0, 0) for p in payloads]
+        return pd.DataFrame(rows, columns=["evidence", "findings"])
+
+    return run(payload)
+
+
+def _dated(payload: Column) -> Column:
+    """Every object of a JSON text with a cause and an effect date."""
+    text = lambda x: x if isinstance(x, str) else json.dumps(x)
+
+    @F.pandas_udf("array<struct<path: string, cause: string, effect: string>>")
+    def run(payloads: pd.Series) -> pd.Series:
+        def pairs(payload: str | None) -> list[dict]:
+            found = _objects(json.loads(payload)) if payload is not None else ()
+            both = ((path, o.get("cause_date"), o.get("effect_date")) for path, o in found)
+            return [{"path": path, "cause": text(a), "effect": text(b)} for path, a, b in both if a is not None and b is not None]
+
+        return payloads.map(pairs)
+
+    return run(payload)
 
 
 def grounding(df: DataFrame, key: str) -> DataFrame:
-    """0.6 of input completeness and 0.4 of the share of leaf objects with evidence, less 0.1 an error (0.2 at most).
+    """0.6 of input completeness and 0.4 of the share of findings with evidence, less 0.1 an error (0.2 at most).
 
-    df: (key, parsed, completeness, errors).
+    df: (key, parsed, completeness, errors). Without any finding the share is 1; without output the score is 0.
     """
-    every = objects_of(df, key).select(key, "path", F.from_json(F.to_json("v"), "map<string,string>").alias("m"))
-    names = F.map_keys("m")
-    grounded = F.exists(names, lambda n: n.isin(*EVIDENCE) | n.startswith("evidence") | n.endswith("_citation"))
-    nested = F.exists(F.map_values("m"), lambda v: v.rlike(r"^[\[{].*\{|^\{"))
-    leaves = every.where(~nested).groupBy(key).agg(F.avg(grounded.cast("double")).alias("grounded"), F.count("*").cast("int").alias("n_leaves"))
-    out = df.join(leaves, key, "left")
-    score = 0.6 * F.col("completeness") + 0.4 * F.coalesce("grounded", F.lit(0.0)) - F.least(0.1 * F.col("errors"), F.lit(0.2))
-    return out.select(key, F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("confidence"))
+    rows = df.withColumn("_c", _counted(F.to_json("parsed")))
+    share = F.when(F.col("_c.findings") > 0, F.col("_c.evidence") / F.col("_c.findings")).otherwise(1.0)
+    score = 0.6 * F.col("completeness") + 0.4 * share - F.least(0.1 * F.col("errors"), F.lit(0.2))
+    held = F.when(F.col("parsed").isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    return rows.select(key, F.col("_c.evidence").alias("n_grounded"), F.col("_c.findings").alias("n_findings"), r(held, 2).alias("confidence"))
 
 
 def chronology_scan(df: DataFrame, key: str) -> DataFrame:
-    """The first violation a key, in order of path, among objects that hold a cause and an effect date."""
-    every = objects_of(df, key)
-    pairs = every.select(key, "path", F.try_variant_get("v", "$.cause_date", "string").alias("cause"), F.try_variant_get("v", "$.effect_date", "string").alias("effect"))
-    bad = pairs.where(F.col("cause").isNotNull() & F.col("effect").isNotNull() & ~chronology_ok("cause", "effect"))
-    first = bad.groupBy(key).agg(F.min_by(F.struct("path", "cause", "effect"), "path").alias("v"), F.count("*").cast("int").alias("n"))
-    return df.select(key).join(first, key, "left").select(key, F.col("v").isNull().alias("accepted"), F.col("v.path").alias("path"), F.coalesce("n", F.lit(0)).alias("n_violations"))
+    """The first violation of each row, in order of path, among objects at any depth that hold a cause and an effect date.
+
+    df: (key, parsed), key unique.
+    """
+    pairs = df.select(key, F.explode_outer(_dated(F.to_json("parsed"))).alias("o")).select(key, "o.path", "o.cause", "o.effect")
+    bad = pairs.withColumn("bad", F.coalesce(~chronology_ok("cause", "effect"), F.lit(False)))
+    found = bad.groupBy(key).agg(F.min(F.when(F.col("bad"), F.col("path"))).alias("path"), F.sum(F.col("bad").cast("int")).cast("int").alias("n_violations"))
+    return found.select(key, (F.col("n_violations") == 0).alias("accepted"), "path", "n_violations")
 
 
 LINKS = "array<struct<claim: string, cause_date: string, effect_date: string>>"
@@ -89,48 +153,64 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame, key: str) -> Dat
 
 
 def conflicts(df: DataFrame) -> DataFrame:
-    """Rules that two agents' findings break together. df: (ticker, cash_quality, severities, moat, tone)."""
-    severe = F.exists("severities", lambda s: s.isin("HIGH", "CRITICAL"))
+    """Findings of two agents that contradict each other. df: (ticker, cash_quality, severities, moat, tones).
+
+    severities: of related-party and auditor flags; tones: the current tone of each shift.
+    """
+    severe = F.coalesce(F.exists("severities", lambda s: s.isin(*SEVERE)), F.lit(False))
+    bearish = F.coalesce(F.exists("tones", lambda t: F.lower(t).contains("cautious") | F.lower(t).contains("challenging")), F.lit(False))
     found = F.array_compact(F.array(
-        F.when((F.col("cash_quality") > 0.8) & severe, "cash quality against severe flags"),
-        F.when(F.col("moat").isin("STRONG", "INTACT") & F.lower("tone").isin("cautious", "challenging"), "moat against tone"),
+        F.when((F.col("cash_quality") > 0.8) & severe, "forensic_quant, forensic_investigator: strong cash quality against severe flags"),
+        F.when(F.upper("moat").isin("STRONG", "INTACT") & bearish, "moat_architect, narrative_decoder: intact moat against a worsening tone"),
     ))
     return df.select("ticker", F.array_join(found, "; ").alias("conflicts"), F.size(found).alias("n_conflicts"))
 
 
 def rerun_needs(df: DataFrame) -> DataFrame:
-    """Agents to run again, in order, once each. df: (ticker, n_gaps, n_violations, tone_shift)."""
-    needs = F.array_distinct(F.array_compact(F.array(
-        F.when(F.col("n_gaps") >= 3, "forensic_quant"), F.when(F.col("n_violations") > 0, "forensic_investigator"), F.when(F.col("tone_shift"), "narrative_decoder"),
-    )))
+    """Agents to run again, in order, once each. df: (ticker, severities, unrelated_acquisitions, n_governance_flags).
+
+    severities: of related-party flags, auditor flags and contingent liabilities.
+    """
+    severe = F.coalesce(F.exists("severities", lambda s: s.isin(*SEVERE)), F.lit(False))
+    needs = F.array_compact(F.array(
+        F.when(severe, "forensic_quant"), F.when(F.col("unrelated_acquisitions"), "narrative_decoder"), F.when(F.col("n_governance_flags") >= 3, "forensic_investigator"),
+    ))
     return df.select("ticker", F.array_join(needs, ",").alias("rerun"))
 
 
 def evasion_score(items: DataFrame) -> DataFrame:
-    """10, plus points by kind and level, within 0 to 100, with a verdict. items: (ticker, kind, level)."""
+    """10, plus points by kind and level, within 0 to 100, with a verdict and counts. items: (ticker, kind, level).
+
+    guidance: 15 for a credibility that says LOW, 7 for MEDIUM; shift: 10 for a significance that says HIGH, 5
+    for MEDIUM; dodge: 8; phrase: 3. Guidance and shifts of other levels are not counted.
+    """
+    level, kind = F.upper(F.coalesce("level", F.lit(""))), F.col("kind")
     points = (
-        F.when((F.col("kind") == "guidance") & (F.col("level") == "LOW"), 15).when((F.col("kind") == "guidance") & (F.col("level") == "MEDIUM"), 7)
-        .when((F.col("kind") == "shift") & (F.col("level") == "HIGH"), 10).when((F.col("kind") == "shift") & (F.col("level") == "MEDIUM"), 5)
-        .when(F.col("kind") == "dodge", 8).when(F.col("kind") == "phrase", 3).otherwise(0)
+        F.when((kind == "guidance") & level.contains("LOW"), 15).when((kind == "guidance") & level.contains("MEDIUM"), 7)
+        .when((kind == "shift") & level.contains("HIGH"), 10).when((kind == "shift") & level.contains("MEDIUM"), 5)
+        .when(kind == "dodge", 8).when(kind == "phrase", 3).otherwise(0)
     )
-    of = lambda k: F.sum(F.when(F.col("kind") == k, points).otherwise(0)).cast("int").alias(f"{k}_points")
-    agg = items.groupBy("ticker").agg(of("guidance"), of("shift"), of("dodge"), of("phrase"))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), 10 + F.col("guidance_points") + F.col("shift_points") + F.col("dodge_points") + F.col("phrase_points")))
-    verdict = F.when(score >= 70, "EVASIVE").when(score >= 45, "GUARDED").when(score >= 25, "MIXED").otherwise("TRANSPARENT")
-    return agg.withColumns({"score": score, "verdict": verdict})
+    names = {"guidance": "guidance_misses", "shift": "tone_shifts", "dodge": "analyst_dodges", "phrase": "flagged_phrases"}
+    counts = [F.sum(((kind == k) & (points > 0)).cast("int")).cast("int").alias(name) for k, name in names.items()]
+    agg = items.groupBy("ticker").agg(*counts, F.sum(points).alias("_p"))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), 10 + F.col("_p"))).cast("int")
+    verdict = F.coalesce(*[F.when(F.col("score") >= least, text) for least, text in EVASION_BANDS])
+    return agg.withColumn("score", score).withColumn("verdict", verdict).drop("_p")
 
 
 def flag_triage(flags: DataFrame) -> DataFrame:
-    """Tickers with a severe flag fail for the reasons given; others warn. flags: (ticker, family, severity, text)."""
-    severe = F.col("severity").isin("HIGH", "CRITICAL")
-    text = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, F.concat_ws(": ", "family", "text")))), "; ")
-    return flags.groupBy("ticker").agg((F.max(severe.cast("int")) == 0).alias("passed"), text(severe).alias("kill_reasons"), text(~severe).alias("warnings"))
+    """Tickers with a severe flag fail for the reasons given; other flags warn. flags: (ticker, place, family, severity, text).
+
+    Reasons and warnings stand in order of place, repeats included; a flag without a severity warns.
+    """
+    severe = F.coalesce(F.upper("severity").isin(*SEVERE), F.lit(False))
+    line = F.struct("place", F.concat(F.upper("family"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, line))), lambda x: x["line"]), "; ")
+    return flags.groupBy("ticker").agg((~F.bool_or(severe)).alias("passed"), text(severe).alias("kill_reasons"), text(~severe).alias("warnings"))
 
 
 def ordered_summary(trails: DataFrame, order: tuple[str, ...] = AGENTS) -> DataFrame:
     """Trails numbered in the agents' fixed order, unknown ones last."""
-    from pyspark.sql.window import Window
-
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, a in enumerate(order) for x in (a, k)]), F.col("agent")), F.lit(len(order)))
     return trails.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy(rank, "agent")))
 

@@ -116,15 +116,28 @@ def persist_contradictions(store: DataFrame, pairs: DataFrame, verdicts: DataFra
     return new.select("a_id", "b_id", F.coalesce("kind", F.lit("REASON_DRIFT")).alias("kind"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), F.substring("rationale", 1, 600).alias("rationale"))
 
 
-def memory_block(store: DataFrame, gaps: DataFrame, requests: DataFrame, now: Column, facts_n: int = 4, gaps_n: int = 5) -> DataFrame:
-    """For each requested (agent, ticker): the best facts, the most frequent gaps, and the mix of recent corrections."""
-    good = top_by(store.where("confidence >= 0.8"), ["agent_name", "ticker"], [F.desc("confidence"), F.desc("run_date"), F.desc("id")], facts_n)
-    facts = good.groupBy("agent_name", "ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), (-F.unix_micros("run_date")).alias("d"), (-F.col("id")).alias("i"), "verified_fact"))), lambda x: x["verified_fact"]), "; ").alias("facts"))
-    often = top_by(gaps, ["ticker"], [F.desc("n"), "category"], gaps_n)
-    gap_text = often.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "category"))), lambda x: x["category"]), ",").alias("gaps"))
-    recent = store.where(F.col("run_date") >= F.date_sub(now, 180)).groupBy("ticker", "agent_name").agg(F.count("*").alias("recent"))
-    out = requests.join(facts, ["agent_name", "ticker"], "left").join(gap_text, "ticker", "left").join(recent, ["ticker", "agent_name"], "left")
-    return out.select("agent_name", "ticker", F.coalesce("facts", F.lit("NO MEMORY")).alias("facts"), F.coalesce("gaps", F.lit("")).alias("gaps"), F.when(F.col("recent") >= 5, F.col("recent")).alias("recent_corrections"))
+def memory_block(store: DataFrame, gaps: DataFrame, requests: DataFrame, now: Column, facts_n: int = 4, gaps_n: int = 5, floor: float = 0.8, days: int = 180, least: int = 5) -> DataFrame:
+    """(agent_name, ticker, period, facts, gaps, pattern, warning) for each request (agent_name, ticker, fiscal_period).
+
+    The period is the one asked for, else the ticker's latest; a request with neither has a warning. facts: the
+    agent's latest of that period at or above the confidence floor. gaps: its most frequent of that period, from
+    (agent_name, ticker, fiscal_period, category, n, id). pattern: the mix of the agent's recent corrections over
+    all tickers, where there are `least` of them. store also has correction_type.
+    """
+    latest = store.groupBy("ticker").agg(F.max_by("fiscal_period", F.struct("run_date", "id")).alias("_p"))
+    asked = requests.join(latest, "ticker", "left").select("agent_name", "ticker", F.coalesce(F.nullif(F.trim("fiscal_period"), F.lit("")), "_p").alias("period")).distinct()
+    keys = ["agent_name", "ticker", "period"]
+    joined = lambda c, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c, F.col(v).alias("v")))), lambda x: x["v"]), "; " if v == "verified_fact" else ",")
+    good = top_by(store.where(F.col("confidence") >= floor).withColumnRenamed("fiscal_period", "period"), keys, [F.desc("run_date"), F.desc("id")], facts_n)
+    facts = good.groupBy(*keys).agg(joined([(-F.unix_micros("run_date")).alias("a"), (-F.col("id")).alias("b")], "verified_fact").alias("facts"))
+    often = top_by(gaps.withColumnRenamed("fiscal_period", "period"), keys, [F.desc("n"), "id"], gaps_n)
+    gap_text = often.groupBy(*keys).agg(joined([(-F.col("n")).alias("a"), F.col("id").alias("b")], "category").alias("gaps"))
+    recent = store.where((F.col("run_date") >= F.date_sub(now, days)) & (F.col("confidence") >= floor)).groupBy("agent_name", "correction_type").agg(F.count("*").alias("n"))
+    line = F.concat(F.col("n").cast("string"), F.lit("x "), F.col("correction_type"))
+    mix = recent.withColumn("line", line).groupBy("agent_name").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), F.col("correction_type").alias("b"), "line"))).alias("l"))
+    pattern = mix.where(F.col("total") >= least).select("agent_name", F.array_join(F.transform("l", lambda x: x["line"]), ", ").alias("pattern"))
+    out = asked.join(facts, keys, "left").join(gap_text, keys, "left").join(pattern, "agent_name", "left")
+    return out.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in ("facts", "gaps", "pattern")], F.col("period").isNull().alias("warning"))
 
 
 def audit_trail(store: DataFrame, ids: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.operators import docs as D
 from ledgerloom.operators import findings as J
@@ -129,20 +130,24 @@ def s15(s, d):
 
 # --- documents -------------------------------------------------------------------------------------
 
-_TYPES = {"annual": ["tion", "the"], "call": ["ing", "ent", "and"], "rating": ["que", "des"]}
+_BEST = "greatest(" + ", ".join(D.DOC_TYPES) + ")"
+_HITS = ", ".join(" + ".join("cast(regexp_matches(t, '" + p.replace("'", "''") + "') as int)" for p in ps) + f" {t}" for t, ps in D.DOC_TYPES.items())
 
 
-@query("d1_classify", _C + ", h as (select doc_id, substr(text, 1, 5000) t from c), x as (select doc_id, " + ", ".join(" + ".join(f"cast(contains(t, '{p}') as int)" for p in ps) + f" {t}" for t, ps in _TYPES.items()) + " from h) select doc_id, case when greatest(annual, call, rating) = 0 then 'other' when annual = greatest(annual, call, rating) then 'annual' when call = greatest(annual, call, rating) then 'call' else 'rating' end doc_type from x")
+@query("d1_classify", _C + f", h as (select doc_id, substr(text, 1, 5000) t from c), x as (select doc_id, {_HITS} from h) select doc_id, case when {_BEST} = 0 then 'other' " + " ".join(f"when {t} = {_BEST} then '{t}'" for t in D.DOC_TYPES) + " end doc_type from x")
 def d1(s, d):
     """Types of documents."""
-    return corpus(s, d).select("doc_id", D.classify_documents(F.col("text"), _TYPES).alias("doc_type"))
+    return corpus(s, d).select("doc_id", D.classify_documents(F.col("text")).alias("doc_type"))
 
 
-@query("d2_split_sections", _LINES + """, h as (select *, regexp_matches(line, '^(The|Of|Ing)[a-z]* ') h from ln), w as (select *, cast(sum(cast(h as int)) over (partition by doc_id order by line_no) as int) section_no from h),
+_HEAD = " or ".join("regexp_matches(line, '" + p.replace("'", "''") + "')" for p in [*D.HEADINGS, "^(The|Of|Ing)[a-z]* "])
+
+
+@query("d2_split_sections", _LINES + f""", h as (select *, {_HEAD} h from ln), w as (select *, cast(sum(cast(h as int)) over (partition by doc_id order by line_no) as int) section_no from h),
  a as (select doc_id, section_no, max(case when h then trim(line) end) title, min(case when not h then start end) start, string_agg(case when not h then line end, chr(10) order by line_no) as text from w group by 1, 2) select doc_id, section_no, coalesce(title, 'Introduction') title, start, text from a where regexp_matches(text, '\\S')""")
 def d2(s, d):
-    """Sections by headings."""
-    return D.split_sections(corpus(s, d), ["^(The|Of|Ing)[a-z]* "])
+    """Sections by headings, those of the library and one kind that the texts hold."""
+    return D.split_sections(corpus(s, d), [*D.HEADINGS, "^(The|Of|Ing)[a-z]* "])
 
 
 @query("d3_table_blocks", _LINES + """, m as (select *, line_no - row_number() over (partition by doc_id order by line_no) i from ln where regexp_matches(line, 'tion|the')), r as (select doc_id, i, min(start) start, max(start + length(line)) "end", cast(count(*) as int) n_lines from m group by 1, 2) select doc_id, start, "end", n_lines from r where n_lines >= 3""")
@@ -170,11 +175,15 @@ def d5(s, d):
     return D.chunk_records(_chunks(s, d), docs).select("doc_id", "chunk_id", "section_no", "chunk_no", "section_chunks", "n_chars")
 
 
-@query("d6_table_pages", _C + f""", l as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') ls from c), x as (select doc_id, text, len(ls) n, {R("len(list_filter(ls, lambda x: regexp_matches(trim(x), '^[0-9 ,.()%-]+$'))) / nullif(cast(len(ls) as double), 0)", 4)} share from l)
- select doc_id, coalesce(share, 0) share, n >= 5 and (share > 0.25 or (share > 0.15 and contains(lower(text), 'the')) or (share > 0.08 and contains(lower(text), 'tion'))) is_table from x""")
+_HAS = lambda ws: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + ")"
+
+
+@query("d6_table_pages", _C + r""", l as (select doc_id, text, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) ls from c),
+ x as (select doc_id, text, len(ls) n, len(list_filter(ls, lambda x: regexp_matches(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^[,.()-]*[0-9][0-9,.()-]*$'))) / cast(len(ls) as double) share from l)""" + f"""
+ select doc_id, {R("share", 4)} share, n >= 5 and (share > 0.25 or (share > 0.15 and {_HAS(D.STATEMENT_WORDS)}) or (share > 0.08 and {_HAS(D.DISCLOSURE_WORDS)})) is_table from x""")
 def d6(s, d):
     """Pages that are tables."""
-    share, is_table = D.table_pages(F.col("text"), ["the"], ["tion"])
+    share, is_table = D.table_pages(F.col("text"))
     return corpus(s, d).select("doc_id", share.alias("share"), is_table.alias("is_table"))
 
 
@@ -184,24 +193,29 @@ def d7(s, d):
     return corpus(s, d).select("doc_id", D.qa_section(F.col("text"), ["question", "answer"], "ing ").alias("qa"))
 
 
-_PAT = ["tion ", "the [a-z]+"]
+_PAT = [p for ps in D.RISKS.values() for p in ps] + ["tion ", "the [a-z]+"]
+_COUNT = lambda ps: " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))" for p in ps)
 
 
-@query("d8_kwic", _C + " select doc_id, cast(len(regexp_extract_all(text, 'tion ')) + len(regexp_extract_all(text, 'the [a-z]+')) as bigint) n from c where regexp_matches(text, 'tion |the [a-z]+')")
+@query("d8_kwic", _C + f", k as (select doc_id, cast({_COUNT(_PAT)} as bigint) n from c) select * from k where n > 0")
 def d8(s, d):
-    """Matches with their context, counted."""
-    return D.kwic(corpus(s, d), _PAT, 40, 60).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Matches of the library's risk patterns, and of two that the texts hold, with their context, counted."""
+    return D.kwic(corpus(s, d), _PAT, 200, 300).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("d9_risk_signals", _C + " select doc_id, cast(len(regexp_extract_all(text, 'tion')) as int) n_a, len(regexp_extract_all(text, 'tion')) > 0 has_a, cast(len(regexp_extract_all(text, 'the')) + len(regexp_extract_all(text, 'and')) as int) n_b, len(regexp_extract_all(text, 'the')) + len(regexp_extract_all(text, 'and')) > 0 has_b from c where trim(text) <> ''")
+_CELLS = ", ".join(f"cast({_COUNT(ps)} as int) n_{k}, {_COUNT(ps)} > 0 has_{k}" for k, ps in D.RISKS.items())
+
+
+@query("d9_risk_signals", _C + f" select doc_id, {_CELLS}, {_COUNT(D.RISKS['audit_red_flags'])} > 0 and regexp_matches(text, '{D.AUDITOR_CHANGE}') auditor_changed from c where trim(text) <> ''")
 def d9(s, d):
     """Signals of each document."""
-    return D.risk_signals(corpus(s, d), {"a": ["tion"], "b": ["the", "and"]})
+    return D.risk_signals(corpus(s, d))
 
 
 talk = lambda s, d: relation(s, d, "talk").withColumns({"text": F.coalesce("text", F.lit("")), "doc_id": F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))})
-_PH = [("the", None), ("tion", None), ("ing", "x"), ("and", None)]
-_HED = oracle("talk") + ", t as (select conv_id || '-' || turn doc_id, lower(coalesce(text, '')) as text from talk), ph(phrase, so) as (values ('the', false), ('tion', false), ('ing', true), ('and', false)), h as (select doc_id, phrase, so sector_only, cast((length(text) - length(replace(text, phrase, ''))) / length(phrase) as int) n, text, position(phrase in text) pos from t, ph), g as (select *, cast(sum(n) over (partition by doc_id) as int) total, row_number() over (partition by doc_id order by n desc, phrase) place from h where n > 0)"
+#: The library's phrases, and four that the turns hold.
+_PH = [*D.hedges_of(), ("the", None), ("tion", None), ("ing", "x"), ("and", None)]
+_HED = oracle("talk") + ", t as (select conv_id || '-' || turn doc_id, lower(coalesce(text, '')) as text from talk), ph(phrase, so) as (values " + ", ".join("('" + p.lower().replace("'", "''") + f"', {str(x is not None).lower()})" for p, x in _PH) + "), h as (select doc_id, phrase, so sector_only, cast((length(text) - length(replace(text, phrase, ''))) / length(phrase) as int) n, text, position(phrase in text) pos from t, ph), g as (select *, cast(sum(n) over (partition by doc_id) as int) total, row_number() over (partition by doc_id order by n desc, phrase) place from h where n > 0)"
 
 
 @query("d10_hedging", _HED + " select doc_id, phrase, sector_only, n, total, place from g where place <= 15")
@@ -210,16 +224,29 @@ def d10(s, d):
     return D.hedging(talk(s, d), _PH).select("doc_id", "phrase", "sector_only", "n", "total", "place")
 
 
-@query("d11_guidance")
+_CALL = oracle("talk") + """, t as (select conv_id || '-' || turn doc_id, 'We expect ' || x || ' growth in FY25, with a target. Could you say what is ' || x || '? ' || x as text from (select *, replace(coalesce(text, ''), chr(10), ' ') x from talk))"""
+_OWN = lambda p: "'" + p.replace("'", "''") + "'"
+
+
+def _call(s, d):
+    """Turns as parts of a call: guidance, a question, then the turn."""
+    x = F.replace("text", F.lit("\n"), F.lit(" "))
+    return talk(s, d).withColumn("text", F.concat(F.lit("We expect "), x, F.lit(" growth in FY25, with a target. Could you say what is "), x, F.lit("? "), x))
+
+
+@query("d11_guidance", _CALL + ", m as (" + " union all ".join(f"select doc_id, {k} pattern_no, regexp_extract_all(text, {_OWN(p)}) ms from t" for k, p in enumerate(D.GUIDANCE)) + """), u as (select doc_id, pattern_no, unnest(range(0, len(ms))) i, unnest(ms) "match" from m),
+ n as (select *, row_number() over (partition by doc_id order by pattern_no, i) place from u) select doc_id, pattern_no, place, "match" from n where place <= 10""")
 def d11(s, d):
     """The first passages of guidance."""
-    return D.kwic(talk(s, d), ["(?i)expect[a-z]*", "(?i)tion [a-z]+"], 50, 150, most=10).select("doc_id", "pattern_no", "start", "match")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pattern_no", "start"))
+    return D.guidance(_call(s, d)).select("doc_id", "pattern_no", place.alias("place"), "match")
 
 
-@query("d12_analyst_questions")
+@query("d12_analyst_questions", _CALL + f""", m as (select doc_id, regexp_extract_all(text, {_OWN(D.QUESTION)}) ms from t), u as (select doc_id, unnest(range(1, len(ms) + 1)) place, unnest(ms) "match" from m) select doc_id, cast(place as int) place, "match" from u where place <= 10""")
 def d12(s, d):
     """The first questions of each turn."""
-    return D.kwic(talk(s, d).where("role = 'user'"), [r"(?i)(?:what|how|the)[^?.]{0,80}[?.]"], 50, 300, most=10).select("doc_id", "start", "match")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))
+    return D.analyst_questions(_call(s, d)).select("doc_id", place.alias("place"), "match")
 
 
 @query("d13_candour", _HED + " select doc_id, greatest(10, 80 - 5 * max(total)) score, string_agg(phrase, ',' order by place) filter (where place <= 5) key_phrases from g group by 1")
@@ -248,13 +275,13 @@ def d16(s, d):
 
 
 def _payloads(s, d):
-    e = table(s, d, "events").where("event_id % 10 = 0")
+    e = table(s, d, "events")
     k = F.get_json_object("props", "$.k")
     good = F.concat(F.lit('{"segments":[{"name":"seg'), k, F.lit('","revenue":'), k, F.lit(',"margin":0.5}],"gaps":["g'), k, F.lit('"]}'))
     return e.select(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("ticker"), F.when(F.col("event_id") % 30 == 0, "{broken").otherwise(good).alias("payload"), k.alias("k"))
 
 
-@query("d17_segments", "with e as (select 'E' || event_id t, event_id, json_extract_string(props, '$.k') k from events where event_id % 10 = 0) select t ticker, 'segment' kind, 'seg' || k as name, cast(k as double) revenue, 0.5e0 margin from e where event_id % 30 <> 0 union all select t, 'gap', case when event_id % 30 = 0 then 'bad payload' else 'g' || k end, null, null from e")
+@query("d17_segments", "with e as (select 'E' || event_id t, event_id, json_extract_string(props, '$.k') k from events) select t ticker, 'segment' kind, 'seg' || k as name, cast(k as double) revenue, 0.5e0 margin from e where event_id % 30 <> 0 union all select t, 'gap', case when event_id % 30 = 0 then 'bad payload' else 'g' || k end, null, null from e")
 def d17(s, d):
     """Segments from payloads."""
     return D.segments_from_payload(_payloads(s, d))
@@ -288,7 +315,7 @@ def d21(s, d):
     return D.dodge_rate(table(s, d, "events").select("user_id", F.col("event_type").alias("label")), "user_id", ("error", "view"))
 
 
-@query("d22_claim_verdicts", "with e as (select 'E' || event_id t, event_id, json_extract_string(props, '$.k') k from events where event_id % 10 = 0) select t ticker, case when event_id % 30 = 0 then 'UNKNOWN' else 'HIGH' end strength, case when event_id % 30 <> 0 then 'c' || k end claim, 'UNKNOWN' as type, case when event_id % 30 <> 0 then 'TRUE' else 'UNVERIFIABLE' end verdict, cast(null as varchar) evidence, 0.0e0 confidence from e")
+@query("d22_claim_verdicts", "with e as (select 'E' || event_id t, event_id, json_extract_string(props, '$.k') k from events) select t ticker, case when event_id % 30 = 0 then 'UNKNOWN' else 'HIGH' end strength, case when event_id % 30 <> 0 then 'c' || k end claim, 'UNKNOWN' as type, case when event_id % 30 <> 0 then 'TRUE' else 'UNVERIFIABLE' end verdict, cast(null as varchar) evidence, 0.0e0 confidence from e")
 def d22(s, d):
     """Claims from payloads."""
     p = _payloads(s, d)
@@ -322,19 +349,23 @@ def j1(s, d):
 
 
 def _findings(s, d):
-    e = table(s, d, "events").where("event_id % 5 = 0")
-    k = F.get_json_object("props", "$.k")
-    body = F.concat(F.lit('{"a":{"x":'), k, F.lit(',"evidence":"q"},"links":[{"cause_date":"FY2'), (F.col("event_id") % 4).cast("string"), F.lit('","effect_date":"FY22"},{"y":1}]}'))
+    e = table(s, d, "events")
+    k, year = F.get_json_object("props", "$.k"), (F.col("event_id") % 4).cast("string")
+    body = F.concat(
+        F.lit('{"a":{"x":'), k, F.lit(',"Evidence_text":"q","deep":{"p":1,"q":2}},"one":{"x":1},"links":[{"cause_date":"FY2'), year,
+        F.lit('","effect_date":"FY22"},{"y":1,"z":{"w":[[{"cause_date":"FY2'), year, F.lit('","effect_date":"FY21"}]]}}]}'),
+    )
     return e.select("event_id", F.try_parse_json(body).alias("parsed"), F.lit(1.0).alias("completeness"), (F.col("event_id") % 3).cast("int").alias("errors"))
 
 
-@query("j2_grounding", "select event_id, 3 n_leaves, " + R("greatest(0, least(1, 0.6e0 + 0.4e0 / 3 - least(0.1e0 * (event_id % 3), 0.2e0)))", 2) + " confidence from events where event_id % 5 = 0")
+@query("j2_grounding", "select event_id, 1 n_grounded, 3 n_findings, " + R("greatest(0, least(1, 0.6e0 + 0.4e0 / 3 - least(0.1e0 * (event_id % 3), 0.2e0)))", 2) + " confidence from events")
 def j2(s, d):
     """Confidence by what is grounded."""
     return J.grounding(_findings(s, d), "event_id")
 
 
-@query("j3_chronology_scan", "select event_id, event_id % 4 <> 3 accepted, case when event_id % 4 = 3 then '$.links[0000]' end path, case when event_id % 4 = 3 then 1 else 0 end n_violations from events where event_id % 5 = 0")
+@query("j3_chronology_scan", """select event_id, event_id % 4 < 2 accepted, case event_id % 4 when 3 then '$.links[0000]' when 2 then '$.links[0001].z.w[0000][0000]' end path,
+ case event_id % 4 when 3 then 2 when 2 then 1 else 0 end n_violations from events""")
 def j3(s, d):
     """The first effect before its cause."""
     return J.chronology_scan(_findings(s, d), "event_id")
@@ -356,66 +387,82 @@ def j5(s, d):
     return J.apply_corrections(t.select("doc_id", "text"), c, "doc_id")
 
 
-_AG = "with l as (select user_id, max(value) / 500 q, bool_or(event_type = 'error') sev, case when user_id % 2 = 0 then 'STRONG' else 'WEAK' end moat, case when user_id % 3 = 0 then 'Cautious' else 'calm' end tone, count(*) n from events group by 1)"
+_AG = """with l as (select user_id, max(value) / 500 q, case when bool_or(event_type = 'error') then 'HIGH' else 'LOW' end sev, case when user_id % 2 = 0 then 'Strong' else 'WEAK' end moat,
+ case when user_id % 3 = 0 then 'a Cautious outlook' else 'calm' end tone, count(*) n from events group by 1)"""
 
 
 def _agents(s, d):
     e = table(s, d, "events").groupBy("user_id").agg((F.max("value") / 500).alias("cash_quality"), F.max((F.col("event_type") == "error").cast("int")).alias("sev"), F.count("*").alias("n"))
-    return e.select(F.col("user_id").alias("ticker"), "cash_quality", F.when(F.col("sev") == 1, F.array(F.lit("HIGH"))).otherwise(F.array(F.lit("LOW"))).alias("severities"), F.when(F.col("user_id") % 2 == 0, "STRONG").otherwise("WEAK").alias("moat"), F.when(F.col("user_id") % 3 == 0, "Cautious").otherwise("calm").alias("tone"), "n")
+    tone = F.when(F.col("user_id") % 3 == 0, "a Cautious outlook").otherwise("calm")
+    return e.select(
+        F.col("user_id").alias("ticker"), "cash_quality", F.array(F.lit("LOW"), F.when(F.col("sev") == 1, "HIGH")).alias("severities"),
+        F.when(F.col("user_id") % 2 == 0, "Strong").otherwise("WEAK").alias("moat"), F.array(F.lit("steady"), tone).alias("tones"), "n",
+    )
 
 
-@query("j6_conflicts", _AG + ", c as (select user_id, list_filter([case when q > 0.8 and sev then 'cash quality against severe flags' end, case when moat = 'STRONG' and tone = 'Cautious' then 'moat against tone' end], lambda x: x is not null) f from l) select user_id ticker, coalesce(array_to_string(f, '; '), '') conflicts, len(f) n_conflicts from c")
+@query("j6_conflicts", _AG + """, c as (select user_id, list_filter([case when q > 0.8 and sev = 'HIGH' then 'forensic_quant, forensic_investigator: strong cash quality against severe flags' end,
+ case when moat = 'Strong' and contains(tone, 'Cautious') then 'moat_architect, narrative_decoder: intact moat against a worsening tone' end], lambda x: x is not null) f from l)
+ select user_id ticker, coalesce(array_to_string(f, '; '), '') conflicts, len(f) n_conflicts from c""")
 def j6(s, d):
     """Findings that contradict each other."""
     return J.conflicts(_agents(s, d))
 
 
-@query("j7_rerun_needs", _AG + " select user_id ticker, coalesce(array_to_string(list_filter([case when n % 5 >= 3 then 'forensic_quant' end, case when n % 2 > 0 then 'forensic_investigator' end, case when user_id % 3 = 0 then 'narrative_decoder' end], lambda x: x is not null), ','), '') rerun from l")
+@query("j7_rerun_needs", _AG + """ select user_id ticker, coalesce(array_to_string(list_filter([case when sev = 'HIGH' then 'forensic_quant' end, case when user_id % 3 = 0 then 'narrative_decoder' end,
+ case when n % 5 >= 3 then 'forensic_investigator' end], lambda x: x is not null), ','), '') rerun from l""")
 def j7(s, d):
     """Agents to run again."""
     a = _agents(s, d)
-    return J.rerun_needs(a.select("ticker", (F.col("n") % 5).alias("n_gaps"), (F.col("n") % 2).alias("n_violations"), (F.col("tone") == "Cautious").alias("tone_shift")))
+    return J.rerun_needs(a.select("ticker", "severities", (F.col("ticker") % 3 == 0).alias("unrelated_acquisitions"), (F.col("n") % 5).alias("n_governance_flags")))
 
 
-_EV = "with i as (select user_id % 60 ticker, case event_type when 'click' then 'guidance' when 'view' then 'shift' when 'error' then 'dodge' else 'phrase' end kind, case event_id % 3 when 0 then 'LOW' when 1 then 'MEDIUM' else 'HIGH' end lv from events where event_id % 40 = 0)"
+_EV = """with i as (select user_id * 100000 + event_id % 20000 ticker, case event_type when 'click' then 'guidance' when 'view' then 'shift' when 'error' then 'dodge' else 'phrase' end kind,
+ case event_id % 3 when 0 then 'low' when 1 then 'MEDIUM-TERM' else 'HIGH' end lv from events),
+ p as (select ticker, count(*) filter (where kind = 'guidance' and lv <> 'HIGH') g, count(*) filter (where kind = 'shift' and lv <> 'low') s, count(*) filter (where kind = 'dodge') d, count(*) filter (where kind = 'phrase') h,
+ sum(case kind when 'guidance' then case lv when 'low' then 15 when 'MEDIUM-TERM' then 7 else 0 end when 'shift' then case lv when 'HIGH' then 10 when 'MEDIUM-TERM' then 5 else 0 end when 'dodge' then 8 else 3 end) pts from i group by 1)"""
 
 
-@query("j8_evasion_score", _EV + """, p as (select ticker, sum(case when kind = 'guidance' then case lv when 'LOW' then 15 when 'MEDIUM' then 7 else 0 end else 0 end) g, sum(case when kind = 'shift' then case lv when 'HIGH' then 10 when 'MEDIUM' then 5 else 0 end else 0 end) s, sum(case when kind = 'dodge' then 8 else 0 end) d, sum(case when kind = 'phrase' then 3 else 0 end) h from i group by 1), z as (select *, greatest(0, least(100, 10 + g + s + d + h)) score from p)
- select ticker, g guidance_points, s shift_points, d dodge_points, h phrase_points, score, case when score >= 70 then 'EVASIVE' when score >= 45 then 'GUARDED' when score >= 25 then 'MIXED' else 'TRANSPARENT' end verdict from z""")
+@query("j8_evasion_score", _EV + """, z as (select *, greatest(0, least(100, 10 + pts)) score from p)
+ select ticker, g guidance_misses, s tone_shifts, d analyst_dodges, h flagged_phrases, score, case when score >= 75 then 'HIGH EVASION — Management is likely deflecting on critical issues'
+ when score >= 45 then 'MODERATE EVASION — Some hedging detected, selective transparency' when score >= 25 then 'LOW EVASION — Minor hedging, mostly transparent communication' else 'TRANSPARENT — Management communication appears forthcoming' end verdict from z""")
 def j8(s, d):
     """Evasion of each ticker."""
     kind = F.when(F.col("event_type") == "click", "guidance").when(F.col("event_type") == "view", "shift").when(F.col("event_type") == "error", "dodge").otherwise("phrase")
-    lv = F.when(F.col("event_id") % 3 == 0, "LOW").when(F.col("event_id") % 3 == 1, "MEDIUM").otherwise("HIGH")
-    return J.evasion_score(table(s, d, "events").where("event_id % 40 = 0").select((F.col("user_id") % 60).alias("ticker"), kind.alias("kind"), lv.alias("level")))
+    lv = F.when(F.col("event_id") % 3 == 0, "low").when(F.col("event_id") % 3 == 1, "MEDIUM-TERM").otherwise("HIGH")
+    return J.evasion_score(table(s, d, "events").select((F.col("user_id") * 100000 + F.col("event_id") % 20000).alias("ticker"), kind.alias("kind"), lv.alias("level")))
 
 
-@query("j9_flag_triage", """with f as (select user_id ticker, event_type fam, case when event_id % 50 = 0 then 'HIGH' else 'LOW' end sv, 't' || (event_id % 4) tx from events)
- select ticker, not bool_or(sv = 'HIGH') passed, coalesce(array_to_string(list_sort(list(distinct fam || ': ' || tx) filter (where sv = 'HIGH')), '; '), '') kill_reasons, coalesce(array_to_string(list_sort(list(distinct fam || ': ' || tx) filter (where sv <> 'HIGH')), '; '), '') warnings from f group by 1""")
+@query("j9_flag_triage", """with f as (select user_id ticker, event_id no, upper(event_type) fam, case when event_id % 50 = 0 then 'High' when event_id % 7 <> 0 then 'LOW' end sv, 't' || (event_id % 4) tx from events)
+ select ticker, not bool_or(coalesce(sv = 'High', false)) passed, coalesce(string_agg(fam || ': ' || tx, '; ' order by no) filter (where sv = 'High'), '') kill_reasons,
+ coalesce(string_agg(fam || ': ' || tx, '; ' order by no) filter (where sv is distinct from 'High'), '') warnings from f group by 1""")
 def j9(s, d):
     """Severe flags fail, others warn."""
     e = table(s, d, "events")
-    return J.flag_triage(e.select(F.col("user_id").alias("ticker"), F.col("event_type").alias("family"), F.when(F.col("event_id") % 50 == 0, "HIGH").otherwise("LOW").alias("severity"), F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string")).alias("text")))
+    severity = F.when(F.col("event_id") % 50 == 0, "High").when(F.col("event_id") % 7 != 0, "LOW")
+    return J.flag_triage(e.select(F.col("user_id").alias("ticker"), F.col("event_id").alias("place"), F.col("event_type").alias("family"), severity.alias("severity"), F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string")).alias("text")))
 
 
-@query("j10_ordered_summary", "with t as (select distinct user_id ticker, event_type agent from events) select ticker, agent, row_number() over (partition by ticker order by case agent when 'view' then 0 when 'click' then 1 else 2 end, agent) place from t")
+@query("j10_ordered_summary", """with t as (select distinct user_id ticker, case event_type when 'view' then 'pm_synthesis' when 'click' then 'critic_agent' when 'error' then 'forensic_quant' else event_type end agent from events)
+ select ticker, agent, row_number() over (partition by ticker order by case agent when 'forensic_quant' then 0 when 'critic_agent' then 1 when 'pm_synthesis' then 2 else 3 end, agent) place from t""")
 def j10(s, d):
     """Agents in their fixed order."""
-    return J.ordered_summary(table(s, d, "events").select(F.col("user_id").alias("ticker"), F.col("event_type").alias("agent")).distinct(), ("view", "click"))
+    agent = F.when(F.col("event_type") == "view", "pm_synthesis").when(F.col("event_type") == "click", "critic_agent").when(F.col("event_type") == "error", "forensic_quant").otherwise(F.col("event_type"))
+    return J.ordered_summary(table(s, d, "events").select(F.col("user_id").alias("ticker"), agent.alias("agent")).distinct())
 
 
-@query("j11_render_citations", "select event_id, '- s' || event_id || ' | d | p.' || (event_id % 9) || chr(10) || '- z | e' as cited from events where event_id % 3 = 0")
+@query("j11_render_citations", "select event_id, '- s' || event_id || ' | d | p.' || (event_id % 9) || chr(10) || '- z | e' as cited from events")
 def j11(s, d):
     """Citations as text."""
     one = F.struct(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("snippet"), F.lit("d").alias("doc"), (F.col("event_id") % 9).cast("int").alias("page"))
     two = F.struct(F.lit("z").alias("snippet"), F.lit("e").alias("doc"), F.lit(None).cast("int").alias("page"))
-    return table(s, d, "events").where("event_id % 3 = 0").select("event_id", J.render_citations(F.array(one, two)).alias("cited"))
+    return table(s, d, "events").select("event_id", J.render_citations(F.array(one, two)).alias("cited"))
 
 
-@query("j12_run_quality", "with s as (select user_id run_id, case event_type when 'click' then 'tool' when 'view' then 'memory' else 'x' end kind, event_id % 4 <> 0 ok, event_id t, 1 ms from events where event_id % 20 = 0), a as (select run_id, count(*) filter (where kind = 'tool') c, count(*) filter (where kind = 'memory' and not ok) f, cast(sum(t) as bigint) tokens, cast(sum(ms) as bigint) ms from s group by 1) select run_id, c tool_calls, case when c >= 6 then 'deep' when c >= 3 then 'moderate' when c >= 1 then 'shallow' else 'none' end as depth, " + R("greatest(0, 1 - 0.2e0 * f)", 2) + " completeness, tokens, ms from a")
+@query("j12_run_quality", "with s as (select user_id run_id, case event_type when 'click' then 'tool' when 'view' then 'memory' else 'x' end kind, event_id % 4 <> 0 ok, event_id t, 1 ms from events), a as (select run_id, count(*) filter (where kind = 'tool') c, count(*) filter (where kind = 'memory' and not ok) f, cast(sum(t) as bigint) tokens, cast(sum(ms) as bigint) ms from s group by 1) select run_id, c tool_calls, case when c >= 6 then 'deep' when c >= 3 then 'moderate' when c >= 1 then 'shallow' else 'none' end as depth, " + R("greatest(0, 1 - 0.2e0 * f)", 2) + " completeness, tokens, ms from a")
 def j12(s, d):
     """Depth and completeness of runs."""
     kind = F.when(F.col("event_type") == "click", "tool").when(F.col("event_type") == "view", "memory").otherwise("x")
-    return J.run_quality(table(s, d, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("run_id"), kind.alias("kind"), (F.col("event_id") % 4 != 0).alias("ok"), F.col("event_id").alias("tokens"), F.lit(1).alias("ms")))
+    return J.run_quality(table(s, d, "events").select(F.col("user_id").alias("run_id"), kind.alias("kind"), (F.col("event_id") % 4 != 0).alias("ok"), F.col("event_id").alias("tokens"), F.lit(1).alias("ms")))
 
 
 # --- events ----------------------------------------------------------------------------------------
@@ -425,7 +472,7 @@ def _feed(s, d):
     e = table(s, d, "events")
     host = F.when(F.col("user_id") % 3 == 0, "www.nseindia.com").otherwise("news.example.org")
     title = F.when(F.col("event_id") % 11 == 0, "Trading Window closure").otherwise(F.concat(F.lit("Title "), (F.col("event_id") % 700).cast("string")))
-    return e.select(F.concat(F.lit("https://"), host, F.lit("/"), F.col("event_id").cast("string")).alias("url"), title.alias("title"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("no"))
+    return e.select(F.concat(F.lit("https://"), host, F.lit("/"), F.col("event_id").cast("string")).alias("url"), title.alias("title"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("no"), F.when(F.col("user_id") % 3 == 0, 1).otherwise(2).alias("tier"))
 
 
 _FEED = """with f as (select event_id no, 'https://' || case when user_id % 3 = 0 then 'www.nseindia.com' else 'news.example.org' end || '/' || event_id url, case when event_id % 11 = 0 then 'Trading Window closure' else 'Title ' || (event_id % 700) end title, ts from events),
@@ -495,8 +542,9 @@ def u2(s, d):
     """Scorecard, evasion and memory of every ticker in one job, with a status."""
     card = Q.scorecard(relation(s, d, "facts"), relation(s, d, "quarters"))
     led = relation(s, d, "ledger").withColumn("ticker", F.concat(F.lit("S"), F.substring("ticker", 2, 9)))
-    gaps = led.where("score < 50").groupBy("ticker", F.col("metric_category").alias("category")).agg(F.count("*").alias("n"))
-    memory = M.memory_block(led, gaps, led.select(F.lit("view").alias("agent_name"), "ticker").distinct(), F.lit("2024-06-01").cast("date"))
-    items = led.where("id % 40 = 0").select("ticker", F.when(F.col("score") < 50, "dodge").otherwise("phrase").alias("kind"), F.lit("LOW").alias("level"))
+    gaps = led.where("score < 50").groupBy("agent_name", "ticker", "fiscal_period", F.col("metric_category").alias("category")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    asked = led.select(F.lit("view").alias("agent_name"), "ticker", F.lit(None).cast("string").alias("fiscal_period")).distinct()
+    memory = M.memory_block(led.withColumn("correction_type", F.lit("NUMBER")), gaps, asked, F.lit("2024-06-01").cast("date"))
+    items = led.select("ticker", F.when(F.col("score") < 50, "dodge").otherwise("phrase").alias("kind"), F.lit("LOW").alias("level"))
     out = card.join(J.evasion_score(items).select("ticker", "score", "verdict"), "ticker", "left").join(memory.select("ticker", "facts", "gaps"), "ticker", "left")
     return out.select("ticker", "period_year", "roe", "n_flags", "confidence", F.col("score").alias("evasion"), "verdict", "gaps", F.when(F.col("facts").isNull(), "NO_MEMORY").when(F.col("roe").isNull(), "PARTIAL").otherwise("OK").alias("status"))

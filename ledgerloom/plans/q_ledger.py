@@ -108,12 +108,12 @@ def p9(s, d):
 # --- retrieval -------------------------------------------------------------------------------------
 
 _COS = "coalesce(list_cosine_similarity(list_transform({0}, lambda x: cast(x as double)), list_transform({1}, lambda x: cast(x as double))), 0)"
-_TOP = oracle("vec") + """, q as (select vec_id query_id, embedding qvec from vec where vec_id < 8), sc as (select q.query_id, v.*, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ relevance from vec v, q),
+_TOP = oracle("vec") + """, q as (select vec_id query_id, embedding qvec from vec where vec_id % 100 = 0), sc as (select q.query_id, v.*, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ relevance from vec v, q),
  top as (select *, row_number() over (partition by query_id order by relevance desc, vec_id) place from sc where {where})"""
 
 
 def _queries(s, d, *own):
-    v = relation(s, d, "vec").where("vec_id < 8")
+    v = relation(s, d, "vec").where("vec_id % 100 = 0")
     return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), *[F.col(c).alias(f"q_{c}") for c in own])
 
 
@@ -123,11 +123,11 @@ def r1(s, d):
     return V.search(relation(s, d, "vec"), _queries(s, d), 5, {"doc_type": ["annual_report", "credit_report"]}, 2022).select("query_id", "vec_id", "relevance", "place")
 
 
-@query("r2_with_sentinel", _TOP.format(where="ticker = 'T3' and fiscal_year = 'FY25' and query_id % 2 = 0") + ", h as (select query_id, vec_id, relevance, place from top where place <= 2) select q.query_id, h.vec_id, coalesce(relevance, 0) relevance, coalesce(place, 1) place, vec_id is not null found from q left join h using (query_id)")
+@query("r2_with_sentinel", _TOP.format(where="ticker = 'T3' and fiscal_year = 'FY25'") + ", h as (select query_id, vec_id, relevance, place from top where place <= 2) select q.query_id, h.vec_id, coalesce(relevance, 0) relevance, coalesce(place, 1) place, vec_id is not null found from q left join h using (query_id)")
 def r2(s, d):
     """Queries without a hit have a row that says so."""
     q = _queries(s, d)
-    hits = V.search(relation(s, d, "vec"), q.where("query_id % 2 = 0"), 2, {"ticker": "t3", "fiscal_year": "FY25"}).select("query_id", "vec_id", "relevance", "place")
+    hits = V.search(relation(s, d, "vec"), q, 2, {"ticker": "t3", "fiscal_year": "FY25"}).select("query_id", "vec_id", "relevance", "place")
     return V.with_sentinel(hits, q)
 
 
@@ -164,7 +164,7 @@ def r6(s, d):
     return V.multi_query(V.search(relation(s, d, "vec"), _queries(s, d), 3), _texts(s, d), 10, key_chars=19)
 
 
-@query("r5_assemble", oracle("vec") + _TEXTS + """, q as (select vec_id query_id, embedding qvec, ticker qt from vec where vec_id < 8), sc as (select q.query_id, v.vec_id, v.ticker, v.fiscal_year in ('FY22', 'FY24') narrow, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ rel from vec v join q on q.qt = v.ticker),
+@query("r5_assemble", oracle("vec") + _TEXTS + """, q as (select vec_id query_id, embedding qvec, ticker qt from vec where vec_id % 100 = 0), sc as (select q.query_id, v.vec_id, v.ticker, v.fiscal_year in ('FY22', 'FY24') narrow, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ rel from vec v join q on q.qt = v.ticker),
  a as (select *, row_number() over (partition by query_id order by rel desc, vec_id) place from sc where narrow), b as (select *, row_number() over (partition by query_id order by rel desc, vec_id) place from sc where ticker not in (select ticker from a)),
  h as (select *, false w from a where place <= 5 union all select *, true from b where place <= 5)
  select ticker, count(*) n_chunks, bool_or(w) widened, md5(string_agg(text, chr(10) order by query_id, place, text)) text_md5 from h join tx using (vec_id) group by 1""")
@@ -206,12 +206,12 @@ def r11(s, d):
     return V.band_pairs(table(s, d, "embeddings"), "label", 0.3, 0.92)
 
 
-@query("r12_topic_search", _TOP.format(where="case query_id % 2 when 0 then doc_type = 'concall_transcript' else doc_type = 'annual_report' end") + " select query_id, vec_id, relevance, place from top where place <= case query_id % 2 when 0 then 5 else 3 end")
+@query("r12_topic_search", _TOP.format(where="case query_id % 200 when 0 then doc_type = 'concall_transcript' else doc_type = 'annual_report' end") + " select query_id, vec_id, relevance, place from top where place <= case query_id % 200 when 0 then 5 else 3 end")
 def r12(s, d):
     """Topics searched in the documents of their domain."""
-    q = _queries(s, d).withColumn("q_doc_type", F.when(F.col("query_id") % 2 == 0, "concall_transcript").otherwise("annual_report"))
+    q = _queries(s, d).withColumn("q_doc_type", F.when(F.col("query_id") % 200 == 0, "concall_transcript").otherwise("annual_report"))
     hits = V.search(relation(s, d, "vec"), q, 5)
-    return hits.where((F.col("query_id") % 2 == 0) | (F.col("place") <= 3)).select("query_id", "vec_id", "relevance", "place")
+    return hits.where((F.col("query_id") % 200 == 0) | (F.col("place") <= 3)).select("query_id", "vec_id", "relevance", "place")
 
 
 @query("p7_episode_evidence", WIDE.replace("with recursive", "with recursive vec as (" + VEC + "),") + ", prices as (" + PRICES + ")" + _SWING + """, q as (select embedding qvec from vec where vec_id = 0),
@@ -351,15 +351,24 @@ def m12(s, d):
     return M.persist_contradictions(pairs.where("b_id % 7 = 0"), pairs, verdicts)
 
 
-@query("m13_memory_block", _G + f""", g as (select ticker, category, count(*) n from gaps group by 1, 2 qualify row_number() over (partition by ticker order by count(*) desc, category) <= 5), gt as (select ticker, string_agg(category, ',' order by n desc, category) t from g group by 1),
- f as (select * from ledger where confidence >= 0.8 qualify row_number() over (partition by agent_name, ticker order by confidence desc, run_date desc, id desc) <= 4), ft as (select agent_name, ticker, string_agg(verified_fact, '; ' order by confidence desc, run_date desc, id desc) t from f group by 1, 2),
- rc as (select ticker, agent_name, count(*) n from ledger where run_date >= date '{NOW}' - 180 group by 1, 2), q as (select distinct agent_name, ticker from ledger)
- select q.agent_name, q.ticker, coalesce(ft.t, 'NO MEMORY') facts, coalesce(gt.t, '') gaps, case when rc.n >= 5 then rc.n end recent_corrections from q left join ft using (agent_name, ticker) left join gt on gt.ticker = q.ticker left join rc on rc.ticker = q.ticker and rc.agent_name = q.agent_name""")
+@query("m13_memory_block", _L + f""", st as (select *, case score % 3 when 0 then 'NUMBER' when 1 then 'PERIOD' else 'SOURCE' end correction_type from ledger),
+ q0 as (select distinct agent_name, ticker, case when agent_name = 'view' then fiscal_period end want from ledger union select 'view', 'NEW', null),
+ lp as (select ticker, max_by(fiscal_period, (run_date, id)) period from st group by 1), q as (select agent_name, q0.ticker, coalesce(want, period) period from q0 left join lp using (ticker)),
+ f as (select q.agent_name, q.ticker, q.period, verified_fact, run_date, id from q join st on st.agent_name = q.agent_name and st.ticker = q.ticker and st.fiscal_period = q.period where confidence >= 0.8
+  qualify row_number() over (partition by q.agent_name, q.ticker, q.period order by run_date desc, id desc) <= 4), ft as (select agent_name, ticker, period, string_agg(verified_fact, '; ' order by run_date desc, id desc) t from f group by 1, 2, 3),
+ gp as (select agent_name, ticker, fiscal_period period, metric_category category, count(*) n, min(id) id from ledger where score < 50 group by 1, 2, 3, 4), g as (select * from gp qualify row_number() over (partition by agent_name, ticker, period order by n desc, id) <= 5),
+ gt as (select agent_name, ticker, period, string_agg(category, ',' order by n desc, id) t from g group by 1, 2, 3),
+ pc as (select agent_name, correction_type, count(*) n from st where run_date >= date '{NOW}' - 180 and confidence >= 0.8 group by 1, 2), pt as (select agent_name, sum(n) total, string_agg(n || 'x ' || correction_type, ', ' order by n desc, correction_type) mix from pc group by 1)
+ select q.agent_name, q.ticker, q.period, coalesce(ft.t, '') facts, coalesce(gt.t, '') gaps, case when total >= 5 then mix else '' end pattern, q.period is null warning
+ from q left join ft on ft.agent_name = q.agent_name and ft.ticker = q.ticker and ft.period = q.period left join gt on gt.agent_name = q.agent_name and gt.ticker = q.ticker and gt.period = q.period left join pt on pt.agent_name = q.agent_name""")
 def m13(s, d):
-    """What an agent remembers of a ticker."""
+    """What an agent remembers of a ticker and a period; the latest period where none is asked for."""
     rows = led(s, d)
-    gaps = _gaps(s, d).groupBy("ticker", "category").agg(F.count("*").alias("n"))
-    return M.memory_block(rows, gaps, rows.select("agent_name", "ticker").distinct(), F.lit(NOW).cast("date"))
+    kind = F.when(F.col("score") % 3 == 0, "NUMBER").when(F.col("score") % 3 == 1, "PERIOD").otherwise("SOURCE")
+    gaps = rows.where("score < 50").groupBy("agent_name", "ticker", "fiscal_period", F.col("metric_category").alias("category")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    asked = rows.select("agent_name", "ticker", F.when(F.col("agent_name") == "view", F.col("fiscal_period")).alias("fiscal_period")).distinct()
+    new = asked.limit(1).select(F.lit("view").alias("agent_name"), F.lit("NEW").alias("ticker"), F.lit(None).cast("string").alias("fiscal_period"))
+    return M.memory_block(rows.withColumn("correction_type", kind), gaps, asked.union(new), F.lit(NOW).cast("date"))
 
 
 @query("m14_audit_trail", _L + " select id, ticker, cast(1 + id % 2 as int) n_citations, case id % 2 when 0 then 'D' || score || ' p.' || (id % 50) else 'D' || score || ' p.' || (id % 50) || '; E p.1' end citation_line from ledger where id % 100 = 0 or id % 100 = 1")

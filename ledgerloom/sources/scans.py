@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,9 +12,23 @@ from ledgerloom.functions.exprs import first_match, r, to_number
 from ledgerloom.functions.fiscal import published_date
 
 #: Keywords of headings and the category they start.
-CATEGORIES = [("annual report", "annual_reports"), ("credit rating", "credit_ratings"), ("concall", "concalls"), ("conference call", "concalls"), ("presentation", "presentations"), ("announcement", "announcements")]
+CATEGORIES = [
+    ("annual report", "annual_reports"),
+    ("annual reports", "annual_reports"),
+    ("credit rating", "credit_ratings"),
+    ("credit ratings", "credit_ratings"),
+    ("concall", "concalls"),
+    ("concalls", "concalls"),
+    ("conference call", "concalls"),
+    ("announcement", "announcements"),
+    ("announcements", "announcements"),
+    ("exchange filing", "announcements"),
+    ("presentation", "presentations"),
+    ("presentations", "presentations"),
+    ("important", "Important"),
+]
 #: Domains of rating agencies.
-RATING_DOMAINS = ("crisil", "icra", "careratings", "careedge", "indiaratings", "acuite", "brickworkratings", "infomerics")
+RATING_DOMAINS = ("crisil.com", "icra.in", "careratings.com")
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
@@ -111,21 +127,28 @@ def catalog_slices(links: DataFrame, max_presentations: int = 8) -> DataFrame:
     return kept.withColumn("index_no", F.row_number().over(Window.partitionBy("page_id").orderBy("section", "place"))).select("page_id", "index_no", "section", "name", "url")
 
 
+def label_year(label: Column) -> Column:
+    """The latest year of a label: of four digits, else of FY notation, else of a month and two digits; null without one."""
+    years = lambda p, g, base: F.array_max(F.transform(F.regexp_extract_all(F.upper(label), F.lit(p), g), lambda y: base + y.cast("int")))
+    months = r"\b(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*\s*'?-?\s*([0-9]{2})\b"
+    return F.coalesce(years(r"\b(19[9][0-9]|20[0-9]{2})\b", 1, 0), years(r"FY\s*-?\s*([0-9]{2})\b", 1, 2000), years(months, 2, 2000))
+
+
 def archive_policy(links: DataFrame, least_year: int = 2020) -> DataFrame:
-    """Links to keep: not before the year, files or rating pages only, the first of each URL; with a stable file name."""
-    years = F.array_max(F.transform(F.regexp_extract_all("name", F.lit(r"\b(\d{4})\b"), 1), lambda y: y.cast("int")))
-    fy = 2000 + F.nullif(F.regexp_extract("name", r"(?i)FY\s?(\d{2})\b", 1), F.lit("")).cast("int")
-    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    rating = F.lit(False)
-    for d in RATING_DOMAINS:
-        rating = rating | host.contains(d)
-    ext = F.lower(F.regexp_extract("url", r"(?i)\.(pdf|zip)(?:$|[?#])", 1))
+    """Links to keep: not before the year, pdf and zip files or rating pages only, the first of each URL; with a stable file name.
+
+    A rating agency's link is a credit rating, one that says presentation or ends in pptx a presentation.
+    """
+    rating = reduce(lambda a, b: a | b, [F.col("url").contains(d) for d in RATING_DOMAINS])
+    ext = F.lower(F.regexp_extract("url", r"(?i)\.(pdf|zip)$", 1))
+    slides = F.lower("name").contains("presentation") | F.lower("url").endswith(".pptx")
     first = F.row_number().over(Window.partitionBy("url").orderBy("page_id", "place"))
-    rows = links.withColumns({"_y": F.coalesce(years, fy), "_rating": rating, "_ext": ext}).where(F.coalesce(F.col("_y") >= least_year, F.lit(True)) & ((F.col("_ext") != "") | F.col("_rating")))
+    rows = links.withColumns({"_y": label_year(F.col("name")), "_rating": rating, "_ext": ext}).where(F.coalesce(F.col("_y") >= least_year, F.lit(True)) & ((F.col("_ext") != "") | F.col("_rating")))
     rows = rows.withColumn("_k", first).where("_k = 1")
     safe = F.substring(F.regexp_replace("name", r"[^A-Za-z0-9]+", "_"), 1, 200)
     file = F.concat(safe, F.lit("_"), F.substring(F.md5(F.col("url").cast("binary")), 1, 6), F.lit("."), F.when(F.col("_ext") == "", "html").otherwise(F.col("_ext")))
-    return rows.select("page_id", F.when(F.col("_rating"), "credit_ratings").otherwise(F.coalesce("category", F.lit("important"))).alias("category"), "name", "url", file.alias("file_name"))
+    category = F.when(F.col("_rating"), "credit_ratings").when(slides, "presentations").otherwise(F.coalesce("category", F.lit("important")))
+    return rows.select("page_id", category.alias("category"), "name", "url", file.alias("file_name"))
 
 
 def screen_universe(rows: DataFrame, min_mcap: float = 5000.0) -> DataFrame:

@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def events_from_feed(feed: DataFrame) -> DataFrame:
-    """Events with an id from url and title, the source's domain and tier. feed: (url, title, ts)."""
+def events_from_feed(feed: DataFrame, tier: int = 2) -> DataFrame:
+    """Events with an id from url and title and the source's domain. feed: (url, title, ts[, tier]).
+
+    The source that delivers an event gives its tier: exchanges 1, news 2; a feed without that column has one tier.
+    """
     host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("unknown"))), r"^www\.", "")
-    tier = F.when(host.rlike(r"(nseindia|bseindia|sebi)"), 1).otherwise(2)
-    return feed.select(F.md5(F.concat_ws("-", "url", "title").cast("binary")).alias("event_id"), "title", "url", host.alias("source"), tier.alias("tier"), "ts")
+    own = F.col("tier") if "tier" in feed.columns else F.lit(tier)
+    return feed.select(F.md5(F.concat_ws("-", "url", "title").cast("binary")).alias("event_id"), "title", "url", host.alias("source"), own.alias("tier"), "ts")
+
+
+def unavailable_sources(fetches: DataFrame) -> DataFrame:
+    """Sources that gave nothing, with why: (ticker, source as "name (Timeout)" or "name (Error)").
+
+    fetches: (ticker, source, outcome), outcome null or ok where the source answered.
+    """
+    bad = F.lower(F.coalesce("outcome", F.lit("ok")))
+    why = F.when(bad == "timeout", "Timeout").otherwise("Error")
+    return fetches.where(bad != "ok").select("ticker", F.concat("source", F.lit(" ("), why, F.lit(")")).alias("source")).distinct()
 
 
 def prefilter(events: DataFrame, noise: str = r"(?i)trading window") -> DataFrame:

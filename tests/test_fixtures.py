@@ -199,6 +199,77 @@ def test_nested_chronology(spark):
     assert (got[1]["accepted"], got[1]["path"], got[1]["n_violations"], got[2]["accepted"]) == (False, "$.x.y[0000]", 1, True)
 
 
+def test_evidence_and_findings(spark):
+    bodies = [
+        '{"a": {"Quote": "q", "b": {"x": 1, "y": 2}}}',  # evidence ends the descent
+        '{"a": {"x": 1, "y": 2}, "b": {"z": 1}}',  # one-key leaves don't count
+        '{"x": 1}',  # no finding at all
+        '[[[[[[[[[[[{"ref": 1}, {"p": 1, "q": {}}]]]]]]]]]]]',  # any depth
+        None,
+    ]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id long, j string")
+    df = df.select("id", F.parse_json("j").alias("parsed"), F.lit(1.0).alias("completeness"), F.when(F.col("id") == 1, 5).otherwise(0).alias("errors"))
+    got = [(r["n_grounded"], r["n_findings"], r["confidence"]) for r in J.grounding(df, "id").orderBy("id").collect()]
+    assert got == [(1, 1, 1.0), (0, 1, 0.4), (0, 0, 1.0), (1, 2, 0.8), (0, 0, 0.0)]
+
+
+def test_rules_between_agents(spark):
+    rows = [("A", 0.9, ["LOW", "HIGH"], "strong", ["a cautious outlook"]), ("B", 0.8, ["CRITICAL"], "Intact", ["calm", None]), ("C", 0.9, ["high"], None, None)]
+    got = {r["ticker"]: r["n_conflicts"] for r in J.conflicts(spark.createDataFrame(rows, "ticker string, cash_quality double, severities array<string>, moat string, tones array<string>")).collect()}
+    assert got == {"A": 2, "B": 0, "C": 0}
+    rows = [("A", ["HIGH"], True, 3), ("B", ["high"], False, 2), ("C", None, None, None)]
+    got = {r["ticker"]: r["rerun"] for r in J.rerun_needs(spark.createDataFrame(rows, "ticker string, severities array<string>, unrelated_acquisitions boolean, n_governance_flags int")).collect()}
+    assert got == {"A": "forensic_quant,narrative_decoder,forensic_investigator", "B": "", "C": ""}
+
+
+def test_evasion_bands(spark):
+    items = [("A", "guidance", "Low")] * 4 + [("A", "phrase", None)] + [("B", "dodge", None)] * 8 + [("C", "shift", "medium-high"), ("C", "guidance", "HIGH")]
+    got = {r["ticker"]: (r["score"], r["verdict"].split(" — ")[0], r["guidance_misses"], r["tone_shifts"], r["analyst_dodges"], r["flagged_phrases"]) for r in J.evasion_score(spark.createDataFrame(items, "ticker string, kind string, level string")).collect()}
+    assert got == {"A": (73, "MODERATE EVASION", 4, 0, 0, 1), "B": (74, "MODERATE EVASION", 0, 0, 8, 0), "C": (20, "TRANSPARENT", 0, 1, 0, 0)}
+
+
+def test_flags_keep_their_order_and_repeats(spark):
+    flags = [("A", 1, "auditor_flags", None, "x"), ("A", 2, "auditor_flags", None, "x"), ("A", 0, "related_party_flags", "high", "y"), ("B", 0, "f", "LOW", None)]
+    got = {r["ticker"]: (r["passed"], r["kill_reasons"], r["warnings"]) for r in J.flag_triage(spark.createDataFrame(flags, "ticker string, place int, family string, severity string, text string")).collect()}
+    assert got == {"A": (False, "RELATED_PARTY_FLAGS: y", "AUDITOR_FLAGS: x; AUDITOR_FLAGS: x"), "B": (True, "", "F: ")}
+
+
+def test_agents_in_order(spark):
+    names = ["pm_synthesis", "zz", "critic_agent", "forensic_quant"]
+    got = J.ordered_summary(spark.createDataFrame([("A", n) for n in names], "ticker string, agent string")).orderBy("place").collect()
+    assert [r["agent"] for r in got] == ["forensic_quant", "critic_agent", "pm_synthesis", "zz"]
+
+
+def test_table_pages_count_all_lines(spark):
+    pages = ["1\n\n\n\n2", "1\n2\n(3.5)\n-4,000\nwords", "1\n2\n3\n4", "a\nb\nc\nd\ne\n1 2", "Cash Flow\na\nb\n7\nc\nd"]
+    share, table = D.table_pages(F.col("v"))
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, v string")
+    assert [(r["s"], r["t"]) for r in df.select("i", share.alias("s"), table.alias("t")).orderBy("i").collect()] == [(0.4, True), (0.8, True), (1.0, False), (0.0, False), (0.1667, True)]
+
+
+def test_label_years(spark):
+    labels = ["Form 1234 of 2021", "FY 19 and FY-22", "Dec '18", "Mar 2019", "call", "Sep-21", "Form 1234"]
+    assert column(spark, labels, S.label_year) == [2021, 2022, 2018, 2019, None, 2021, None]
+
+
+def test_auditor_change_and_sources(spark):
+    texts = ["emphasis of matter " + "x" * 250 + " change", "emphasis of matter " + "x" * 320 + " change", "the auditors have resigned", "change " + "x" * 150 + " adverse opinion", "change"]
+    got = D.risk_signals(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r["auditor_changed"] for r in got] == [True, False, True, True, False]
+    fetches = spark.createDataFrame([("A", "News", "timeout"), ("A", "Exchange", "ok"), ("B", "News", "boom"), ("B", "Exchange", None)], "ticker string, source string, outcome string")
+    assert sorted(map(tuple, T.unavailable_sources(fetches).collect())) == [("A", "News (Timeout)"), ("B", "News (Error)")]
+
+
+def test_memory_of_a_period(spark):
+    t = dt.datetime
+    kind = "id long, ticker string, agent_name string, fiscal_period string, confidence double, verified_fact string, run_date timestamp, correction_type string"
+    rows = [(i, "A", "q", "Q1" if i < 4 else "Q2", 0.9 if i != 1 else 0.5, f"f{i}", t(2024, 1, 1 + i), "N" if i % 2 else "P") for i in range(6)]
+    gaps = spark.createDataFrame([("q", "A", "Q1", "roic", 2, 1), ("q", "A", "Q1", "debt", 5, 2), ("q", "A", "Q2", "x", 9, 3)], "agent_name string, ticker string, fiscal_period string, category string, n long, id long")
+    asked = spark.createDataFrame([("q", "A", "Q1"), ("q", "A", None), ("q", "Z", None)], "agent_name string, ticker string, fiscal_period string")
+    got = {(r["ticker"], r["period"]): (r["facts"], r["gaps"], r["pattern"], r["warning"]) for r in M.memory_block(spark.createDataFrame(rows, kind), gaps, asked, F.lit("2024-02-01").cast("date")).collect()}
+    assert got == {("A", "Q1"): ("f3; f2; f0", "debt,roic", "3x P, 2x N", False), ("A", "Q2"): ("f5; f4", "x", "3x P, 2x N", False), ("Z", None): ("", "", "3x P, 2x N", True)}
+
+
 def test_upsert_twice_changes_nothing(spark):
     old = spark.createDataFrame([("A", "x", 1), ("B", "y", 1)], "k string, payload string, at int")
     new = spark.createDataFrame([("B", "z", 2), ("C", "w", 2)], "k string, payload string, at int")
