@@ -88,22 +88,27 @@ def lookup_metric(facts: DataFrame, aliases: dict[str, list[str]], policy: str =
     fget: alias by alias; the same words first, then a label that holds the alias or is held by it.
     fuzzy: the same words for any alias first, then a label that holds it.
     contained: only a label that holds the alias.
-    Labels are told apart before the theta join, so its left side is as small as the set of labels.
+    Every row looks its own label up in the aliases, so there is no join; one window then finds the best label of
+    a metric in each statement. Rows without a ticker or statement are left out.
     """
-    spark = facts.sparkSession
-    rows = [(m, k, a) for m, names in aliases.items() for k, a in enumerate(names)]
-    table = spark.createDataFrame(rows, "metric string, alias_no int, alias string")
-    labels = facts.groupBy("ticker", "statement", "line_item").agg(F.min("line_no").alias("line_no"))
-    norm = lambda c: F.lower(clean_label(c, "lookup"))
-    low, want = norm("line_item"), F.lower("alias")
-    holds, held = low.contains(want), want.contains(low)
-    near = (holds | held) if policy == "fget" else holds
-    pairs = labels.join(F.broadcast(table), near)
-    tier = F.when((low == want) & F.lit(policy != "contained"), 0).otherwise(1)
-    order = [F.col("alias_no"), F.col("_tier")] if policy == "fget" else [F.col("_tier"), F.col("alias_no")]
-    w = Window.partitionBy("ticker", "statement", "metric").orderBy(*order, "line_no", "line_item")
-    best = pairs.withColumn("_tier", tier).withColumn("_k", F.row_number().over(w)).where("_k = 1").select("ticker", "statement", "line_item", "metric", "alias_no")
-    return facts.join(best, ["ticker", "statement", "line_item"])
+    names = [F.struct(F.lit(m).alias("metric"), F.lit(k).alias("alias_no"), F.lower(F.lit(a)).alias("alias")) for m, own in aliases.items() for k, a in enumerate(own)]
+    low = F.col("_low")
+
+    def near(x: Column) -> Column:
+        holds = low.contains(x["alias"])
+        return holds | x["alias"].contains(low) if policy == "fget" else holds
+
+    def ranked(x: Column) -> Column:
+        tier = F.when((low == x["alias"]) & F.lit(policy != "contained"), 0).otherwise(1)
+        first, second = (x["alias_no"], tier) if policy == "fget" else (tier, x["alias_no"])
+        return F.struct(x["metric"].alias("metric"), x["alias_no"].alias("alias_no"), F.struct(first.alias("a"), second.alias("b")).alias("_rank"))
+
+    rows = facts.where("ticker is not null and statement is not null").withColumn("_low", F.lower(clean_label("line_item", "lookup")))
+    found = rows.select(*facts.columns, F.inline(F.transform(F.filter(F.array(*names), near), ranked)))
+    own = F.struct("_rank", "line_no", "line_item")
+    best = F.min(own).over(Window.partitionBy("ticker", "statement", "metric"))
+    kept = found.withColumn("_best", best).where((F.col("_best._rank") == F.col("_rank")) & (F.col("_best.line_item") == F.col("line_item")))
+    return kept.drop("_rank", "_best")
 
 
 def latest_metric(facts: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
