@@ -159,35 +159,53 @@ def classify_documents(text: Column, patterns: dict[str, list[str]] | None = Non
     return F.coalesce(named, F.lit("other"))
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, line_no, line, start): lines with the offset of their first letter."""
-    rows = docs.select(id_col, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("int"))
+def split_sections(docs: DataFrame, headings: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, section_no, title, start, text): a line that matches a heading starts a section; empty ones go.
 
+    One fold over a text's lines notes the headings; no line leaves its row. A null text has no sections.
+    """
+    lines = F.split("text", "\n")
+    head = "struct<line: int, after: int>"
+    top = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("after")))
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("at"), top.cast(f"array<{head}>").alias("heads"))
 
-def split_sections(docs: DataFrame, headings: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, section_no, title, start, text): a line that matches a heading starts a section; empty ones go."""
-    is_head = reduce(lambda a, b: a | b, [F.col("line").rlike(p) for p in headings or HEADINGS])
-    rows = lines_of(docs, id_col).withColumn("h", is_head)
-    w = Window.partitionBy(id_col).orderBy("line_no")
-    rows = rows.withColumn("section_no", F.sum(F.col("h").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    agg = rows.groupBy(id_col, "section_no").agg(
-        F.max(F.when(F.col("h"), F.trim("line"))).alias("title"), F.min(F.when(~F.col("h"), F.col("start"))).alias("start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("text"),
-    )
-    return agg.where(F.col("text").rlike(r"\S")).select(id_col, "section_no", F.coalesce("title", F.lit("Introduction")).alias("title"), "start", "text")
+    def step(s: Column, x: Column) -> Column:
+        after = s["at"] + F.length(x) + 1
+        is_head = reduce(lambda a, b: a | b, [x.rlike(p) for p in headings or HEADINGS])
+        here = F.array(F.struct(s["line"].alias("line"), after.alias("after")))
+        return F.struct((s["line"] + 1).alias("line"), after.alias("at"), F.when(is_head, F.concat(s["heads"], here)).otherwise(s["heads"]).alias("heads"))
+
+    rows = docs.select(id_col, lines.alias("_l"), F.aggregate(lines, start, step)["heads"].alias("_h"))
+
+    def section(h: Column, no: Column) -> Column:
+        end = F.coalesce(F.get("_h", no + 1)["line"], F.size("_l"))
+        title = F.coalesce(F.trim(F.get("_l", h["line"])), F.lit("Introduction"))
+        body = F.array_join(F.slice("_l", h["line"] + 2, end - h["line"] - 1), "\n")
+        return F.struct(no.alias("section_no"), title.alias("title"), h["after"].alias("start"), body.alias("text"))
+
+    return rows.select(id_col, F.inline(F.transform("_h", section))).where(F.col("text").rlike(r"\S"))
 
 
 TABLE_LINE = r"\||\t|\d[\d,.]*\s{2,}\d|^[-=+| ]{5,}$"
 
 
 def table_blocks(docs: DataFrame, id_col: str = "doc_id", min_lines: int = 3, pattern: str = TABLE_LINE) -> DataFrame:
-    """Runs of table-like lines as spans of letters."""
-    rows = lines_of(docs, id_col).where(F.col("line").rlike(pattern))
-    island = F.col("line_no") - F.row_number().over(Window.partitionBy(id_col).orderBy("line_no"))
-    runs = rows.withColumn("i", island).groupBy(id_col, "i").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("line")).alias("end"), F.count("*").cast("int").alias("n_lines"))
-    return runs.where(F.col("n_lines") >= min_lines).select(id_col, "start", "end", "n_lines")
+    """Runs of table-like lines as spans of letters, by one fold over a text's lines; a null text has none."""
+    run = "struct<start: int, end: int, n_lines: int>"
+    none = F.array().cast(f"array<{run}>")
+    start = F.struct(F.lit(0).alias("at"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("n_lines")).alias("run"), none.alias("out"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["run"]["n_lines"] >= min_lines, F.concat(s["out"], F.array(s["run"]))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        r, end, hit = s["run"], s["at"] + F.length(x), x.rlike(pattern)
+        first = F.when(r["n_lines"] == 0, s["at"]).otherwise(r["start"])
+        n = F.when(hit, r["n_lines"] + 1).otherwise(0)
+        now = F.struct(first.alias("start"), end.alias("end"), n.alias("n_lines"))
+        return F.struct((end + 1).alias("at"), now.alias("run"), F.when(hit, s["out"]).otherwise(closed(s)).alias("out"))
+
+    return docs.select(id_col, F.inline(F.aggregate(F.split("text", "\n"), start, step, closed)))
 
 
 def chunk_spans(text: str, size: int, overlap: int, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
