@@ -25,12 +25,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), 0.0).otherwise(F.coalesce(F.try_divide(dot(a, b), F.nullif(norms, F.lit(0.0))), F.lit(0.0)))
 
 
+def _matched(rows: DataFrame, queries: DataFrame, own: list[str]) -> DataFrame:
+    """Rows with the queries that ask for them: by equal columns where a query names one, else every row."""
+    if not own:
+        return rows.crossJoin(F.broadcast(queries))
+    free, named = F.col(f"q_{own[0]}").isNull(), F.col(own[0]) == F.col(f"q_{own[0]}")
+    every = _matched(rows, queries.where(free), own[1:])
+    some = queries.where(~free)
+    rest = reduce(lambda x, y: x & y, [F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)) for c in own[1:]], named)
+    return rows.join(F.broadcast(some), rest).unionByName(every)
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int, filters: dict[str, object] | None = None, min_year: int | None = None) -> DataFrame:
     """The k most similar chunks of each query among those that pass every filter.
 
     chunks: (vec_id, metadata..., embedding); queries: (query_id, qvec) and, for a filter by the query itself,
-    columns named q_<column>. Filters come before the similarity, so that they reach the scan. Queries are
-    counted and broadcast in blocks of about BLOCK.
+    columns named q_<column>: null asks for all, anything else is an equi join. Filters come before the similarity,
+    so that they reach the scan. Queries are counted and broadcast in blocks of about BLOCK. Each vector's square
+    is taken once, not for every pair.
     """
     blocks = -(-queries.count() // BLOCK) or 1
     if blocks > 1:
@@ -43,11 +55,13 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, filters: dict[str, obj
     if min_year is not None:
         rows = rows.where(F.col("cal_year") >= min_year)
     own = [c[2:] for c in queries.columns if c.startswith("q_")]
-    condition = reduce(lambda x, y: x & y, [F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)) for c in own], F.lit(True))
-    pairs = rows.join(F.broadcast(queries), condition)
-    scored = pairs.withColumn("relevance", r(cosine(F.col("embedding"), F.col("qvec")), 3))
+    square = lambda c: F.coalesce(dot(F.col(c), F.col(c)), F.lit(0.0))
+    pairs = _matched(rows.withColumn("_sq", square("embedding")), queries.withColumn("_qsq", square("qvec")), own)
+    norms = F.nullif(F.sqrt(F.col("_sq") * F.col("_qsq")), F.lit(0.0))
+    alike = F.when(F.size("embedding") == F.size("qvec"), F.try_divide(dot(F.col("embedding"), F.col("qvec")), norms))
+    scored = pairs.withColumn("relevance", r(F.coalesce(alike, F.lit(0.0)), 3))
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("embedding", "qvec", *[f"q_{c}" for c in own])
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("embedding", "qvec", "_sq", "_qsq", *[f"q_{c}" for c in own])
 
 
 def with_sentinel(hits: DataFrame, queries: DataFrame) -> DataFrame:
