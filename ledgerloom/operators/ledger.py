@@ -55,9 +55,17 @@ def pending(ledger: DataFrame, horizon: int, now: Column) -> DataFrame:
 
 
 def score_verdicts(due: DataFrame, prices: DataFrame, horizon: int) -> DataFrame:
-    """Move to the last close on or before the horizon, and whether the verdict held; no price, no row."""
-    at = due.join(prices, "ticker").where(F.col("dt") <= F.date_add(F.col("published_at").cast("date"), horizon))
-    last = at.groupBy("ticker", "fiscal_period", "recommendation", "price").agg(F.max_by("close_px", "dt").alias("px"))
+    """Move to the last close on or before the horizon, and whether the verdict held; no price, no row.
+
+    Closes and horizons of a ticker are sorted together and each horizon takes the close before it, so work is
+    linear in both.
+    """
+    asked = due.withColumns({"_at": F.date_add(F.col("published_at").cast("date"), horizon), "_due": F.lit(1)})
+    closes = prices.where("dt is not null").select("ticker", F.col("dt").alias("_at"), F.lit(0).alias("_due"), F.struct("dt", "close_px").alias("_px"))
+    both = asked.select("ticker", "fiscal_period", "recommendation", "price", "_at", "_due").unionByName(closes, allowMissingColumns=True)
+    w = Window.partitionBy("ticker").orderBy("_at", "_due").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = both.withColumn("_last", F.last("_px", ignorenulls=True).over(w)).where("_due = 1 and _last is not null")
+    last = at.groupBy("ticker", "fiscal_period", "recommendation", "price").agg(F.max("_last")["close_px"].alias("px"))
     move = r(F.try_divide(F.col("px") - F.col("price"), F.col("price")) * 100, 2)
     hit = F.when(F.col("recommendation").isin("ADD", "BUY"), move > 0).when(F.col("recommendation").isin("SELL", "SHORT"), move < 0).otherwise(F.abs(move) <= 10)
     return last.select("ticker", "fiscal_period", "recommendation", move.alias("move_pct"), hit.alias("hit"))

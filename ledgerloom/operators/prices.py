@@ -113,11 +113,19 @@ def episode_backdrop(episodes: DataFrame, wide_facts: DataFrame) -> DataFrame:
     return out.select("ticker", "kind", "start", "end", "sales_a", "sales_b", change("sales").alias("sales_change_pct"), change("pat").alias("pat_change_pct"))
 
 
+def _within(prices: DataFrame, spans: DataFrame) -> DataFrame:
+    """Prices with each span (ticker, ..., _a, _b) that covers their day; both sides are dealt by ticker and month."""
+    months = F.sequence(F.trunc("_a", "month"), F.trunc("_b", "month"), F.expr("interval 1 month"))
+    asked = spans.where("_a <= _b").withColumn("_m", F.explode(months))
+    rows = prices.withColumn("_m", F.trunc("dt", "month"))
+    return rows.join(asked, ["ticker", "_m"]).where(F.col("dt").between(F.col("_a"), F.col("_b"))).drop("_m")
+
+
 def year_end_price(prices: DataFrame, years: DataFrame, month: int = 3, day: int = 31) -> DataFrame:
     """Close on the last day of a fiscal year, else the last within 14 days before, then 35, else null. years: (ticker, period_year)."""
     target = F.make_date(F.col("period_year"), F.lit(month), F.lit(day))
     asked = years.withColumn("_t", target)
-    near = asked.join(prices, "ticker", "left").where(F.col("dt").isNull() | F.col("dt").between(F.date_sub("_t", 35), F.col("_t")))
+    near = _within(prices, asked.select("ticker", "period_year", F.date_sub("_t", 35).alias("_a"), F.col("_t").alias("_b")))
     best = near.groupBy("ticker", "period_year").agg(F.max_by("close_px", "dt").alias("price"), F.max("dt").alias("price_dt"))
     tier = F.when(F.col("price_dt") == F.col("_t"), "exact").when(F.datediff("_t", "price_dt") <= 14, "within_14").when(F.col("price_dt").isNotNull(), "within_35").otherwise("none")
     return asked.join(best, ["ticker", "period_year"], "left").select("ticker", "period_year", "price", "price_dt", tier.alias("tier"))
@@ -126,9 +134,9 @@ def year_end_price(prices: DataFrame, years: DataFrame, month: int = 3, day: int
 def band_points(prices: DataFrame, episodes: DataFrame) -> DataFrame:
     """Every point with its place in the series and the start of the first episode that covers it.
 
-    The range join runs within a ticker: both sides are dealt by it.
+    The range join runs within a month of a ticker: an episode is dealt to all its months.
     """
     placed = prices.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy("dt")))
-    bands = episodes.where("end > start").select("ticker", F.col("start").alias("band_start"), "end")
-    hit = placed.join(bands, "ticker").where(F.col("dt").between(F.col("band_start"), F.col("end"))).groupBy("ticker", "dt").agg(F.min("band_start").alias("band_start"))
+    bands = episodes.where("end > start").select("ticker", F.col("start").alias("_a"), F.col("end").alias("_b"))
+    hit = _within(prices, bands).groupBy("ticker", "dt").agg(F.min("_a").alias("band_start"))
     return placed.join(hit, ["ticker", "dt"], "left").select("ticker", "dt", "place", "band_start")
