@@ -289,7 +289,10 @@ def scorecard(facts: DataFrame, quarters: DataFrame, wacc: float = 0.12) -> Data
 
 
 def kill_screen(wide_facts: DataFrame, holdings: DataFrame | None = None) -> DataFrame:
-    """Eight rules over the last years: what kills, what warns, and whether a ticker passes."""
+    """Eight rules over the last years: what kills, what warns, what could not be judged, and whether a ticker passes.
+
+    holdings: (ticker, pledge, promoter) in percent, one row a ticker.
+    """
     w = Window.partitionBy("ticker").orderBy(F.desc("period_year"))
     asc = Window.partitionBy("ticker").orderBy("period_year")
     rows = wide_facts.select("*", F.row_number().over(w).alias("k"), F.lag("sales").over(asc).alias("s0"), F.lag("ebit").over(asc).alias("e0"))
@@ -297,7 +300,7 @@ def kill_screen(wide_facts: DataFrame, holdings: DataFrame | None = None) -> Dat
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("int")
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     agg = rows.groupBy("ticker").agg(
-        F.count("sales").alias("years"), n((F.col("k") <= 2) & (F.col("sales") < F.col("s0"))).alias("declines"), at("sales", 1).alias("s_now"), at("sales", 6).alias("s_then"),
+        F.count("sales").alias("years"), F.count("pat").alias("n_pat"), F.count("ocf").alias("n_ocf"), n((F.col("k") <= 2) & (F.col("sales") < F.col("s0"))).alias("declines"), at("sales", 1).alias("s_now"), at("sales", 6).alias("s_then"),
         n((F.col("k") <= 5) & (F.col("pat") < 0)).alias("losses"), n((F.col("k") <= 5) & (F.col("pat") > 0) & (F.col("ocf") < 0)).alias("no_cash"),
         at("debt", 1).alias("debt"), at("equity", 1).alias("equity"), at("ebit", 1).alias("ebit"), at("interest", 1).alias("interest"),
         n((F.col("k") <= 2) & (F.col("m") < F.col("m0"))).alias("margin_falls"),
@@ -312,8 +315,11 @@ def kill_screen(wide_facts: DataFrame, holdings: DataFrame | None = None) -> Dat
     kills = {"revenue_decline": (F.col("years") >= 3) & (F.col("declines") >= 2), "losses": F.col("losses") >= 3, "no_cash": F.col("no_cash") >= 3, "debt": de > 3, "coverage": cover < 1.5, "pledge": F.col("pledge") > 30}
     warns = {"slow_growth": cagr < 5, "losses": F.col("losses") == 2, "no_cash": F.col("no_cash") == 2, "debt": (de > 1.5) & (de <= 3), "coverage": (cover >= 1.5) & (cover < 3), "pledge": (F.col("pledge") > 15) & (F.col("pledge") <= 30), "promoter": F.col("promoter") < 25, "margin": F.col("margin_falls") >= 2}
     listed = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
-    out = agg.withColumns({"kill_reasons": listed(kills), "warnings": listed(warns)})
-    return out.select("ticker", (F.size("kill_reasons") == 0).alias("passed"), F.array_join("kill_reasons", ",").alias("kill_reasons"), F.array_join("warnings", ",").alias("warnings"), r(cagr, 1).alias("revenue_cagr_5y"), r(de, 2).alias("debt_equity"), r(cover, 1).alias("interest_cover"))
+    gaps = {"revenue": F.col("years") < 3, "cash_flow": (F.col("n_pat") == 0) | (F.col("n_ocf") == 0), "debt": de.isNull(), "pledge": F.col("pledge").isNull(), "promoter": F.col("promoter").isNull()}
+    names = {"kill_reasons": kills, "warnings": warns, "gaps": gaps}
+    out = agg.withColumns({name: F.array_join(listed(rules), ",") for name, rules in names.items()})
+    figures = [r(cagr, 1).alias("revenue_cagr_5y"), r(de, 2).alias("debt_equity"), r(cover, 1).alias("interest_cover")]
+    return out.select("ticker", (F.col("kill_reasons") == "").alias("passed"), *names, *figures)
 
 
 def project(base: DataFrame, cases: DataFrame, years: int = 3) -> DataFrame:
@@ -364,6 +370,12 @@ def cash_grade(ratio: Column) -> Column:
     return F.when(ratio >= 0.8, "A").when(ratio >= 0.5, "B").when(ratio.isNotNull(), "C")
 
 
+def cash_strength(ratio: Column) -> tuple[Column, Column]:
+    """(percent, 100 at most and halves upwards; STRONG from 80, MODERATE from 50, else WEAK); null without a ratio."""
+    pct = F.when(ratio.isNotNull(), F.least(F.floor(ratio * 100 + 0.5), F.lit(100))).cast("int")
+    return pct, F.when(pct >= 80, "STRONG").when(pct >= 50, "MODERATE").when(pct.isNotNull(), "WEAK")
+
+
 def holdings_trend(holdings: DataFrame, holder: str = "Promoters") -> DataFrame:
     """The holder's share a quarter and its change; a ticker without the row says so."""
     rows = holdings.where(F.col("holder") == holder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import exprs, fiscal
+from ledgerloom.functions import exprs, fiscal, labels
 from ledgerloom.operators import normalize as N
 from ledgerloom.operators import quant as Q
 from ledgerloom.plans.registry import query
@@ -147,13 +147,15 @@ def n12(s, d):
     return N.tiered_lookup(table(s, d, "nation").select("n_name"), "n_name", [("one", "NATION_1", []), ("two", "zzzzzzzzzzzzzzzz", ["NATION_2"])], 0.6, "any").select("n_name", "category", "tier")
 
 
-_RULES = [("tion", "A"), ("ing", "B"), ("the", "C"), ("ent", "D")]
+def _first(text: str, rules: list[tuple[str, str]], default: str) -> str:
+    return "case " + " ".join(f"when contains(lower({text}), '{k}') then '{v}'" for k, v in rules) + f" else '{default}' end"
 
 
-@query("n13_first_match", "select doc_id, case " + " ".join(f"when contains(lower(coalesce(text, '')), '{k}') then '{v}'" for k, v in _RULES) + " else 'Z' end category from documents")
+@query("n13_first_match", f"select doc_id, {_first("coalesce(text, '')", labels.METRIC_RULES, 'uncategorized')} metric_category, {_first("coalesce(source, '') || ' ' || coalesce(text, '')", labels.VERTICALS, 'other')} vertical from documents")
 def n13(s, d):
-    """The first keyword that a text holds decides its category."""
-    return table(s, d, "documents").select("doc_id", exprs.first_match(F.coalesce("text", F.lit("")), _RULES, "Z").alias("category"))
+    """The first keyword that a text holds decides its metric and its vertical."""
+    both = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
+    return table(s, d, "documents").select("doc_id", labels.metric_category("text").alias("metric_category"), labels.vertical(both).alias("vertical"))
 
 
 _RULE_ROWS = "(1, 'Buil', null, null, 5), (2, null, 1, null, 9), (3, null, null, 2, 5), (4, null, null, null, 1)"
@@ -520,16 +522,20 @@ def q20(s, d):
 
 
 @query("q21_kill_screen", WIDE + f""", a as (select *, row_number() over (partition by ticker order by period_year desc) k, lag(sales) over w s0, lag(ebit) over w e0 from wide window w as (partition by ticker order by period_year)),
- b as (select ticker, count(sales) yrs, count(*) filter (where k <= 2 and sales < s0) dec, max(case when k = 1 then sales end) sn, max(case when k = 6 then sales end) st, count(*) filter (where k <= 5 and pat < 0) los, count(*) filter (where k <= 5 and pat > 0 and ocf < 0) noc,
+ b as (select ticker, cast(substr(ticker, 2) as int) tk, count(sales) yrs, count(pat) npat, count(ocf) nocf, count(*) filter (where k <= 2 and sales < s0) dec, max(case when k = 1 then sales end) sn, max(case when k = 6 then sales end) st, count(*) filter (where k <= 5 and pat < 0) los, count(*) filter (where k <= 5 and pat > 0 and ocf < 0) noc,
  max(case when k = 1 then debt end) debt, max(case when k = 1 then equity end) equity, max(case when k = 1 then ebit end) ebit, max(case when k = 1 then interest end) interest,
  count(*) filter (where k <= 2 and case when sales > 0 then ebit / sales end < case when s0 > 0 then e0 / s0 end) mf from a group by 1),
- c as (select *, case when st > 0 and sn > 0 then (pow(sn / st, 0.2e0) - 1) * 100 end g, case when equity > 0 and debt > 0 then debt / equity end de, case when interest > 0 then ebit / interest end ic from b),
- e as (select *, array_to_string(list_filter([case when yrs >= 3 and dec >= 2 then 'revenue_decline' end, case when los >= 3 then 'losses' end, case when noc >= 3 then 'no_cash' end, case when de > 3 then 'debt' end, case when ic < 1.5 then 'coverage' end], lambda x: x is not null), ',') kr,
- array_to_string(list_filter([case when g < 5 then 'slow_growth' end, case when los = 2 then 'losses' end, case when noc = 2 then 'no_cash' end, case when de > 1.5 and de <= 3 then 'debt' end, case when ic >= 1.5 and ic < 3 then 'coverage' end, case when mf >= 2 then 'margin' end], lambda x: x is not null), ',') wr from c)
- select ticker, kr = '' passed, kr kill_reasons, wr warnings, {R("g", 1)} revenue_cagr_5y, {R("de", 2)} debt_equity, {R("ic", 1)} interest_cover from e""")
+ c as (select *, case when tk % 4 <> 0 then tk % 45 end pl, tk % 70 ph, case when st > 0 and sn > 0 then (pow(sn / st, 0.2e0) - 1) * 100 end g, case when equity > 0 and debt > 0 then debt / equity end de, case when interest > 0 then ebit / interest end ic from b),
+ e as (select *, array_to_string(list_filter([case when yrs >= 3 and dec >= 2 then 'revenue_decline' end, case when los >= 3 then 'losses' end, case when noc >= 3 then 'no_cash' end, case when de > 3 then 'debt' end, case when ic < 1.5 then 'coverage' end, case when pl > 30 then 'pledge' end], lambda x: x is not null), ',') kr,
+ array_to_string(list_filter([case when g < 5 then 'slow_growth' end, case when los = 2 then 'losses' end, case when noc = 2 then 'no_cash' end, case when de > 1.5 and de <= 3 then 'debt' end, case when ic >= 1.5 and ic < 3 then 'coverage' end, case when pl > 15 and pl <= 30 then 'pledge' end, case when ph < 25 then 'promoter' end, case when mf >= 2 then 'margin' end], lambda x: x is not null), ',') wr,
+ array_to_string(list_filter([case when yrs < 3 then 'revenue' end, case when npat = 0 or nocf = 0 then 'cash_flow' end, case when de is null then 'debt' end, case when pl is null then 'pledge' end], lambda x: x is not null), ',') gp from c)
+ select ticker, kr = '' passed, kr kill_reasons, wr warnings, gp gaps, {R("g", 1)} revenue_cagr_5y, {R("de", 2)} debt_equity, {R("ic", 1)} interest_cover from e""")
 def q21(s, d):
     """Eight rules that stop or warn."""
-    return Q.kill_screen(Q.wide(facts(s, d)))
+    rows = facts(s, d)
+    k = F.substring("ticker", 2, 20).cast("int")
+    holdings = rows.select("ticker").distinct().select("ticker", F.when(k % 4 != 0, k % 45).cast("double").alias("pledge"), (k % 70).cast("double").alias("promoter"))
+    return Q.kill_screen(Q.wide(rows), holdings)
 
 
 @query("q22_projection", WIDE + f""", c("case", growth, margin, tax) as (values ('bear', 0.05e0, 0.10e0, 0.25e0), ('base', 0.10e0, 0.15e0, 0.25e0), ('bull', 0.18e0, 0.2e0, 0.25e0)),
@@ -577,10 +583,16 @@ def q25(s, d):
     return table(s, d, "part").where("p_retailprice > 0 and p_partkey > 0").select(F.col("p_partkey").alias("k"), Q.size_class(F.col("p_retailprice"), F.col("p_partkey") * 1e5).alias("size"))
 
 
-@query("q26_cash_grade", WIDE + f", c as (select ticker, {SAFE('ocf', 'ebitda')} x from latest) select ticker, x ratio, case when x >= 0.8 then 'A' when x >= 0.5 then 'B' when x is not null then 'C' end grade from c")
+@query("q26_cash_grade", WIDE + f""", c as (select ticker, {SAFE('ocf', 'ebitda')} x, cast(substr(ticker, 2) as int) % 4 k from latest), e as (select *, least(cast(floor(x * 100 + 0.5) as int), 100) p from c)
+ select ticker, x ratio, case when x >= 0.8 then 'A' when x >= 0.5 then 'B' when x is not null then 'C' end grade, case when x is not null then p end pct,
+ case when x is null then null when p >= 80 then 'STRONG' when p >= 50 then 'MODERATE' else 'WEAK' end strength, case k when 0 then 'add' when 1 then 'sell' when 2 then 'hold' end as "action" from e""")
 def q26(s, d):
-    """Letter grades of cash quality."""
-    return Q.latest(Q.wide(facts(s, d))).select("ticker", Q.earnings_columns()["ocf_ebitda"].alias("ratio")).withColumn("grade", Q.cash_grade(F.col("ratio")))
+    """Letter grades of cash quality, capped percents and what a recommendation asks for."""
+    rows = Q.latest(Q.wide(facts(s, d))).select("ticker", Q.earnings_columns()["ocf_ebitda"].alias("ratio"))
+    pct, strength = Q.cash_strength(F.col("ratio"))
+    k = F.substring("ticker", 2, 20).cast("int") % 4
+    said = F.when(k == 0, "Add on dips").when(k == 1, "exit").when(k == 2, "Neutral").otherwise(" ")
+    return rows.select("ticker", "ratio", Q.cash_grade(F.col("ratio")).alias("grade"), pct.alias("pct"), strength.alias("strength"), labels.action_bucket(said).alias("action"))
 
 
 @query("q27_holdings_trend", oracle("quarters") + f""", h as (select ticker, period, period_no, {R("value / 1000", 2)} pct from quarters where line_item = 'Sales' and ticker not like '%5'), o as (select ticker, period, pct, {R("pct - lag(pct) over (partition by ticker order by period_no)", 2)} as change, 'OK' status from h)

@@ -57,10 +57,11 @@ def s6(s, d):
     return S.compilation_stats(table(s, d, "documents").select(F.col("source").alias("ticker"), F.col("doc_id").alias("doc_no")))
 
 
+_DATE = "coalesce(" + ", ".join(f"nullif(regexp_extract(nm, '{p}', 1), '')" for p in S.LABEL_DATES) + ")"
 _LINKS = r"""pg as (select page_id, regexp_extract_all(html, '(?is)(<h[2-5][^>]*>.*?</h[2-5]>|<a\s[^>]*>.*?</a>)') ps from pages), pu as (select page_id, unnest(range(0, len(ps))) place, unnest(ps) part from pg),
  pn as (select page_id, cast(place as int) place, part, trim(regexp_replace(regexp_replace(part, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) nm, trim(regexp_extract(part, '(?is)href\s*=\s*["'']?([^"''\s>]*)', 1)) href from pu where not starts_with(lower(part), '<h')),
- links as (select page_id, place, cast(null as varchar) category, case when contains(lower(nm), 'transcript') then 'transcript' when contains(lower(nm), 'ppt') then 'ppt' when contains(lower(nm), 'presentation') then 'ppt' when contains(lower(nm), 'rec') then 'recording' else 'document' end doc_type,
- case when nm = '' then 'Untitled' else nm end as name, case when starts_with(href, '/') then 'https://example.com' || href else href end url from pn where href <> '' and not starts_with(href, '#') and not contains(lower(href), 'login'))"""
+ links as (select page_id, place, cast(null as varchar) category, case when contains(lower(nm), 'transcript') then 'transcript' when contains(lower(nm), 'ppt') then 'ppt' when contains(lower(nm), 'presentation') then 'ppt' when contains(lower(nm), 'rec') then 'recording' when contains(href, 'youtu') then 'recording' else 'document' end doc_type,
+ case when nm = '' then 'Untitled' else nm end as name, """ + _DATE + r""" as "date", case when starts_with(href, '/') then 'https://example.com' || href else href end url from pn where href <> '' and not starts_with(href, '#') and not contains(lower(href), 'login'))"""
 
 
 def _links(s, d):
@@ -80,7 +81,21 @@ def s8(s, d):
     return S.catalog_slices(_links(s, d))
 
 
-@query("s9_archive_policy")
+def _year(pattern: str, group: int, base: int) -> str:
+    return f"list_max(list_transform(regexp_extract_all(upper(name), '{pattern}', {group}), lambda y: {base} + cast(y as int)))"
+
+
+_YEAR = "coalesce(" + ", ".join([
+    _year(r"\b(199[0-9]|20[0-9]{2})\b", 1, 0), _year(r"FY\s*-?\s*([0-9]{2})\b", 1, 2000),
+    _year(r"\b(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*\s*''?-?\s*([0-9]{2})\b", 2, 2000),
+]) + ")"
+_RATING = " or ".join(f"contains(url, '{x}')" for x in S.RATING_DOMAINS)
+
+
+@query("s9_archive_policy", "with " + _LINKS + f""", u as (select page_id, place, category, name, url || case when place % 2 = 0 then '.pdf' else '' end url from links),
+ y as (select *, {_YEAR} yr, {_RATING} rating, lower(regexp_extract(url, '(?i)\\.(pdf|zip)$', 1)) ext from u), k as (select * from y where coalesce(yr >= 2020, true) and (ext <> '' or rating) qualify row_number() over (partition by url order by page_id, place) = 1)
+ select page_id, case when rating then 'credit_ratings' when contains(lower(name), 'presentation') or ends_with(lower(url), '.pptx') then 'presentations' else coalesce(category, 'important') end category, name, url,
+ substr(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g'), 1, 200) || '_' || substr(md5(url), 1, 6) || '.' || case when ext = '' then 'html' else ext end file_name from k""")
 def s9(s, d):
     """Links to keep in the archive."""
     pdf = _links(s, d).withColumn("url", F.concat("url", F.when(F.col("place") % 2 == 0, ".pdf").otherwise("")))

@@ -27,6 +27,13 @@ CATEGORIES = [
     ("presentations", "presentations"),
     ("important", "Important"),
 ]
+#: Dates in a document's label, in order.
+LABEL_DATES = (
+    r"(?i)Financial\s+Year\s+(\d{4})",
+    r"(?i)(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4})",
+    r"(?i)((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4})",
+    r"\b(20\d{2})\b",
+)
 #: Domains of rating agencies.
 RATING_DOMAINS = ("crisil.com", "icra.in", "careratings.com")
 
@@ -100,10 +107,16 @@ def map_tickers(df: DataFrame, name: str, mapping: dict[str, str]) -> DataFrame:
     return df.withColumn("ticker", F.coalesce(F.try_element_at(table, F.col(name)), F.try_element_at(upper, F.upper(name)), F.upper(F.get(F.split(F.trim(name), " "), 0))))
 
 
+def label_date(label: Column | str) -> Column:
+    """The date that a label names, as written: a financial year, a day, a month with its year, else a year; null without one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(label, p, 1), F.lit("")) for p in LABEL_DATES])
+
+
 def harvest_links(pages: DataFrame, base: str = "https://example.com") -> DataFrame:
-    """(page_id, place, category, doc_type, name, url): links under the category of the heading before them.
+    """(page_id, place, category, doc_type, name, date, url): links under the category of the heading before them.
 
     A heading without a known keyword clears the category. Empty, fragment and login links are dropped.
+    The date is that of the link's own text, else of the heading before it.
     """
     parts = F.regexp_extract_all("html", F.lit(r"(?is)(<h[2-5][^>]*>.*?</h[2-5]>|<a\s[^>]*>.*?</a>)"), 1)
     rows = pages.select("page_id", F.posexplode(parts).alias("place", "part"))
@@ -111,12 +124,15 @@ def harvest_links(pages: DataFrame, base: str = "https://example.com") -> DataFr
     head = F.col("part").rlike("(?i)^<h")
     rows = rows.withColumns({"name": plain, "head": head})
     category = F.when(F.col("head"), F.coalesce(first_match("name", CATEGORIES), F.lit("")))
-    rows = rows.withColumn("category", F.nullif(F.last(category, ignorenulls=True).over(Window.partitionBy("page_id").orderBy("place")), F.lit(""))).where(~F.col("head"))
+    before = Window.partitionBy("page_id").orderBy("place")
+    period = F.when(F.col("head"), F.coalesce(label_date("name"), F.lit("")))
+    rows = rows.withColumns({n: F.nullif(F.last(c, ignorenulls=True).over(before), F.lit("")) for n, c in (("category", category), ("_period", period))}).where(~F.col("head"))
     href = F.trim(F.regexp_extract("part", r"(?is)href\s*=\s*[\"']?([^\"'\s>]*)", 1))
     rows = rows.withColumn("href", href).where((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.lower("href").contains("login"))
     url = F.when(F.col("href").startswith("/"), F.concat(F.lit(base), "href")).otherwise(F.col("href"))
-    kind = first_match("name", [("transcript", "transcript"), ("ppt", "ppt"), ("presentation", "ppt"), ("rec", "recording")], "document")
-    return rows.select("page_id", "place", "category", kind.alias("doc_type"), F.coalesce(F.nullif("name", F.lit("")), F.lit("Untitled")).alias("name"), url.alias("url"))
+    kind = first_match("name", [("transcript", "transcript"), ("ppt", "ppt"), ("presentation", "ppt"), ("rec", "recording")])
+    kind = F.coalesce(kind, F.when(F.col("href").contains("youtu"), "recording").otherwise("document"))
+    return rows.select("page_id", "place", "category", kind.alias("doc_type"), F.coalesce(F.nullif("name", F.lit("")), F.lit("Untitled")).alias("name"), F.coalesce(label_date("name"), "_period").alias("date"), url.alias("url"))
 
 
 def catalog_slices(links: DataFrame, max_presentations: int = 8) -> DataFrame:

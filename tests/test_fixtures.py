@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import exprs, fiscal
+from ledgerloom.functions import exprs, fiscal, labels
 from ledgerloom.operators import docs as D
 from ledgerloom.operators import findings as J
 from ledgerloom.operators import ledger as M
@@ -109,6 +109,25 @@ def test_headings_set_and_clear_categories(spark):
     assert [(r["category"], r["url"]) for r in got] == [("annual_reports", "https://example.com/r.pdf"), (None, "https://icra.in/y")]
 
 
+def test_links_carry_dates_and_kinds(spark):
+    html = '<h3>Concalls Feb 2026</h3><a href="/a">Transcript</a><a href="https://youtu.be/x">Call 10 Sep 2025</a><h3>Annual Reports</h3><a href="/b">Financial Year 2024 from 2023</a><a href="/c">Report</a>'
+    got = S.harvest_links(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("place").collect()
+    assert [(r["doc_type"], r["date"]) for r in got] == [("transcript", "Feb 2026"), ("recording", "10 Sep 2025"), ("document", "2024"), ("document", None)]
+
+
+def test_first_keyword_decides(spark):
+    rows = [("Gross margin and volume", "FMCG"), ("volume fell", "Private Sector Bank"), ("", "IT - Software"), (None, None), ("court case", "automobile parts")]
+    df = spark.createDataFrame(rows, "a string, b string").select(labels.metric_category("a"), labels.vertical("b"))
+    assert [tuple(r) for r in df.collect()] == [("margins", "manufacturer"), ("volume_growth", "bank"), ("uncategorized", "it_services"), ("uncategorized", "other"), ("litigation", "auto")]
+
+
+def test_action_and_strength(spark):
+    rows = [("add on dips", 0.795), (" Exit ", 0.5), ("Neutral", 3.0), ("", 0.1), (None, None)]
+    pct, strength = Q.cash_strength(F.col("x"))
+    got = spark.createDataFrame(rows, "t string, x double").select(labels.action_bucket(F.col("t")), pct, strength).collect()
+    assert [tuple(r) for r in got] == [("add", 80, "STRONG"), ("sell", 50, "MODERATE"), ("hold", 100, "STRONG"), (None, 10, "WEAK"), (None, None, None)]
+
+
 def test_archive_policy(spark):
     rows = [(1, 0, "FY19 report", "https://a/x.pdf"), (1, 1, "Report 2024", "https://a/y.pdf"), (1, 2, "again", "https://a/y.pdf"), (1, 3, "rating", "https://www.icra.in/z"), (1, 4, "page", "https://a/z")]
     got = S.archive_policy(spark.createDataFrame([(*r, None) for r in rows], "page_id long, place int, name string, url string, category string")).collect()
