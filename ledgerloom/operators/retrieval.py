@@ -122,16 +122,20 @@ def clear(store: DataFrame, ticker: str) -> DataFrame:
     return store.where(F.col("ticker") != ticker.upper())
 
 
-def embed(texts: DataFrame, dims: int = 256) -> DataFrame:
-    """Unit vectors of distinct texts by hashed words and inverse document frequency; null for texts without words."""
+def embed(texts: DataFrame, dims: int = 256, idf: bool = True) -> DataFrame:
+    """Unit vectors of distinct texts by hashed words; null for texts without words.
+
+    idf: weigh words by inverse document frequency over all texts given; without it a vector depends on its text alone.
+    """
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     distinct = texts.select("text").where("text is not null").distinct()
     words = distinct.withColumn("_w", F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))
-    tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dims).transform(words)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="_idf", outputCol="_u").transform(idf).select("text", vector_to_array("_u").alias("_v"))
+    rows = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dims).transform(words)
+    if idf:
+        rows = IDF(inputCol="_tf", outputCol="_idf").fit(rows).transform(rows)
+    unit = Normalizer(inputCol="_idf" if idf else "_tf", outputCol="_u").transform(rows).select("text", vector_to_array("_u").alias("_v"))
     unit = unit.select("text", F.when(F.exists("_v", lambda x: x != 0), F.col("_v")).alias("embedding"))
     return texts.join(unit, "text", "left")
 

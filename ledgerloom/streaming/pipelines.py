@@ -6,30 +6,77 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerloom.operators.docs import chunk_text
+from ledgerloom.functions.fiscal import stamp_period
+from ledgerloom.operators.docs import chunk_records, chunk_text, classify_documents, split_sections
+from ledgerloom.operators.retrieval import drop_failed, embed
 
 
-def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str):
-    """Start a stream that cuts new documents into chunks and appends those the store lacks.
+def prepare_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks with vectors, documents refused) of (doc_id, ticker, file_name, text, doc_type).
 
-    source: folder of parquet files with doc_id, text and doc_type. A batch that is run again adds nothing,
-    since its chunks are there already.
+    A null doc_type is found from the text; documents of no known type are refused. Chunks carry the period that
+    the file's name or head states; those without words have no vector.
     """
+    typed = docs.withColumn("doc_type", F.coalesce("doc_type", classify_documents(F.col("text"))))
+    known = typed.where("doc_type <> 'other'").withColumn("fiscal_period", stamp_period("file_name", "text")["fiscal_period"])
+    cut = chunk_text(split_sections(known).join(known.select("doc_id", "doc_type"), "doc_id"))
+    return embed(chunk_records(cut, known), idf=False), typed.where("doc_type = 'other'")
 
-    def write(batch: DataFrame, _: int) -> None:
-        chunks = chunk_text(batch.withColumn("section_no", F.lit(0)))
-        chunks = chunks.withColumn("chunk_id", F.md5(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"), F.substring("text", 1, 50)).cast("binary")))
-        try:
-            known = spark.read.parquet(store).select("chunk_id")
-            chunks = chunks.join(known, "chunk_id", "left_anti")
-        except Exception as e:  # noqa: BLE001  the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        chunks.write.mode("append").parquet(store)
+
+def current_chunks(spark: SparkSession, store: str) -> DataFrame:
+    """The chunks of every document's latest version."""
+    rows = spark.read.parquet(store)
+    latest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+    return rows.join(latest, ["doc_id", "version"])
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """Digest and version of each stored document; null where there is no store yet."""
+    try:
+        rows = spark.read.parquet(store)
+    except Exception as e:  # noqa: BLE001  the first batch finds no store
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    return rows.groupBy("doc_id").agg(F.max("version").alias("_v"), F.max_by("text_sha256", "version").alias("_d"))
+
+
+def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, counts: str | None = None):
+    """Start a stream that types, cuts, stamps and embeds new or changed documents and adds them to the store.
+
+    source: folder of parquet files with doc_id and text; ticker, file_name and doc_type are null if absent. A document whose whole text
+    is stored already adds nothing, so a batch may run again; a changed one adds a version, and current_chunks reads
+    the latest. Of rows that repeat an id in a batch the one with the largest digest counts; one that is
+    refused leaves what is stored. counts: folder for one row a batch of documents, refused ones, chunks and failed ones.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        absent = {c: F.lit(None).cast("string") for c in ("ticker", "file_name", "doc_type") if c not in batch.columns}
+        docs = batch.withColumns(absent) if absent else batch
+        docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+        docs = docs.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "text_sha256").alias("r")).select("doc_id", "r.*")
+        held = _stored(spark, store)
+        if held is None:
+            docs = docs.withColumn("version", F.lit(1))
+        else:
+            docs = docs.join(held, "doc_id", "left").where("_d is null or _d <> text_sha256")
+            docs = docs.withColumn("version", F.coalesce(F.col("_v") + 1, F.lit(1))).drop("_v", "_d")
+        docs = docs.persist(StorageLevel.DISK_ONLY)
+        chunks, refused = prepare_chunks(docs)
+        chunks = chunks.join(docs.select("doc_id", "ticker", "text_sha256", "version"), "doc_id").persist(StorageLevel.DISK_ONLY)
+        good, failed = drop_failed(chunks)
+        if counts is not None:
+            sizes = [docs.agg(F.count("*").alias("n_docs")), refused.agg(F.count("*").alias("n_refused")), failed.select(F.col("n_all").alias("n_chunks"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"))]
+            row = sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2])  # one row each
+            row.write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        good.write.mode("append").parquet(store)
+        chunks.unpersist()
+        docs.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

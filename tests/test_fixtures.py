@@ -18,7 +18,7 @@ from ledgerloom.operators import retrieval as V
 from ledgerloom.plans.tables import relation
 from ledgerloom.sources import scans as S
 from ledgerloom.streaming import events as T
-from ledgerloom.streaming.pipelines import ingest_stream, swing_stream
+from ledgerloom.streaming.pipelines import current_chunks, ingest_stream, swing_stream
 
 
 def column(spark, values, make):
@@ -329,6 +329,24 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     assert run("c1") == 2 * first
 
 
+def test_ingest_types_stamps_refuses_and_replaces(spark, tmp_path):
+    schema = "doc_id long, ticker string, file_name string, text string, doc_type string"
+    store, counts = str(tmp_path / "store"), str(tmp_path / "counts")
+
+    def run(name, rows):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / name))
+        ingest_stream(spark, str(tmp_path / "in" / "*"), schema, store, str(tmp_path / "cp"), counts).awaitTermination()
+        return {(r["doc_id"], r["version"], r["text"]) for r in current_chunks(spark, store).collect()}
+
+    call = "Earnings call Q3 FY25\nModerator: welcome"
+    first = run("a", [(1, "T", "T_Q3_FY25.pdf", call, None), (2, "T", "x.pdf", "nothing known", None), (3, "T", "y_FY24.pdf", "Annual report\nRisk management\n....", None), (4, "T", "z.pdf", None, "note")])
+    assert {r[0] for r in first} == {1, 3} and any(r[2] == f"[Q3_FY25]\n{call}" for r in first)
+    second = run("b", [(1, "T", "T_Q3_FY25.pdf", call + " all", None), (3, "T", "y_FY24.pdf", "Annual report\nRisk management\n....", None)])
+    assert {(r[0], r[1]) for r in second} == {(1, 2), (3, 1)} and any(r[2].endswith("welcome all") for r in second)
+    sizes = {r["batch"]: (r["n_docs"], r["n_refused"], r["n_chunks"], r["n_failed"]) for r in spark.read.parquet(counts).collect()}
+    assert sizes == {0: (4, 1, 3, 0), 1: (1, 0, 1, 0)}  # the line with the period gives every chunk a word
+
+
 def test_titles_are_dropped_within_the_watermark(spark, tmp_path):
     rows = [("a", "Title"), ("b", "title "), ("c", "Trading Window"), ("d", "Other")]
     feed = spark.createDataFrame([(f"https://www.x.org/{u}", t) for u, t in rows], "url string, title string").withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
