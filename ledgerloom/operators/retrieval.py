@@ -11,6 +11,13 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.exprs import r
 from ledgerloom.functions.fiscal import fiscal_window
 
+#: Domains of topics, the words that go before a topic, and how many hits a topic has.
+DOMAINS = (
+    ("guidance", "management guidance outlook expected target", 5),
+    ("competitive", "competitive advantage moat market share competitors", 3),
+    ("capital", "capital allocation capex dividend buyback acquisition", 3),
+    ("governance", "management board directors related party auditor", 3),
+)
 #: Queries that are broadcast at once.
 BLOCK = 2000
 
@@ -70,6 +77,24 @@ def with_sentinel(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return out.withColumns({"relevance": F.coalesce("relevance", F.lit(0.0)), "place": F.coalesce("place", F.lit(1)), "found": F.col("vec_id").isNotNull()})
 
 
+def topic_text(domain: Column, topic: Column) -> Column:
+    """What a topic is searched with: its domain's words, then the topic; null for an unknown domain."""
+    words = F.create_map(*[F.lit(x) for name, text, _ in DOMAINS for x in (name, text)])
+    return F.concat(F.try_element_at(words, domain), F.lit(" "), topic)
+
+
+def topic_search(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The chunks of a request's ticker that are most like its topic, as many as its domain has; a sentinel where none is.
+
+    requests: (query_id, domain, ticker, qvec), qvec the vector of topic_text. A request without a ticker finds nothing.
+    """
+    limit = F.create_map(*[F.lit(x) for name, _, k in DOMAINS for x in (name, k)])
+    asked = requests.where("ticker is not null").select("query_id", "qvec", F.upper("ticker").alias("q_ticker"))
+    hits = search(chunks, asked, max(k for _, _, k in DOMAINS))
+    own = hits.join(requests.select("query_id", F.try_element_at(limit, F.col("domain")).alias("_limit")), "query_id")
+    return with_sentinel(own.where(F.col("place") <= F.col("_limit")).drop("_limit"), requests)
+
+
 def window_policy(requests: DataFrame) -> DataFrame:
     """Filter columns of a request: the period if one is asked, none if all or a least year, else the recent window."""
     free = F.col("all_periods") | F.col("min_year").isNotNull()

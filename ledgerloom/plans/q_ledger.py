@@ -206,12 +206,14 @@ def r11(s, d):
     return V.band_pairs(table(s, d, "embeddings"), "label", 0.3, 0.92)
 
 
-@query("r12_topic_search", _TOP.format(where="case query_id % 200 when 0 then doc_type = 'concall_transcript' else doc_type = 'annual_report' end") + " select query_id, vec_id, relevance, place from top where place <= case query_id % 200 when 0 then 5 else 3 end")
+@query("r12_topic_search", _TOP.format(where="ticker = (select w.ticker from vec w where w.vec_id = query_id) and query_id % 300 <> 0") + """, h as (select query_id, vec_id, relevance, place from top where place <= case query_id % 200 when 0 then 5 else 3 end)
+ select q.query_id, h.vec_id, coalesce(relevance, 0) relevance, coalesce(place, 1) place, vec_id is not null found from q left join h using (query_id)""")
 def r12(s, d):
-    """Topics searched in the documents of their domain."""
-    q = _queries(s, d).withColumn("q_doc_type", F.when(F.col("query_id") % 200 == 0, "concall_transcript").otherwise("annual_report"))
-    hits = V.search(relation(s, d, "vec"), q, 5)
-    return hits.where((F.col("query_id") % 200 == 0) | (F.col("place") <= 3)).select("query_id", "vec_id", "relevance", "place")
+    """Topics of two domains searched among the chunks of their ticker; some requests name none."""
+    e = F.col("vec_id")
+    domain = F.when(e % 200 == 0, "guidance").otherwise("capital")
+    asked = relation(s, d, "vec").where(e % 100 == 0).select(e.alias("query_id"), domain.alias("domain"), F.when(e % 300 != 0, F.col("ticker")).alias("ticker"), F.col("embedding").alias("qvec"))
+    return V.topic_search(relation(s, d, "vec"), asked).select("query_id", "vec_id", "relevance", "place", "found")
 
 
 @query("p7_episode_evidence", WIDE.replace("with recursive", "with recursive vec as (" + VEC + "),") + ", prices as (" + PRICES + ")" + _SWING + """, q as (select embedding qvec from vec where vec_id = 0),

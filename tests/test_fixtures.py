@@ -310,6 +310,16 @@ def test_embeddings_are_unit_or_null(spark):
     assert len(got) == 5 and all(r["n"] is None or abs(r["n"] - 1) < 1e-9 or r["n"] == 0 for r in got)
 
 
+def test_topics_have_the_words_of_their_domain(spark):
+    df = spark.createDataFrame([("capital", "dam"), ("none", "x")], "d string, t string").select(V.topic_text(F.col("d"), F.col("t")))
+    assert [r[0] for r in df.collect()] == ["capital allocation capex dividend buyback acquisition dam", None]
+    chunks = spark.createDataFrame([(i, "T", [1.0, i / 10]) for i in range(6)] + [(9, "U", [1.0, 0.0])], "vec_id long, ticker string, embedding array<double>")
+    asked = [(1, "guidance", "t", [1.0, 0.0]), (2, "capital", "T", [1.0, 0.0]), (3, "capital", None, [1.0, 0.0]), (4, "none", "T", [1.0, 0.0])]
+    got = V.topic_search(chunks, spark.createDataFrame(asked, "query_id long, domain string, ticker string, qvec array<double>")).collect()
+    ids = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["place"]) if r["query_id"] == q] for q in (1, 2, 3, 4)}
+    assert ids == {1: [0, 1, 2, 3, 4], 2: [0, 1, 2], 3: [None], 4: [None]}
+
+
 # --- streams ---
 
 
