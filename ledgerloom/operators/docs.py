@@ -402,14 +402,14 @@ def segments_from_payload(payloads: DataFrame) -> DataFrame:
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Lines that repeat an earlier one, bullets and case aside, go; headings and blank lines stay. No shuffle."""
-    keys = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[\s*•-]+", ""))))
-    rows = docs.select(id_col, F.split("text", "\n").alias("_l"), keys.alias("_k"))
-    # the place of each key's first line, by one pass over the sorted places
-    order = F.array_sort(F.transform("_k", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    first = F.transform(order, lambda x, j: F.when((j == 0) | (F.get(order, j - 1)["k"] != x["k"]), x["i"]))
-    rows = rows.select(id_col, "_l", "_k", F.array_sort(F.array_compact(first)).alias("_f"))
-    kept = F.filter(F.transform("_l", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_contains("_f", s["i"]) | (F.get("_k", s["i"]) == "") | s["x"].startswith("#"))
-    return rows.select(id_col, F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias("text"))
+    key = lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[\s*•-]+", "")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    # sorted by key and place, a key's first line stands where the key before it differs
+    rows = docs.select(id_col, F.array_sort(lines).alias("_o"))
+    first = lambda s, j: (j == 0) | (F.get("_o", j - 1)["k"] != s["k"])
+    kept = F.filter("_o", lambda s, j: first(s, j) | (s["k"] == "") | s["x"].startswith("#"))
+    back = F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
+    return rows.select(id_col, F.array_join(F.transform(back, lambda s: s["x"]), "\n").alias("text"))
 
 
 def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
