@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions import exprs
 from ledgerloom.operators import docs as D
 from ledgerloom.operators import findings as J
 from ledgerloom.operators import ledger as M
 from ledgerloom.operators import quant as Q
+from ledgerloom.operators import retrieval as V
 from ledgerloom.plans.q_core import R
-from ledgerloom.plans.registry import query
-from ledgerloom.plans.tables import oracle, relation, table
+from ledgerloom.plans.q_ledger import _COS, _EP, _L
+from ledgerloom.plans.registry import REGISTRY, query
+from ledgerloom.plans.tables import VEC, oracle, relation, table
 from ledgerloom.sources import scans as S
+from ledgerloom.sources.shared import new_folder
 from ledgerloom.streaming import events as T
+from ledgerloom.streaming import pipelines as I
 
 corpus = lambda s, d: relation(s, d, "corpus").withColumn("text", F.coalesce("text", F.lit("")))
 _C = oracle("corpus") + ", c as (select doc_id, ticker, coalesce(text, '') as text, lang, file_name from corpus)"
@@ -22,6 +27,32 @@ _LINES = _C + ", sp as (select doc_id, string_split(text, chr(10)) ls from c), l
 # --- scans -----------------------------------------------------------------------------------------
 
 
+@query("s1_statement_scan", oracle("facts") + """ select ticker, statement, line_no row_no, line_item label, period period_label, cast(floor(value) as bigint) as value from facts where value is not null""")
+def s1(s, d):
+    """Statements written as records of their own period columns, then read back cell by cell."""
+    whole = F.floor("value").cast("string")
+    facts = relation(s, d, "facts").groupBy("ticker", "statement", F.col("line_no").alias("row_no"), "line_item")
+    cells = F.map_from_entries(F.collect_list(F.struct("period", whole)))
+    rows = facts.agg(cells.alias("c")).select("ticker", "statement", "row_no", F.map_concat(F.create_map(F.lit(""), "line_item"), "c").alias("row"))
+    path = new_folder(s, "statements")
+    rows.write.json(path)
+    read = S.read_statements(s, path).select("ticker", "statement", "row_no", "label", F.explode("cells").alias("period_label", "raw"))
+    return read.where("raw <> ''").withColumn("value", F.col("raw").cast("long")).drop("raw")
+
+
+@query("s2_quarterly_csv", oracle("quarters") + " select ticker, line_item, period, cast(floor(value) as double) as value from quarters")
+def s2(s, d):
+    """Quarters written as one CSV file a ticker, then read back."""
+    q = relation(s, d, "quarters").select("ticker", "line_item", "period", "period_no", F.floor("value").cast("string").alias("v"))
+    order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_no", c))), lambda x: x[c]), ",")
+    lines = q.groupBy("ticker", "line_item").agg(order("period").alias("head"), order("v").alias("cells"))
+    body = F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "line_item", "cells"))), "\n")
+    texts = lines.groupBy("ticker").agg(F.concat(F.lit("Metric,"), F.max("head"), F.lit("\n"), body, F.lit("\nRaw PDF,x")).alias("value"))
+    path = new_folder(s, "quarterly")
+    texts.repartition("ticker").write.partitionBy("ticker").text(path)
+    return S.read_quarterly_csv(s, path, r"ticker=([^/]+)/[^/]+$", "*.txt")
+
+
 @query("s3_file_catalog")
 def s3(s, d):
     """Files of a folder with their sizes."""
@@ -552,14 +583,75 @@ def t8(s, d):
     return T.job_status(e.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.when(F.col("value") > 250, "active").otherwise("completed").alias("state")))
 
 
-@query("u2_research_run")
+# --- streams and the full run ----------------------------------------------------------------------
+
+_TYPED = REGISTRY.oracles["d1_classify"]
+
+
+@query("t6_ingest_stream", f"""select c.doc_id, source ticker, 1 as version, sha256(text) text_sha256 from documents c join ({_TYPED}) t using (doc_id)
+ where (c.doc_id % 2 = 0 or doc_type <> 'other') and regexp_matches(text, '\\S')""")
+def t6(s, d):
+    """Documents read as a stream into a store of chunks; half name their type, the rest are typed or refused."""
+    docs = relation(s, d, "corpus").select("doc_id", "ticker", "file_name", "text", F.when(F.col("doc_id") % 2 == 0, "note").alias("doc_type"))
+    path = new_folder(s, "ingest")
+    docs.write.parquet(f"{path}/in")
+    schema = "doc_id long, ticker string, file_name string, text string, doc_type string"
+    I.ingest_stream(s, f"{path}/in", schema, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return I.current_chunks(s, f"{path}/store").select("doc_id", "ticker", "version", "text_sha256").distinct()
+
+
+@query("t7_swing_stream", _EP + " select ticker, kind, \"start\", start_px, \"end\", end_px from ep where not ongoing")
+def t7(s, d):
+    """Swings that close while prices arrive as a stream; they equal those of the batch."""
+    path = new_folder(s, "swings")
+    prices = relation(s, d, "prices")
+    prices.write.parquet(f"{path}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    held = s.conf.get(provider, None)
+    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = I.swing_stream(s.readStream.schema(prices.schema).parquet(f"{path}/in"))
+        sink = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.unset(provider) if held is None else s.conf.set(provider, held)
+    px = lambda c: exprs.r(F.col(c), 2).alias(c)
+    return s.read.schema(out.schema).parquet(f"{path}/out").select("ticker", "kind", "start", px("start_px"), "end", px("end_px"))
+
+
+_OWN_TICKER = "concat('S', cast(1 + vec_id % 97 as {}))"
+_U2 = f"""with recursive card as ({REGISTRY.oracles["q20_scorecard"]}),
+ led as (select 'S' || substr(ticker, 2) ticker, id, agent_name, fiscal_period, metric_category, verified_fact, confidence, score, run_date from ({_L} select * from ledger)),
+ ev as (select ticker, greatest(0, least(100, 10 + sum(case when score < 50 then 8 else 3 end))) evasion from led group by 1),
+ lp as (select ticker, max_by(fiscal_period, (run_date, id)) period from led group by 1),
+ gp as (select led.ticker, metric_category category, count(*) n, min(id) id from led join lp on led.ticker = lp.ticker and led.fiscal_period = lp.period where score < 50 and agent_name = 'view' group by 1, 2),
+ gk as (select * from gp qualify row_number() over (partition by ticker order by n desc, id) <= 5), gt as (select ticker, string_agg(category, ',' order by n desc, id) gaps from gk group by 1),
+ v as (select vec_id, {_OWN_TICKER.format("varchar")} ticker, fiscal_year in ('FY22', 'FY24') narrow, embedding from ({VEC})), q as (select vec_id query_id, embedding qvec, ticker qt from v where vec_id % 100 = 0),
+ sc as (select q.query_id, v.vec_id, v.ticker, narrow, {R(_COS.format("v.embedding", "q.qvec"), 3)} rel from v join q on q.qt = v.ticker),
+ a as (select *, row_number() over (partition by query_id order by rel desc, vec_id) place from sc where narrow), b as (select *, row_number() over (partition by query_id order by rel desc, vec_id) place from sc where ticker not in (select ticker from a)),
+ h as (select ticker, false w from a where place <= 5 union all select ticker, true from b where place <= 5), ch as (select ticker, count(*) n_chunks, bool_or(w) widened from h group by 1)
+ select ticker, period_year, roe, n_flags, confidence, evasion, case when evasion >= 75 then 'HIGH EVASION — Management is likely deflecting on critical issues'
+ when evasion >= 45 then 'MODERATE EVASION — Some hedging detected, selective transparency' when evasion >= 25 then 'LOW EVASION — Minor hedging, mostly transparent communication'
+ when evasion is not null then 'TRANSPARENT — Management communication appears forthcoming' end verdict, case when lp.ticker is not null then coalesce(gaps, '') end gaps, coalesce(n_chunks, 0) n_chunks, widened,
+ case when lp.ticker is null then 'NO_MEMORY' when roe is null then 'PARTIAL' else 'OK' end status
+ from card left join ev using (ticker) left join lp using (ticker) left join gt using (ticker) left join ch using (ticker)"""
+
+
+@query("u2_research_run", _U2)
 def u2(s, d):
-    """Scorecard, evasion and memory of every ticker in one job, with a status."""
+    """Scorecard, evasion, memory and passages of every ticker in one job, with a status."""
     card = Q.scorecard(relation(s, d, "facts"), relation(s, d, "quarters"))
     led = relation(s, d, "ledger").withColumn("ticker", F.concat(F.lit("S"), F.substring("ticker", 2, 9)))
     gaps = led.where("score < 50").groupBy("agent_name", "ticker", "fiscal_period", F.col("metric_category").alias("category")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
     asked = led.select(F.lit("view").alias("agent_name"), "ticker", F.lit(None).cast("string").alias("fiscal_period")).distinct()
     memory = M.memory_block(led.withColumn("correction_type", F.lit("NUMBER")), gaps, asked, F.lit("2024-06-01").cast("date"))
     items = led.select("ticker", F.when(F.col("score") < 50, "dodge").otherwise("phrase").alias("kind"), F.lit("LOW").alias("level"))
-    out = card.join(J.evasion_score(items).select("ticker", "score", "verdict"), "ticker", "left").join(memory.select("ticker", "facts", "gaps"), "ticker", "left")
-    return out.select("ticker", "period_year", "roe", "n_flags", "confidence", F.col("score").alias("evasion"), "verdict", "gaps", F.when(F.col("facts").isNull(), "NO_MEMORY").when(F.col("roe").isNull(), "PARTIAL").otherwise("OK").alias("status"))
+    chunks = relation(s, d, "vec").withColumn("ticker", F.expr(_OWN_TICKER.format("string")))
+    queries = chunks.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("ticker").alias("q_ticker"))
+    texts = chunks.select("vec_id", F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("text"))
+    passages = V.assemble(chunks, queries, texts, ["FY22", "FY24"]).select("ticker", "n_chunks", "widened")
+    out = card.join(J.evasion_score(items).select("ticker", F.col("score").alias("evasion"), "verdict"), "ticker", "left")
+    out = out.join(memory.select("ticker", "facts", "gaps"), "ticker", "left").join(passages, "ticker", "left")
+    status = F.when(F.col("facts").isNull(), "NO_MEMORY").when(F.col("roe").isNull(), "PARTIAL").otherwise("OK")
+    found = F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")
+    return out.select("ticker", "period_year", "roe", "n_flags", "confidence", "evasion", "verdict", "gaps", found, "widened", status.alias("status"))

@@ -49,9 +49,13 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("ticker", "statement", "row_no", label.alias("label"), F.transform_values(cells, lambda _, v: F.coalesce(v, F.lit(""))).alias("cells"))
 
 
-def read_quarterly_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, line_item, period, value) from folders of CSV files named by ticker; header rows give the quarters."""
-    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.csv", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1).alias("ticker"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
+def read_quarterly_csv(spark: SparkSession, path: str, ticker: str = r"([^/]+)\.csv$", glob: str = "*.csv") -> DataFrame:
+    """(ticker, line_item, period, value) from folders of CSV files; header rows give the quarters.
+
+    ticker: what of a file's path is its ticker, the file's name by default.
+    """
+    files = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=glob, wholetext=True)
+    lines = files.select(F.regexp_extract(F.col("_metadata.file_path"), ticker, 1).alias("ticker"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
     rows = lines.where(F.trim("line") != "").withColumn("c", F.transform(F.split("line", r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))))
     head = rows.where("no = 0").select("ticker", F.col("c").alias("h"))
     cells = rows.where("no > 0").join(head, "ticker").select("ticker", F.element_at("c", 1).alias("line_item"), F.inline(F.arrays_zip(F.slice("h", F.lit(2), F.size("h")).alias("period"), F.slice("c", F.lit(2), F.size("c")).alias("raw"))))
