@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,9 @@ DOMAINS = (
     ("capital", "capital allocation capex dividend buyback acquisition", 3),
     ("governance", "management board directors related party auditor", 3),
 )
+#: What stands before or after a topic in forward-looking passages.
+TOPIC_AFTER = r"(?i)(?:we expect|guidance|outlook|target|aim to|going forward).*?"
+TOPIC_BEFORE = r".*?(?:we expect|guidance|outlook|target)"
 #: Queries that are broadcast at once.
 BLOCK = 2000
 
@@ -95,6 +100,48 @@ def topic_search(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     return with_sentinel(own.where(F.col("place") <= F.col("_limit")).drop("_limit"), requests)
 
 
+def topic_passages(requests: DataFrame, k: int = 3, cut: int = 800, least: int = 30) -> DataFrame:
+    """Passages of a request's own text, for requests that name no ticker: (query_id, place, passage, score).
+
+    requests: (query_id, topic, doc). Paragraphs are ranked by how often they hold the topic's words of over two
+    letters, then by place; short paragraphs do not count. A request without a hit has one row, `Not found`.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    terms = F.filter(F.split(F.lower("topic"), r"\s+"), lambda t: F.length(t) > 2)
+    rows = requests.select("query_id", terms.alias("_t"), F.posexplode(F.split("doc", r"\n\s*\n")).alias("_at", "_p"))
+    rows = rows.withColumn("_p", bare("_p")).where(F.length("_p") >= least)
+    low = F.lower("_p")
+    times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int")
+    score = F.aggregate(F.transform("_t", times), F.lit(0), lambda acc, n: acc + n)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_at"))
+    best = rows.withColumn("score", score).where("score > 0").withColumn("place", place).where(F.col("place") <= k)
+    out = requests.select("query_id").join(best.select("query_id", "place", F.substring("_p", 1, cut).alias("passage"), "score"), "query_id", "left")
+    return out.withColumns({"place": F.coalesce("place", F.lit(1)), "passage": F.coalesce("passage", F.lit("Not found")), "score": F.coalesce("score", F.lit(0))})
+
+
+def topic_guidance(requests: DataFrame, k: int = 5, before: int = 100, after: int = 300) -> DataFrame:
+    """The first forward-looking passages on a topic in a request's own text: (query_id, place, passage).
+
+    requests: (query_id, topic, doc). First those that lead to the topic, then those that follow it, each with
+    what stands around its start. A request without a hit has one row that says so; a null text or topic has none.
+    """
+    import re
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, topic, doc in zip(pdf["id"], pdf["topic"], pdf["doc"], strict=True):
+                asked = re.escape(topic)
+                starts = [m.start() for p in (TOPIC_AFTER + asked, "(?i)" + asked + TOPIC_BEFORE) for m in re.finditer(p, doc)][:k]
+                found = [doc[max(0, a - before) : a + after].strip() for a in starts] or [f"No guidance found for '{topic}'"]
+                out += [(key, n, p) for n, p in enumerate(found, 1)]
+            yield pd.DataFrame(out, columns=["id", "place", "passage"])
+
+    kind = requests.schema["query_id"].dataType.simpleString()
+    rows = requests.where("doc is not null and topic is not null").select(F.col("query_id").alias("id"), "topic", "doc")
+    return rows.mapInPandas(run, f"id {kind}, place int, passage string").withColumnRenamed("id", "query_id")
+
+
 def window_policy(requests: DataFrame) -> DataFrame:
     """Filter columns of a request: the period if one is asked, none if all or a least year, else the recent window."""
     free = F.col("all_periods") | F.col("min_year").isNotNull()

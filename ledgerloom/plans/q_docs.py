@@ -88,11 +88,13 @@ def s6(s, d):
     return S.compilation_stats(table(s, d, "documents").select(F.col("source").alias("ticker"), F.col("doc_id").alias("doc_no")))
 
 
-_DATE = "coalesce(" + ", ".join(f"nullif(regexp_extract(nm, '{p}', 1), '')" for p in S.LABEL_DATES) + ")"
-_LINKS = r"""pg as (select page_id, regexp_extract_all(html, '(?is)(<h[2-5][^>]*>.*?</h[2-5]>|<a\s[^>]*>.*?</a>)') ps from pages), pu as (select page_id, unnest(range(0, len(ps))) place, unnest(ps) part from pg),
- pn as (select page_id, cast(place as int) place, part, trim(regexp_replace(regexp_replace(part, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) nm, trim(regexp_extract(part, '(?is)href\s*=\s*["'']?([^"''\s>]*)', 1)) href from pu where not starts_with(lower(part), '<h')),
- links as (select page_id, place, cast(null as varchar) category, case when contains(lower(nm), 'transcript') then 'transcript' when contains(lower(nm), 'ppt') then 'ppt' when contains(lower(nm), 'presentation') then 'ppt' when contains(lower(nm), 'rec') then 'recording' when contains(href, 'youtu') then 'recording' else 'document' end doc_type,
- case when nm = '' then 'Untitled' else nm end as name, """ + _DATE + r""" as "date", case when starts_with(href, '/') then 'https://example.com' || href else href end url from pn where href <> '' and not starts_with(href, '#') and not contains(lower(href), 'login'))"""
+_DATE = "coalesce(" + ", ".join(f"nullif(regexp_extract(lb, '{p}', 1), '')" for p in S.LABEL_DATES) + ")"
+#: The pages have no headings, so links there have neither a category nor a date from around them.
+_LINKS = r"""pg as (select page_id, regexp_extract_all(html, '""" + S.PARTS + r"""') ps from pages), pu as (select page_id, unnest(range(0, len(ps))) place, unnest(ps) part from pg),
+ pt as (select page_id, cast(place as int) place, part, trim(regexp_replace(regexp_replace(part, '<[^>]+>?', ' ', 'g'), '\s+', ' ', 'g')) tx, trim(regexp_extract(part, '(?is)^<a\s[^>]*?\btitle\s*=\s*["'']([^"'']*)', 1)) tt, trim(regexp_extract(part, '(?is)href\s*=\s*["'']?([^"''\s>]*)', 1)) href from pu where starts_with(lower(part), '<a')),
+ pn as (select *, case when tx = '' then tt else tx end lb, case when starts_with(href, '/') then 'https://example.com' || href else href end url from pt),
+ links as (select page_id, place, cast(null as varchar) category, case when contains(lower(lb), 'transcript') or contains(lower(tt), 'transcript') then 'transcript' when contains(lower(lb), 'ppt') then 'ppt' when contains(lower(lb), 'presentation') then 'ppt' when contains(lower(lb), 'rec') then 'recording' when contains(href, 'youtu') then 'recording' else 'document' end doc_type,
+ case when lb = '' then string_split(url, '/')[-1] else lb end as name, """ + _DATE + r""" as "date", url from pn where href <> '' and not starts_with(href, '#') and not contains(lower(href), 'login'))"""
 
 
 def _links(s, d):

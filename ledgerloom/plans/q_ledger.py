@@ -216,6 +216,17 @@ def r12(s, d):
     return V.topic_search(relation(s, d, "vec"), asked).select("query_id", "vec_id", "relevance", "place", "found")
 
 
+@query("r12_topic_passages", r"""with c as (select doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) doc from documents), p0 as (select doc_id, string_split_regex(doc, '\n\s*\n') ps from c),
+ p as (select doc_id, unnest(range(0, len(ps))) i, regexp_replace(unnest(ps), '^\s+|\s+$', '', 'g') p from p0),
+ q as (select *, cast((length(p) - length(replace(lower(p), 'ing', ''))) / 3 as int) + cast((length(p) - length(replace(lower(p), 'tion', ''))) / 4 as int) score from p where length(p) >= 30),
+ b as (select *, row_number() over (partition by doc_id order by score desc, i) place from q where score > 0 qualify place <= 3)
+ select c.doc_id query_id, coalesce(place, 1) place, coalesce(substr(p, 1, 800), 'Not found') passage, coalesce(score, 0) score from c left join b using (doc_id)""")
+def r12b(s, d):
+    """Topics searched in texts of their own, where no ticker is named."""
+    doc = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
+    return V.topic_passages(table(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("ing of tion").alias("topic"), doc.alias("doc")))
+
+
 @query("p7_episode_evidence", WIDE.replace("with recursive", "with recursive vec as (" + VEC + "),") + ", prices as (" + PRICES + ")" + _SWING + """, q as (select embedding qvec from vec where vec_id = 0),
  k as (select *, row_number() over (partition by ticker order by "start" desc) n from ep), w as (select ticker, "start", 'FY' || (22 + fy_end % 5) fy, 'T' || (cast(substr(ticker, 2) as int) % 10) t from k where n <= 2),
  sc as (select w.ticker, w."start", v.vec_id, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ rel from w join vec v on v.ticker = w.t and v.fiscal_year = w.fy and v.doc_type in ('annual_report', 'concall_transcript'), q)

@@ -116,27 +116,40 @@ def label_date(label: Column | str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(label, p, 1), F.lit("")) for p in LABEL_DATES])
 
 
+#: Headings, links, the borders of list items, and text that may hold a year.
+PARTS = r"(?is)(<h[2-5][^>]*>.*?</h[2-5]|<a\s[^>]*>.*?</a\b|</?li\b|>[^<]*\d{4}[^<]*)"
+
+
 def harvest_links(pages: DataFrame, base: str = "https://example.com") -> DataFrame:
     """(page_id, place, category, doc_type, name, date, url): links under the category of the heading before them.
 
-    A heading without a known keyword clears the category. Empty, fragment and login links are dropped.
-    The date is that of the link's own text, else of the heading before it.
+    A heading without a known keyword clears the category. Empty, fragment and login links are dropped. A link's
+    label is its text, else its title. Under calls, the latest date since the heading (of the list item as a whole,
+    of text, or of a link before) names a link; elsewhere its label does, else the end of its URL. The date is that
+    of the label, else that date.
     """
-    parts = F.regexp_extract_all("html", F.lit(r"(?is)(<h[2-5][^>]*>.*?</h[2-5]>|<a\s[^>]*>.*?</a>)"), 1)
-    rows = pages.select("page_id", F.posexplode(parts).alias("place", "part"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace("part", r"<[^>]+>", " "), r"\s+", " "))
-    head = F.col("part").rlike("(?i)^<h")
-    rows = rows.withColumns({"name": plain, "head": head})
-    category = F.when(F.col("head"), F.coalesce(first_match("name", CATEGORIES), F.lit("")))
-    before = Window.partitionBy("page_id").orderBy("place")
-    period = F.when(F.col("head"), F.coalesce(label_date("name"), F.lit("")))
-    rows = rows.withColumns({n: F.nullif(F.last(c, ignorenulls=True).over(before), F.lit("")) for n, c in (("category", category), ("_period", period))}).where(~F.col("head"))
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(PARTS), 1)).alias("place", "part"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("part", r"^>", ""), r"<[^>]+>?", " "), r"\s+", " "))
+    title = F.trim(F.regexp_extract("part", r"(?is)^<a\s[^>]*?\btitle\s*=\s*[\"']([^\"']*)", 1))
+    kind = F.when(F.col("part").rlike("(?i)^<h"), "head").when(F.col("part").rlike("(?i)^<a"), "link").when(F.col("part").rlike("(?i)^<li"), "item").when(F.col("part").startswith("<"), "end").otherwise("text")
+    rows = rows.withColumns({"text": plain, "title": title, "kind": kind})
+    page = Window.partitionBy("page_id").orderBy("place")
+    rows = rows.withColumn("_item", F.count(F.when(F.col("kind").isin("head", "item", "end"), 1)).over(page))
+    whole = F.array_join(F.collect_list(F.when(F.col("kind").isin("link", "text"), F.col("text"))).over(Window.partitionBy("page_id", "_item")), " ")
+    rows = rows.withColumn("_own", F.when(F.col("kind") == "item", label_date(whole)).when(F.col("kind") == "head", F.coalesce(label_date("text"), F.lit(""))).otherwise(label_date("text")))
+    category = F.last(F.when(F.col("kind") == "head", F.coalesce(first_match("text", CATEGORIES), F.lit(""))), ignorenulls=True).over(page)
+    period = F.last("_own", ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"category": F.nullif(category, F.lit("")), "_period": F.nullif(period, F.lit(""))}).where("kind = 'link'")
+    rows = rows.withColumn("_period", F.when(F.col("category") == "concalls", F.col("_period")))
     href = F.trim(F.regexp_extract("part", r"(?is)href\s*=\s*[\"']?([^\"'\s>]*)", 1))
     rows = rows.withColumn("href", href).where((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.lower("href").contains("login"))
     url = F.when(F.col("href").startswith("/"), F.concat(F.lit(base), "href")).otherwise(F.col("href"))
-    kind = first_match("name", [("transcript", "transcript"), ("ppt", "ppt"), ("presentation", "ppt"), ("rec", "recording")])
-    kind = F.coalesce(kind, F.when(F.col("href").contains("youtu"), "recording").otherwise("document"))
-    return rows.select("page_id", "place", "category", kind.alias("doc_type"), F.coalesce(F.nullif("name", F.lit("")), F.lit("Untitled")).alias("name"), F.coalesce(label_date("name"), "_period").alias("date"), url.alias("url"))
+    label = F.coalesce(F.nullif("text", F.lit("")), F.col("title"))
+    types = F.when(F.lower("title").contains("transcript"), "transcript")
+    types = F.coalesce(first_match(label, [("transcript", "transcript")]), types, first_match(label, [("ppt", "ppt"), ("presentation", "ppt"), ("rec", "recording")]))
+    types = F.coalesce(types, F.when(F.col("href").contains("youtu"), "recording").otherwise("document"))
+    name = F.coalesce("_period", F.nullif(label, F.lit("")), F.element_at(F.split(url, "/"), -1))
+    return rows.select("page_id", "place", "category", types.alias("doc_type"), name.alias("name"), F.coalesce(label_date(label), "_period").alias("date"), url.alias("url"))
 
 
 def catalog_slices(links: DataFrame, max_presentations: int = 8) -> DataFrame:

@@ -115,6 +115,18 @@ def test_links_carry_dates_and_kinds(spark):
     assert [(r["doc_type"], r["date"]) for r in got] == [("transcript", "Feb 2026"), ("recording", "10 Sep 2025"), ("document", "2024"), ("document", None)]
 
 
+def test_links_of_calls_take_the_period_around_them(spark):
+    html = (
+        '<h3>Concalls</h3><ul><li><div>Feb 2026</div><a href="/a">Transcript</a><a href="/b" title="Raw transcript">x</a></li><li><a href="/c">PPT</a><a href="/d">REC Nov 2025</a></li></ul>'
+        '<a href="/e">y</a><h3>Announcements 2024</h3><p>Jan 2023</p><a href="/f"></a><a href="/g" title="Notice 2021"></a>'
+    )
+    got = S.harvest_links(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("place").collect()
+    assert [(r["name"], r["doc_type"], r["date"]) for r in got] == [
+        ("Feb 2026", "transcript", "Feb 2026"), ("Feb 2026", "transcript", "Feb 2026"), ("Nov 2025", "ppt", "Nov 2025"), ("Nov 2025", "recording", "Nov 2025"),
+        ("Nov 2025", "document", "Nov 2025"), ("f", "document", None), ("Notice 2021", "document", "2021"),
+    ]
+
+
 def test_first_keyword_decides(spark):
     rows = [("Gross margin and volume", "FMCG"), ("volume fell", "Private Sector Bank"), ("", "IT - Software"), (None, None), ("court case", "automobile parts")]
     df = spark.createDataFrame(rows, "a string, b string").select(labels.metric_category("a"), labels.vertical("b"))
@@ -320,6 +332,17 @@ def test_topics_have_the_words_of_their_domain(spark):
     assert ids == {1: [0, 1, 2, 3, 4], 2: [0, 1, 2], 3: [None], 4: [None]}
 
 
+def test_topics_of_requests_without_a_ticker(spark):
+    text = "short margin\n\nMargin is here and margin again, at length.\n \nNothing of the kind is said in this one.\n\nA long paragraph that says margin only once."
+    asked = spark.createDataFrame([(1, "Margin of it", text), (2, "tax", text), (3, "tax", None)], "query_id long, topic string, doc string")
+    got = sorted((r["query_id"], r["place"], r["passage"][:12], r["score"]) for r in V.topic_passages(asked).collect())
+    assert got == [(1, 1, "Margin is he", 2), (1, 2, "A long parag", 1), (2, 1, "Not found", 0), (3, 1, "Not found", 0)]
+    doc = "x" * 150 + " We expect strong (volume) growth. " + "y" * 400
+    asked = spark.createDataFrame([(1, "(volume)", doc), (2, "rain", doc), (3, None, doc)], "query_id long, topic string, doc string")
+    got = sorted((r["query_id"], r["place"], r["passage"]) for r in V.topic_guidance(asked).collect())
+    assert got == [(1, 1, doc[51:451].strip()), (2, 1, "No guidance found for 'rain'")]
+
+
 # --- streams ---
 
 
