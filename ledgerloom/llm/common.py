@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import new_folder, shared_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,24 +23,17 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Only where that is unset, as in tests, a folder of our own is set.
-    """
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there; Spark's cleaner may delete it once unreachable."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
     """df as a compressed table in the shared folder, for as long as the block lasts.
@@ -48,13 +41,12 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     Nothing that is still to run may read it afterwards: stage what goes on.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        delete_folder(spark, path)
 
 
 class Groups:

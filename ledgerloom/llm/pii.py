@@ -27,7 +27,7 @@ from ledgerloom.llm.common import text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn")
-#: Score from which an added span counts, and the letters before it that count as context.
+#: Score from which an added span counts, and the letters before and after it that count as context.
 KEEP, WINDOW = 0.5, 40
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -73,8 +73,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
-def _adjusted(text: str, kind: str, start: int, score: float) -> float:
-    near = text[max(0, start - WINDOW) : start].lower()
+def _adjusted(text: str, kind: str, start: int, end: int, score: float) -> float:
+    near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
     return score + 0.3 * any(w in near for w in _FOR.get(kind, ())) - 0.3 * any(w in near for w in _AGAINST)
 
 
@@ -92,7 +92,7 @@ def spans(text: str) -> list[tuple[int, int, int, float]]:
     if "+" in text:
         out += ((3, m.start(), m.end(), 1.0) for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15)
     for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")) and (s := _adjusted(text, "iban", m.start(), 0.8)) >= KEEP:
+        if mod97(m.group().replace(" ", "")) and (s := _adjusted(text, "iban", *m.span(), 0.8)) >= KEEP:
             out.append((4, m.start(), m.end(), min(1.0, s)))
     found = [(m.start(), m.end()) for m in _KEY.finditer(text)] if "AKIA" in text else []
     if "=" in text or ":" in text:
@@ -104,7 +104,7 @@ def spans(text: str) -> list[tuple[int, int, int, float]]:
             end = b
     if "-" in text:
         for m in _SSN.finditer(text):
-            if (s := _adjusted(text, "ssn", m.start(), 0.4)) >= KEEP:
+            if (s := _adjusted(text, "ssn", *m.span(), 0.4)) >= KEEP:
                 out.append((6, m.start(), m.end(), min(1.0, s)))
     return sorted(out)
 
@@ -128,11 +128,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans, and all spans as text."""
+    """Counts of the base kinds, the digest of the base spans, all spans as text, and their scores in that order."""
     as_text = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
-    return found.select(id_col, *map(of, BASE), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
+    scores = F.concat_ws(",", F.transform("found", lambda x: F.format_number(x["score"], 2)))
+    return found.select(id_col, *map(of, BASE), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"), scores.alias("scores"))
 
 
 def redacted(text: str) -> str:

@@ -175,7 +175,15 @@ def test_pii_query(spark, sf_dir):
         base, g = brute_spans(r["text"] or ""), got[r["doc_id"]]
         text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
         assert g["base_sha256"] == pii.sha256_of(text) and [g["n_email"], g["n_ip"], g["n_card"], g["n_phone"]] == [sum(k == n for k, *_ in base) for n in range(4)]
-        assert g["spans"] == pii.joined(pii.spans(r["text"] or ""))
+        found = pii.spans(r["text"] or "")
+        assert g["spans"] == pii.joined(found) and g["scores"] == ",".join(f"{s:.2f}" for *_, s in found)
+
+
+def test_context_on_either_side_adjusts_the_score():
+    found = lambda t: [(pii.KINDS[k], round(s, 2)) for k, *_, s in pii.spans(t)]
+    assert found("social security 123-45-6789") == found("123-45-6789 is my social security number") == [("ssn", 0.7)]
+    assert found("123-45-6789") == found("123-45-6789" + " " * 60 + "ssn") == []
+    assert found("GB82WEST12345698765432 is the account") == [("iban", 1.0)] and found("invoice GB82WEST12345698765432") == [("iban", 0.5)]
 
 
 def test_pii_odd_cases(odd, empty):
