@@ -7,14 +7,13 @@ a null text counts as empty where it is compared or packed and stays null where
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup, near_copies, packing, pii, toxicity
-from ledgerloom.llm.common import read_table, shared_folder, staged, text_or_empty
+from ledgerloom.llm.common import delete_folder, read_table, staged, text_or_empty
 from ledgerloom.llm.queries import batch_of
+from ledgerloom.sources.shared import new_folder
 
 VOCABULARY, CAPACITY, THRESHOLD = "word_bpe_49k.json", 4096, 0.3
 
@@ -71,10 +70,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is a table in the shared folder."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage keeps is a table in the shared folder until the next one is written.
+
+    The last such table stays, since the rows returned are read from it.
+    """
+    docs, held = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if held is not None:
+            delete_folder(spark, held)
+        docs, held = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
