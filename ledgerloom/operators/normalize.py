@@ -137,11 +137,18 @@ def tiered_lookup(df: DataFrame, column: str, entries: list[tuple[str, str, list
 
 
 def active_rules(entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules whose agent, sector and signal all match or are null; numbered by priority, then as inserted."""
+    """Rules whose agent, sector and signal all match or are null; numbered by priority, then as inserted.
+
+    Rules that name an agent are joined by it, others by their signal; only rules with neither meet every entity,
+    and Spark broadcasts them if they are small.
+    """
     e, s = F.lower("sector"), F.lower("rule_sector")
     ok = (F.col("rule_agent").isNull() | (F.col("rule_agent") == F.col("agent"))) & (F.col("rule_sector").isNull() | e.contains(s) | s.contains(e)) & (F.col("rule_signal").isNull() | (F.col("rule_signal") == F.col("signal")))
     w = Window.partitionBy("entity").orderBy(F.desc("priority"), "rule_no")
-    return entities.join(F.broadcast(rules), ok).select("entity", "rule_no", F.row_number().over(w).alias("place"))
+    agent, signal = F.col("rule_agent").isNotNull(), F.col("rule_signal").isNotNull()
+    parts = [(agent, (F.col("agent") == F.col("rule_agent")) & ok), (~agent & signal, (F.col("signal") == F.col("rule_signal")) & ok), (~agent & ~signal, ok)]
+    hits = reduce(DataFrame.union, [entities.join(rules.where(own), on).select("entity", "priority", "rule_no") for own, on in parts])
+    return hits.select("entity", "rule_no", F.row_number().over(w).alias("place"))
 
 
 def list_available(facts: DataFrame) -> DataFrame:

@@ -212,9 +212,15 @@ def embed(texts: DataFrame, dims: int = 256, idf: bool = True) -> DataFrame:
     return texts.join(unit, "text", "left")
 
 
-def band_pairs(df: DataFrame, group: str, lo: float, hi: float, salts: int = 8) -> DataFrame:
-    """Pairs of one group with a cosine in the band; a group's left side is dealt over salts."""
-    a = df.select(F.col(group).alias("g"), F.col("vec_id").alias("a_id"), F.col("embedding").alias("a_v"), F.pmod("vec_id", F.lit(salts)).alias("s"))
-    b = df.select(F.col(group).alias("g"), F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("s"))
+def band_pairs(df: DataFrame, group: str, lo: float, hi: float, block: int = 2000) -> DataFrame:
+    """Pairs of one group with a cosine in the band.
+
+    A group is cut into blocks of about `block` rows by its size; every row meets each block of its group, so that
+    a task holds a block's rows however large the group is. A null group or vector has no pairs.
+    """
+    sizes = df.where("embedding is not null").groupBy(F.col(group).alias("g")).agg(F.ceil(F.count("*") / block).alias("_n"))
+    rows = df.where("embedding is not null").select(F.col(group).alias("g"), "vec_id", "embedding").join(sizes, "g")
+    a = rows.select("g", F.col("vec_id").alias("a_id"), F.col("embedding").alias("a_v"), F.pmod(F.xxhash64("vec_id"), "_n").alias("s"))
+    b = rows.select("g", F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("s"))
     pairs = a.join(b, ["g", "s"]).where("a_id < b_id")
     return pairs.select("g", "a_id", "b_id", r(cosine(F.col("a_v"), F.col("b_v")), 4).alias("similarity")).where(F.col("similarity").between(lo, hi))

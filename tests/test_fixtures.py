@@ -1,8 +1,10 @@
 """Small literal tables with results worked out by hand, and invariants of what SQL cannot express."""
 
 import datetime as dt
+import hashlib
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,6 +334,50 @@ def test_topics_have_the_words_of_their_domain(spark):
     assert ids == {1: [0, 1, 2, 3, 4], 2: [0, 1, 2], 3: [None], 4: [None]}
 
 
+def test_vectors_equal_plain_tf_idf(spark):
+    texts = ["red red apple", "green apple", "Red pear, red plum", "pear", "...", None]
+    words = [[w for w in re.split(r"\W+", (x or "").lower()) if w] for x in texts]
+    held = [w for x, w in zip(texts, words, strict=True) if x is not None]
+    idf = {w: math.log((len(held) + 1) / (sum(w in h for h in held) + 1)) for h in held for w in h}
+
+    def plain(a, b, weigh):
+        va, vb = ({w: x.count(w) * weigh(w) for w in x} for x in (a, b))
+        of = lambda v: math.sqrt(sum(n * n for n in v.values()))
+        return sum(n * vb.get(w, 0) for w, n in va.items()) / (of(va) * of(vb))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "vec_id long, text string")
+    for by_idf, weigh in ((True, idf.get), (False, lambda w: 1)):
+        got = {r["vec_id"]: r["embedding"] for r in V.embed(df, dims=4096, idf=by_idf).collect()}
+        assert got[4] is None and got[5] is None
+        for a in range(4):
+            for b in range(4):
+                assert sum(x * y for x, y in zip(got[a], got[b], strict=True)) == pytest.approx(plain(words[a], words[b], weigh))
+
+
+def test_band_pairs_in_blocks_equal_all_pairs(spark):
+    rows = [(i, i % 2 if i else None, [1.0, i / 7.0]) for i in range(40)] + [(99, 1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {(r["a_id"], r["b_id"]) for r in V.band_pairs(df, "label", 0.5, 0.99, block=3).collect()}
+    alike = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+    want = {(a, b) for a, g, x in rows[1:40] for b, h, y in rows[1:40] if a < b and g == h and 0.5 <= round(alike(x, y), 4) <= 0.99}
+    assert got == want and len(got) > 50
+
+
+def test_chunk_records_equal_plain_counting(spark):
+    text = {1: "One sentence here. " * 700, 2: "short", 3: None}
+    docs = spark.createDataFrame([(i, "T", f"f{i}.pdf", f"Q1_FY2{i}", t) for i, t in text.items()], "doc_id long, ticker string, file_name string, fiscal_period string, text string")
+    parts = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("section_no"), F.lit("note").alias("doc_type"), "text")
+    cut = sorted(tuple(r) for r in D.chunk_text(parts).select("doc_id", "section_no", "chunk_no", "text").collect())
+    want, number = [], {}
+    for i, no, k, piece in cut:
+        number[i] = number.get(i, 0) + 1
+        key = "_".join(["T", f"f{i}.pdf", str(no), str(k), str(number[i]), piece[:50]])
+        total = sum(c[:2] == (i, no) for c in cut)
+        want.append((i, hashlib.md5(key.encode()).hexdigest(), no, k, total, f"[Q1_FY2{i}]\n{piece}", len(piece)))
+    got = D.chunk_records(D.chunk_text(parts), docs).select("doc_id", "chunk_id", "section_no", "chunk_no", "section_chunks", "text", "n_chars")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 6 and {w[0] for w in want} == {1, 2}
+
+
 def test_topics_of_requests_without_a_ticker(spark):
     text = "short margin\n\nMargin is here and margin again, at length.\n \nNothing of the kind is said in this one.\n\nA long paragraph that says margin only once."
     asked = spark.createDataFrame([(1, "Margin of it", text), (2, "tax", text), (3, "tax", None)], "query_id long, topic string, doc string")
