@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL where it exists."""
+"""The registered queries of the numbered operators, each over its whole table, and their SQL where it exists."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe_stream, cover_tree, exact_dedup, licenses, packing, pii, sharding, simhash, token_counts, toxicity
+from ledgerloom.llm import bpe_stream, cover_tree, exact_dedup, fill_middle, licenses, packing, pii, sharding, simhash, spelling
+from ledgerloom.llm import substrings, token_counts, toxicity
 from ledgerloom.llm.common import read_table
 
 #: Bytes of a shard in the registered query.
@@ -59,8 +60,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), min_length=6, min_count=5, every=199, ratio=5)
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeated_passages(read_table(spark, sf_dir, "documents"), 13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"), seed=42, percent=50, spm_percent=80))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_bpe_stream, op4_token_counts, op5_cover_tree, op6_exact_dedup, op7_simhash, op8_licenses, op9_toxicity, op10_pii)}
+    first = (op1_sharding, op2_packing, op3_bpe_stream, op4_token_counts, op5_cover_tree, op6_exact_dedup, op7_simhash)
+    return {f.__name__: f for f in (*first, op8_licenses, op9_toxicity, op10_pii, op11_spelling, op12_substrings, op13_fill_middle)}
 
 
 _OP1 = f"""
@@ -120,5 +137,54 @@ from w left join base using (r) left join more using (r)
 """
 
 
+#: The checksum by its table of 256 steps, made by rule; words one edit apart by the patterns that they share.
+_OP11 = """
+with recursive bit(k, c, i) as (
+  select k::bigint, k::bigint, 0 from range(0, 256) as r(k)
+  union all select k, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from bit where i < 8),
+steps as (select list(c order by k) as tab from bit where i = 8),
+runs as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+bytes as (select run, hex(encode(doc_id || ':' || run)) as hx from runs where length(run) >= 6),
+sums as (select run, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::bigint)),
+         lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295) as h from bytes, steps),
+words as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from sums),
+w as (select word, count(*) as n from words where length(word) >= 6 group by 1 having count(*) >= 5),
+spot as (select word, n, unnest(range(0, length(word))) as i from w),
+pat as (select word, n, i, substr(word, 1, i) || '*' || substr(word, i + 2) as swapped, substr(word, 1, i) || substr(word, i + 2) as cut from spot),
+ins as (select distinct p.word as a, p.n as na, w.word as b, w.n as nb from pat p join w on w.word = p.cut),
+near as (select p.word as a, q.word as b, q.n as nb from pat p join pat q on p.swapped = q.swapped and p.word <> q.word
+         union all select a, b, nb from ins union all select b, a, na from ins),
+best as (select a, count(*) as n_near, first(b order by nb desc, b) as b, max(nb) as nb from near group by a),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when nb >= 5 * n then b end as form, case when nb >= 5 * n then nb end as form_n from w left join best on a = w.word),
+up(word, root) as (select word, word from f union all select up.word, f.form from up join f on f.word = up.root where f.form is not null),
+ends as (select up.word, up.root from up join f on f.word = up.root where f.form is null)
+select f.word, form, root, n, n_near, form_n from f join ends using (word)
+"""
+
+_OP12 = r"""
+with d as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+spot as (select doc_id, r, ws, unnest(range(1, len(ws) - 11)) as i from d),
+win as (select doc_id, r, i, array_to_string(ws[i:i + 12], ' ') as t from spot),
+late as (select r, i from (select doc_id, r, i, min(doc_id) over (partition by t) as least from win) where doc_id > least),
+gone as (select r, list(distinct p) as ps from (select r, unnest(range(i, i + 13)) as p from late) group by r)
+select doc_id, len(ws) as n_words, coalesce(len(ps), 0) as n_removed,
+  sha256(case when ps is null then array_to_string(ws, ' ') else array_to_string(list_filter(ws, lambda x, k: not list_contains(ps, k)), ' ') end) as kept_sha256
+from d left join gone using (r)
+"""
+
+_OP13 = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || doc_id) as x from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as us,
+      ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+f as (select *, len(us) as n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) as a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) as b from u),
+p as (select *, array_to_string(us[1:a], '') as p, array_to_string(us[a + 1:b], '') as m, array_to_string(us[b + 1:], '') as s from f)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256 from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _OP1, "op5_cover_tree": _OP5, "op6_exact_dedup": _OP6, "op8_licenses": _op8_sql()}
+    later = {"op11_spelling": _OP11, "op12_substrings": _OP12, "op13_fill_middle": _OP13}
+    return {"op1_sharding": _OP1, "op5_cover_tree": _OP5, "op6_exact_dedup": _OP6, "op8_licenses": _op8_sql(), **later}
