@@ -24,8 +24,8 @@ def weekly_closes(ticks: DataFrame, min_points: int = 30) -> DataFrame:
 def swing_episodes(prices: DataFrame, threshold: float = 0.25, min_points: int = 8) -> DataFrame:
     """Zigzag episodes of each series as a native fold over its sorted points.
 
-    Before a trend both extremes are tracked; the first to be left by the threshold starts it. A reversal
-    by the threshold from the running extreme closes an episode there and starts the next. The open move
+    Before a trend both extremes are tracked; the first to be left by the threshold starts it. The running
+    extreme of a move is the last point that reaches it; a reversal by the threshold from there closes an episode there and starts the next. The open move
     is kept if it makes half the threshold, and ends at the last point. Series of one ticker are folded in
     one row; weekly closes of a century are some 5,000 points.
     """
@@ -50,10 +50,10 @@ def swing_episodes(prices: DataFrame, threshold: float = 0.25, min_points: int =
             .when(px <= s["hi"]["px"] * down, state(-1, now, s["hi"], s["hi"], s["out"]))
             .otherwise(state(0, lo, hi, s["from"], s["out"]))
         )
-        rising = F.when(px > s["hi"]["px"], state(1, s["lo"], now, s["from"], s["out"])).when(
+        rising = F.when(px >= s["hi"]["px"], state(1, s["lo"], now, s["from"], s["out"])).when(
             px <= s["hi"]["px"] * down, state(-1, now, s["hi"], s["hi"], F.concat(s["out"], F.array(closed("rally", s["from"], s["hi"]))))
         ).otherwise(s)
-        falling = F.when(px < s["lo"]["px"], state(-1, now, s["hi"], s["from"], s["out"])).when(
+        falling = F.when(px <= s["lo"]["px"], state(-1, now, s["hi"], s["from"], s["out"])).when(
             px >= s["lo"]["px"] * up, state(1, s["lo"], now, s["lo"], F.concat(s["out"], F.array(closed("decline", s["from"], s["lo"]))))
         ).otherwise(s)
         return F.when(s["dir"] == 0, undecided).when(s["dir"] == 1, rising).otherwise(falling)
@@ -66,7 +66,7 @@ def swing_episodes(prices: DataFrame, threshold: float = 0.25, min_points: int =
         F.array(F.struct(F.when(s["dir"] == 1, "rally").otherwise("decline").alias("kind"), s["from"]["dt"].alias("start"), s["from"]["px"].alias("start_px"), last["dt"].alias("end"), last["close_px"].alias("end_px"), F.lit(True).alias("ongoing"))),
     ).otherwise(empty)
     rows = folded.select("ticker", F.inline(F.concat(s["out"], tail)))
-    weeks = F.floor(F.datediff("end", "start") / 7).cast("int")
+    weeks = F.greatest(F.lit(1), F.round(F.datediff("end", "start") / 7).cast("int"))
     return rows.select("ticker", "kind", "start", "end", r(F.col("start_px"), 2).alias("start_px"), r(F.col("end_px"), 2).alias("end_px"), r((F.col("end_px") / F.col("start_px") - 1) * 100, 1).alias("change_pct"), weeks.alias("weeks"), fiscal_year(F.col("start")).alias("fy_start"), fiscal_year(F.col("end")).alias("fy_end"), "ongoing")
 
 

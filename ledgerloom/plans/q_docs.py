@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +21,7 @@ from ledgerloom.sources import scans as S
 from ledgerloom.sources.shared import new_folder
 from ledgerloom.streaming import events as T
 from ledgerloom.streaming import pipelines as I
+from ledgerloom.streaming import swings as W
 
 corpus = lambda s, d: relation(s, d, "corpus").withColumn("text", F.coalesce("text", F.lit("")))
 _C = oracle("corpus") + ", c as (select doc_id, ticker, coalesce(text, '') as text, lang, file_name from corpus)"
@@ -602,23 +605,40 @@ def t6(s, d):
     return I.current_chunks(s, f"{path}/store").select("doc_id", "ticker", "version", "text_sha256").distinct()
 
 
-@query("t7_swing_stream", _EP + " select ticker, kind, \"start\", start_px, \"end\", end_px from ep where not ongoing")
+@contextmanager
+def _state_in_rocksdb(s):
+    """Processors with state need this provider; the session's own is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    held = s.conf.get(name, None)
+    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        s.conf.unset(name) if held is None else s.conf.set(name, held)
+
+
+@query("t7_swing_stream", _EP + " select ticker, kind, \"start\", start_px, \"end\", end_px, ongoing from ep")
 def t7(s, d):
-    """Swings that close while prices arrive as a stream; they equal those of the batch."""
+    """Swings of prices that arrive out of order, a file a trigger: the last view equals the batch, open moves too."""
     path = new_folder(s, "swings")
     prices = relation(s, d, "prices")
-    prices.write.parquet(f"{path}/in")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    held = s.conf.get(provider, None)
-    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = I.swing_stream(s.readStream.schema(prices.schema).parquet(f"{path}/in"))
-        sink = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
-        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        s.conf.unset(provider) if held is None else s.conf.set(provider, held)
+    # one file for every half year and half of the tickers' weeks; a week may come a year after later ones
+    file_no = F.floor(F.months_between("dt", F.lit("1990-01-01")) / 6) + 2 * F.pmod(F.xxhash64("ticker", "dt"), F.lit(2))
+    parts = prices.withColumn("file_no", file_no.cast("int"))
+    parts.write.partitionBy("file_no").parquet(f"{path}/all")
+    held = s.read.parquet(f"{path}/all")
+    for row in held.select("file_no").distinct().orderBy("file_no").toLocalIterator():  # some two a year
+        held.where(F.col("file_no") == row["file_no"]).select(*prices.columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    out = None
+    with _state_in_rocksdb(s):
+        stream = s.readStream.schema(prices.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        out = W.swing_stream(stream, delay="420 days")
+        save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        writer = out.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint")
+        writer.outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    moves = W.current_swings(s.read.schema(out.schema).parquet(f"{path}/out"))
     px = lambda c: exprs.r(F.col(c), 2).alias(c)
-    return s.read.schema(out.schema).parquet(f"{path}/out").select("ticker", "kind", "start", px("start_px"), "end", px("end_px"))
+    return moves.select("ticker", "kind", "start", px("start_px"), "end", px("end_px"), "ongoing")
 
 
 _OWN_TICKER = "concat('S', cast(1 + vec_id % 97 as {}))"

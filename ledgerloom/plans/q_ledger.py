@@ -34,20 +34,20 @@ def p1(s, d):
 _SWING = """, pts as (select ticker, dt, close_px px, row_number() over (partition by ticker order by dt) i, count(*) over (partition by ticker) n from prices),
  z as (select ticker, 1::bigint i, n, 0 dir, dt lo_dt, px lo, dt hi_dt, px hi, dt f_dt, px f_px, dt l_dt, px l_px, null::varchar kind, null::date s_dt, null::double s_px, null::date e_dt, null::double e_px from pts where i = 1 and n >= 8
  union all select z.ticker, p.i, z.n,
-  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then 1 when p.px <= z.hi * 0.75e0 then -1 else 0 end when z.dir = 1 then case when p.px > z.hi then 1 when p.px <= z.hi * 0.75e0 then -1 else 1 end else case when p.px < z.lo then -1 when p.px >= z.lo * 1.25e0 then 1 else -1 end end,
-  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo_dt when p.px <= z.hi * 0.75e0 or p.px < z.lo then p.dt else z.lo_dt end when z.dir = 1 then case when p.px <= z.hi and p.px <= z.hi * 0.75e0 then p.dt else z.lo_dt end else case when p.px < z.lo then p.dt else z.lo_dt end end,
-  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo when p.px <= z.hi * 0.75e0 or p.px < z.lo then p.px else z.lo end when z.dir = 1 then case when p.px <= z.hi and p.px <= z.hi * 0.75e0 then p.px else z.lo end else case when p.px < z.lo then p.px else z.lo end end,
-  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then p.dt when p.px <= z.hi * 0.75e0 then z.hi_dt when p.px > z.hi then p.dt else z.hi_dt end when z.dir = 1 then case when p.px > z.hi then p.dt else z.hi_dt end else case when p.px >= z.lo and p.px >= z.lo * 1.25e0 then p.dt else z.hi_dt end end,
-  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then p.px when p.px <= z.hi * 0.75e0 then z.hi when p.px > z.hi then p.px else z.hi end when z.dir = 1 then case when p.px > z.hi then p.px else z.hi end else case when p.px >= z.lo and p.px >= z.lo * 1.25e0 then p.px else z.hi end end,
-  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo_dt when p.px <= z.hi * 0.75e0 then z.hi_dt else z.f_dt end when z.dir = 1 then case when p.px <= z.hi and p.px <= z.hi * 0.75e0 then z.hi_dt else z.f_dt end else case when p.px >= z.lo and p.px >= z.lo * 1.25e0 then z.lo_dt else z.f_dt end end,
-  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo when p.px <= z.hi * 0.75e0 then z.hi else z.f_px end when z.dir = 1 then case when p.px <= z.hi and p.px <= z.hi * 0.75e0 then z.hi else z.f_px end else case when p.px >= z.lo and p.px >= z.lo * 1.25e0 then z.lo else z.f_px end end,
+  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then 1 when p.px <= z.hi * 0.75e0 then -1 else 0 end when z.dir = 1 then case when p.px >= z.hi then 1 when p.px <= z.hi * 0.75e0 then -1 else 1 end else case when p.px <= z.lo then -1 when p.px >= z.lo * 1.25e0 then 1 else -1 end end,
+  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo_dt when p.px <= z.hi * 0.75e0 or p.px < z.lo then p.dt else z.lo_dt end when z.dir = 1 then case when p.px <= z.hi * 0.75e0 then p.dt else z.lo_dt end else case when p.px <= z.lo then p.dt else z.lo_dt end end,
+  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo when p.px <= z.hi * 0.75e0 or p.px < z.lo then p.px else z.lo end when z.dir = 1 then case when p.px <= z.hi * 0.75e0 then p.px else z.lo end else case when p.px <= z.lo then p.px else z.lo end end,
+  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then p.dt when p.px <= z.hi * 0.75e0 then z.hi_dt when p.px > z.hi then p.dt else z.hi_dt end when z.dir = 1 then case when p.px >= z.hi then p.dt else z.hi_dt end else case when p.px >= z.lo * 1.25e0 then p.dt else z.hi_dt end end,
+  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then p.px when p.px <= z.hi * 0.75e0 then z.hi when p.px > z.hi then p.px else z.hi end when z.dir = 1 then case when p.px >= z.hi then p.px else z.hi end else case when p.px >= z.lo * 1.25e0 then p.px else z.hi end end,
+  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo_dt when p.px <= z.hi * 0.75e0 then z.hi_dt else z.f_dt end when z.dir = 1 then case when p.px <= z.hi * 0.75e0 then z.hi_dt else z.f_dt end else case when p.px >= z.lo * 1.25e0 then z.lo_dt else z.f_dt end end,
+  case when z.dir = 0 then case when p.px >= z.lo * 1.25e0 then z.lo when p.px <= z.hi * 0.75e0 then z.hi else z.f_px end when z.dir = 1 then case when p.px <= z.hi * 0.75e0 then z.hi else z.f_px end else case when p.px >= z.lo * 1.25e0 then z.lo else z.f_px end end,
   p.dt, p.px,
-  case when z.dir = 1 and p.px <= z.hi and p.px <= z.hi * 0.75e0 then 'rally' when z.dir = -1 and p.px >= z.lo and p.px >= z.lo * 1.25e0 then 'decline' end,
+  case when z.dir = 1 and p.px <= z.hi * 0.75e0 then 'rally' when z.dir = -1 and p.px >= z.lo * 1.25e0 then 'decline' end,
   z.f_dt, z.f_px, case when z.dir = 1 then z.hi_dt else z.lo_dt end, case when z.dir = 1 then z.hi else z.lo end
  from z join pts p on p.ticker = z.ticker and p.i = z.i + 1),
  eps as (select ticker, kind, s_dt "start", s_px a, e_dt "end", e_px b, false ongoing from z where kind is not null
  union all select ticker, case dir when 1 then 'rally' else 'decline' end, f_dt, f_px, l_dt, l_px, true from z where i = n and dir <> 0 and abs(l_px / f_px - 1) >= 0.125e0 and l_dt > f_dt),
- ep as (select ticker, kind, "start", """ + R("a", 2) + " start_px, \"end\", " + R("b", 2) + " end_px, " + R("(b / a - 1) * 100", 1) + """ change_pct, cast(floor(("end" - "start") / 7) as int) "weeks",
+ ep as (select ticker, kind, "start", """ + R("a", 2) + " start_px, \"end\", " + R("b", 2) + " end_px, " + R("(b / a - 1) * 100", 1) + """ change_pct, greatest(1, cast(round(("end" - "start") / 7) as int)) "weeks",
  cast(year("start") + case when month("start") >= 4 then 1 else 0 end as int) fy_start, cast(year("end") + case when month("end") >= 4 then 1 else 0 end as int) fy_end, ongoing from eps)"""
 _EP = oracle("prices") + _SWING
 

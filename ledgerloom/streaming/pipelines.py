@@ -1,15 +1,10 @@
-"""Incremental pipelines: new files into the chunk store, and swings kept as state."""
+"""Incremental pipeline: new files into the chunk store."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.functions.fiscal import stamp_period
 from ledgerloom.operators.docs import chunk_records, chunk_text, classify_documents, split_sections
@@ -80,61 +75,3 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, store: str, che
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class SwingProcessor(StatefulProcessor):
-    """The zigzag of one series as state: direction, running extremes and where the open move began."""
-
-    def __init__(self, threshold: float = 0.25):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("swing", "dir int, lo_dt date, lo double, hi_dt date, hi double, from_dt date, from_px double, last_dt date")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        up, down = 1 + self.threshold, 1 - self.threshold
-        points = sorted({(d, p) for pdf in rows for d, p in zip(pdf["dt"], pdf["close_px"], strict=True)})
-        held = self.state.get() if self.state.exists() else None
-        s = list(held) if held is not None else None
-        out = []
-        for d, p in points:
-            if s is None:
-                s = [0, d, p, d, p, d, p, d]
-                continue
-            if d <= s[7]:
-                continue  # behind what was folded already
-            s[7] = d
-            if s[0] == 0:
-                if p >= s[2] * up:
-                    s[0], s[5], s[6], s[3], s[4] = 1, s[1], s[2], d, p
-                elif p <= s[4] * down:
-                    s[0], s[5], s[6], s[1], s[2] = -1, s[3], s[4], d, p
-                else:
-                    if p < s[2]:
-                        s[1], s[2] = d, p
-                    if p > s[4]:
-                        s[3], s[4] = d, p
-            elif s[0] == 1:
-                if p > s[4]:
-                    s[3], s[4] = d, p
-                elif p <= s[4] * down:
-                    out.append((key[0], "rally", s[5], s[6], s[3], s[4]))
-                    s[0], s[5], s[6], s[1], s[2] = -1, s[3], s[4], d, p
-            elif p < s[2]:
-                s[1], s[2] = d, p
-            elif p >= s[2] * up:
-                out.append((key[0], "decline", s[5], s[6], s[1], s[2]))
-                s[0], s[5], s[6], s[3], s[4] = 1, s[1], s[2], d, p
-        if s is not None:
-            self.state.update(tuple(s))
-        yield pd.DataFrame(out, columns=["ticker", "kind", "start", "start_px", "end", "end_px"])
-
-    def close(self) -> None:
-        pass
-
-
-def swing_stream(prices: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """Closed episodes as they close. prices: a stream of (ticker, dt, close_px)."""
-    return prices.groupBy("ticker").transformWithStateInPandas(
-        statefulProcessor=SwingProcessor(threshold), outputStructType="ticker string, kind string, start date, start_px double, end date, end_px double", outputMode="Append", timeMode="None"
-    )

@@ -20,7 +20,7 @@ from ledgerloom.operators import retrieval as V
 from ledgerloom.plans.tables import relation
 from ledgerloom.sources import scans as S
 from ledgerloom.streaming import events as T
-from ledgerloom.streaming.pipelines import current_chunks, ingest_stream, swing_stream
+from ledgerloom.streaming.pipelines import current_chunks, ingest_stream
 
 
 def column(spark, values, make):
@@ -169,18 +169,6 @@ def test_swing_invariants(spark, sf_dir):
     assert all(abs(r["change_pct"]) >= 25 - 0.1 for r in got if not r["ongoing"])
 
 
-def test_stream_of_swings_equals_the_batch(spark, sf_dir, tmp_path):
-    prices = relation(spark, sf_dir, "prices").where("ticker in ('S1', 'S2', 'S3')")
-    for k, year in enumerate(range(1995, 2002)):
-        prices.where(F.year("dt") == year).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
-    stream = spark.readStream.schema(prices.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = swing_stream(stream).writeStream.format("memory").queryName("swings").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    key = lambda r: (r["ticker"], r["kind"], r["start"], r["end"])
-    want = P.swing_episodes(prices).where("not ongoing").collect()
-    assert sorted(map(key, spark.table("swings").collect())) == sorted(map(key, want))
-
-
 # --- documents ---
 
 
