@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,7 +15,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.exprs import count_of, r
 
 #: Size and overlap of chunks for long document types, and for all others.
-LONG_TYPES, LONG, SHORT = ("annual_report", "credit_report", "concall_transcript"), (8000, 1600), (4000, 800)
+LONG_TYPES, LONG, SHORT = ("annual_report", "financial_data", "credit_report"), (8000, 1600), (4000, 800)
 
 
 #: Document types and the patterns that speak for each.
@@ -159,110 +161,153 @@ def classify_documents(text: Column, patterns: dict[str, list[str]] | None = Non
     return F.coalesce(named, F.lit("other"))
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def split_sections(docs: DataFrame, headings: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, section_no, title, start, text): a line that matches a heading starts a section; empty ones go.
+    """(id, section_no, title, start, text): a line that a heading's pattern begins starts a section; blank ones go.
 
-    One fold over a text's lines notes the headings; no line leaves its row. A null text has no sections.
+    The line is trimmed before it is matched and stays in its section; the title is the first group, never empty, of the
+    first pattern that matches. What stands before the first heading is the
+    Introduction. One fold over a text's lines notes the headings; no line leaves its row. A null text has no sections.
     """
+    head = "struct<at: int, title: string>"
+    title = lambda x: F.coalesce(*[F.nullif(_stripped(F.regexp_extract(x, p, 1)), F.lit("")) for p in headings or HEADINGS])
     lines = F.split("text", "\n")
-    head = "struct<line: int, after: int>"
-    top = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("after")))
-    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("at"), top.cast(f"array<{head}>").alias("heads"))
+    named = F.zip_with(lines, F.transform(F.transform(lines, _stripped), title), lambda x, t: F.struct(F.length(x).alias("n"), t.alias("title")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{head}>").alias("heads"))
 
     def step(s: Column, x: Column) -> Column:
-        after = s["at"] + F.length(x) + 1
-        is_head = reduce(lambda a, b: a | b, [x.rlike(p) for p in headings or HEADINGS])
-        here = F.array(F.struct(s["line"].alias("line"), after.alias("after")))
-        return F.struct((s["line"] + 1).alias("line"), after.alias("at"), F.when(is_head, F.concat(s["heads"], here)).otherwise(s["heads"]).alias("heads"))
+        here = F.array(F.struct(s["at"].alias("at"), x["title"].alias("title")))
+        return F.struct((s["at"] + x["n"] + 1).alias("at"), F.when(x["title"].isNotNull(), F.concat(s["heads"], here)).otherwise(s["heads"]).alias("heads"))
 
-    rows = docs.select(id_col, lines.alias("_l"), F.aggregate(lines, start, step)["heads"].alias("_h"))
+    rows = docs.select(id_col, "text", F.aggregate(named, start, step)["heads"].alias("_f"))
+    opening = F.array(F.struct(F.lit(0).alias("at"), F.lit("Introduction").alias("title")))
+    rows = rows.select(id_col, "text", F.when(F.get("_f", F.lit(0))["at"] == 0, F.col("_f")).otherwise(F.concat(opening, "_f")).alias("_h"))
 
     def section(h: Column, no: Column) -> Column:
-        end = F.coalesce(F.get("_h", no + 1)["line"], F.size("_l"))
-        title = F.coalesce(F.trim(F.get("_l", h["line"])), F.lit("Introduction"))
-        body = F.array_join(F.slice("_l", h["line"] + 2, end - h["line"] - 1), "\n")
-        return F.struct(no.alias("section_no"), title.alias("title"), h["after"].alias("start"), body.alias("text"))
+        end = F.coalesce(F.get("_h", no + 1)["at"], F.length("text"))
+        return F.struct(no.alias("section_no"), h["title"].alias("title"), h["at"].alias("start"), F.substring("text", h["at"] + 1, end - h["at"]).alias("text"))
 
     return rows.select(id_col, F.inline(F.transform("_h", section))).where(F.col("text").rlike(r"\S"))
 
 
-TABLE_LINE = r"\||\t|\d[\d,.]*\s{2,}\d|^[-=+| ]{5,}$"
+#: Fixed value: how a line of a table begins, as Python's matcher reads it.
+TABLE_LINE = r"^[\s]*(?:[|]|[\w\s,.()]+\t|[\w\s,.()]+\s{3,}[\d,.()%-]+|---)"
+#: White space and the letters of words as the other matchers name them.
+_SPACE, _WORD = r"\s\x0b\x1c-\x1f\x{85}\p{Z}", r"\p{L}\p{N}_"
+#: The same rule for Spark's and DuckDB's matchers.
+TABLE_LINE_SQL = TABLE_LINE.replace(r"\s{3,}", f"[{_SPACE}]{{3,}}").replace(r"[\s]", f"[{_SPACE}]").replace(r"\w\s", _WORD + _SPACE).replace(r"\d", r"\p{Nd}")
 
 
-def table_blocks(docs: DataFrame, id_col: str = "doc_id", min_lines: int = 3, pattern: str = TABLE_LINE) -> DataFrame:
-    """Runs of table-like lines as spans of letters, by one fold over a text's lines; a null text has none."""
+def table_blocks(docs: DataFrame, id_col: str = "doc_id", min_feeds: int = 2, pattern: str = TABLE_LINE_SQL) -> DataFrame:
+    """(id, start, end, n_lines): runs of table lines that hold min_feeds line feeds, from the first line to the next line after them.
+
+    One fold over a text's lines; the last line has no line feed, and a run that it ends counts one beyond the text. A
+    null text has none.
+    """
     run = "struct<start: int, end: int, n_lines: int>"
     none = F.array().cast(f"array<{run}>")
     start = F.struct(F.lit(0).alias("at"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("n_lines")).alias("run"), none.alias("out"))
 
-    def closed(s: Column) -> Column:
-        return F.when(s["run"]["n_lines"] >= min_lines, F.concat(s["out"], F.array(s["run"]))).otherwise(s["out"])
+    def closed(s: Column, feeds: Column) -> Column:
+        return F.when((s["run"]["n_lines"] > 0) & (feeds >= min_feeds), F.concat(s["out"], F.array(s["run"]))).otherwise(s["out"])
 
     def step(s: Column, x: Column) -> Column:
-        r, end, hit = s["run"], s["at"] + F.length(x), x.rlike(pattern)
+        r, end, hit = s["run"], s["at"] + F.length(x) + 1, x.rlike(pattern)
         first = F.when(r["n_lines"] == 0, s["at"]).otherwise(r["start"])
         n = F.when(hit, r["n_lines"] + 1).otherwise(0)
         now = F.struct(first.alias("start"), end.alias("end"), n.alias("n_lines"))
-        return F.struct((end + 1).alias("at"), now.alias("run"), F.when(hit, s["out"]).otherwise(closed(s)).alias("out"))
+        return F.struct(end.alias("at"), now.alias("run"), F.when(hit, s["out"]).otherwise(closed(s, r["n_lines"])).alias("out"))
 
-    return docs.select(id_col, F.inline(F.aggregate(F.split("text", "\n"), start, step, closed)))
+    return docs.select(id_col, F.inline(F.aggregate(F.split("text", "\n"), start, step, lambda s: closed(s, s["run"]["n_lines"] - 1))))
+
+
+#: What a cut may follow, the first that occurs in the final fifth deciding.
+SEPARATORS = (". ", ".\n", ";\n", "\n\n")
 
 
 def chunk_spans(text: str, size: int, overlap: int, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Cuts of one section: past a table block they would split, else after the last sentence of the final fifth."""
+    """Cuts of one text: past a table that they would split, else after a separator of the final fifth that no table holds."""
+    starts = [b[0] for b in blocks]
+
+    def past_table(at: int) -> int | None:
+        k = bisect_right(starts, at) - 1
+        return blocks[k][1] if k >= 0 and at < blocks[k][1] else None
+
+    if len(text) <= size:
+        return [(0, len(text))]
     spans, start = [], 0
     while start < len(text):
         end = start + size
-        if end < len(text):
-            block = next((b for b in blocks if b[0] < end < b[1]), None)
-            if block:
-                end = block[1]
-            else:
-                cut = max((text.rfind(s, end - size // 5, end) + len(s) for s in (". ", ".\n", ";\n", "\n\n") if text.rfind(s, end - size // 5, end) >= 0), default=-1)
-                end = cut if cut > start else end
+        if (beyond := past_table(end)) is not None:
+            end = min(beyond, len(text))
+        elif end < len(text):
+            low = end - int(size * 0.2)
+            ends = (at + len(s) for s in SEPARATORS if (at := text.rfind(s, low, end)) >= 0)
+            end = next((e for e in ends if past_table(e) is None), end)
         spans.append((start, min(end, len(text))))
-        start = max(end - overlap, start + 1)
+        start = end - overlap
     return spans
 
 
+def _table_spans(text: str, table: re.Pattern) -> list[tuple[int, int]]:
+    blocks, at, first = [], 0, None
+    for line in [*text.split("\n"), None]:
+        if line is not None and table.match(line):
+            first = at if first is None else first
+        elif first is not None:
+            if text.count("\n", first, at) >= 2:
+                blocks.append((first, at))
+            first = None
+        at += len(line or "") + 1
+    return blocks
+
+
 def chunk_text(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, section_no, chunk_no, start, text): overlapping chunks of each section, batch by batch without a shuffle.
+    """(id, section_no, title, chunk_no, start, text): overlapping chunks of each section, batch by batch without a shuffle.
 
-    Sections carry text and doc_type; a null text has no chunks.
+    Sections carry text and doc_type, and a title or none. A section that fits stays as it is; of a longer one each
+    chunk is trimmed, and blank chunks go. A null text has no chunks.
     """
-    import re
-
-    table = re.compile(TABLE_LINE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = re.compile(TABLE_LINE)
         for pdf in batches:
             out = []
-            for key, no, kind, text in zip(pdf["id"], pdf["section_no"], pdf["doc_type"], pdf["text"], strict=True):
-                blocks, at, first = [], 0, None
-                for line in [*(text or "").split("\n"), ""]:
-                    if table.search(line):
-                        first = at if first is None else first
-                    elif first is not None:
-                        if text.count("\n", first, at) >= 2:
-                            blocks.append((first, at))
-                        first = None
-                    at += len(line) + 1
+            for key, no, title, kind, text in zip(pdf["id"], pdf["section_no"], pdf["title"], pdf["doc_type"], pdf["text"], strict=True):
+                text = text or ""
                 size, overlap = LONG if kind in LONG_TYPES else SHORT
-                out += [(key, no, k, a, piece) for k, (a, b) in enumerate(chunk_spans(text or "", size, overlap, blocks)) if (piece := text[a:b].strip())]
-            yield pd.DataFrame(out, columns=["id", "section_no", "chunk_no", "start", "text"])
+                pieces = [(0, text)] if len(text) <= size else [(a, text[a:b].strip()) for a, b in chunk_spans(text, size, overlap, _table_spans(text, table))]
+                out += [(key, no, title, k, a, piece) for k, (a, piece) in enumerate(p for p in pieces if p[1].strip())]
+            yield pd.DataFrame(out, columns=["id", "section_no", "title", "chunk_no", "start", "text"])
 
     kind = sections.schema[id_col].dataType.simpleString()
-    rows = sections.select(F.col(id_col).alias("id"), "section_no", "doc_type", "text")
-    return rows.mapInPandas(run, f"id {kind}, section_no int, chunk_no int, start int, text string").withColumnRenamed("id", id_col)
+    title = F.col("title") if "title" in sections.columns else F.lit("Full Document").alias("title")
+    rows = sections.select(F.col(id_col).alias("id"), "section_no", title, "doc_type", "text")
+    return rows.mapInPandas(run, f"id {kind}, section_no int, title string, chunk_no int, start int, text string").withColumnRenamed("id", id_col)
 
 
 def chunk_records(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Chunks with a deterministic id, a line that names their period, and their section's total."""
-    rows = chunks.join(docs.select(id_col, "ticker", "file_name", "fiscal_period"), id_col)
+    """Chunks with a deterministic id, a line that names their period and document, and their section's total.
+
+    docs: (id, ticker, file_name, doc_type, and fiscal_period, fiscal_quarter, calendar_year as stamped); nulls count as
+    empty, a null year as 0. n_chars counts the chunk without that line.
+    """
+    rows = chunks.join(docs.select(id_col, "ticker", "file_name", "doc_type", "fiscal_period", "fiscal_quarter", "calendar_year"), id_col)
     total = F.count("*").over(Window.partitionBy(id_col, "section_no")).cast("int")
     number = F.row_number().over(Window.partitionBy(id_col).orderBy("section_no", "chunk_no"))
-    key = F.md5(F.concat_ws("_", "ticker", "file_name", F.col("section_no").cast("string"), F.col("chunk_no").cast("string"), number.cast("string"), F.substring("text", 1, 50)).cast("binary"))
-    return rows.select(id_col, key.alias("chunk_id"), "section_no", "chunk_no", total.alias("section_chunks"), F.concat(F.lit("["), "fiscal_period", F.lit("]\n"), "text").alias("text"), F.length("text").alias("n_chars"))
+    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
+    parts = [filled("ticker"), filled("file_name"), filled("title"), F.col("chunk_no").cast("string"), number.cast("string"), F.substring("text", 1, 50)]
+    quarter = F.when(filled("fiscal_quarter") != "", F.concat(F.lit(" | Quarter: "), "fiscal_quarter")).otherwise("")
+    kind = F.initcap(F.translate(filled("doc_type"), "_", " "))
+    year = F.coalesce("calendar_year", F.lit(0)).cast("string")
+    line = F.concat(F.lit("[Fiscal Period: "), filled("fiscal_period"), quarter, F.lit(" | Calendar Year: "), year, F.lit(" | Document: "), kind, F.lit("]\n"))
+    return rows.select(
+        id_col, F.md5(F.concat_ws("_", *parts).cast("binary")).alias("chunk_id"), "section_no", "title", "chunk_no", total.alias("section_chunks"),
+        F.concat(line, "text").alias("text"), F.length("text").alias("n_chars"),
+    )
 
 
 def table_pages(text: Column, statement_words: list[str] | None = None, disclosure_words: list[str] | None = None) -> tuple[Column, Column]:
@@ -401,13 +446,17 @@ def segments_from_payload(payloads: DataFrame) -> DataFrame:
 
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Lines that repeat an earlier one, bullets and case aside, go; headings and blank lines stay. No shuffle."""
-    key = lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[\s*•-]+", "")))
+    """Lines that repeat an earlier one, the bullet or number before them and case aside, go; no shuffle.
+
+    Headings (lines that # begins) and lines that hold no more than a bullet stay, and are no earlier line for others.
+    """
+    body = lambda x: F.lower(_stripped(F.regexp_replace(x, r"^[\s*•\d.-]+", "")))
+    key = lambda x: F.when(_stripped(x).startswith("#"), "").otherwise(body(x))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
     # sorted by key and place, a key's first line stands where the key before it differs
     rows = docs.select(id_col, F.array_sort(lines).alias("_o"))
     first = lambda s, j: (j == 0) | (F.get("_o", j - 1)["k"] != s["k"])
-    kept = F.filter("_o", lambda s, j: first(s, j) | (s["k"] == "") | s["x"].startswith("#"))
+    kept = F.filter("_o", lambda s, j: first(s, j) | (s["k"] == ""))
     back = F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
     return rows.select(id_col, F.array_join(F.transform(back, lambda s: s["x"]), "\n").alias("text"))
 

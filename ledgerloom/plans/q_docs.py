@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import exprs
+from ledgerloom.functions import fiscal as FI
 from ledgerloom.operators import docs as D
 from ledgerloom.operators import findings as J
 from ledgerloom.operators import ledger as M
@@ -19,6 +20,7 @@ from ledgerloom.plans.registry import REGISTRY, query
 from ledgerloom.plans.tables import VEC, oracle, relation, table
 from ledgerloom.sources import scans as S
 from ledgerloom.sources.shared import new_folder
+from ledgerloom.sources.store import ChunkStore
 from ledgerloom.streaming import events as T
 from ledgerloom.streaming import pipelines as I
 from ledgerloom.streaming import swings as W
@@ -191,39 +193,51 @@ def d1(s, d):
     return corpus(s, d).select("doc_id", D.classify_documents(F.col("text")).alias("doc_type"))
 
 
-_HEAD = " or ".join("regexp_matches(line, '" + p.replace("'", "''") + "')" for p in [*D.HEADINGS, "^(The|Of|Ing)[a-z]* "])
+#: The headings of the library, and one kind that the texts hold.
+_HEADS = [*D.HEADINGS, r"^((?:The|Of|Ing)[a-z]*) "]
+_TITLE = "coalesce(" + ", ".join("case when regexp_matches(t, '{0}') then coalesce(nullif(trim(regexp_extract(t, '{0}', 1)), ''), t) end".format(p.replace("'", "''")) for p in _HEADS) + ")"
 
 
-@query("d2_split_sections", _LINES + f""", h as (select *, {_HEAD} h from ln), w as (select *, cast(sum(cast(h as int)) over (partition by doc_id order by line_no) as int) section_no from h),
- a as (select doc_id, section_no, max(case when h then trim(line) end) title, min(case when not h then start end) start, string_agg(case when not h then line end, chr(10) order by line_no) as text from w group by 1, 2) select doc_id, section_no, coalesce(title, 'Introduction') title, start, text from a where regexp_matches(text, '\\S')""")
+@query("d2_split_sections", _LINES + f""", h as (select doc_id, start, {_TITLE} title from (select *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') t from ln)),
+ k as (select * from h where title is not null union all select doc_id, 0, 'Introduction' from h group by doc_id having not bool_or(start = 0 and title is not null)),
+ w as (select *, cast(row_number() over (partition by doc_id order by start) - 1 as int) section_no, lead(start) over (partition by doc_id order by start) stop from k)
+ select w.doc_id, section_no, title, start, substr(text, start + 1, coalesce(stop, length(text)) - start) as text from w join c using (doc_id) where regexp_matches(substr(text, start + 1, coalesce(stop, length(text)) - start), '\\S')""")
 def d2(s, d):
-    """Sections by headings, those of the library and one kind that the texts hold."""
-    return D.split_sections(corpus(s, d), [*D.HEADINGS, "^(The|Of|Ing)[a-z]* "])
+    """Sections by headings."""
+    return D.split_sections(corpus(s, d), _HEADS)
 
 
-@query("d3_table_blocks", _LINES + """, m as (select *, line_no - row_number() over (partition by doc_id order by line_no) i from ln where regexp_matches(line, 'tion|the')), r as (select doc_id, i, min(start) start, max(start + length(line)) "end", cast(count(*) as int) n_lines from m group by 1, 2) select doc_id, start, "end", n_lines from r where n_lines >= 3""")
+#: Texts with tables: bars, tabs and columns in place of some words.
+_TABLED = "replace(replace(replace(replace({0}, '. ', concat('.', {1})), ' | ', concat({1}, '| ')), ' of ', {2}), ' de ', '   12.5 ')"
+
+
+@query("d3_table_blocks", _LINES.replace("coalesce(text, '') as text", _TABLED.format("coalesce(text, '')", "chr(10)", "chr(9)") + " as text") + f""", m as (select *, line_no - row_number() over (partition by doc_id order by line_no) i from ln where regexp_matches(line, '{D.TABLE_LINE_SQL}')),
+ r as (select m.doc_id, i, min(start) start, max(start + length(line) + 1) "end", cast(count(*) as int) n_lines from m group by 1, 2)
+ select doc_id, start, "end", n_lines from r join c using (doc_id) where n_lines - case when "end" > length(text) then 1 else 0 end >= 2""")
 def d3(s, d):
-    """Runs of lines that match."""
-    return D.table_blocks(corpus(s, d), pattern="tion|the")
+    """Tables in texts."""
+    return D.table_blocks(corpus(s, d).withColumn("text", F.expr(_TABLED.format("text", "char(10)", "char(9)"))))
 
 
-def _chunks(s, d):
-    sections = corpus(s, d).withColumns({"section_no": F.lit(0), "doc_type": F.when(F.col("doc_id") % 2 == 0, "annual_report").otherwise("note")})
-    return D.chunk_text(sections)
+def _cut(s, d):
+    """Documents with their period, and their sections cut into chunks."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "annual_report").otherwise("note")
+    docs = corpus(s, d).withColumns({"text": F.expr(_TABLED.format("text", "char(10)", "char(9)")), "doc_type": kind})
+    docs = docs.select("*", F.inline(F.array(FI.stamp_period("file_name", "text"))))
+    return docs, D.chunk_text(D.split_sections(docs, _HEADS).join(docs.select("doc_id", "doc_type"), "doc_id"))
 
 
 @query("d4_chunk_text")
 def d4(s, d):
-    """Overlapping chunks of whole texts."""
-    c = _chunks(s, d)
-    return c.select("doc_id", "section_no", "chunk_no", "start", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("md5"))
+    """Overlapping chunks of the sections of whole texts."""
+    return _cut(s, d)[1].select("doc_id", "section_no", "chunk_no", "start", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
 @query("d5_chunk_records")
 def d5(s, d):
     """Chunks with identifiers and totals."""
-    docs = corpus(s, d).withColumn("fiscal_period", F.regexp_extract("file_name", r"^(Q\d_FY\d+)", 1))
-    return D.chunk_records(_chunks(s, d), docs).select("doc_id", "chunk_id", "section_no", "chunk_no", "section_chunks", "n_chars")
+    docs, chunks = _cut(s, d)
+    return D.chunk_records(chunks, docs).select("doc_id", "chunk_id", "section_no", "title", "chunk_no", "section_chunks", "n_chars", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
 _HAS = lambda ws: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + ")"
@@ -338,7 +352,8 @@ def d17(s, d):
     return D.segments_from_payload(_payloads(s, d))
 
 
-@query("d18_dedupe_lines", _LINES + r""", k as (select *, lower(trim(regexp_replace(line, '^[\s*•-]+', ''))) key from ln), f as (select *, row_number() over (partition by doc_id, key order by line_no) n from k) select doc_id, string_agg(line, chr(10) order by line_no) as text from f where n = 1 or key = '' or starts_with(line, '#') group by 1""")
+@query("d18_dedupe_lines", _LINES + r""", k as (select *, case when starts_with(regexp_replace(line, '^\s+', ''), '#') then '' else lower(regexp_replace(regexp_replace(line, '^[\s*•\d.-]+', ''), '^\s+|\s+$', '', 'g')) end key from ln),
+ f as (select *, row_number() over (partition by doc_id, key order by line_no) n from k) select doc_id, string_agg(line, chr(10) order by line_no) as text from f where n = 1 or key = '' group by 1""")
 def d18(s, d):
     """Texts without repeated lines."""
     return D.dedupe_lines(corpus(s, d))
@@ -593,16 +608,31 @@ def t8(s, d):
 _TYPED = REGISTRY.oracles["d1_classify"]
 
 
-@query("t6_ingest_stream", f"""select c.doc_id, source ticker, 1 as version, sha256(text) text_sha256 from documents c join ({_TYPED}) t using (doc_id)
+@query("t6_ingest_stream", f"""select c.doc_id, source ticker, cast(case when c.doc_id % 3 = 0 then 2 else 1 end as int) as version, sha256(text) digest from documents c join ({_TYPED}) t using (doc_id)
  where (c.doc_id % 2 = 0 or doc_type <> 'other') and regexp_matches(text, '\\S')""")
 def t6(s, d):
-    """Documents read as a stream into a store of chunks; half name their type, the rest are typed or refused."""
+    """Documents read as a stream into a store of chunks; half name their type, the rest are typed or refused.
+
+    A third comes first in an earlier state, and that state's chunks are replaced.
+    """
     docs = relation(s, d, "corpus").select("doc_id", "ticker", "file_name", "text", F.when(F.col("doc_id") % 2 == 0, "note").alias("doc_type"))
     path = new_folder(s, "ingest")
-    docs.write.parquet(f"{path}/in")
+    early = docs.where("doc_id % 3 = 0").join(_known(docs), "doc_id", "left_semi").withColumn("text", F.concat("text", F.lit(" draft")))
+    early.write.parquet(f"{path}/in/a")
     schema = "doc_id long, ticker string, file_name string, text string, doc_type string"
-    I.ingest_stream(s, f"{path}/in", schema, f"{path}/store", f"{path}/checkpoint").awaitTermination()
-    return I.current_chunks(s, f"{path}/store").select("doc_id", "ticker", "version", "text_sha256").distinct()
+    run = lambda: I.ingest_stream(s, f"{path}/in/*", schema, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    run()
+    docs.write.parquet(f"{path}/in/b")
+    run()
+    store = ChunkStore(s, f"{path}/store")
+    stored = store.chunks().select("doc_id").distinct()
+    return store.documents().join(stored, "doc_id").select("doc_id", "ticker", "version", "digest")
+
+
+def _known(docs):
+    """Documents that an ingest takes."""
+    kind = F.coalesce("doc_type", D.classify_documents(F.col("text")))
+    return docs.where((kind != "other") & F.col("text").rlike(r"\S")).select("doc_id")
 
 
 @contextmanager

@@ -13,6 +13,8 @@ from ledgerloom.operators import retrieval as V
 from ledgerloom.plans.q_core import R, WIDE
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.tables import PRICES, VEC, oracle, relation, table
+from ledgerloom.sources.shared import new_folder
+from ledgerloom.sources.store import ChunkStore
 
 prices = lambda s, d: relation(s, d, "prices")
 NOW = "2024-06-01"
@@ -186,11 +188,25 @@ def r8(s, d):
     return V.drop_failed(v)[1]
 
 
-@query("r9_upsert_chunks", "select vec_id, case when vec_id % 3 = 0 then 'new' else 'old' end as version from embeddings where vec_id % 5 <> 1 or vec_id % 3 = 0")
+@query("r9_upsert_chunks", """select vec_id doc_id, case when vec_id % 3 = 0 then 'new' else 'old' end as state, cast(case when vec_id % 3 = 0 and vec_id % 5 <> 1 then 2 else 1 end as int) as version, len(embedding) as dims
+ from embeddings where (vec_id % 5 <> 1 or vec_id % 3 = 0) and not (vec_id % 7 = 2 and vec_id % 3 <> 0)""")
 def r9(s, d):
-    """A store after a batch that replaces and adds."""
-    v = table(s, d, "embeddings").select("vec_id")
-    return V.upsert_chunks(v.where("vec_id % 5 <> 1").withColumn("version", F.lit("old")), v.where("vec_id % 3 = 0").withColumn("version", F.lit("new")))
+    """A stored set of chunks after a batch that replaces and adds, the same batch again, and the clearing of a ticker."""
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("t"), (F.col("vec_id") % 7).cast("string")).alias("ticker"), "embedding")
+    store = ChunkStore(s, new_folder(s, "store"), 16)
+
+    def put(rows, state):
+        docs = rows.select("doc_id", "ticker", F.lit(state).alias("digest"))
+        fresh = store.changed(docs)
+        store.upsert(fresh, rows.join(fresh.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(state).alias("state"), F.size("embedding").cast("long").alias("dims")))
+
+    put(v.where("doc_id % 5 <> 1"), "old")
+    late = v.where("doc_id % 3 = 0").withColumn("ticker", F.lit("late"))
+    put(late, "new")
+    put(late, "new")
+    store.clear("T2")
+    store.vacuum()
+    return store.chunks().join(store.documents().select("doc_id", "version"), "doc_id")
 
 
 @query("r10_embed")

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import math
+import random
 import re
 
 import pytest
@@ -172,27 +173,101 @@ def test_swing_invariants(spark, sf_dir):
 # --- documents ---
 
 
-def test_chunks_tile_their_section(spark):
+def test_chunks_keep_tables_whole(spark):
     text = "".join(f"Sentence number {i} of the text. " for i in range(900))
     table = "\n".join(f"| a{i} | {i} |" for i in range(60))
     text = text[:3700] + "\n" + table + "\n" + text[3700:]
     df = spark.createDataFrame([(1, 0, "note", text), (2, 0, "annual_report", text), (3, 0, "note", ""), (4, 0, "note", None)], "doc_id long, section_no int, doc_type string, text string")
     got = D.chunk_text(df).orderBy("doc_id", "chunk_no").collect()
-    assert {r["doc_id"] for r in got} == {1, 2}
-    for key, size in ((1, 4000), (2, 8000)):
-        own = [r for r in got if r["doc_id"] == key]
-        assert all(r["text"] in text for r in own)
-        starts = [r["start"] for r in own]
-        assert starts[0] == 0 and all(0.6 * size <= b - a <= size + len(table) for a, b in zip(starts, starts[1:-1], strict=False))
+    assert {r["doc_id"] for r in got} == {1, 2} and all(r["text"] in text for r in got)
     first = next(r for r in got if r["doc_id"] == 1)
     assert first["text"].endswith("| a59 | 59 |")  # the table is not cut
 
 
+def plain_tables(text):
+    """Letters that a table holds, one flag each and some beyond the end."""
+    lines, flags = text.split("\n"), [False] * (len(text) + 2)
+    at, k = 0, 0
+    while k < len(lines):
+        n = k
+        while n < len(lines) and re.match(D.TABLE_LINE, lines[n]):
+            n += 1
+        size = sum(len(x) + 1 for x in lines[k:n])
+        if n - k - (n == len(lines)) >= 2:
+            flags[at : at + size] = [True] * size
+        at, k = at + size + (len(lines[n]) + 1 if n < len(lines) else 0), n + 1
+    return flags
+
+
+def plain_chunks(text, size, overlap):
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    table, out, start = [*plain_tables(text), *[False] * (2 * size)], [], 0
+    while start < len(text):
+        end = start + size
+        if table[end]:
+            while table[end]:
+                end += 1
+            end = min(end, len(text))
+        elif end < len(text):
+            for mark in (". ", ".\n", ";\n", "\n\n"):
+                head, found, _ = text[end - size // 5 : end].rpartition(mark)
+                if found and not table[end - size // 5 + len(head) + len(mark)]:
+                    end = end - size // 5 + len(head) + len(mark)
+                    break
+        if text[start:end].strip():
+            out.append(text[start:end].strip())
+        start = end - overlap
+    return out
+
+
+def test_chunks_equal_a_plain_version_on_random_texts(spark):
+    rng = random.Random(7)
+    pieces = ["word ", "other. ", "end.\n", "part;\n", "\n\n", "| a | b |\n", "Revenue   1,200\n", "a, (b)\tc\n", "--- x\n", "a | b\n", "é   -\n", "    ", "\n", "long" * 50]
+    rows = []
+    for i in range(60):
+        weights = [rng.random() ** 3 for _ in pieces]
+        rows.append((i, 0, rng.choice(["note", "financial_data", None]), "".join(rng.choices(pieces, weights, k=rng.choice((3, 900, 2500))))))
+    df = spark.createDataFrame(rows, "doc_id long, section_no int, doc_type string, text string")
+    got = {}
+    for r in D.chunk_text(df).orderBy("doc_id", "chunk_no").collect():
+        assert r["chunk_no"] == len(got.setdefault(r["doc_id"], []))
+        got[r["doc_id"]].append(r["text"])
+    want = {i: c for i, _, kind, t in rows if (c := plain_chunks(t, *((8000, 1600) if kind == "financial_data" else (4000, 800))))}
+    assert got == want and sum(map(len, want.values())) > 150
+
+
+def test_the_first_separator_in_order_decides(spark):
+    text = "x" * 3400 + ". " + "y" * 300 + ";\n" + "z" * 3000
+    df = spark.createDataFrame([(1, 0, "note", text)], "doc_id long, section_no int, doc_type string, text string")
+    assert D.chunk_text(df).orderBy("chunk_no").first()["text"] == "x" * 3400 + "."
+
+
+def test_table_lines(spark):
+    yes = ["| a", "  |", "a b\tc", "Revenue   1,200", "Net (loss).    -3%", "--- x"]
+    no = ["a | b", "1,200  3", "Revenue: 1   2", "-- x", "", "a-b\tc"]
+    df = spark.createDataFrame([(i, f"{x}\n{x}\nend") for i, x in enumerate(yes + no)], "doc_id long, text string")
+    assert {r["doc_id"] for r in D.table_blocks(df).collect()} == set(range(len(yes)))
+    text = "intro\n| a\n| b\nmid\n| c\n| d"
+    got = D.table_blocks(spark.createDataFrame([(1, text), (2, text + "\n| e"), (3, None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_lines"]) for r in got) == [(1, 6, 14, 2), (2, 6, 14, 2), (2, 18, 30, 3)]
+
+
 def test_sections_and_questions(spark):
-    text = "intro\nNOTES\nline one\nline two\nRISKS\n\n"
-    got = D.split_sections(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["^[A-Z]+$"]).collect()
-    assert sorted((r["title"], r["text"]) for r in got) == [("Introduction", "intro"), ("NOTES", "line one\nline two")]
-    assert column(spark, ["hi QUESTION AND ANSWER now", "a\nModerator: x", "none"], lambda c: D.qa_section(c, ["QUESTION AND ANSWER"], "Moderator:")) == ["QUESTION AND ANSWER now", "Moderator: x", None]
+    text = "intro\n  ## Directors Report 2024\nline one\nline two\nCORPORATE  governance\n\nQ & A session\n"
+    rows = [(1, text), (2, "Auditor's report\nx"), (3, " \n"), (4, None), (5, "plain")]
+    got = D.split_sections(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["section_no"], r["title"], r["start"], r["text"]) for r in got) == [
+        (1, 0, "Introduction", 0, "intro\n"), (1, 1, "Directors Report", 6, "  ## Directors Report 2024\nline one\nline two\n"),
+        (1, 2, "CORPORATE  governance", 51, "CORPORATE  governance\n\n"), (1, 3, "Q & A", 74, "Q & A session\n"),
+        (2, 0, "Auditor's report", 0, "Auditor's report\nx"), (5, 0, "Introduction", 0, "plain"),
+    ]
+
+
+def test_repeated_lines(spark):
+    text = "# Head\n1. Margin up\n- # head\n2. margin UP \n* volume\n\n•\n# Head\n  # Head\n\n12.5 volume\n3) x\n) X"
+    got = D.dedupe_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert got == "# Head\n1. Margin up\n- # head\n* volume\n\n•\n# Head\n  # Head\n\n3) x"
 
 
 def test_context_and_growth(spark):
@@ -353,17 +428,20 @@ def test_band_pairs_in_blocks_equal_all_pairs(spark):
 
 def test_chunk_records_equal_plain_counting(spark):
     text = {1: "One sentence here. " * 700, 2: "short", 3: None}
-    docs = spark.createDataFrame([(i, "T", f"f{i}.pdf", f"Q1_FY2{i}", t) for i, t in text.items()], "doc_id long, ticker string, file_name string, fiscal_period string, text string")
-    parts = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("section_no"), F.lit("note").alias("doc_type"), "text")
-    cut = sorted(tuple(r) for r in D.chunk_text(parts).select("doc_id", "section_no", "chunk_no", "text").collect())
+    kinds = {1: "annual_report", 2: "concall_transcript", 3: "note"}
+    rows = [(i, "t", f"f{i}.pdf", kinds[i], f"Q1_FY2{i}", "Q1" if i == 1 else "", 2020 if i == 1 else None, t) for i, t in text.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, ticker string, file_name string, doc_type string, fiscal_period string, fiscal_quarter string, calendar_year int, text string")
+    parts = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("section_no"), F.lit(t).alias("title")) for k, t in enumerate(("Introduction", "Risk"))])), "doc_type", "text")
+    cut = sorted(tuple(r) for r in D.chunk_text(parts).select("doc_id", "section_no", "title", "chunk_no", "text").collect())
     want, number = [], {}
-    for i, no, k, piece in cut:
+    line = {1: "[Fiscal Period: Q1_FY21 | Quarter: Q1 | Calendar Year: 2020 | Document: Annual Report]\n", 2: "[Fiscal Period: Q1_FY22 | Calendar Year: 0 | Document: Concall Transcript]\n"}
+    for i, no, title, k, piece in cut:
         number[i] = number.get(i, 0) + 1
-        key = "_".join(["T", f"f{i}.pdf", str(no), str(k), str(number[i]), piece[:50]])
+        key = f"t_f{i}.pdf_{title}_{k}_{number[i]}_{piece[:50]}"
         total = sum(c[:2] == (i, no) for c in cut)
-        want.append((i, hashlib.md5(key.encode()).hexdigest(), no, k, total, f"[Q1_FY2{i}]\n{piece}", len(piece)))
-    got = D.chunk_records(D.chunk_text(parts), docs).select("doc_id", "chunk_id", "section_no", "chunk_no", "section_chunks", "text", "n_chars")
-    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 6 and {w[0] for w in want} == {1, 2}
+        want.append((i, hashlib.md5(key.encode()).hexdigest(), no, title, k, total, line[i] + piece, len(piece)))
+    got = D.chunk_records(D.chunk_text(parts), docs).select("doc_id", "chunk_id", "section_no", "title", "chunk_no", "section_chunks", "text", "n_chars")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 4 and {w[0] for w in want} == {1, 2}
 
 
 def test_topics_of_requests_without_a_ticker(spark):
