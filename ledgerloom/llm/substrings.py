@@ -2,18 +2,18 @@
 
 A window is WIDTH consecutive words of a document. A document's words are hashed once into two lanes of 64
 bits; a window's two lanes are sums of its words' lanes, each times an odd factor of its place, so that
-windows are made by array arithmetic and are equal where both lanes are (128 bits).
+windows are made by array arithmetic; they are grouped by 96 bits of the two.
 
 First pass: every task notes in how many of its documents each cell of a count-min sketch is met, as sorted
-lists of cells, and never holds a sketch of its own. The lists go to the slices of the sketch, where they
+lists of cells in gaps of a byte, and never holds a sketch of its own. A document's id is noted too. The lists go to the slices of the sketch, where they
 are added up; counts stop at two. A window's count is never under the number of documents that hold it, so
 the cells that reach two, one bit each, are all that the second pass needs. The sketch has eight cells for
 every window, up to MAX_CELLS: beyond that its bits stay at MAX_CELLS / 8 bytes and more windows pass by
 mistake, which costs a shuffle and changes no result.
 
-Second pass: only windows whose cells all reach two are grouped, exactly, by both lanes. A task first merges
-its own copies of a window into one row, so a passage that a third of all documents hold comes to its group
-as one row a task. Windows that a document with a smaller id holds are marked by their places; the words
+Second pass: only windows whose cells all reach two are grouped, exactly. Where a task sees a window in several
+documents, it decides all but the one with the smallest id itself, so a passage that a third of all documents
+hold comes to its group as a few rows a task. Windows that a document with a smaller id holds are marked by their places; the words
 that they cover are left out of the whole text.
 
 Defined results: a null or empty text has no words; a text of fewer words than a window loses none; rows
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,8 +42,12 @@ DEPTH = 2
 SLICE_BITS = 16
 #: Cells of the largest sketch: its bits take 128 MB.
 MAX_CELLS = 1 << 30
-#: Windows that a task holds before it passes them on, and words that it keeps hashed.
-HELD, MEMO_WORDS = 1 << 20, 1 << 20
+#: The sketch is broadcast in pieces of so many bytes.
+PIECE = 1 << 23
+#: Windows that a task of the first pass notes at once, that one of the second tests and groups at once, places packed at once.
+NOTED, TESTED, GROUPED, PACKED = 1 << 22, 1 << 16, 1 << 18, 1 << 20
+#: Words that a task keeps hashed.
+MEMO_WORDS = 1 << 20
 
 
 class Hasher(dict):
@@ -78,6 +83,11 @@ class Hasher(dict):
         return out
 
 
+def of_id(doc: int) -> np.ndarray:
+    """The lanes of an id."""
+    return np.frombuffer(xxh3_128_digest(b"id %d" % doc), np.uint64).reshape(2, 1)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words between ASCII white space, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split()
@@ -97,24 +107,45 @@ def cells_of(windows: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _gaps(cells: np.ndarray, new_slice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells as gaps of one byte, 255 standing for 255 without a cell, and where each cell's bytes end."""
+    low = (cells & ((1 << SLICE_BITS) - 1)).astype(np.int64)
+    gap = np.where(new_slice, low, np.diff(low, prepend=0))
+    ends = np.cumsum(gap // 255 + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gap % 255
+    return out, ends
+
+
+def _from_gaps(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(data, dtype=np.int64)[data != 255]
+
+
 def _noted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Cells, each once for a document that meets it, as lists of one slice: met once, met again."""
-    cells = np.sort(np.concatenate(held))
+    cells = np.concatenate(held)
+    cells.sort()
     first = np.concatenate([[True], cells[1:] != cells[:-1]])
-    starts = np.flatnonzero(first)
-    many = np.diff(np.append(starts, len(cells))) > 1
-    cells = cells[starts]
-    cuts = np.flatnonzero(np.diff(cells >> SLICE_BITS)) + 1
-    bounds = np.concatenate([[0], cuts, [len(cells)]])
-    low = (cells & ((1 << SLICE_BITS) - 1)).astype("<u2")
-    pieces = [slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    for k in range(0, len(pieces), 4096):
-        part = pieces[k : k + 4096]
+    many = np.diff(np.append(np.flatnonzero(first), len(cells))) > 1
+    cells = cells[first]
+    slices = cells >> SLICE_BITS
+    new = np.concatenate([[True], slices[1:] != slices[:-1]])
+    starts = np.flatnonzero(new)
+    met, met_ends = _gaps(cells, new)
+    again_cells = cells[many]
+    again_new = np.concatenate([[True], np.diff(again_cells >> SLICE_BITS) != 0])[: len(again_cells)]
+    again, again_ends = _gaps(again_cells, again_new)
+    # bytes before each slice, in either list
+    cut = lambda ends, k: np.concatenate([[0], ends])[k].tolist()
+    bounds = np.append(starts, len(cells))
+    met_cut, again_cut = cut(met_ends, bounds), cut(again_ends, np.concatenate([[0], np.cumsum(many)])[bounds])
+    for k in range(0, len(starts), 4096):
+        part = range(k, min(k + 4096, len(starts)))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([int(cells[p.start] >> SLICE_BITS) for p in part], pa.int32()),
-                pa.array([low[p].tobytes() for p in part], pa.binary()),
-                pa.array([low[p][many[p]].tobytes() for p in part], pa.binary()),
+                pa.array(slices[starts[k : k + 4096]].astype(np.int32)),
+                pa.array([met[met_cut[i] : met_cut[i + 1]].tobytes() for i in part], pa.binary()),
+                pa.array([again[again_cut[i] : again_cut[i + 1]].tobytes() for i in part], pa.binary()),
             ],
             ["slice", "met", "again"],
         )
@@ -128,7 +159,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if k not in counts:
                 counts[k] = np.zeros(1 << SLICE_BITS, np.uint8)
             for noted in (met, again):
-                at = np.frombuffer(noted.as_buffer(), "<u2")
+                at = _from_gaps(np.frombuffer(noted.as_buffer(), np.uint8))
                 counts[k][at] = np.minimum(counts[k][at] + 1, 2)
     for k in sorted(counts):
         bits = np.packbits(counts.pop(k) > 1, bitorder="little")
@@ -136,116 +167,171 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_cells(docs: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
-    """(slice, bits) of the sketch's cells that at least two documents of (doc, t) meet."""
+    """(slice, bits) of the sketch's cells that at least two documents of (doc, t) meet, by a window or by their id."""
 
     def run(batches):
         hasher, held, size = Hasher(width), [], 0
         for batch in batches:
-            for t in batch.column(0):
-                found = hasher.windows(words_of(t.as_py()))
-                if not found.shape[1]:
-                    continue
-                for row in cells_of(found, bits):
-                    held.append(np.unique(row))
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.concatenate([hasher.windows(words_of(t.as_py())), of_id(doc)], axis=1)
+                held += [np.unique(row) for row in cells_of(found, bits).astype(np.uint32)]
                 size += found.shape[1]
-                if size >= HELD:
+                if size >= NOTED:
                     yield from _noted(held)
                     held, size = [], 0
         if held:
             yield from _noted(held)
 
-    noted = docs.where("doc is not null").select("t").mapInArrow(run, "slice int, met binary, again binary")
+    noted = docs.where("doc is not null").select("doc", "t").mapInArrow(run, "slice int, met binary, again binary")
     slices = DEPTH << max(0, bits - SLICE_BITS)
     return noted.repartition(max(1, min(4096, slices // 64)), "slice").mapInArrow(_merged, "slice int, bits binary")
 
 
-def _grouped(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Windows of one task, one row each: lanes, smallest id, and where it starts (id, text hash, place)."""
-    lanes = np.concatenate([h[0] for h in held], axis=1)
-    doc, mark, place = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+class Sketch:
+    """The cells that reach two, one bit each, as broadcast pieces."""
+
+    def __init__(self, cells: DataFrame, bits: int):
+        self.bits, step = bits, (1 << SLICE_BITS) // 8
+        whole = bytearray((DEPTH << bits) // 8)
+        for row in cells.toLocalIterator():  # bounded by the sketch's own size
+            whole[row["slice"] * step : (row["slice"] + 1) * step] = row["bits"]
+        context = cells.sparkSession.sparkContext
+        self.pieces = [context.broadcast(bytes(whole[k : k + PIECE])) for k in range(0, len(whole), PIECE)]
+
+    def reached(self, lanes: np.ndarray) -> np.ndarray:
+        """Whether all cells of the given lanes reach two."""
+        out = np.ones(lanes.shape[1], bool)
+        for cells in cells_of(lanes, self.bits):
+            place, mask = cells >> 3, (1 << (cells & 7)).astype(np.uint8)
+            of_piece = place // PIECE
+            for k in np.unique(of_piece):
+                at = np.flatnonzero(of_piece == k)
+                piece = np.frombuffer(self.pieces[k].value, np.uint8)
+                out[at] &= (piece[place[at] - k * PIECE] & mask[at]) != 0
+        return out
+
+
+SPOTS = "h1 long, h2 int, doc long, mark long, place int, decided binary"
+
+
+def _spots(lanes: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of one task. Of those that several of its documents hold, only the first document's go on to be compared.
+
+    The others are decided here: they come packed, a row a document, under a key of their own.
+    """
     order = np.lexsort((doc, lanes[1], lanes[0]))
-    lanes, spots = lanes[:, order], np.stack([doc[order], mark[order], place[order]], axis=1)
+    lanes, doc, mark, place = lanes[:, order], doc[order], mark[order], place[order]
     new = np.concatenate([[True], (lanes[:, 1:] != lanes[:, :-1]).any(axis=0)])
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(spots))
-    data = pa.py_buffer(spots.astype("<i8").tobytes())
-    for k in range(0, len(starts), 50_000):
-        s, e = starts[k : k + 50_000], ends[k : k + 50_000]
-        offsets = pa.py_buffer(((np.append(s, e[-1]) - s[0]) * 24).astype("<i4").tobytes())
-        packed = pa.Array.from_buffers(pa.binary(), len(s), [None, offsets, data.slice(int(s[0]) * 24, int(e[-1] - s[0]) * 24)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lanes[0, s].view(np.int64)), pa.array(lanes[1, s].view(np.int64)), pa.array(spots[s, 0]), packed], ["h1", "h2", "least", "spots"]
-        )
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    open_ = doc == least
+    columns = [lanes[0, open_].view(np.int64), (lanes[1, open_] >> np.uint64(32)).astype(np.uint32).view(np.int32), doc[open_], mark[open_], place[open_]]
+    n = int(open_.sum())
+    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.binary())], ["h1", "h2", "doc", "mark", "place", "decided"])
+    for docs, marks, packed in _packed(doc[~open_], mark[~open_], place[~open_]):
+        none = np.zeros(len(docs), np.int32)
+        keys = docs * np.int64(-7046029254386353131)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(none), pa.array(docs), pa.array(marks), pa.array(none), packed], ["h1", "h2", "doc", "mark", "place", "decided"])
+
+
+def _packed(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Places of each document, packed as 32-bit numbers."""
+    if len(doc):
+        order = np.lexsort((place, mark, doc))
+        doc, mark, place = doc[order], mark[order], place[order]
+        starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
+        offsets = (np.append(starts, len(doc)) * 4).astype("<i4")
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(place.astype("<i4").tobytes())])
+        yield doc[starts], mark[starts], packed
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of windows that start in a document after the first one that holds them."""
+    """Places of repeated windows by document; packed ones go on as they are."""
+    held, size, names = [], 0, ["doc", "mark", "places"]
+
+    def out():
+        for docs, marks, packed in _packed(*(np.concatenate(c) for c in zip(*held, strict=True))):
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(marks), packed], names)
+
     for batch in batches:
-        least = batch.column(0).to_numpy()
-        sizes = np.array([len(s.as_buffer()) // 24 for s in batch.column(1)], np.int64)
-        spots = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, 3)
-        spots = spots[spots[:, 0] > np.repeat(least, sizes)]
-        spots = spots[np.lexsort((spots[:, 2], spots[:, 1], spots[:, 0]))]
-        if not len(spots):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], (spots[1:, :2] != spots[:-1, :2]).any(axis=1)]))
-        places = np.split(spots[:, 2].astype("<i4"), starts[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(spots[starts, 0]), pa.array(spots[starts, 1]), pa.array([p.tobytes() for p in places], pa.binary())], ["doc", "mark", "places"])
+        done = batch.filter(pc.is_valid(batch.column(3)))
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column(0), done.column(1), done.column(3)], names)
+        rest = batch.filter(pc.is_null(batch.column(3)))
+        if rest.num_rows:
+            held.append(tuple(rest.column(k).to_numpy() for k in range(3)))
+            size += rest.num_rows
+        if size >= PACKED:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
 
 
 def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CELLS) -> DataFrame:
     """(doc, mark, places) of (doc, mark, t): where windows start that a document with a smaller id holds.
 
-    mark tells rows of equal id apart; places are lists of packed 32-bit numbers, one for each part of the
-    windows' shuffle.
+    mark tells rows of equal id apart, and is 0 where the sketch shows that no other row has the id; places are
+    lists of packed 32-bit numbers, several for a document.
     """
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = sketch_bits(total, max_cells)
-    sketch = bytearray((DEPTH << bits) // 8)
-    step = (1 << SLICE_BITS) // 8
-    for row in repeated_cells(docs, bits, width).toLocalIterator():  # bounded by max_cells / 8 bytes in all
-        sketch[row["slice"] * step : (row["slice"] + 1) * step] = row["bits"]
-    shared = spark.sparkContext.broadcast(bytes(sketch))
+    sketch = Sketch(repeated_cells(docs, bits, width), bits)
 
     def run(batches):
-        hasher, held, size = Hasher(width), [], 0
-        seen = np.frombuffer(shared.value, np.uint8)
+        hasher = Hasher(width)
+        rows: list[tuple[np.ndarray, int, int]] = []
+        tested: list[tuple] = []
+
+        def test() -> None:
+            doc, mark = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+            mark[~sketch.reached(np.concatenate([of_id(d) for d in doc.tolist()], axis=1))] = 0
+            sizes = [r[0].shape[1] for r in rows]
+            lanes = np.concatenate([r[0] for r in rows], axis=1)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            at = np.flatnonzero(sketch.reached(lanes))
+            tested.append((lanes[:, at], np.repeat(doc, sizes)[at], np.repeat(mark, sizes)[at], place[at]))
+            rows.clear()
+
+        def spots() -> Iterator[pa.RecordBatch]:
+            lanes = np.concatenate([t[0] for t in tested], axis=1)
+            doc, mark, place = (np.concatenate([t[k] for t in tested]) for k in (1, 2, 3))
+            tested.clear()
+            if len(doc):
+                yield from _spots(lanes, doc, mark, place)
+
+        size = 0
         for batch in batches:
             for doc, mark, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = hasher.windows(words_of(t.as_py()))
-                if not found.shape[1]:
-                    continue
-                passed = np.ones(found.shape[1], bool)
-                for cells in cells_of(found, bits):
-                    passed &= (seen[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(passed)
-                if len(at):
-                    held.append((found[:, at], np.full(len(at), doc), np.full(len(at), mark), at))
-                    size += len(at)
-                if size >= HELD:
-                    yield from _grouped(held)
-                    held, size = [], 0
-        if held:
-            yield from _grouped(held)
-
-    windows = docs.where("doc is not null").select("doc", "mark", "t").mapInArrow(run, "h1 long, h2 long, least long, spots binary")
-    group = Window.partitionBy("h1", "h2")
-    first = F.min("least").over(group)
-    last = F.count("*").over(group)
-    judged = windows.select(first.alias("first"), "spots", last.alias("rows")).where((F.col("rows") > 1) | (F.octet_length("spots") > 24))
-    return judged.select("first", "spots").mapInArrow(_later, "doc long, mark long, places binary")
+                if found.shape[1]:
+                    rows.append((found, doc, mark))
+                    size += found.shape[1]
+                if size >= TESTED:
+                    test()
+                    size = 0
+                if sum(t[0].shape[1] for t in tested) >= GROUPED:
+                    yield from spots()
+        if rows:
+            test()
+        if tested:
+            yield from spots()
+
+    windows = docs.where("doc is not null").select("doc", "mark", "t").mapInArrow(run, SPOTS)
+    first = F.min(F.when(F.col("decided").isNull(), F.col("doc"))).over(Window.partitionBy("h1", "h2"))
+    judged = windows.withColumn("first", first).where("decided is not null or doc > first")
+    return judged.select("doc", "mark", "place", "decided").mapInArrow(_later, "doc long, mark long, places binary")
 
 
 def _kept(width: int):
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for t, places in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for mark, t, places in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = words_of(t.as_py())
                 out = np.zeros(len(words) + 1, np.int64)
-                if places:
-                    at = np.unique(np.frombuffer(b"".join(places), "<i4"))
+                own = [p["places"] for p in places or () if p["mark"] in (0, mark)]
+                if own:
+                    at = np.unique(np.frombuffer(b"".join(own), "<i4"))
                     np.add.at(out, at, 1)
                     np.add.at(out, at + width, -1)
                 stays = np.flatnonzero(np.cumsum(out[:-1]) == 0)
@@ -261,6 +347,6 @@ def drop_repeated_passages(docs: DataFrame, width: int = WIDTH, id_col: str = "d
     """(id, n_words, n_removed, kept): every whole text without the words that a repeated window covers."""
     text = text_or_empty(text_col)
     source = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("t"))
-    places = repeated_places(source, width, max_cells).groupBy("doc", "mark").agg(F.collect_list("places").alias("places"))
-    joined = source.join(places, ["doc", "mark"], "left").select("doc", "t", "places")
+    places = repeated_places(source, width, max_cells).groupBy("doc").agg(F.collect_list(F.struct("mark", "places")).alias("places"))
+    joined = source.join(places, "doc", "left").select("doc", "mark", "t", "places")
     return joined.mapInArrow(_kept(width), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)

@@ -172,15 +172,31 @@ def test_sketch_never_counts_too_few(docs):
     assert all(c in cells for cell, docs_ in holders.items() if len(docs_) > 1 for c in cell)
 
 
-def test_a_hot_passage_comes_as_one_row_a_task(docs):
-    text = " ".join(f"w{k}" for k in range(20))
-    source = docs([(i, text) for i in range(400)]).repartition(5).selectExpr("doc_id as doc", "xxhash64(text) as mark", "text as t")
-    places = substrings.repeated_places(source).collect()
-    assert len({r["doc"] for r in places}) == 399
-    hasher = substrings.Hasher(13)
-    found = hasher.windows(substrings.words_of(text))
-    held = [(found, np.full(8, i), np.full(8, 0), np.arange(8)) for i in range(400)]
-    assert sum(b.num_rows for b in substrings._grouped(held)) == 8
+@given(st.lists(st.lists(st.integers(0, 2**18 - 1), unique=True, max_size=30), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_noted_cells_come_back(documents):
+    held = [np.unique(np.array(d, np.uint32)) for d in documents]
+    count = Counter(c for d in documents for c in d)
+    got = {"met": set(), "again": set()}
+    for batch in substrings._noted(held) if count else ():
+        for row in batch.to_pylist():
+            for kind in got:
+                got[kind] |= {(row["slice"] << 16) + int(k) for k in substrings._from_gaps(np.frombuffer(row[kind], np.uint8))}
+    assert got == {"met": set(count), "again": {c for c, n in count.items() if n > 1}}
+
+
+def test_a_hot_passage_comes_as_one_row_a_task():
+    found = substrings.Hasher(13).windows([b"w%d" % k for k in range(20)])
+    doc = np.repeat(np.arange(400), 8)
+    rows = [r for b in substrings._spots(np.tile(found, 400), doc, doc * 0, np.tile(np.arange(8, dtype=np.int32), 400)) for r in b.to_pylist()]
+    assert [r["doc"] for r in rows if r["decided"] is None] == [0] * 8
+    assert {r["doc"]: len(r["decided"]) for r in rows if r["decided"] is not None} == dict.fromkeys(range(1, 400), 32)
+
+
+def test_rows_of_one_id_are_judged_each_by_its_own_text(docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(15)) for x in "abc")
+    rows = [(1, a), (2, a), (2, f"{b} {c}"), (2, f"{b} {a} {c}"), (3, c), (3, c)]
+    assert passages(substrings.drop_repeated_passages(docs(rows))) == brute_kept(rows, 13)
 
 
 def test_passages_of_no_rows(empty):
