@@ -11,7 +11,8 @@ the cells that reach two, one bit each, are all that the second pass needs. The
 every window, up to MAX_CELLS: beyond that its bits stay at MAX_CELLS / 8 bytes and more windows pass by
 mistake, which costs a shuffle and changes no result.
 
-Second pass: only windows whose cells all reach two are grouped, exactly. Where a task sees a window in several
+Second pass: only windows whose cells all reach two are grouped, exactly, in as many buckets of their lanes as
+the input's size asks for; tasks send them in packed lists of columns. Where a task sees a window in several
 documents, it decides all but the one with the smallest id itself, so a passage that a third of all documents
 hold comes to its group as a few rows a task. Windows that a document with a smaller id holds are marked by their places; the words
 that they cover are left out of the whole text.
@@ -24,13 +25,14 @@ take nothing from each other; repeated rows each give a row; other columns are n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
 from ledgerloom.llm.common import text_or_empty
@@ -40,12 +42,14 @@ WIDTH = 13
 DEPTH = 2
 #: Cells of a slice; a cell's place in its slice takes 16 bits.
 SLICE_BITS = 16
-#: Cells of the largest sketch: its bits take 128 MB.
-MAX_CELLS = 1 << 30
+#: Cells of the largest sketch: its bits take 64 MB.
+MAX_CELLS = 1 << 29
+#: Windows of the input for one bucket of the exact grouping.
+BUCKET = 1 << 22
 #: The sketch is broadcast in pieces of so many bytes.
 PIECE = 1 << 23
-#: Windows that a task of the first pass notes at once, that one of the second tests and groups at once, places packed at once.
-NOTED, TESTED, GROUPED, PACKED = 1 << 22, 1 << 16, 1 << 18, 1 << 20
+#: Windows that a task of the first pass notes at once, that one of the second tests and sends at once.
+NOTED, TESTED, GROUPED = 1 << 22, 1 << 16, 1 << 19
 #: Words that a task keeps hashed.
 MEMO_WORDS = 1 << 20
 
@@ -211,29 +215,41 @@ class Sketch:
         return out
 
 
-SPOTS = "h1 long, h2 int, doc long, mark long, place int, decided binary"
+def _planes(column: np.ndarray) -> bytes:
+    """A column's bytes, first bytes first: numbers in order or small ones then compress."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
 
 
-def _spots(lanes: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Windows of one task. Of those that several of its documents hold, only the first document's go on to be compared.
+def _from_planes(data: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n), at + n * size
 
-    The others are decided here: they come packed, a row a document, under a key of their own.
-    """
-    order = np.lexsort((doc, lanes[1], lanes[0]))
-    lanes, doc, mark, place = lanes[:, order], doc[order], mark[order], place[order]
-    new = np.concatenate([[True], (lanes[:, 1:] != lanes[:, :-1]).any(axis=0)])
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    open_ = doc == least
-    columns = [lanes[0, open_].view(np.int64), (lanes[1, open_] >> np.uint64(32)).astype(np.uint32).view(np.int32), doc[open_], mark[open_], place[open_]]
-    n = int(open_.sum())
-    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.binary())], ["h1", "h2", "doc", "mark", "place", "decided"])
-    for docs, marks, packed in _packed(doc[~open_], mark[~open_], place[~open_]):
-        none = np.zeros(len(docs), np.int32)
-        keys = docs * np.int64(-7046029254386353131)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(none), pa.array(docs), pa.array(marks), pa.array(none), packed], ["h1", "h2", "doc", "mark", "place", "decided"])
-
-
-def _packed(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+
+#: Columns of a packed list of windows: its documents and the marks of their texts; of windows the lanes, document and place.
+_OWN, _EACH = ("<i8", "<i8"), (">u8", "<u4", "<u4", "<i4")
+
+
+def _pack(lanes: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> bytes:
+    rows, ref = np.unique(np.stack([doc, mark]), axis=1, return_inverse=True)
+    own = [c.astype(k) for c, k in zip(rows, _OWN, strict=True)]
+    each = [c.astype(k) for c, k in zip((lanes[0], lanes[1] >> np.uint64(32), ref.reshape(-1), place), _EACH, strict=True)]
+    return np.array([rows.shape[1], len(doc)], "<i8").tobytes() + b"".join(map(_planes, own + each))
+
+
+def _unpack(data: memoryview) -> tuple[np.ndarray, ...]:
+    """(lane 1, part of lane 2, id, mark, place) of a packed list."""
+    n_docs, n = np.frombuffer(data, "<i8", 2).tolist()
+    at, columns = 16, []
+    for count, kinds in ((n_docs, _OWN), (n, _EACH)):
+        for kind in kinds:
+            column, at = _from_planes(data, at, count, kind)
+            columns.append(column)
+    doc, mark, h1, h2, ref, place = columns
+    return h1.astype(np.uint64), h2, doc[ref], mark[ref], place
+
+
+def _places(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
     """Places of each document, packed as 32-bit numbers."""
     if len(doc):
         order = np.lexsort((place, mark, doc))
@@ -241,30 +257,62 @@ def _packed(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[tu
         starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
         offsets = (np.append(starts, len(doc)) * 4).astype("<i4")
         packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(place.astype("<i4").tobytes())])
-        yield doc[starts], mark[starts], packed
+        yield pa.array(doc[starts]), pa.array(mark[starts]), packed
+
+
+SPOTS, PLACES = "bucket int, windows binary, doc long, mark long, places binary", "doc long, mark long, places binary"
+
+
+def _spots(lanes: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows of one task, packed for each bucket of their first lane.
+
+    Of those that several of its documents hold, only the first document's go on to be compared; the places of the
+    others are given here, with no bucket.
+    """
+    order = np.lexsort((doc, lanes[1], lanes[0]))
+    lanes, doc, mark, place = lanes[:, order], doc[order], mark[order], place[order]
+    new = np.concatenate([[True], (lanes[:, 1:] != lanes[:, :-1]).any(axis=0)])
+    open_ = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    for docs, marks, packed in _places(doc[~open_], mark[~open_], place[~open_]):
+        n, columns = len(docs), SPOTS.split(", ")
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), docs, marks, packed], [c.split()[0] for c in columns])
+    lanes, doc, mark, place = lanes[:, open_], doc[open_], mark[open_], place[open_]
+    bucket = ((lanes[0] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)  # rises with the lane
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
+        data = _pack(lanes[:, a:b], doc[a:b], mark[a:b], place[a:b])
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([bucket[a]]), pa.array([data], pa.binary()), none, none, pa.nulls(1, pa.binary())], [c.split()[0] for c in SPOTS.split(", ")])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of repeated windows by document; packed ones go on as they are."""
-    held, size, names = [], 0, ["doc", "mark", "places"]
+    """Places of the windows of one partition's buckets, sorted by bucket, that a smaller id holds too.
 
-    def out():
-        for docs, marks, packed in _packed(*(np.concatenate(c) for c in zip(*held, strict=True))):
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(marks), packed], names)
+    Places that are given already come first and go on as they are.
+    """
+    names = ["doc", "mark", "places"]
 
-    for batch in batches:
-        done = batch.filter(pc.is_valid(batch.column(3)))
-        if done.num_rows:
-            yield pa.RecordBatch.from_arrays([done.column(0), done.column(1), done.column(3)], names)
-        rest = batch.filter(pc.is_null(batch.column(3)))
-        if rest.num_rows:
-            held.append(tuple(rest.column(k).to_numpy() for k in range(3)))
-            size += rest.num_rows
-        if size >= PACKED:
-            yield from out()
-            held, size = [], 0
-    if held:
-        yield from out()
+    def lists():
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k is not None:
+                    yield k, data.as_buffer()
+            given = batch.filter(pc.is_null(batch.column(0)))
+            if given.num_rows:
+                yield None, given
+
+    for k, bucket in groupby(lists(), key=itemgetter(0)):
+        if k is None:
+            for _, given in bucket:
+                yield pa.RecordBatch.from_arrays([given.column(c) for c in (2, 3, 4)], names)
+            continue
+        h1, h2, doc, mark, place = (np.concatenate(c) for c in zip(*(_unpack(d) for _, d in bucket), strict=True))
+        order = np.lexsort((doc, h2, h1))
+        h1, h2, sorted_doc = h1[order], h2[order], doc[order]
+        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        at = order[sorted_doc > sorted_doc[np.flatnonzero(new)][np.cumsum(new) - 1]]
+        for columns in _places(doc[at], mark[at], place[at]):
+            yield pa.RecordBatch.from_arrays(list(columns), names)
 
 
 def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -274,7 +322,7 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CE
     lists of packed 32-bit numbers, several for a document.
     """
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bits = sketch_bits(total, max_cells)
+    bits, n_buckets = sketch_bits(total, max_cells), 1 + total // 6 // BUCKET
     sketch = Sketch(repeated_cells(docs, bits, width), bits)
 
     def run(batches):
@@ -297,7 +345,7 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CE
             doc, mark, place = (np.concatenate([t[k] for t in tested]) for k in (1, 2, 3))
             tested.clear()
             if len(doc):
-                yield from _spots(lanes, doc, mark, place)
+                yield from _spots(lanes, doc, mark, place, n_buckets)
 
         size = 0
         for batch in batches:
@@ -317,9 +365,9 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CE
             yield from spots()
 
     windows = docs.where("doc is not null").select("doc", "mark", "t").mapInArrow(run, SPOTS)
-    first = F.min(F.when(F.col("decided").isNull(), F.col("doc"))).over(Window.partitionBy("h1", "h2"))
-    judged = windows.withColumn("first", first).where("decided is not null or doc > first")
-    return judged.select("doc", "mark", "place", "decided").mapInArrow(_later, "doc long, mark long, places binary")
+    # one shuffle takes both kinds of rows; those decided have no bucket
+    dealt = windows.repartition(max(n_buckets, 8), F.coalesce("bucket", "doc")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_later, PLACES)
 
 
 def _kept(width: int):

@@ -138,7 +138,8 @@ def passages(df):
 
 
 @pytest.mark.parametrize("width,max_cells", [(13, 1 << 30), (3, 1 << 17), (1, 1 << 30)])
-def test_passages_equal_brute_force(docs, width, max_cells):
+def test_passages_equal_brute_force(docs, width, max_cells, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET", 1000)
     rng = random.Random(width)
     vocabulary = ["a", "b", "Ünï", "日本", "d,", "e f"]
     parts = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 40))) for _ in range(25)]
@@ -185,12 +186,15 @@ def test_noted_cells_come_back(documents):
     assert got == {"met": set(count), "again": {c for c, n in count.items() if n > 1}}
 
 
-def test_a_hot_passage_comes_as_one_row_a_task():
+def test_a_hot_passage_comes_once_from_a_task():
     found = substrings.Hasher(13).windows([b"w%d" % k for k in range(20)])
     doc = np.repeat(np.arange(400), 8)
-    rows = [r for b in substrings._spots(np.tile(found, 400), doc, doc * 0, np.tile(np.arange(8, dtype=np.int32), 400)) for r in b.to_pylist()]
-    assert [r["doc"] for r in rows if r["decided"] is None] == [0] * 8
-    assert {r["doc"]: len(r["decided"]) for r in rows if r["decided"] is not None} == dict.fromkeys(range(1, 400), 32)
+    rows = [r for b in substrings._spots(np.tile(found, 400), doc, doc * 0, np.tile(np.arange(8, dtype=np.int32), 400), 5) for r in b.to_pylist()]
+    lists = [substrings._unpack(memoryview(r["windows"])) for r in rows if r["bucket"] is not None]
+    h1, h2, docs_, _, places = (np.concatenate(c) for c in zip(*lists, strict=True))
+    assert sorted(zip(h1.tolist(), h2.tolist(), places.tolist(), strict=True)) == sorted((int(a), int(b) >> 32, k) for k, (a, b) in enumerate(found.T))
+    assert docs_.tolist() == [0] * 8 and len(lists) == len({r["bucket"] for r in rows} - {None})
+    assert {r["doc"]: len(r["places"]) for r in rows if r["places"] is not None} == dict.fromkeys(range(1, 400), 32)
 
 
 def test_rows_of_one_id_are_judged_each_by_its_own_text(docs):
