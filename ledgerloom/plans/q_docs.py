@@ -22,6 +22,7 @@ from ledgerloom.sources import scans as S
 from ledgerloom.sources.shared import new_folder
 from ledgerloom.sources.store import ChunkStore
 from ledgerloom.streaming import events as T
+from ledgerloom.streaming import jobs as B
 from ledgerloom.streaming import pipelines as I
 from ledgerloom.streaming import swings as W
 
@@ -595,12 +596,19 @@ def t5b(s, d):
     return T.fetch_windows(table(s, d, "events").select(F.col("user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("ts")))
 
 
-@query("t8_job_status", """with s as (select user_id job_id, ts, event_id seq, event_type stage, case when value > 250 then 'active' else 'completed' end state from events), l as (select job_id, stage, max_by(state, (ts, seq)) state, max((ts, seq)) mx from s group by 1, 2)
- select job_id, max_by(stage, mx) latest_stage, coalesce(string_agg(stage, ',' order by stage) filter (where state = 'active'), '') active, coalesce(string_agg(stage, ',' order by stage) filter (where state = 'completed'), '') completed from l group by 1""")
+_T8 = """with s as (select user_id job_id, ts, event_id seq, event_type stage, case when value > 250 then 'active' else 'completed' end state from events), l as (select job_id, stage, max_by(state, (ts, seq, state)) state, max((ts, seq)) mx from s group by 1, 2)
+ select job_id, max_by(stage, (mx, stage)) latest_stage, coalesce(string_agg(stage, ',' order by stage) filter (where state = 'active'), '') active, coalesce(string_agg(stage, ',' order by stage) filter (where state = 'completed'), '') completed from l group by 1"""
+
+
+def _stages(s, d):
+    e = table(s, d, "events")
+    return e.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.when(F.col("value") > 250, "active").otherwise("completed").alias("state"))
+
+
+@query("t8_job_status", _T8)
 def t8(s, d):
     """Where jobs stand."""
-    e = table(s, d, "events")
-    return T.job_status(e.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.when(F.col("value") > 250, "active").otherwise("completed").alias("state")))
+    return B.job_status(_stages(s, d))
 
 
 # --- streams and the full run ----------------------------------------------------------------------
@@ -671,6 +679,21 @@ def t7(s, d):
     return moves.select("ticker", "kind", "start", px("start_px"), "end", px("end_px"), "ongoing")
 
 
+@query("t8_job_stream", _T8)
+def t8_stream(s, d):
+    """Where jobs stand, kept as state while their news arrives in no order, a file a trigger."""
+    path = new_folder(s, "jobs")
+    rows = _stages(s, d)
+    rows.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(4))).repartition(4, "part").write.parquet(f"{path}/in")
+    with _state_in_rocksdb(s):
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        out = B.job_status_stream(stream, delay="3650 days")  # each file holds news of all times
+        save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        writer = out.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint")
+        writer.outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return B.current_status(s.read.schema(out.schema).parquet(f"{path}/out"))
+
+
 _OWN_TICKER = "concat('S', cast(1 + vec_id % 97 as {}))"
 _U2 = f"""with recursive card as ({REGISTRY.oracles["q20_scorecard"]}),
  led as (select 'S' || substr(ticker, 2) ticker, id, agent_name, fiscal_period, metric_category, verified_fact, confidence, score, run_date from ({_L} select * from ledger)),

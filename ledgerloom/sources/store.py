@@ -6,8 +6,8 @@ Layout, below the store's folder:
     docs/bucket=B/gen=G     (doc_id, ticker, digest, version) of the documents in them
     heads/G                 one row a bucket: the generation that holds it now
 
-A change writes the new generation of the buckets that it touches (overwriting what an earlier, broken attempt at
-the same generation left), and then the next heads. Readers take the last heads that were written to their end, so
+A change writes the new generation of the buckets that it touches (in place of what an earlier, broken attempt at
+the same generation left there), and then the next heads. Readers take the last heads that were written to their end, so
 a crash before that leaves the state before the change, whole. Generations that no heads name go with `vacuum`. One
 writer at a time; readers need no lock.
 """
@@ -110,17 +110,22 @@ class ChunkStore:
         if schema is not None or chunks is not None:
             kinds["chunks"] = (chunks.schema if schema is None else T.StructType.fromJson(_json(schema)), chunks)
         kept_schema = schema
+        for b in touched:  # what a broken attempt at this generation left
+            for kind in kinds:
+                delete_folder(self.spark, f"{self.path}/{kind}/bucket={b}/gen={now + 1}")
         for kind, (own, new) in kinds.items():
             old = self._read(kind, own, heads, touched).join(gone.select("doc_id"), "doc_id", "left_anti")
             rows = old if new is None else old.unionByName(new, allowMissingColumns=True)
             self._write(kind, rows, now + 1, n_buckets)
             if kind == "chunks":
                 kept_schema = rows.schema.json()
-        self._commit(now + 1, heads | dict.fromkeys(touched, now + 1), n_buckets, kept_schema or T.StructType().json())
+        full = {b for b in touched if path_exists(self.spark, f"{self.path}/docs/bucket={b}/gen={now + 1}")}
+        heads = {b: g for b, g in heads.items() if b not in touched} | dict.fromkeys(full, now + 1)
+        self._commit(now + 1, heads, n_buckets, kept_schema or T.StructType().json())
         return now + 1
 
     def _write(self, kind: str, rows: DataFrame, gen: int, n_buckets: int) -> None:
-        """Rows as files of one generation, one task a bucket; files left by a broken attempt go."""
+        """Rows as files of one generation, one task a bucket."""
         placed = rows.withColumns({"bucket": self.bucket(n_buckets=n_buckets), "gen": F.lit(gen)})
         writer = placed.repartition("bucket").write.partitionBy("bucket", "gen").mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/{kind}")

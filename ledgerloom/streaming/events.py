@@ -62,10 +62,3 @@ def fetch_windows(events: DataFrame, width: str = "20 minutes", delay: str = "20
     timed = events.withWatermark("ts", delay) if events.isStreaming else events
     out = timed.groupBy("ticker", F.window("ts", width)).agg(F.count("*").alias("n"))
     return out.select("ticker", F.col("window.start").alias("window_start"), "n")
-
-
-def job_status(stages: DataFrame) -> DataFrame:
-    """The latest stage of each job, with those active and completed. stages: (job_id, ts, seq, stage, state)."""
-    last = stages.groupBy("job_id", "stage").agg(F.max_by("state", F.struct("ts", "seq")).alias("state"), F.max(F.struct("ts", "seq")).alias("at"))
-    named = lambda s: F.array_join(F.sort_array(F.collect_set(F.when(F.col("state") == s, F.col("stage")))), ",")
-    return last.groupBy("job_id").agg(F.max_by("stage", "at").alias("latest_stage"), named("active").alias("active"), named("completed").alias("completed"))

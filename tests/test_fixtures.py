@@ -20,8 +20,9 @@ from ledgerloom.operators import quant as Q
 from ledgerloom.operators import retrieval as V
 from ledgerloom.plans.tables import relation
 from ledgerloom.sources import scans as S
+from ledgerloom.sources.store import ChunkStore
 from ledgerloom.streaming import events as T
-from ledgerloom.streaming.pipelines import current_chunks, ingest_stream
+from ledgerloom.streaming.pipelines import ingest_stream
 
 
 def column(spark, values, make):
@@ -464,12 +465,11 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     store = str(tmp_path / "store")
 
     def run(checkpoint):
-        q = ingest_stream(spark, str(tmp_path / "in" / "*"), "doc_id long, text string, doc_type string", store, str(tmp_path / checkpoint))
-        q.awaitTermination()
-        return spark.read.parquet(store).count()
+        ingest_stream(spark, str(tmp_path / "in" / "*"), "doc_id long, text string, doc_type string", store, str(tmp_path / checkpoint), n_buckets=4).awaitTermination()
+        return ChunkStore(spark, store).chunks().count()
 
     first = run("c1")
-    assert first > 3 and run("c1") == first and run("c2") == first
+    assert first > 3 and run("c1") == first and run("c2") == first and ChunkStore(spark, store).generation() == 1
     docs.where("doc_id >= 3").write.parquet(str(tmp_path / "in" / "b"))
     assert run("c1") == 2 * first
 
@@ -480,16 +480,22 @@ def test_ingest_types_stamps_refuses_and_replaces(spark, tmp_path):
 
     def run(name, rows):
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / name))
-        ingest_stream(spark, str(tmp_path / "in" / "*"), schema, store, str(tmp_path / "cp"), counts).awaitTermination()
-        return {(r["doc_id"], r["version"], r["text"]) for r in current_chunks(spark, store).collect()}
-
-    call = "Earnings call Q3 FY25\nModerator: welcome"
-    first = run("a", [(1, "T", "T_Q3_FY25.pdf", call, None), (2, "T", "x.pdf", "nothing known", None), (3, "T", "y_FY24.pdf", "Annual report\nRisk management\n....", None), (4, "T", "z.pdf", None, "note")])
-    assert {r[0] for r in first} == {1, 3} and any(r[2] == f"[Q3_FY25]\n{call}" for r in first)
-    second = run("b", [(1, "T", "T_Q3_FY25.pdf", call + " all", None), (3, "T", "y_FY24.pdf", "Annual report\nRisk management\n....", None)])
-    assert {(r[0], r[1]) for r in second} == {(1, 2), (3, 1)} and any(r[2].endswith("welcome all") for r in second)
+        ingest_stream(spark, str(tmp_path / "in" / "*"), schema, store, str(tmp_path / "cp"), counts, n_buckets=4).awaitTermination()
+        return {(r["doc_id"], r["version"], r["title"], r["text"]) for r in ChunkStore(spark, store).chunks().collect()}
+
+    call, report = "Earnings call Q3 FY25\nModerator: welcome", "Annual report\nRisk management\n...."
+    first = run("a", [(1, "T", "T_Q3_FY25.pdf", call, None), (2, "T", "x.pdf", "nothing known", None), (3, "T", "y_FY24.pdf", report, None), (4, "T", "z.pdf", None, "note")])
+    line = "[Fiscal Period: Q3_FY25 | Quarter: Q3 | Calendar Year: 2024 | Document: Concall Transcript]\n"
+    assert {r[0] for r in first} == {1, 3} and (1, 1, "Introduction", line + call) in first
+    assert {r[2:] for r in first if r[0] == 3} == {
+        ("Introduction", "[Fiscal Period: FY24 | Calendar Year: 2023 | Document: Annual Report]\nAnnual report\n"),
+        ("Risk management", "[Fiscal Period: FY24 | Calendar Year: 2023 | Document: Annual Report]\nRisk management\n...."),
+    }
+    second = run("b", [(1, "T", "T_Q3_FY25.pdf", call + " all", None), (3, "T", "y_FY24.pdf", report, None), (2, "T", "x.pdf", "nothing new", None)])
+    assert {(r[0], r[1]) for r in second} == {(1, 2), (3, 1)} and (1, 2, "Introduction", line + call + " all") in second
+    assert {(r["doc_id"], r["version"], r["digest"] is None) for r in ChunkStore(spark, store).documents().collect()} == {(1, 2, False), (3, 1, False), (4, 1, False)}
     sizes = {r["batch"]: (r["n_docs"], r["n_refused"], r["n_chunks"], r["n_failed"]) for r in spark.read.parquet(counts).collect()}
-    assert sizes == {0: (4, 1, 3, 0), 1: (1, 0, 1, 0)}  # the line with the period gives every chunk a word
+    assert sizes == {0: (4, 1, 3, 0), 1: (2, 1, 1, 0)}  # the line with the period gives every chunk a word
 
 
 def test_titles_are_dropped_within_the_watermark(spark, tmp_path):

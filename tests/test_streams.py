@@ -151,3 +151,92 @@ def test_swings_take_the_last_of_equal_extremes(spark):
     got = P.swing_episodes(spark.createDataFrame(rows, "ticker string, dt date, close_px double")).orderBy("start").collect()
     week = lambda d: (d - DAY).days // 7
     assert [(r["kind"], week(r["start"]), week(r["end"]), r["weeks"]) for r in got] == [("rally", 0, 2, 2), ("decline", 2, 5, 3), ("rally", 5, 8, 3)]
+
+
+def test_job_stream_equals_the_batch_after_each_trigger(spark, tmp_path):
+    from ledgerloom.streaming.jobs import current_status, job_status, job_status_stream
+
+    schema = "job_id string, ts timestamp, seq long, stage string, state string"
+    rng = random.Random(9)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice("ab"), at + dt.timedelta(minutes=rng.randrange(4)), k % 5, rng.choice(["load", "parse", "score"]), rng.choice(["active", "completed", "waiting", None])) for k in range(40)]
+    files = [rows[:5], rows[5:20], [(None, at, 1, "load", "active"), ("c", None, 1, "load", "active"), ("c", at, 1, None, "active"), *rows[20:]], [("d", at, None, "load", "completed")]]
+    stream = job_status_stream(stream_files(spark, str(tmp_path / "in"), files, schema))
+    save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{tmp_path}/cp").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    for k in range(len(files)):
+        given = spark.read.schema(stream.schema).parquet(*[f"{tmp_path}/out/batch={n}" for n in range(k + 1)])
+        so_far = spark.createDataFrame([r for f in files[: k + 1] for r in f], schema)
+        assert sorted(map(tuple, current_status(given).collect())) == sorted(map(tuple, job_status(so_far).collect()))
+
+
+# --- the chunk store ---
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, ticker string, digest string")
+
+
+def put(store, rows, text):
+    fresh = store.changed(docs_of(store.spark, rows))
+    return store.upsert(fresh, fresh.select("doc_id", F.concat("digest", F.lit(text)).alias("text")))
+
+
+def state(store):
+    return sorted(map(tuple, store.chunks().join(store.documents(), "doc_id").select("doc_id", "ticker", "version", "text").collect()))
+
+
+def files_below(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_store_reads_and_writes_only_the_buckets_of_a_batch(spark, tmp_path):
+    from ledgerloom.sources.store import ChunkStore
+
+    store = ChunkStore(spark, str(tmp_path / "store"), 8)
+    assert store.generation() == 0 and store.documents().count() == 0
+    rows = [(i, f"t{i % 3}", f"d{i}") for i in range(40)]
+    assert put(store, rows, "") == 1
+    assert state(store) == [(i, f"t{i % 3}", 1, f"d{i}") for i in range(40)]
+    held = files_below(tmp_path)
+    assert put(store, rows, "") == 1 and files_below(tmp_path) == held  # twice is as once
+    batch = [(3, "t9", "new"), (4, "t1", "d4"), (99, "t0", "d99")]
+    touched = store.buckets_of(docs_of(spark, [batch[0], batch[2]]))
+    read = store.changed(docs_of(spark, batch)).inputFiles()
+    asked = store.buckets_of(docs_of(spark, batch))
+    assert read and {int(f.split("bucket=")[1].split("/")[0]) for f in read} == asked and len(asked) < 8
+    assert put(store, batch, "!") == 2
+    fresh = {f for f in files_below(tmp_path / "store" / "chunks") if f not in held} | {f for f in files_below(tmp_path / "store" / "docs") if f not in held}
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in fresh} == touched
+    want = [(i, f"t{i % 3}", 1, f"d{i}") for i in range(40) if i != 3] + [(3, "t9", 2, "new!"), (99, "t0", 1, "d99!")]
+    assert state(store) == sorted(want)
+    assert store.vacuum() > 0 and state(store) == sorted(want)
+    store.clear("T9")
+    store.remove(spark.createDataFrame([(12345,)], "doc_id long"))
+    assert state(store) == sorted(w for w in want if w[0] != 3)
+    store.resize(3)
+    assert state(store) == sorted(w for w in want if w[0] != 3) and store.vacuum() > 0
+    assert {r[0] for r in store.documents().select(store.bucket()).distinct().collect()} <= {0, 1, 2}
+    store.remove(store.documents().select("doc_id"))
+    assert state(store) == [] and put(store, rows[:2], "") > 0 and len(state(store)) == 2
+
+
+def test_a_crash_before_the_heads_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources.store import ChunkStore
+
+    store = ChunkStore(spark, str(tmp_path / "store"), 4)
+    put(store, [(i, "t", f"d{i}") for i in range(10)], "")
+    before = state(store)
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ChunkStore, "_commit", crash)
+        with pytest.raises(OSError, match="lost"):
+            put(store, [(i, "t", "half") for i in range(5)], "")
+    (tmp_path / "store" / "heads" / "7").mkdir()  # heads that were never written to their end
+    again = ChunkStore(spark, str(tmp_path / "store"))
+    assert again.generation() == 1 and state(again) == before
+    put(again, [(0, "t", "whole")], "")  # the same generation; what the broken attempt left in that bucket goes
+    assert state(again) == sorted([(0, "t", 2, "whole"), *before[1:]])
