@@ -30,7 +30,6 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -226,100 +225,113 @@ def _from_planes(data: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarr
     return np.ascontiguousarray(planes.T).view(kind).reshape(n), at + n * size
 
 
-#: Columns of a packed list of windows: its documents and the marks of their texts; of windows the lanes, document and place.
-_OWN, _EACH = ("<i8", "<i8"), (">u8", "<u4", "<u4", "<i4")
+#: Columns of a packed list: its documents, the marks of their texts and how many entries they have; of each entry, sorted by
+#: document, the place, and of windows two lanes.
+_OWN, _EACH = ("<i8", "<i8", "<u4"), ("<i4", ">u8", "<u4")
 
 
-def _pack(lanes: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> bytes:
-    rows, ref = np.unique(np.stack([doc, mark]), axis=1, return_inverse=True)
-    own = [c.astype(k) for c, k in zip(rows, _OWN, strict=True)]
-    each = [c.astype(k) for c, k in zip((lanes[0], lanes[1] >> np.uint64(32), ref.reshape(-1), place), _EACH, strict=True)]
-    return np.array([rows.shape[1], len(doc)], "<i8").tobytes() + b"".join(map(_planes, own + each))
+def _packed(doc: np.ndarray, mark: np.ndarray, place: np.ndarray, *lanes: np.ndarray) -> bytes:
+    """Columns, sorted by doc, mark and place, as bytes."""
+    starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
+    own = (doc[starts], mark[starts], np.diff(np.append(starts, len(doc))))
+    columns = [c.astype(k) for c, k in zip((*own, place, *lanes), (*_OWN, *_EACH), strict=False)]
+    return np.array([len(starts), len(doc)], "<i8").tobytes() + b"".join(map(_planes, columns))
 
 
-def _unpack(data: memoryview) -> tuple[np.ndarray, ...]:
-    """(lane 1, part of lane 2, id, mark, place) of a packed list."""
+def _unpacked(data: memoryview, n_lanes: int) -> tuple[np.ndarray, ...]:
+    """(id, mark, place, lanes...) of a packed list."""
     n_docs, n = np.frombuffer(data, "<i8", 2).tolist()
     at, columns = 16, []
-    for count, kinds in ((n_docs, _OWN), (n, _EACH)):
+    for count, kinds in ((n_docs, _OWN), (n, _EACH[: 1 + n_lanes])):
         for kind in kinds:
             column, at = _from_planes(data, at, count, kind)
             columns.append(column)
-    doc, mark, h1, h2, ref, place = columns
-    return h1.astype(np.uint64), h2, doc[ref], mark[ref], place
+    doc, mark, size, *each = columns
+    return np.repeat(doc, size), np.repeat(mark, size), *each
 
 
-def _places(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
-    """Places of each document, packed as 32-bit numbers."""
-    if len(doc):
-        order = np.lexsort((place, mark, doc))
-        doc, mark, place = doc[order], mark[order], place[order]
-        starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
-        offsets = (np.append(starts, len(doc)) * 4).astype("<i4")
-        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(place.astype("<i4").tobytes())])
-        yield pa.array(doc[starts]), pa.array(mark[starts]), packed
+LISTS = "kind int, bucket int, data binary"
+_WINDOWS, _PLACES = 0, 1
+
+
+def _lists(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A packed list for each bucket of columns (doc, mark, place, lanes...)."""
+    if len(bucket):
+        order = np.lexsort((columns[2], columns[1], columns[0], bucket))
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+            data = pa.array([_packed(*(c[a:b] for c in columns))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket[a]], pa.int32()), data], ["kind", "bucket", "data"])
 
 
-SPOTS, PLACES = "bucket int, windows binary, doc long, mark long, places binary", "doc long, mark long, places binary"
+def _doc_bucket(doc: np.ndarray, n_buckets: int) -> np.ndarray:
+    mixed = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return (mixed * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def _spots(lanes: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows of one task, packed for each bucket of their first lane.
+    """Windows of one task, as lists for the buckets of their first lane.
 
     Of those that several of its documents hold, only the first document's go on to be compared; the places of the
-    others are given here, with no bucket.
+    others are decided, and go as lists for the buckets of their ids.
     """
     order = np.lexsort((doc, lanes[1], lanes[0]))
     lanes, doc, mark, place = lanes[:, order], doc[order], mark[order], place[order]
     new = np.concatenate([[True], (lanes[:, 1:] != lanes[:, :-1]).any(axis=0)])
     open_ = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    for docs, marks, packed in _places(doc[~open_], mark[~open_], place[~open_]):
-        n, columns = len(docs), SPOTS.split(", ")
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), docs, marks, packed], [c.split()[0] for c in columns])
-    lanes, doc, mark, place = lanes[:, open_], doc[open_], mark[open_], place[open_]
-    bucket = ((lanes[0] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)  # rises with the lane
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
-        data = _pack(lanes[:, a:b], doc[a:b], mark[a:b], place[a:b])
-        none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([bucket[a]]), pa.array([data], pa.binary()), none, none, pa.nulls(1, pa.binary())], [c.split()[0] for c in SPOTS.split(", ")])
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of the windows of one partition's buckets, sorted by bucket, that a smaller id holds too.
-
-    Places that are given already come first and go on as they are.
-    """
-    names = ["doc", "mark", "places"]
+    yield from _lists(_PLACES, _doc_bucket(doc[~open_], n_buckets), doc[~open_], mark[~open_], place[~open_])
+    h1, h2 = lanes[0, open_], lanes[1, open_] >> np.uint64(32)
+    bucket = ((h1 >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
+    yield from _lists(_WINDOWS, bucket, doc[open_], mark[open_], place[open_], h1, h2)
+
+
+def _later(n_buckets: int):
+    """Of windows whose buckets lie whole and sorted in a partition, the places that a smaller id holds too; places go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+        for (kind, bucket), group in groupby(rows, key=itemgetter(0, 1)):
+            if kind == _PLACES:
+                for _, _, data in group:
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data.as_py()], pa.binary())], ["kind", "bucket", "data"])
+                continue
+            doc, mark, place, h1, h2 = (np.concatenate(c) for c in zip(*(_unpacked(d.as_buffer(), 2) for *_, d in group), strict=True))
+            order = np.lexsort((doc, h2, h1))
+            h1, h2, sorted_doc = h1[order], h2[order], doc[order]
+            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            at = order[sorted_doc > sorted_doc[np.flatnonzero(new)][np.cumsum(new) - 1]]
+            yield from _lists(_PLACES, _doc_bucket(doc[at], n_buckets), doc[at], mark[at], place[at])
 
-    def lists():
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if k is not None:
-                    yield k, data.as_buffer()
-            given = batch.filter(pc.is_null(batch.column(0)))
-            if given.num_rows:
-                yield None, given
-
-    for k, bucket in groupby(lists(), key=itemgetter(0)):
-        if k is None:
-            for _, given in bucket:
-                yield pa.RecordBatch.from_arrays([given.column(c) for c in (2, 3, 4)], names)
-            continue
-        h1, h2, doc, mark, place = (np.concatenate(c) for c in zip(*(_unpack(d) for _, d in bucket), strict=True))
-        order = np.lexsort((doc, h2, h1))
-        h1, h2, sorted_doc = h1[order], h2[order], doc[order]
-        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        at = order[sorted_doc > sorted_doc[np.flatnonzero(new)][np.cumsum(new) - 1]]
-        for columns in _places(doc[at], mark[at], place[at]):
-            yield pa.RecordBatch.from_arrays(list(columns), names)
+    return run
+
+
+PLACES = "doc long, places array<struct<mark: bigint, places: binary>>"
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of places, whose buckets lie whole and sorted in a partition, as one row a document."""
+    rows = (r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2), strict=True))
+    for _, group in groupby(rows, key=itemgetter(0)):
+        doc, mark, place = (np.concatenate(c) for c in zip(*(_unpacked(d.as_buffer(), 0) for _, d in group), strict=True))
+        order = np.lexsort((place, mark, doc))
+        doc, mark, place = doc[order], mark[order], place[order].astype("<i4")
+        new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+        starts = np.flatnonzero(new_doc | np.concatenate([[True], mark[1:] != mark[:-1]]))
+        offsets = np.append(starts, len(doc)) * 4
+        packed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype("<i8").tobytes()), pa.py_buffer(place.tobytes())]).cast(pa.binary())
+        texts = pa.StructArray.from_arrays([pa.array(mark[starts]), packed], ["mark", "places"])
+        firsts = np.flatnonzero(new_doc[starts])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(starts)), pa.int32()), texts)
+        for k in range(0, len(firsts), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[starts[firsts[k : k + 4096]]]), lists.slice(k, 4096)], ["doc", "places"])
 
 
 def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(doc, mark, places) of (doc, mark, t): where windows start that a document with a smaller id holds.
+    """(doc, places) of (doc, mark, t): where windows start that a document with a smaller id holds.
 
-    mark tells rows of equal id apart, and is 0 where the sketch shows that no other row has the id; places are
-    lists of packed 32-bit numbers, several for a document.
+    places: one list of packed 32-bit numbers for each mark, which tells rows of equal id apart, and is 0 where the
+    sketch shows that no other row has the id.
     """
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits, n_buckets = sketch_bits(total, max_cells), 1 + total // 6 // BUCKET
@@ -364,10 +376,10 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CE
         if tested:
             yield from spots()
 
-    windows = docs.where("doc is not null").select("doc", "mark", "t").mapInArrow(run, SPOTS)
-    # one shuffle takes both kinds of rows; those decided have no bucket
-    dealt = windows.repartition(max(n_buckets, 8), F.coalesce("bucket", "doc")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_later, PLACES)
+    windows = docs.where("doc is not null").select("doc", "mark", "t").mapInArrow(run, LISTS)
+    dealt = lambda lists: lists.repartition(max(n_buckets, 8), "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    decided = dealt(windows).mapInArrow(_later(n_buckets), LISTS)
+    return dealt(decided).mapInArrow(_by_document, PLACES)
 
 
 def _kept(width: int):
@@ -395,6 +407,5 @@ def drop_repeated_passages(docs: DataFrame, width: int = WIDTH, id_col: str = "d
     """(id, n_words, n_removed, kept): every whole text without the words that a repeated window covers."""
     text = text_or_empty(text_col)
     source = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("t"))
-    places = repeated_places(source, width, max_cells).groupBy("doc").agg(F.collect_list(F.struct("mark", "places")).alias("places"))
-    joined = source.join(places, "doc", "left").select("doc", "mark", "t", "places")
+    joined = source.join(repeated_places(source, width, max_cells), "doc", "left").select("doc", "mark", "t", "places")
     return joined.mapInArrow(_kept(width), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)

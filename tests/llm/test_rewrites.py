@@ -190,11 +190,12 @@ def test_a_hot_passage_comes_once_from_a_task():
     found = substrings.Hasher(13).windows([b"w%d" % k for k in range(20)])
     doc = np.repeat(np.arange(400), 8)
     rows = [r for b in substrings._spots(np.tile(found, 400), doc, doc * 0, np.tile(np.arange(8, dtype=np.int32), 400), 5) for r in b.to_pylist()]
-    lists = [substrings._unpack(memoryview(r["windows"])) for r in rows if r["bucket"] is not None]
-    h1, h2, docs_, _, places = (np.concatenate(c) for c in zip(*lists, strict=True))
+    lists = [substrings._unpacked(memoryview(r["data"]), 2) for r in rows if r["kind"] == 0]
+    docs_, _, places, h1, h2 = (np.concatenate(c) for c in zip(*lists, strict=True))
     assert sorted(zip(h1.tolist(), h2.tolist(), places.tolist(), strict=True)) == sorted((int(a), int(b) >> 32, k) for k, (a, b) in enumerate(found.T))
-    assert docs_.tolist() == [0] * 8 and len(lists) == len({r["bucket"] for r in rows} - {None})
-    assert {r["doc"]: len(r["places"]) for r in rows if r["places"] is not None} == dict.fromkeys(range(1, 400), 32)
+    assert docs_.tolist() == [0] * 8 and len(lists) == len({r["bucket"] for r in rows if r["kind"] == 0})
+    decided = [substrings._unpacked(memoryview(r["data"]), 0) for r in rows if r["kind"] == 1]
+    assert Counter(np.concatenate([d[0] for d in decided]).tolist()) == dict.fromkeys(range(1, 400), 8)
 
 
 def test_rows_of_one_id_are_judged_each_by_its_own_text(docs):
