@@ -7,8 +7,9 @@ soon as every chain that later bytes can still use runs through its end; it is e
 nothing before it is kept. The merge list alone bounds how far ahead that can lie
 (`sufficient_lookahead`), so memory is constant whatever the length of a pre-token.
 
-A text is fed in chunks. Merges never cross pre-tokens, and white space after other letters always starts
-one, so tokens are emitted up to the last such place and the rest waits. Short pre-tokens that come again
+A text is fed in chunks. Merges never cross pre-tokens, and of the pre-tokens of a chunk only the last can still
+change: the others are emitted, the rest waits for the next chunk, and a pre-token that goes on and on (a run of
+letters without a space) goes through the window byte by byte and is never held. Short pre-tokens that come again
 are answered from a memo of bounded size beside the stream.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows each give a row; a
@@ -26,6 +27,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,9 @@ WESTERN = 0x250
 MEMO_BYTES = 64
 #: Entries of a memo; it is emptied when full.
 MEMO_ENTRIES = 700_000
-#: Letters that are fed at once.
-CHUNK = 16_384
+#: Letters that are fed at once, and letters of a pre-token that is still open from which it is not held any more.
+CHUNK, LONG = 16_384, 16_384
 NEVER = 1 << 60
-#: The code points with the Unicode property White_Space.
-BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,6 +73,12 @@ def pre_token_finder():
     return lambda text: (general if others(text) else western)(text)
 
 
+def run_classes() -> list[regex.Pattern]:
+    """Runs of white space, letters, numbers and of all else, of which pre-tokens beyond their first letter consist."""
+    white, letter, number = r"\p{White_Space}", r"\p{L}", r"\p{N}"
+    return [regex.compile(f"[{c}]+") for c in (white, letter, number, f"^{white}{letter}{number}")]
+
+
 class MergeList:
     """Tokens, merges and compatibility of neighbours of one vocabulary file."""
 
@@ -177,6 +183,7 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.last: dict[bytes, int] = {}
         self.find = pre_token_finder()
+        self.classes = run_classes()
         self.split = re.compile("|".join(map(re.escape, merges.specials)) or r"(?!)")
         self._lookahead: int | None = None
 
@@ -266,27 +273,43 @@ class Encoder:
     def feed(self, chunks: Iterable[str]) -> Iterator[bytes]:
         """Token numbers of a text that comes in chunks, each block as soon as no later letter can change it.
 
-        White space after other letters always starts a pre-token, so all before its last such place is
-        stable; the rest waits for the next chunk. What is held is a chunk, the last run without white
-        space, and the window of a long pre-token.
+        Of the pre-tokens of what is held only the last can still change, so the others leave. Where the last one has
+        grown beyond LONG letters it is a run of one class; its bytes then go through the window as they come, and
+        are not held. What is held is a chunk, LONG letters, and the window.
         """
-        held, get, slow = "", self.memo.get, self.pre_token
+        held, get, slow, chunks = "", self.memo.get, self.pre_token, iter(chunks)
         for chunk in chunks:
-            held += chunk
-            cut = self._border(held, len(held) - len(chunk))
-            if cut:
-                yield b"".join([get(w) or slow(w) for w in self.find(held[:cut])])
-                held = held[cut:]
+            *done, held = self.find(held + chunk)
+            if done:
+                yield b"".join([get(w) or slow(w) for w in done])
+            if len(held) > LONG:
+                rest: list[str] = []
+                for part in batched(self.stream(self._run(held, chunks, rest)), 256):
+                    yield struct.pack(f"<{len(part)}I", *part)
+                held = rest[0] if rest else ""
         if held:
             yield b"".join([get(w) or slow(w) for w in self.find(held)])
 
-    @staticmethod
-    def _border(text: str, done: int) -> int:
-        """The last place where white space follows another letter; 0 if there is none. Before `done` was looked already."""
-        for at in range(len(text) - 1, max(done - 1, 0), -1):
-            if text[at] in BLANKS and text[at - 1] not in BLANKS:
-                return at
-        return 0
+    def _run(self, held: str, chunks: Iterator[str], rest: list[str]) -> Iterator[bytes]:
+        """Bytes of a long run as its chunks come; what follows it goes to rest.
+
+        The last of a run of white space belongs to what follows, if anything does.
+        """
+        of_class = next(c for c in self.classes if c.match(held[-1]))
+        back = of_class is self.classes[0]
+        pending = held
+        for chunk in chunks:
+            n = of_class.match(chunk).end() if of_class.match(chunk) else 0
+            pending += chunk[:n]
+            if n < len(chunk):
+                cut = len(pending) - back
+                yield pending[:cut].encode("utf-8", "surrogatepass")
+                rest.append(pending[cut:] + chunk[n:])
+                return
+            cut = len(pending) - back
+            yield pending[:cut].encode("utf-8", "surrogatepass")
+            pending = pending[cut:]
+        yield pending.encode("utf-8", "surrogatepass")
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Token numbers of a text in pieces."""

@@ -84,17 +84,33 @@ def test_chunks_do_not_change_the_tokens(library, text, size):
     assert ids_of(raw) == library[0].encode(text, add_special_tokens=False).ids
 
 
-def test_memory_does_not_grow_with_the_text():
+@pytest.mark.parametrize("piece", ["some words that come again, 12345 and so on\n", "这是一个没有空格的中文句子。它一直重复下去，", "汉字没有标点", "x", "7", "-", " ", "\n", "'", "a1!"])
+def test_memory_does_not_grow_with_the_text(piece, monkeypatch):
+    monkeypatch.setattr(bpe_stream, "LONG", 500)
+    monkeypatch.setattr(bpe_stream.sliced, "__defaults__", (500,))
     encoder, decoder = bpe_stream.coders("byte_bpe_50k.json")
     peaks = []
-    for n in (100_000, 100_000, 1_000_000):  # the first fills the memos
-        text = "some words that come again, 12345 and so on\n" * (n // 44)
+    for n in (2_000, 2_000, 12_000):  # the first fills the memos
+        text = piece * (n // len(piece))
         tracemalloc.start()
         letters = sum(map(len, decoder.decode(encoder.encode(text))))
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
         assert letters == len(text)
-    assert peaks[2] < peaks[1] * 1.5 + 200_000
+    assert peaks[2] < peaks[1] * 1.5 + 20_000
+
+
+def test_long_runs_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(bpe_stream, "LONG", 40)
+    monkeypatch.setattr(bpe_stream, "CHUNK", 16)
+    monkeypatch.setattr(bpe_stream.sliced, "__defaults__", (16,))
+    encoder = bpe_stream.coders("byte_bpe_50k.json")[0]
+    rng = random.Random(12)
+    runs = ["a", "é", "汉字", "7", "½", "'", "!", "-", " ", "\n", "\u3000", "'s", "s", " a", "\U0001f600"]
+    for _ in range(400):
+        text = "".join(rng.choice(runs) * rng.choice((1, 1, 2, 15, 16, 17, 90)) for _ in range(rng.randrange(1, 9)))
+        got = b"".join(encoder.encode(text))
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library[0].encode(text, add_special_tokens=False).ids, text
 
 
 def test_round_trip_query(spark, sf_dir, library):
