@@ -2,8 +2,9 @@
 
 Kinds, in order: email, ip, card, phone are the base. The method adds iban (mod-97), secret (access keys
 and passwords after a word that names them) and ssn. Each proposed span starts from the score of its
-kind; a passed checksum raises it, context words within WINDOW letters raise or lower it. Base spans
-stand whatever the context says; added ones need KEEP.
+kind; a passed checksum raises it, and words within WINDOW letters on either side that speak for its kind raise,
+those that speak against any lower it, always within 0 and 1. Base spans stand whatever their score; added ones need
+KEEP.
 
 Spans of one kind are found from left to right and do not overlap. Offsets are code points, the end
 exclusive.
@@ -40,8 +41,21 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _NAMED = re.compile(r"(?i:password|passwd|secret|token|api[_-]?key) ?[=:] ?([^\s,;]{8,})")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_FOR = {"iban": ("iban", "account", "konto", "compte", "cuenta", "bank"), "ssn": ("ssn", "social security", "social-security")}
+#: What a kind's spans start from, and what a passed checksum and words for and against them are worth.
+START = {"email": 0.7, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.5, "secret": 0.8, "ssn": 0.4}
+CHECKED, CONTEXT = 0.3, 0.3
+_FOR = {
+    "email": ("mail", "e-mail", "contact", "write to"),
+    "ip": ("ip", "address", "server", "host", "login"),
+    "card": ("card", "credit", "visa", "mastercard", "karte", "tarjeta", "carte"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "whatsapp"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
+    "secret": ("password", "passwd", "secret", "token", "key", "api", "login"),
+    "ssn": ("ssn", "social security", "social-security"),
+}
 _AGAINST = ("order", "invoice", "version", "serial", "isbn", "ticket")
+_begins = lambda words: re.compile("(?<![a-z])(?:" + "|".join(map(re.escape, words)) + ")")
+_SPEAKS, _DENIES = {kind: _begins(words) for kind, words in _FOR.items()}, _begins(_AGAINST)
 
 
 def luhn(digits: str) -> bool:
@@ -73,40 +87,45 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
-def _adjusted(text: str, kind: str, start: int, end: int, score: float) -> float:
+def score(text: str, kind: str, start: int, end: int, checked: bool = False) -> float:
+    """Score of one span of a kind by its checksum and the words around it; words count where they begin."""
+    value = START[kind] + CHECKED * checked
     near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
-    return score + 0.3 * any(w in near for w in _FOR.get(kind, ())) - 0.3 * any(w in near for w in _AGAINST)
+    value += CONTEXT * bool(_SPEAKS[kind].search(near)) - CONTEXT * bool(_DENIES.search(near))
+    return round(min(1.0, max(0.0, value)), 2)
 
 
-def spans(text: str) -> list[tuple[int, int, int, float]]:
-    """(kind's place in KINDS, start, end, score), sorted."""
-    out: list[tuple[int, int, int, float]] = []
-    out += ((0, a, b, 1.0) for a, b in _emails(text))
+def _proposed(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """(kind's place in KINDS, start, end, whether a checksum confirms it); what fails its checksum is left out."""
+    yield from ((0, a, b, False) for a, b in _emails(text))
     if "." in text:
-        out += ((1, m.start(), m.end(), 1.0) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")))
+        for m in _IP.finditer(text):
+            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
+                yield 1, *m.span(), False
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m.group().replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
-                out.append((2, m.start(), m.end(), 1.0))
+                yield 2, *m.span(), True
     if "+" in text:
-        out += ((3, m.start(), m.end(), 1.0) for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15)
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")) and (s := _adjusted(text, "iban", *m.span(), 0.8)) >= KEEP:
-            out.append((4, m.start(), m.end(), min(1.0, s)))
-    found = [(m.start(), m.end()) for m in _KEY.finditer(text)] if "AKIA" in text else []
+        yield from ((3, *m.span(), False) for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15)
+    yield from ((4, *m.span(), True) for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", "")))
+    found = [m.span() for m in _KEY.finditer(text)] if "AKIA" in text else []
     if "=" in text or ":" in text:
         found += [m.span(1) for m in _NAMED.finditer(text)]
-    end = -1
+    last = -1
     for a, b in sorted(found):
-        if a >= end:
-            out.append((5, a, b, 0.9))
-            end = b
+        if a >= last:
+            yield 5, a, b, False
+            last = b
     if "-" in text:
-        for m in _SSN.finditer(text):
-            if (s := _adjusted(text, "ssn", *m.span(), 0.4)) >= KEEP:
-                out.append((6, m.start(), m.end(), min(1.0, s)))
-    return sorted(out)
+        yield from ((6, *m.span(), False) for m in _SSN.finditer(text))
+
+
+def spans(text: str) -> list[tuple[int, int, int, float]]:
+    """(kind's place in KINDS, start, end, score), sorted."""
+    scored = ((k, a, b, score(text, KINDS[k], a, b, checked)) for k, a, b, checked in _proposed(text))
+    return sorted(s for s in scored if s[0] < len(BASE) or s[3] >= KEEP)
 
 
 def joined(found: list[tuple[int, int, int, float]]) -> str:
