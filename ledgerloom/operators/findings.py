@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,15 +112,22 @@ def _dated(payload: Column) -> Column:
 
 
 def grounding(df: DataFrame, key: str) -> DataFrame:
-    """0.6 of input completeness and 0.4 of the share of findings with evidence, less 0.1 an error (0.2 at most).
+    """0.6 of input completeness and 0.4 of the share of findings with evidence, less 0.1 an error (0.2 at most), with reasons.
 
-    df: (key, parsed, completeness, errors). Without any finding the share is 1; without output the score is 0.
+    df: (key, parsed, completeness, errors; missing and critical, arrays of the inputs that lack and of errors, or none).
+    Without any finding the share is 1; without output the score is 0, and that is the only reason.
     """
     rows = df.withColumn("_c", _counted(F.to_json("parsed")))
     share = F.when(F.col("_c.findings") > 0, F.col("_c.evidence") / F.col("_c.findings")).otherwise(1.0)
     score = 0.6 * F.col("completeness") + 0.4 * share - F.least(0.1 * F.col("errors"), F.lit(0.2))
     held = F.when(F.col("parsed").isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    return rows.select(key, F.col("_c.evidence").alias("n_grounded"), F.col("_c.findings").alias("n_findings"), r(held, 2).alias("confidence"))
+    none = F.array().cast("array<string>")
+    named = lambda c, text: F.transform(F.coalesce(c, none), lambda x: F.concat(F.lit(text), x)) if c in df.columns else none
+    bare = F.col("_c.findings") - F.col("_c.evidence")
+    unproved = F.when(bare > 0, F.array(F.concat(F.lit("Missing evidence for "), bare.cast("string"), F.lit(" finding(s)")))).otherwise(none)
+    why = F.concat(named("missing", "Missing required input: "), unproved, named("critical", "Critical error: "))
+    reasons = F.when(F.col("parsed").isNull(), F.array(F.lit("Agent failed to produce output"))).otherwise(why)
+    return rows.select(key, F.col("_c.evidence").alias("n_grounded"), F.col("_c.findings").alias("n_findings"), r(held, 2).alias("confidence"), reasons.alias("reasons"))
 
 
 def chronology_scan(df: DataFrame, key: str) -> DataFrame:
@@ -133,15 +141,76 @@ def chronology_scan(df: DataFrame, key: str) -> DataFrame:
     return found.select(key, (F.col("n_violations") == 0).alias("accepted"), "path", "n_violations")
 
 
-LINKS = "array<struct<claim: string, cause_date: string, effect_date: string>>"
+#: Fixed value: what stands in place of a claim whose effect comes before its cause.
+REMOVED = {"removed_by_auditor": "Causal claim removed: failed chronological verification."}
 
 
-def scrub(links: Column) -> tuple[Column, Column]:
-    """(links with violating ones replaced by a mark, the removed date pairs) for an array of links."""
-    ok = lambda x: chronology_ok(x["cause_date"], x["effect_date"])
-    mark = F.struct(F.lit("[REMOVED: effect before cause]").alias("claim"), F.lit(None).cast("string").alias("cause_date"), F.lit(None).cast("string").alias("effect_date"))
-    kept = F.transform(links, lambda x: F.when(ok(x), x).otherwise(mark))
-    return kept, F.transform(F.filter(links, lambda x: ~ok(x)), lambda x: F.concat_ws(">", x["cause_date"], x["effect_date"]))
+def _dated_pairs(value: object) -> Iterator[tuple[dict, str, str]]:
+    """(object, cause, effect) of every object that holds both dates, in order of the text, outer ones first."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if "cause_date" in v and "effect_date" in v:
+                yield v, _shown(v["cause_date"]), _shown(v["effect_date"])
+            todo += reversed(list(v.values()))
+        elif isinstance(v, list):
+            todo += reversed(v)
+
+
+def _shown(x: object) -> str:
+    return x if isinstance(x, str) else json.dumps(x)
+
+
+def _scrubbed(payload: str, bad: set[tuple[str, str]]) -> tuple[str, list[str]]:
+    """The payload with every object of a bad pair of dates replaced, at any depth, and these pairs in order."""
+    value: object = json.loads(payload)
+    removed, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if "cause_date" in v and "effect_date" in v and (pair := (_shown(v["cause_date"]), _shown(v["effect_date"]))) in bad:
+                removed.append(f"{pair[0]} -> {pair[1]}")
+                v.clear()
+                v.update(REMOVED)
+            else:
+                todo += reversed(list(v.values()))
+        elif isinstance(v, list):
+            todo += reversed(v)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")), removed
+
+
+def scrub(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """The rows with their JSON text scrubbed and a column removed, the "cause -> effect" texts of what went.
+
+    An object at any depth that holds cause_date and effect_date, the effect before the cause, becomes REMOVED; its
+    inside is not looked at. The order is that of the text. A null or broken text stays and loses nothing. The dates are
+    judged by Spark's own rule, once for each pair of a row; the walk and the rewriting are Python in Arrow batches.
+    """
+
+    @F.pandas_udf("array<struct<cause: string, effect: string>>")
+    def pairs(payloads: pd.Series) -> pd.Series:
+        def of(p: str | None) -> list[dict]:
+            found = _dated_pairs(_loaded(p)) if p is not None else ()
+            return [{"cause": a, "effect": b} for a, b in dict.fromkeys((a, b) for _, a, b in found)]
+
+        return payloads.map(of)
+
+    @F.pandas_udf("struct<payload: string, removed: array<string>>")
+    def rewritten(payloads: pd.Series, bad: pd.Series) -> pd.DataFrame:
+        rows = [(p, []) if p is None or not len(b) else _scrubbed(p, {(x["cause"], x["effect"]) for x in b}) for p, b in zip(payloads, bad, strict=True)]
+        return pd.DataFrame(rows, columns=["payload", "removed"])
+
+    wrong = F.filter("_pairs", lambda x: F.coalesce(~chronology_ok(x["cause"], x["effect"]), F.lit(False)))
+    done = df.withColumn("_pairs", pairs(F.col(payload))).withColumn("_bad", wrong).withColumn("_s", rewritten(F.col(payload), F.col("_bad")))
+    return done.withColumns({payload: F.col("_s.payload"), "removed": F.col("_s.removed")}).drop("_pairs", "_bad", "_s")
+
+
+def _loaded(payload: str) -> object:
+    try:
+        return json.loads(payload)
+    except ValueError:
+        return None
 
 
 def apply_corrections(texts: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
@@ -210,14 +279,81 @@ def flag_triage(flags: DataFrame) -> DataFrame:
 
 
 def ordered_summary(trails: DataFrame, order: tuple[str, ...] = AGENTS) -> DataFrame:
-    """Trails numbered in the agents' fixed order, unknown ones last."""
+    """Trails numbered in the agents' fixed order, unknown ones last by name. trails: (ticker, agent, ...)."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, a in enumerate(order) for x in (a, k)]), F.col("agent")), F.lit(len(order)))
     return trails.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy(rank, "agent")))
 
 
-def render_citations(citations: Column) -> Column:
-    """An array of (snippet, doc, page) as bullets."""
-    return F.array_join(F.transform(citations, lambda c: F.concat(F.lit("- "), F.concat_ws(" | ", c["snippet"], c["doc"], F.concat(F.lit("p."), c["page"].cast("string"))))), "\n")
+def trails_summary(trails: DataFrame, order: tuple[str, ...] = AGENTS) -> DataFrame:
+    """One row a ticker: its agents in order with confidence, reasons (none: empty), findings and time, and the verdict.
+
+    trails: (ticker, agent, confidence, reasons array<string>, findings JSON text, seconds). The verdict is read from
+    the findings of pm_synthesis: recommendation, rationale and story, null where absent, and the two cases, empty where
+    absent. Findings that are no object count as none.
+    """
+    findings = F.when(F.col("findings").rlike(r"^\s*\{.*[^{\s].*\}\s*$"), F.col("findings"))
+    fields = [
+        F.col("place"), F.col("agent"), F.col("confidence"), F.coalesce("reasons", F.array().cast("array<string>")).alias("confidence_reasons"),
+        findings.alias("findings"), F.col("seconds").alias("execution_time_s"),
+    ]
+    rows = ordered_summary(trails, order).withColumn("t", F.struct(*fields)).withColumn("_pm", F.when(F.col("agent") == "pm_synthesis", findings))
+    out = rows.groupBy("ticker").agg(F.array_sort(F.collect_list("t")).alias("trails"), F.max("_pm").alias("_pm"))
+    text = lambda k: F.get_json_object("_pm", f"$.{k}")
+    case = lambda k: F.coalesce(F.from_json(text(k), "array<string>"), F.array().cast("array<string>"))
+    verdict = F.struct(
+        text("recommendation").alias("recommendation"), text("recommendation_rationale").alias("recommendation_rationale"),
+        text("stock_story").alias("stock_story"), case("bull_case").alias("positives"), case("bear_case").alias("negatives"),
+    )
+    return out.select("ticker", "trails", verdict.alias("verdict"))
+
+
+#: Names that are written as they stand here, and words that are written in capitals.
+NAMES = {"pm synthesis": "PM Synthesis", "bul case": "Bull Case", "bull case": "Bull Case", "reverse dcf": "Reverse DCF", "moat durability": "Moat Durability"}
+CAPITALS = ("PM", "DCF", "ROIC", "OCF", "EBITDA", "USFDA", "ANDA", "CAGR", "KPI", "WACC", "FCF", "PAT")
+_CAPITALS = re.compile(r"\b(?:" + "|".join(f"{w.title()}|{w.lower()}" for w in CAPITALS) + r")\b")
+
+
+def _human(key: str) -> str:
+    plain = key.replace("_", " ")
+    return NAMES.get(plain.lower()) or _CAPITALS.sub(lambda m: m.group().upper(), plain.title())
+
+
+def _absent(v: object) -> bool:
+    return v is None or (isinstance(v, (list, dict)) and not v) or (isinstance(v, str) and v.strip().lower() in ("", "none"))
+
+
+def _rendered(v: object) -> str:
+    if _absent(v):
+        return ""
+    if isinstance(v, list):
+        return " • ".join(filter(None, map(_rendered, v)))
+    if not isinstance(v, dict):
+        return str(v)
+    if v.keys() & {"snippet", "doc_id", "chunk_id", "page"}:
+        snippet, doc, page = (str(v.get("snippet") or "").strip(), str(v.get("doc_id") or "").strip(), v.get("page"))
+        where = ", ".join([*filter(None, [doc]), *([] if page in (None, "", "None") else [f"p.{page}"])])
+        return " ".join(filter(None, [snippet and f'"{snippet}"', where and f"— {where}"]))
+    return "; ".join(f"{_human(k)}: {_rendered(x)}" for k, x in v.items() if not _absent(x))
+
+
+def render_value(payload: Column) -> Column:
+    """A JSON value of any depth as one line of text; null for a null or broken text.
+
+    Objects of a citation give their quoted snippet and where it stands; other objects "Key: value" parts, lists their
+    parts with a bullet between them. Nulls, blanks, the word none and empty values are left out.
+    """
+
+    @F.pandas_udf("string")
+    def run(payloads: pd.Series) -> pd.Series:
+        def line(p: str | None) -> str | None:
+            try:
+                return None if p is None else _rendered(json.loads(p))
+            except ValueError:
+                return None
+
+        return payloads.map(line)
+
+    return run(payload)
 
 
 def run_quality(steps: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.exprs import r
+from ledgerloom.functions.labels import metric_category
 
 
 def upsert(table: DataFrame, batch: DataFrame, keys: tuple[str, ...], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -91,10 +92,31 @@ def append_corrections(store: DataFrame, batch: DataFrame) -> DataFrame:
     return new.withColumn("confidence", F.when(unknown, 0.5).otherwise(F.col("confidence"))).drop("_c")
 
 
+GAP_KEY = ["ticker", "agent_name", "category", "fiscal_period"]
+
+
+def gap_rows(reported: DataFrame) -> DataFrame:
+    """Reported gaps as rows of the gap store, each counted once: (GAP_KEY, description, n, first_seen, last_seen, id).
+
+    reported: (ticker, agent_name, fiscal_period, description, seen, id; category or none). Blank descriptions go, others
+    keep 500 letters; a blank category is found from the description; a blank period is UNKNOWN.
+    """
+    blank = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    text = blank("description")
+    category = F.coalesce(*([blank("category")] if "category" in reported.columns else []), metric_category(text))
+    rows = reported.where(text.isNotNull())
+    return rows.select(
+        F.upper(F.trim("ticker")).alias("ticker"), "agent_name", category.alias("category"), F.coalesce(blank("fiscal_period"), F.lit("UNKNOWN")).alias("fiscal_period"),
+        F.substring(text, 1, 500).alias("description"), F.lit(1).cast("long").alias("n"), F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen"), "id",
+    )
+
+
 def upsert_gaps(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Gap rows counted: sum of counts, last seen, first description."""
+    """The gap store after a batch of gap_rows: by ticker, agent, category and period the sum of counts, and the first description."""
     both = store.unionByName(batch)
-    return both.groupBy("ticker", "category").agg(F.sum("n").cast("long").alias("n"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.min_by("description", F.struct("seen", "id")).alias("description"))
+    first = F.struct("first_seen", "id")
+    agg = [F.sum("n").cast("long").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    return both.groupBy(*GAP_KEY).agg(*agg, F.min_by("description", first).alias("description"), F.min_by("id", first).alias("id"))
 
 
 def agent_patterns(log: DataFrame, least: float = 0.7, n: int = 5, steps: int = 20) -> DataFrame:
@@ -163,8 +185,12 @@ def thesis_drift(store: DataFrame, category: str, n: int = 8) -> DataFrame:
 
 
 def silent_gaps(gaps: DataFrame, min_periods: int = 2) -> DataFrame:
-    """Gaps that come again in several periods, with the newest description."""
-    agg = gaps.groupBy("ticker", "category").agg(F.countDistinct("fiscal_period").cast("int").alias("n_periods"), F.array_join(F.sort_array(F.collect_set("fiscal_period")), ",").alias("periods"), F.count("*").alias("total"), F.max("seen").alias("last_seen"), F.max_by("description", F.struct("seen", "id")).alias("description"))
+    """Categories that a ticker leaves open in several periods, from the gap store: how often in all, and the newest description."""
+    periods = F.collect_set("fiscal_period")
+    agg = gaps.groupBy("ticker", "category").agg(
+        F.countDistinct("fiscal_period").cast("int").alias("n_periods"), F.array_join(F.sort_array(periods), ",").alias("periods"),
+        F.sum("n").cast("long").alias("total"), F.max("last_seen").alias("last_seen"), F.max_by("description", F.struct("last_seen", "id")).alias("description"),
+    )
     return agg.where(F.col("n_periods") >= min_periods)
 
 

@@ -425,10 +425,14 @@ def _findings(s, d):
     return e.select("event_id", F.try_parse_json(body).alias("parsed"), F.lit(1.0).alias("completeness"), (F.col("event_id") % 3).cast("int").alias("errors"))
 
 
-@query("j2_grounding", "select event_id, 1 n_grounded, 3 n_findings, " + R("greatest(0, least(1, 0.6e0 + 0.4e0 / 3 - least(0.1e0 * (event_id % 3), 0.2e0)))", 2) + " confidence from events")
+@query("j2_grounding", "select event_id, 1 n_grounded, 3 n_findings, " + R("greatest(0, least(1, 0.6e0 + 0.4e0 / 3 - least(0.1e0 * (event_id % 3), 0.2e0)))", 2) + """ confidence,
+ case when event_id % 5 = 0 then 'Missing required input: quarters; ' else '' end || 'Missing evidence for 2 finding(s)' || case when event_id % 3 > 0 then '; Critical error: E' || event_id else '' end reasons from events""")
 def j2(s, d):
-    """Confidence by what is grounded."""
-    return J.grounding(_findings(s, d), "event_id")
+    """Confidence by what is grounded, and why."""
+    missing = F.when(F.col("event_id") % 5 == 0, F.array(F.lit("quarters")))
+    critical = F.when(F.col("event_id") % 3 > 0, F.array(F.concat(F.lit("E"), F.col("event_id").cast("string"))))
+    out = J.grounding(_findings(s, d).withColumns({"missing": missing, "critical": critical}), "event_id")
+    return out.withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query("j3_chronology_scan", """select event_id, event_id % 4 < 2 accepted, case event_id % 4 when 3 then '$.links[0000]' when 2 then '$.links[0001].z.w[0000][0000]' end path,
@@ -438,12 +442,21 @@ def j3(s, d):
     return J.chronology_scan(_findings(s, d), "event_id")
 
 
-@query("j4_scrub", "select event_id, case when event_id % 4 = 3 then '[REMOVED: effect before cause]' else 'c' end claim, case when event_id % 4 = 3 then 'FY23>FY22' else '' end removed from events")
+_GONE = '{"removed_by_auditor":"Causal claim removed: failed chronological verification."}'
+
+
+@query("j4_scrub", f"""with y as (select event_id, cast(event_id % 4 as varchar) y from events) select event_id,
+ '{{"a":{{"n":1,"deep":[[' || case when y = '3' then '{_GONE}' else '{{"cause_date":"FY2' || y || '","effect_date":"FY22","claim":"c"}}' end || ']]}},"links":[' ||
+ case when y in ('2', '3') then '{_GONE}' else '{{"cause_date":"FY2' || y || '","effect_date":"FY21","inner":{{"cause_date":"FY23","effect_date":"FY25"}}}}' end || ']}}' payload,
+ case y when '3' then 'FY23 -> FY22; FY23 -> FY21' when '2' then 'FY22 -> FY21' else '' end removed from y""")
 def j4(s, d):
-    """Violations replaced by a mark."""
-    link = F.array(F.struct(F.lit("c").alias("claim"), F.concat(F.lit("FY2"), (F.col("event_id") % 4).cast("string")).alias("cause_date"), F.lit("FY22").alias("effect_date")))
-    kept, removed = J.scrub(F.col("links"))
-    return table(s, d, "events").withColumn("links", link).select("event_id", F.get(kept, 0)["claim"].alias("claim"), F.array_join(removed, ",").alias("removed"))
+    """Claims against time removed from nested findings, at three depths."""
+    year = (F.col("event_id") % 4).cast("string")
+    body = F.concat(
+        F.lit('{"a":{"n":1,"deep":[[{"cause_date":"FY2'), year, F.lit('","effect_date":"FY22","claim":"c"}]]},"links":[{"cause_date":"FY2'), year,
+        F.lit('","effect_date":"FY21","inner":{"cause_date":"FY23","effect_date":"FY25"}}]}'),
+    )
+    return J.scrub(table(s, d, "events").select("event_id", body.alias("payload"))).withColumn("removed", F.array_join("removed", "; "))
 
 
 @query("j5_apply_corrections", oracle("talk") + " select conv_id || '-' || turn doc_id, case when turn % 2 = 0 then replace(replace(coalesce(text, ''), 'the', 'THE'), 'THE', 'A') else coalesce(text, '') end as text, case when turn % 2 = 0 then 2 else 0 end n_corrections from talk")
@@ -517,12 +530,30 @@ def j10(s, d):
     return J.ordered_summary(table(s, d, "events").select(F.col("user_id").alias("ticker"), agent.alias("agent")).distinct())
 
 
-@query("j11_render_citations", "select event_id, '- s' || event_id || ' | d | p.' || (event_id % 9) || chr(10) || '- z | e' as cited from events")
+@query("j10_trails_summary", """with t as (select distinct user_id ticker, case event_type when 'view' then 'pm_synthesis' when 'click' then 'critic_agent' when 'error' then 'forensic_quant' else event_type end agent from events)
+ select ticker, array_to_string(list(agent order by case agent when 'forensic_quant' then 0 when 'critic_agent' then 1 when 'pm_synthesis' then 2 else 3 end, agent), ',') agents, count(*) n,
+ case when bool_or(agent = 'pm_synthesis') then 'BUY ' || ticker end recommendation, case when bool_or(agent = 'pm_synthesis') then 'cash,moat' else '' end positives, '' negatives from t group by 1""")
+def j10_summary(s, d):
+    """One row a ticker: its agents in order and the verdict."""
+    agent = F.when(F.col("event_type") == "view", "pm_synthesis").when(F.col("event_type") == "click", "critic_agent").when(F.col("event_type") == "error", "forensic_quant").otherwise(F.col("event_type"))
+    trails = table(s, d, "events").select(F.col("user_id").alias("ticker"), agent.alias("agent")).distinct()
+    pm = F.concat(F.lit('{"recommendation":"BUY '), F.col("ticker").cast("string"), F.lit('","bull_case":["cash","moat"],"bear_case":null}'))
+    filled = {"confidence": F.lit(0.5), "reasons": F.lit(None).cast("array<string>"), "findings": F.when(F.col("agent") == "pm_synthesis", pm), "seconds": F.lit(1.0)}
+    out = J.trails_summary(trails.withColumns(filled))
+    joined = lambda c: F.array_join(F.col("verdict")[c], ",").alias(c)
+    names = F.array_join(F.transform("trails", lambda t: t["agent"]), ",").alias("agents")
+    return out.select("ticker", names, F.size("trails").cast("long").alias("n"), F.col("verdict.recommendation").alias("recommendation"), joined("positives"), joined("negatives"))
+
+
+@query("j11_render_citations", """select event_id, 'Roic Trend: up; Net PAT: ' || event_id || '; Citations: "s' || event_id || '" — d, p.' || (event_id % 9) || ' • — e • x; Deep: Bull Case: 1.5 • A B: True' as cited from events""".replace("Roic", "ROIC"))
 def j11(s, d):
-    """Citations as text."""
-    one = F.struct(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("snippet"), F.lit("d").alias("doc"), (F.col("event_id") % 9).cast("int").alias("page"))
-    two = F.struct(F.lit("z").alias("snippet"), F.lit("e").alias("doc"), F.lit(None).cast("int").alias("page"))
-    return table(s, d, "events").select("event_id", J.render_citations(F.array(one, two)).alias("cited"))
+    """Nested findings as one line."""
+    i = F.col("event_id").cast("string")
+    body = F.concat(
+        F.lit('{"roic_trend":"up","empty":[],"net_pat":'), i, F.lit(',"no":"None","citations":[{"snippet":" s'), i, F.lit('","doc_id":"d","page":'), (F.col("event_id") % 9).cast("string"),
+        F.lit('},{"doc_id":"e","page":null},{"page":""},"x",""],"deep":[{"bul_case":1.5},{"a_b":true,"c":{}}]}'),
+    )
+    return table(s, d, "events").select("event_id", J.render_value(body).alias("cited"))
 
 
 @query("j12_run_quality", "with s as (select user_id run_id, case event_type when 'click' then 'tool' when 'view' then 'memory' else 'x' end kind, event_id % 4 <> 0 ok, event_id t, 1 ms from events), a as (select run_id, count(*) filter (where kind = 'tool') c, count(*) filter (where kind = 'memory' and not ok) f, cast(sum(t) as bigint) tokens, cast(sum(ms) as bigint) ms from s group by 1) select run_id, c tool_calls, case when c >= 6 then 'deep' when c >= 3 then 'moderate' when c >= 1 then 'shallow' else 'none' end as depth, " + R("greatest(0, 1 - 0.2e0 * f)", 2) + " completeness, tokens, ms from a")

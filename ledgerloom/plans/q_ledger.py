@@ -335,16 +335,24 @@ def m8(s, d):
 
 
 def _gaps(s, d):
-    return led(s, d).where("score < 50").select("ticker", F.col("metric_category").alias("category"), "fiscal_period", F.lit(1).cast("long").alias("n"), F.col("run_date").alias("seen"), F.col("original_claim").alias("description"), "id")
+    """Gaps as agents report them: some without a category, a period or a text."""
+    k, text = F.col("id") % 11, F.concat(F.lit(" capex "), F.col("original_claim"))
+    return M.gap_rows(led(s, d).where("score < 50").select(
+        F.lower("ticker").alias("ticker"), "agent_name", F.when(k == 3, " ").otherwise(F.col("metric_category")).alias("category"),
+        F.when(k == 5, None).otherwise(F.col("fiscal_period")).alias("fiscal_period"), F.when(k == 7, " ").otherwise(text).alias("description"), F.col("run_date").alias("seen"), "id",
+    ))
 
 
-_G = _L + ", gaps as (select ticker, metric_category category, fiscal_period, 1 n, run_date seen, original_claim description, id from ledger where score < 50)"
+_G = _L + """, gap as (select ticker, agent_name, case when id % 11 = 3 then 'capex' else metric_category end category, case when id % 11 = 5 then 'UNKNOWN' else fiscal_period end fiscal_period,
+ 'capex ' || original_claim description, run_date seen, id from ledger where score < 50 and id % 11 <> 7),
+ gaps as (select ticker, agent_name, category, fiscal_period, count(*) n, min(seen) first_seen, max(seen) last_seen, min_by(description, (seen, id)) description, min_by(id, (seen, id)) id from gap group by 1, 2, 3, 4)"""
 
 
-@query("m9_upsert_gaps", _G + " select ticker, category, cast(count(*) as bigint) n, min(seen) first_seen, max(seen) last_seen, min_by(description, (seen, id)) description from gaps group by 1, 2")
+@query("m9_upsert_gaps", _G + " select * from gaps")
 def m9(s, d):
     """Gaps counted over two loads."""
-    return M.upsert_gaps(_gaps(s, d).where(_HALF), _gaps(s, d).where("not " + _HALF))
+    none = _gaps(s, d).where("false")
+    return M.upsert_gaps(M.upsert_gaps(none, _gaps(s, d).where(_HALF)), _gaps(s, d).where("not " + _HALF))
 
 
 @query("m10_agent_patterns", _L + " select agent_name, id, confidence, run_date from ledger where confidence >= 0.7 qualify row_number() over (partition by agent_name order by confidence desc, run_date desc, id desc) <= 5")
@@ -414,10 +422,11 @@ def m15(s, d):
     return M.thesis_drift(led(s, d), "margins")
 
 
-@query("m16_silent_gaps", _G + " select ticker, category, cast(count(distinct fiscal_period) as int) n_periods, array_to_string(list_sort(list(distinct fiscal_period)), ',') periods, count(*) total, max(seen) last_seen, max_by(description, (seen, id)) description from gaps group by 1, 2 having count(distinct fiscal_period) >= 2")
+@query("m16_silent_gaps", _G + """ select ticker, category, cast(count(distinct fiscal_period) as int) n_periods, array_to_string(list_sort(list(distinct fiscal_period)), ',') periods,
+ cast(sum(n) as bigint) total, max(last_seen) last_seen, max_by(description, (last_seen, id)) description from gaps group by 1, 2 having count(distinct fiscal_period) >= 2""")
 def m16(s, d):
     """Gaps that come again."""
-    return M.silent_gaps(_gaps(s, d))
+    return M.silent_gaps(M.upsert_gaps(_gaps(s, d).where("false"), _gaps(s, d)))
 
 
 @query("m17_inconsistencies", _CON + " select a_id, b_id, a.fiscal_period period_a, a.verified_fact text_a, b.fiscal_period period_b, b.verified_fact text_b from cp left join (select * from ledger where id % 9 <> 0) a on a.id = a_id left join (select * from ledger where id % 9 <> 0) b on b.id = b_id")
@@ -429,7 +438,7 @@ def m17(s, d):
 @query("m18_ledger_stats", _G + " select 'ledger' table_name, (select count(*) from ledger) n union all select 'gaps', (select count(*) from gaps)")
 def m18(s, d):
     """Rows of the ledgers."""
-    return M.ledger_stats(ledger=led(s, d), gaps=_gaps(s, d))
+    return M.ledger_stats(ledger=led(s, d), gaps=M.upsert_gaps(_gaps(s, d).where("false"), _gaps(s, d)))
 
 
 @query("m19_align_schema", "select event_id, event_type, 'none' as status, 0.5e0 as weight from events")

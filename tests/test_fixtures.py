@@ -445,6 +445,64 @@ def test_chunk_records_equal_plain_counting(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 4 and {w[0] for w in want} == {1, 2}
 
 
+def test_claims_against_time_go_at_any_depth(spark):
+    bad = {"cause_date": "FY25", "effect_date": "FY23", "inner": {"cause_date": "FY24", "effect_date": "FY20"}}
+    good = {"cause_date": "FY21", "effect_date": "FY23", "x": 1}
+    bodies = [
+        {"z": bad, "a": [1, [good, {"deep": [bad, {"q": {"cause_date": "2024-05", "effect_date": "2023-01"}}]}]], "é": None},
+        good, bad, [], {"cause_date": "FY25"}, {"cause_date": None, "effect_date": "FY20"}, {"cause_date": 5, "effect_date": "FY20", "k": bad},
+    ]
+    rows = [(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(90, None), (91, "{broken")]
+    got = {r["id"]: r for r in J.scrub(spark.createDataFrame(rows, "id long, payload string")).collect()}
+    gone = J.REMOVED
+    want = {0: {"z": gone, "a": [1, [good, {"deep": [gone, {"q": gone}]}]], "é": None}, 1: good, 2: gone, 3: [], 4: bodies[4], 5: bodies[5], 6: {**bodies[6], "k": gone}}
+    assert {i: json.loads(got[i]["payload"]) for i in want} == want
+    assert got[0]["removed"] == ["FY25 -> FY23", "FY25 -> FY23", "2024-05 -> 2023-01"] and got[2]["removed"] == ["FY25 -> FY23"]
+    assert all(got[i]["removed"] == [] for i in (1, 3, 4, 5, 90, 91)) and (got[90]["payload"], got[91]["payload"]) == (None, "{broken")
+
+
+def test_nested_values_as_text(spark):
+    cases = [
+        ({"snippet": " Sales rose ", "doc_id": "AR24", "page": 7}, '"Sales rose" — AR24, p.7'),
+        ({"doc_id": "AR24", "page": "None"}, "— AR24"), ({"page": 0}, "— p.0"), ({"snippet": "s", "page": None}, '"s"'), ({"chunk_id": "c"}, ""),
+        ({"roic_trend": "up", "net_pat": 3, "x": None, "y": " none ", "z": [], "pm_synthesis": {"bul_case": "b"}}, "ROIC Trend: up; Net PAT: 3; PM Synthesis: Bull Case: b"),
+        (["a", "", None, {"k": "v"}, ["b", "c"], {"page": ""}], "a • K: v • b • c"), ("None", ""), ([], ""), (1.5, "1.5"), (True, "True"),
+    ]
+    rows = [(i, json.dumps(v)) for i, (v, _) in enumerate(cases)] + [(90, None), (91, "{x")]
+    got = {r["id"]: r["t"] for r in spark.createDataFrame(rows, "id long, j string").select("id", J.render_value(F.col("j")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == [t for _, t in cases] and got[90] is None and got[91] is None
+
+
+def test_summary_and_verdict(spark):
+    pm = json.dumps({"recommendation": "BUY", "recommendation_rationale": "r", "stock_story": "s", "bull_case": ["a", "b"]})
+    rows = [("A", "other", 0.1, None, "", 1.0), ("A", "pm_synthesis", 0.9, ["x"], pm, 2.0), ("A", "forensic_quant", 0.5, [], "{}", None), ("B", "critic_agent", None, None, None, None), ("C", "pm_synthesis", 0.3, None, "[1]", 1.0)]
+    df = spark.createDataFrame(rows, "ticker string, agent string, confidence double, reasons array<string>, findings string, seconds double")
+    got = {r["ticker"]: r for r in J.trails_summary(df).collect()}
+    assert [(t["agent"], t["confidence_reasons"], t["findings"]) for t in got["A"]["trails"]] == [("forensic_quant", [], None), ("pm_synthesis", ["x"], pm), ("other", [], None)]
+    assert tuple(got["A"]["verdict"]) == ("BUY", "r", "s", ["a", "b"], [])
+    assert tuple(got["B"]["verdict"]) == tuple(got["C"]["verdict"]) == (None, None, None, [], [])
+
+
+def test_reasons_of_a_score(spark):
+    rows = [(1, '{"a": {"x": 1, "y": 2}, "b": {"quote": "q"}}', ["cash flow"], ["wrong year"]), (2, '{"a": {"quote": "q"}}', None, None), (3, None, ["x"], ["y"])]
+    df = spark.createDataFrame(rows, "id long, j string, missing array<string>, critical array<string>")
+    df = df.select("*", F.parse_json("j").alias("parsed"), F.lit(1.0).alias("completeness"), F.lit(0).alias("errors"))
+    got = {r["id"]: r["reasons"] for r in J.grounding(df, "id").collect()}
+    assert got == {1: ["Missing required input: cash flow", "Missing evidence for 1 finding(s)", "Critical error: wrong year"], 2: [], 3: ["Agent failed to produce output"]}
+
+
+def test_gaps_by_agent_and_period(spark):
+    kind = "ticker string, agent_name string, fiscal_period string, category string, description string, seen int, id long"
+    first = [(" tcs ", "quant", "Q1_FY25", "margins", "no split", 1, 1), ("TCS", "quant", "Q1_FY25", None, "Gross margin is absent", 2, 2), ("TCS", "moat", "Q1_FY25", "margins", "x" * 900, 3, 3), ("TCS", "quant", None, "margins", "later", 4, 4), ("TCS", "quant", "Q1_FY25", "margins", "  ", 5, 5)]
+    load = lambda rows: M.gap_rows(spark.createDataFrame(rows, kind))
+    store = M.upsert_gaps(load(first).where("false"), load(first))
+    store = M.upsert_gaps(store, load([("tcs", "quant", "Q1_FY25", " ", "margin again", 9, 9)]))
+    got = {(r["agent_name"], r["fiscal_period"]): (r["category"], r["n"], r["first_seen"], r["last_seen"], r["description"][:12], len(r["description"])) for r in store.collect()}
+    assert got == {("quant", "Q1_FY25"): ("margins", 3, 1, 9, "no split", 8), ("moat", "Q1_FY25"): ("margins", 1, 3, 3, "x" * 12, 500), ("quant", "UNKNOWN"): ("margins", 1, 4, 4, "later", 5)}
+    silent = M.silent_gaps(store).collect()
+    assert [(r["ticker"], r["category"], r["n_periods"], r["periods"], r["total"], r["description"]) for r in silent] == [("TCS", "margins", 2, "Q1_FY25,UNKNOWN", 5, "no split")]
+
+
 def test_topics_of_requests_without_a_ticker(spark):
     text = "short margin\n\nMargin is here and margin again, at length.\n \nNothing of the kind is said in this one.\n\nA long paragraph that says margin only once."
     asked = spark.createDataFrame([(1, "Margin of it", text), (2, "tax", text), (3, "tax", None)], "query_id long, topic string, doc string")
