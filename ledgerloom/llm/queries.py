@@ -113,21 +113,24 @@ from documents d join g on coalesce(d.text, '') = g.t
 
 
 def _op8_sql() -> str:
-    """Brute force: every line against every template; every word of a text against every phrase."""
+    """Brute force: every place of a template's words as the start of a block; every word of a text against every phrase."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    values = ", ".join(f"('{k}', list_distinct(string_split('{v}', ' ')))" for k, v in licenses.TEMPLATES.items())
+    values = ", ".join(f"('{k}', {len(v.split())}, list_distinct(string_split('{v}', ' ')))" for k, v in licenses.TEMPLATES.items())
     phrases = ", ".join(f"('{k}', '{v}')" for k, v in licenses.PHRASES.items())
-    return f"""
+    need = f"ceil({licenses.THRESHOLD} * len(tw) - 1e-9)"
+    return rf"""
 with d as (select doc_id, row_number() over () as r, lower(coalesce(text, '')) as t from documents),
 w as (select doc_id, r, list_filter(regexp_split_to_array(t, '{gap}'), lambda x: x <> '') as ws from d),
 p(phrase, label) as (values {phrases}),
 hit as (select r, label, i from (select r, label, string_split(phrase, ' ') as pw, ws, unnest(range(0, len(ws))) as i from w, p
         where contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ')) where ws[i + 1 : i + len(pw)] = pw),
 base as (select r, count(*) as n_base, min(i) as a, max(i) as b, list(distinct label) as labels from hit group by r),
-tpl(label, tw) as (values {values}),
-lines as (select r, unnest(string_split(t, chr(10))) as l from d),
-lw as (select r, list_distinct(regexp_split_to_array(l, '{gap}')) as lws from lines),
-sim as (select r, label, len(list_intersect(lws, tw)) / cast(len(tw) as double) as c from lw, tpl where len(list_intersect(lws, tw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
+tpl(label, n, tw) as (values {values}),
+paras as (select r, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) as l from d),
+pw as (select r, row_number() over () as q, list_filter(regexp_split_to_array(l, '{gap}'), lambda x: x <> '') as lws from paras),
+may as (select r, q, lws, label, n, tw from pw, tpl where len(list_intersect(lws, tw)) >= {need}),
+blocks as (select r, label, tw, lws[s : s + n - 1] as b from (select *, unnest(range(1, greatest(1, len(lws) - n + 1) + 1)) as s from may)),
+sim as (select r, label, len(list_intersect(b, tw)) / cast(len(tw) as double) as c from blocks where len(list_intersect(b, tw)) >= {need}),
 more as (select r, list(distinct label) as labels, max(c) as c from sim group by r)
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, a as first_word, b as last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,

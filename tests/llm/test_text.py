@@ -28,31 +28,52 @@ def test_licenses_against_sql(spark, sf_dir):
 
 
 def brute_labels(text):
-    out = set()
-    for line in text.lower().split("\n"):
-        words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+    out = {}
+    for part in re.split(r"\n[ \t\r]*\n", text.lower()):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part)
         for label, notice in licenses.TEMPLATES.items():
-            own = set(notice.split())
-            if len(words & own) >= np.ceil(licenses.THRESHOLD * len(own) - 1e-9):
-                out.add(label)
+            n, own = len(notice.split()), set(notice.split())
+            best = max(len(own & set(words[s : s + n])) for s in range(max(1, len(words) - n + 1)))
+            if best >= np.ceil(licenses.THRESHOLD * len(own) - 1e-9):
+                out[label] = max(out.get(label, 0), best / len(own))
     return out
 
 
+def test_notices_may_wrap(docs):
+    rows = [
+        (1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+        (2, "This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0."),
+        (3, "Redistribution and use in source and binary forms, with or\n \t\nwithout modification, are permitted"),
+        (4, "x " * 500 + "Redistribution and use\nin source and binary forms, with or without modification,\nare permitted" + " y" * 500),
+        (5, "redistribution " + "x " * 12 + "and use in source and binary forms, with or without modification"),
+        (6, "/*\n * " + re.sub("((?:\\S+ ){9})", "\\1\n * ", licenses.TEMPLATES["mit-text"]).upper() + "\n */\nint main"),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs(rows)).collect()}
+    assert got[1] == ("bsd", 1.0) and got[2][0] == "mpl-2.0" and got[3] == ("", 0.0) and got[4] == ("bsd", 1.0)
+    assert got[5] == ("", 0.0)  # its first word is too far from the others
+    assert got[6] == ("mit-grant,mit-text", 1.0)
+
+
 def test_licenses_odd_cases(docs, odd, empty):
     rng = random.Random(8)
     rows = list(ODD)
-    for i in range(120):
+    for i in range(160):
         lines = []
-        for _ in range(3):
+        for _ in range(4):
             words = rng.choice(list(licenses.TEMPLATES.values())).split()
-            rng.shuffle(words)
-            lines.append(", ".join(words[: rng.randrange(1, len(words) + 1)] + ["noise"] * rng.randrange(3)).title())
-        rows.append((100 + i, "\n".join(lines)))
+            if rng.random() < 0.5:
+                rng.shuffle(words)
+            words = words[: rng.randrange(len(words) // 2, len(words) + 1)]
+            for _ in range(rng.choice((0, 3, 30))):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["noise", "the", "license"]))
+            lines.append(", ".join(words).title())
+        rows.append((100 + i, rng.choice(["\n", "\n\n", "\n\r\n", " "]).join(lines)))
     rows += [(300, "CC BY cc by, CC  by"), (301, "general public-license ALL RIGHTS reserved"), (302, "ccby cc-x by")]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(rows)).collect() if r["doc_id"] is not None}
     for i, t in rows[len(ODD) :]:
         base = set(got[i]["base_labels"].split(",")) - {""}
-        assert set(got[i]["labels"].split(",")) - {""} == brute_labels(t) | base
+        more = brute_labels(t)
+        assert set(got[i]["labels"].split(",")) - {""} == set(more) | base and got[i]["score"] == (1.0 if base else max(more.values(), default=0.0))
     assert (got[300]["n_base"], got[300]["first_word"], got[300]["last_word"], got[300]["base_labels"], got[300]["score"]) == (3, 0, 4, "cc-by", 1.0)
     assert got[301]["base_labels"] == "gpl,reserved" and got[302]["n_base"] == 0 and got[302]["first_word"] is None
     assert got[1]["n_words"] == 0 and licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
