@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.exprs import r
 from ledgerloom.functions.fiscal import fiscal_window
+from ledgerloom.operators.topk import TopK
 
 #: Domains of topics, the words that go before a topic, and how many hits a topic has.
 DOMAINS = (
@@ -23,8 +26,8 @@ DOMAINS = (
 #: What stands before or after a topic in forward-looking passages.
 TOPIC_AFTER = r"(?i)(?:we expect|guidance|outlook|target|aim to|going forward).*?"
 TOPIC_BEFORE = r".*?(?:we expect|guidance|outlook|target)"
-#: Queries that are broadcast at once.
-BLOCK = 2000
+#: Bytes of query vectors that are broadcast at once.
+BLOCK_BYTES = 16 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,26 +40,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), 0.0).otherwise(F.coalesce(F.try_divide(dot(a, b), F.nullif(norms, F.lit(0.0))), F.lit(0.0)))
 
 
-def _matched(rows: DataFrame, queries: DataFrame, own: list[str]) -> DataFrame:
-    """Rows with the queries that ask for them: by equal columns where a query names one, else every row."""
-    if not own:
-        return rows.crossJoin(F.broadcast(queries))
-    free, named = F.col(f"q_{own[0]}").isNull(), F.col(own[0]) == F.col(f"q_{own[0]}")
-    every = _matched(rows, queries.where(free), own[1:])
-    some = queries.where(~free)
-    rest = reduce(lambda x, y: x & y, [F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)) for c in own[1:]], named)
-    return rows.join(F.broadcast(some), rest).unionByName(every)
-
-
 def search(chunks: DataFrame, queries: DataFrame, k: int, filters: dict[str, object] | None = None, min_year: int | None = None) -> DataFrame:
     """The k most similar chunks of each query among those that pass every filter.
 
     chunks: (vec_id, metadata..., embedding); queries: (query_id, qvec) and, for a filter by the query itself,
-    columns named q_<column>: null asks for all, anything else is an equi join. Filters come before the similarity,
-    so that they reach the scan. Queries are counted and broadcast in blocks of about BLOCK. Each vector's square
-    is taken once, not for every pair.
+    columns named q_<column>: null asks for all, anything else must be equal. Filters that hold for all come before
+    the similarity, so that they reach the scan. Chunks stay where they are read: a task compares its own with a block of
+    queries (TopK: exact, by block products, leaving out cells that cannot reach a query's best) and passes on k rows a
+    query at most. The block of queries is broadcast; it is cut so that its vectors take BLOCK_BYTES at most.
     """
-    blocks = -(-queries.count() // BLOCK) or 1
+    total, size = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
+    blocks = -(-total * 8 * max(size or 0, 8) // BLOCK_BYTES) or 1
     if blocks > 1:
         part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
         return reduce(DataFrame.unionByName, [search(chunks, queries.where(part == b), k, filters, min_year) for b in range(2 * blocks)])
@@ -67,13 +61,27 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, filters: dict[str, obj
     if min_year is not None:
         rows = rows.where(F.col("cal_year") >= min_year)
     own = [c[2:] for c in queries.columns if c.startswith("q_")]
-    square = lambda c: F.coalesce(dot(F.col(c), F.col(c)), F.lit(0.0))
-    pairs = _matched(rows.withColumn("_sq", square("embedding")), queries.withColumn("_qsq", square("qvec")), own)
-    norms = F.nullif(F.sqrt(F.col("_sq") * F.col("_qsq")), F.lit(0.0))
-    alike = F.when(F.size("embedding") == F.size("qvec"), F.try_divide(dot(F.col("embedding"), F.col("qvec")), norms))
-    scored = pairs.withColumn("relevance", r(F.coalesce(alike, F.lit(0.0)), 3))
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("embedding", "qvec", "_sq", "_qsq", *[f"q_{c}" for c in own])
+    asked = queries.collect()  # one block, bounded above
+    spark = chunks.sparkSession
+    vectors, wanted = [q["qvec"] for q in asked], {c: [q[f"q_{c}"] for q in asked] for c in own}
+    shared = spark.sparkContext.broadcast((vectors, wanted))
+    plain = [c for c in rows.columns if c != "embedding"]
+    schema = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("_mark", T.IntegerType()), *[rows.schema[c] for c in plain]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = TopK(*shared.value, k)
+        for batch in batches:
+            best.add(batch, "vec_id", "embedding")
+        for query, mark, kept in best.results():
+            table = kept.add_column(0, "_mark", pa.array(mark, pa.int32())).add_column(0, "_q", pa.array(query, pa.int32()))
+            yield from table.combine_chunks().to_batches()
+
+    found = rows.mapInArrow(run, schema)
+    w = Window.partitionBy("_q").orderBy(F.desc("_mark"), "vec_id")
+    first = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("relevance", F.col("_mark") / 1000)
+    kept = [c for c in queries.columns if c != "qvec" and not c.startswith("q_")]
+    names = spark.createDataFrame([(i, *[q[c] for c in kept]) for i, q in enumerate(asked)], T.StructType([T.StructField("_q", T.IntegerType()), *[queries.schema[c] for c in kept]]))
+    return first.join(F.broadcast(names), "_q").select(*plain, *kept, "relevance", "place")
 
 
 def with_sentinel(hits: DataFrame, queries: DataFrame) -> DataFrame:
