@@ -324,11 +324,21 @@ def table_pages(text: Column, statement_words: list[str] | None = None, disclosu
     return F.coalesce(r(share, 4), F.lit(0.0)), F.coalesce(table, F.lit(False))
 
 
-def qa_section(text: Column, headings: list[str], speaker: str) -> Column:
-    """The text from the first heading of questions, else from the first speaker line, else null."""
-    starts = [F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)) for p in [*headings, speaker]]
-    at = F.coalesce(*starts)
-    return F.when(at.isNotNull(), F.substring(text, at, F.length(text)))
+#: Headings of the questions in order, and what marks a line of a speaker.
+QA_HEADINGS = [
+    r"(?i)(?:question\s*(?:and|&)\s*answer|q\s*&\s*a|q&a\s*session)",
+    r"(?i)(?:analyst\s*q(?:uestion)?s?\s*(?:and|&)\s*a(?:nswer)?s?)",
+    r"(?i)(?:interactive\s*session|question\s*session)",
+]
+QA_SPEAKER = r"(?i)(?:analyst|participant|questioner|moderator)\s*[:\-–]"
+
+
+def qa_section(text: Column, headings: list[str] | None = None, speaker: str = QA_SPEAKER) -> Column:
+    """The text from the first place of the first heading that it has, else from the line of the first speaker, else null."""
+    at = F.coalesce(*[F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)) for p in headings or QA_HEADINGS])
+    lines = F.split(text, "\n")
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(speaker)), F.lit(True))
+    return F.when(at.isNotNull(), F.substring(text, at, F.length(text))).when(first > 0, F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), "\n"))
 
 
 def kwic(docs: DataFrame, patterns: list[str], before: int, after: int, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
@@ -381,19 +391,38 @@ def risk_signals(docs: DataFrame, families: dict[str, list[str]] | None = None,
     return docs.where(F.coalesce(F.trim("text"), F.lit("")) != "").select(id_col, *cells)
 
 
-def hedging(docs: DataFrame, phrases: list[tuple[str, str | None]], id_col: str = "doc_id", top: int = 15, before: int = 100, after: int = 200) -> DataFrame:
-    """Counts of each phrase with its first context, the most frequent of them, and the total of all.
+def sector_key(sector: Column) -> Column:
+    """The set of SECTOR_HEDGES that a sector's name asks for; general where none is named or the name is null."""
+    low = F.lower(sector)
+    return F.coalesce(*[F.when(low.contains(word), key) for word, key in SECTORS], F.lit("general"))
+
+
+def hedging(
+    docs: DataFrame, phrases: list[tuple[str, str | None]] | None = None, id_col: str = "doc_id", top: int = 15, before: int = 100, after: int = 200, sector_col: str | None = None
+) -> DataFrame:
+    """Counts of each phrase with its first context, the most frequent first, then in order of the list, and the total of all.
 
-    phrases: (phrase, sector or null for all). One column a phrase, then unpivoted: no join.
+    phrases: (phrase, sector or null for all), those of the library if none are given. sector_col names the column of a
+    row's sector: only that sector's phrases count there, beside those for all. One column a phrase, then unpivoted: no join.
     """
-    low = F.lower("text")
-    cells = [F.struct(F.lit(p.lower()).alias("phrase"), F.lit(s is not None).alias("sector_only"), count_of(low, p.lower()).alias("n"), F.instr(low, p.lower()).alias("at")) for p, s in phrases]
-    rows = docs.select(id_col, "text", F.inline(F.array(*cells))).where("n > 0")
+    low, phrases = F.col("_low"), hedges_of() if phrases is None else phrases
+    key = F.lit(None) if sector_col is None else sector_key(F.col(sector_col))
+    rows = docs.select(id_col, "text", F.lower("text").alias("_low"), key.alias("_key"))
+
+    def cell(k: int, phrase: str, sector: str | None) -> Column:
+        n = count_of(low, phrase)
+        if sector is not None and sector_col is not None:
+            n = F.when(F.col("_key") == sector, n).otherwise(0)
+        named = [F.lit(k).alias("_k"), F.lit(phrase).alias("phrase"), F.lit(sector is not None).alias("sector_only")]
+        return F.struct(*named, n.cast("int").alias("n"), F.instr(low, phrase).alias("at"))
+
+    cells = [cell(k, p.lower(), s) for k, (p, s) in enumerate(phrases)]
+    rows = rows.select(id_col, "text", F.inline(F.array(*cells))).where("n > 0")
     total = F.sum("n").over(Window.partitionBy(id_col))
-    w = Window.partitionBy(id_col).orderBy(F.desc("n"), "phrase")
+    w = Window.partitionBy(id_col).orderBy(F.desc("n"), "_k")
     start = F.greatest(F.col("at") - before, F.lit(1))
-    context = F.substring("text", start, F.col("at") - start + F.length("phrase") + after)
-    return rows.select(id_col, "phrase", "sector_only", F.col("n").cast("int").alias("n"), context.alias("context"), total.cast("int").alias("total"), F.row_number().over(w).alias("place")).where(F.col("place") <= top)
+    context = _stripped(F.substring("text", start, F.col("at") - start + F.length("phrase") + after))
+    return rows.select(id_col, "phrase", "sector_only", "n", context.alias("context"), total.cast("int").alias("total"), F.row_number().over(w).alias("place")).where(F.col("place") <= top)
 
 
 def candour_score(hedges: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -414,12 +443,18 @@ def rank_passages(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", p
     return out.withColumns({"rank": F.coalesce("rank", F.lit(1)), "score": F.coalesce("score", F.lit(0)).cast("int"), "passage": F.coalesce("passage", F.lit("NO MATCHING PASSAGE"))})
 
 
-def page_snippet(text: Column, spellings: list[str], before: int = 200, after: int = 3000) -> Column:
-    """Text around the first spelling of a reference that is found."""
-    low = F.lower(text)
-    at = F.coalesce(*[F.nullif(F.instr(low, s.lower()), F.lit(0)) for s in spellings])
+def page_snippet(text: Column, reference: Column, before: int = 200, after: int = 3000) -> Column:
+    """(content, found, position) around a reference in a text, letter case aside; "note 5" is also sought as "note no. 5" and "notes 5".
+
+    The first spelling that the text has decides; position counts from 0 and is null where none is found.
+    """
+    low, ref = F.lower(text), F.lower(F.trim(reference))
+    spellings = [ref, F.replace(ref, F.lit("note "), F.lit("note no. ")), F.replace(ref, F.lit("note "), F.lit("notes "))]
+    at = F.coalesce(*[F.nullif(F.call_function("instr", low, s), F.lit(0)) for s in spellings])
     start = F.greatest(at - before, F.lit(1))
-    return F.coalesce(F.substring(text, start, at - start + after), F.lit("NOT FOUND"))
+    missing = F.concat(F.lit("'"), reference, F.lit("' not found in document."))
+    content = F.coalesce(F.substring(text, start, at - start + after), missing)
+    return F.struct(content.alias("content"), at.isNotNull().alias("found"), (at - 1).alias("position"))
 
 
 def first_number(text: Column, patterns: list[str]) -> Column:
@@ -427,10 +462,45 @@ def first_number(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns]).try_cast("double")
 
 
-def growth_split(docs: DataFrame, volume: list[str], price: list[str], rural: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Volume and price growth and the rural share in percent; the urban share is the rest."""
-    rural_pct = first_number(F.col("text"), rural)
-    return docs.select(id_col, first_number(F.col("text"), volume).alias("volume_pct"), first_number(F.col("text"), price).alias("price_pct"), rural_pct.alias("rural_pct"), (100 - rural_pct).alias("urban_pct"))
+#: How calls state growth of volume, of price, and the rural share, in order.
+VOLUME_PATTERNS = [
+    r"(?i)(?:underlying\s+)?volume\s+growth\s+(?:of|was|at|stood at)\s+(\d+(?:\.\d+)?)\s*%",
+    r"(?i)volumes?\s+(?:grew|grew by|declined by|increased by|fell by)\s+(\d+(?:\.\d+)?)\s*%",
+    r"(?i)volume\s+(?:growth|decline)\s+of\s+(?:about\s+)?(\d+(?:\.\d+)?)\s*%",
+]
+PRICE_PATTERNS = [
+    r"(?i)price(?:\s*[-/]\s*mix)?\s+growth\s+(?:of|was|at)\s+(\d+(?:\.\d+)?)\s*%",
+    r"(?i)pricing\s+(?:contributed|impact|growth)\s+(?:of\s+)?(\d+(?:\.\d+)?)\s*%",
+    r"(?i)(?:price|realization)\s+(?:increase|growth|hike)\s+of\s+(\d+(?:\.\d+)?)\s*%",
+]
+RURAL_PATTERNS = [
+    r"(?i)rural\s+(?:contribution|share|mix|revenue)\s+(?:of|was|at|stood at)\s+(\d+(?:\.\d+)?)\s*%",
+    r"(?i)rural\s*[:/]\s*urban\s+(?:split|mix|ratio)\s+(?:of|was|at)\s+(\d+(?:\.\d+)?)\s*[:/]\s*(\d+(?:\.\d+)?)",
+    r"(?i)rural\s+(?:markets?|demand|growth)\s+(?:contributed|accounted for)\s+(\d+(?:\.\d+)?)\s*%",
+]
+
+
+def growth_split(docs: DataFrame, volume: list[str] | None = None, price: list[str] | None = None, rural: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Volume and price growth, rural and urban share in percent, a summary, and what is not stated.
+
+    A rural pattern with two groups gives the urban share itself; else it is the rest of 100.
+    """
+    text = F.col("text")
+
+    def shares(p: str) -> Column:
+        a = F.regexp_extract(text, p, 1).try_cast("double")
+        b = F.regexp_extract(text, p, 2).try_cast("double") if re.compile(p).groups > 1 else r(100 - a, 1)
+        return F.when(text.rlike(p), F.struct(a.alias("a"), b.alias("b")))
+
+    share = F.coalesce(*map(shares, rural or RURAL_PATTERNS))
+    rows = docs.select(id_col, first_number(text, volume or VOLUME_PATTERNS).alias("volume_pct"), first_number(text, price or PRICE_PATTERNS).alias("price_pct"), share.alias("_s"))
+    said = lambda c, name: F.concat(F.lit(f"{name} growth: "), F.col(c).cast("string"), F.lit("%"))
+    summary = F.concat_ws(" | ", said("volume_pct", "Volume"), said("price_pct", "Price/Mix"))
+    gaps = F.array_compact(F.array(
+        F.when(summary == "", "Volume vs. price growth not found in available transcripts"),
+        F.when(F.col("_s").isNull(), "Rural/Urban mix not found in available transcripts"),
+    ))
+    return rows.select(id_col, "volume_pct", "price_pct", F.col("_s.a").alias("rural_pct"), F.col("_s.b").alias("urban_pct"), summary.alias("summary"), gaps.alias("gaps"))
 
 
 SEGMENTS = "struct<segments: array<struct<name: string, revenue: double, margin: double>>, gaps: array<string>>"
@@ -461,10 +531,46 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, F.array_join(F.transform(back, lambda s: s["x"]), "\n").alias("text"))
 
 
-def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Ordered replacements, then spaces tidied."""
-    out = reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
-    return F.trim(F.regexp_replace(out, " {2,}", " "))
+#: What a report must not say and what it says instead, in order.
+REPORT_RULES = [
+    (
+        r"(?i)\b(?:the\s+)?(?:forensic[\s_]?quant|narrative[\s_]?decoder|moat[\s_]?architect|capital[\s_]?allocator|management[\s_]?quality|forensic[\s_]?investigator"
+        r"|pm[\s_]?synthesis|critic[\s_]?agent)\s*(?:agent)?\s*(?:flags?|confirms?|notes?|shows?|indicates?|reveals?|suggests?|finds?|highlights?|warns?|reports?)",
+        "",
+    ),
+    (
+        r"(?i)\b(?:our|the)\s+(?:forensic|narrative|moat|capital|management|quant(?:itative)?)\s+(?:analysis|assessment|review|audit|investigation|scan)"
+        r"\s+(?:shows?|reveals?|confirms?|indicates?|flags?|suggests?)\s+(?:that\s+)?",
+        "",
+    ),
+    (
+        r"(?i)\b(?:according\s+to|based\s+on|as\s+per)\s+(?:our|the)\s+(?:forensic|narrative|moat|capital|management|quant(?:itative)?)"
+        r"\s+(?:analysis|agent|module|assessment|review)\s*,?\s*",
+        "",
+    ),
+    (r"(?i)\bdirect\s+contradiction\b", "divergence"),
+    (r"(?i)\bcontradicts?\b", "diverges from"),
+    (r"(?i)\bcash\s+is\s+(?:good|strong|healthy)\b", "cash conversion is robust"),
+    (r"(?i)\bgrowth\s+is\s+slowing\b", "growth rate is decelerating"),
+    (r"(?i)\bmasked\s+by\s+a\s+promising\s+narrative\b", "diverges from underlying fundamentals"),
+    (r"(?i)\bthe\s+moat\s+is\s+weakening,\s*not\s+strengthening\b", "moat durability is weakening"),
+    (r"(?i)\beradicating\s+narrative\s+bias\b", ""),
+]
+#: A claim of a share of revenue, here of more than 30 percent, and the note that follows the first one.
+SHARE_CLAIM = (
+    r"(?i:(?:US|U\.S\.)\s+(?:injectables?|generics?|specialty|biosimilars?|OTC)\s+(?:contributes?|accounts?\s+for|represents?|comprises?)\s+"
+    r"(?:about\s+|approximately\s+|around\s+|~?\s*)?(?:[1-9][0-9]{2}|0?3[1-9]|0?[4-9][0-9])%\s+(?:of\s+)?(?:total\s+)?(?:revenue|sales|top[\s-]?line))"
+)
+SHARE_NOTE = " [⚠️ Verify: this percentage may refer to total US geographic revenue, not the specific sub-segment]"
+#: What is tidied last.
+TIDY = [(r"  +", " "), (r"\n +\n", "\n\n"), (r"(?m)^\s*,\s*", "")]
+
+
+def rewrite(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
+    """A report after the ordered replacements, with a note behind the first large share of revenue, then tidied."""
+    out = reduce(lambda t, rule: F.regexp_replace(t, *rule), REPORT_RULES if rules is None else rules, text)
+    noted = F.regexp_replace(out, f"(?s)^(.*?)({SHARE_CLAIM})", f"$1$2{SHARE_NOTE}")
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), TIDY, noted)
 
 
 def truncate_with_gap(text: Column, n: int) -> tuple[Column, Column]:

@@ -253,10 +253,17 @@ def d6(s, d):
     return corpus(s, d).select("doc_id", share.alias("share"), is_table.alias("is_table"))
 
 
-@query("d7_qa_section", _C + """, x as (select doc_id, text, position('question' in text) a, position('answer' in text) b, position('ing ' in text) e from c) select doc_id, case when coalesce(nullif(a, 0), nullif(b, 0), nullif(e, 0)) is not null then substr(text, coalesce(nullif(a, 0), nullif(b, 0), nullif(e, 0))) end qa from x""")
+#: Texts of calls: some with a heading of the questions, some with speakers alone.
+_TALKED = "concat({0}, {1}, case doc_id % 5 when 0 then 'now Q & A' when 1 then 'the Interactive  Session' when 2 then 'A Participant: why' when 3 then concat('the moderator - x', {1}, 'Analyst Questions and answers') else 'end' end, {1}, {0})"
+_STARTS = ", ".join(f"case when regexp_matches(t, '{p}') then length(regexp_extract(t, '(?s)^(.*?){p}', 1)) + 1 end" for p in D.QA_HEADINGS)
+
+
+@query("d7_qa_section", _C + f""", x as (select doc_id, {_TALKED.format("text", "chr(10)")} t from c), y as (select doc_id, t, coalesce({_STARTS}) a, string_split(t, chr(10)) ls from x),
+ z as (select *, list_position(list_transform(ls, lambda l: regexp_matches(l, '{D.QA_SPEAKER}')), true) p from y)
+ select doc_id, case when a is not null then substr(t, a) when p > 0 then array_to_string(ls[p:], chr(10)) end qa from z""")
 def d7(s, d):
     """Texts from their questions on."""
-    return corpus(s, d).select("doc_id", D.qa_section(F.col("text"), ["question", "answer"], "ing ").alias("qa"))
+    return corpus(s, d).select("doc_id", D.qa_section(F.expr(_TALKED.format("text", "char(10)"))).alias("qa"))
 
 
 _PAT = [p for ps in D.RISKS.values() for p in ps] + ["tion ", "the [a-z]+"]
@@ -279,15 +286,25 @@ def d9(s, d):
 
 
 talk = lambda s, d: relation(s, d, "talk").withColumns({"text": F.coalesce("text", F.lit("")), "doc_id": F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))})
-#: The library's phrases, and four that the turns hold.
-_PH = [*D.hedges_of(), ("the", None), ("tion", None), ("ing", "x"), ("and", None)]
-_HED = oracle("talk") + ", t as (select conv_id || '-' || turn doc_id, lower(coalesce(text, '')) as text from talk), ph(phrase, so) as (values " + ", ".join("('" + p.lower().replace("'", "''") + f"', {str(x is not None).lower()})" for p, x in _PH) + "), h as (select doc_id, phrase, so sector_only, cast((length(text) - length(replace(text, phrase, ''))) / length(phrase) as int) n, text, position(phrase in text) pos from t, ph), g as (select *, cast(sum(n) over (partition by doc_id) as int) total, row_number() over (partition by doc_id order by n desc, phrase) place from h where n > 0)"
+#: The library's phrases, and four that the turns hold; the sectors of conversations.
+_PH = [*D.hedges_of(), ("the", None), ("tion", None), ("ing", "fmcg"), ("and", None)]
+_NAMES = ["FMCG - Personal Care", "Private Sector Bank", "IT - Software", "Pharmaceuticals", "Metals"]
+_SECTOR = "case conv_id % 5 " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(_NAMES)) + " end"
+_KEY = "case " + " ".join(f"when contains(lower(sector), '{w}') then '{k}'" for w, k in D.SECTORS) + " else 'general' end"
+_VALUES = ", ".join("({}, '{}', {})".format(k, p.lower().replace("'", "''"), "null" if x is None else f"'{x}'") for k, (p, x) in enumerate(_PH))
+_HED = oracle("talk") + f""", t as (select *, {_KEY} key from (select conv_id || '-' || turn doc_id, lower(coalesce(text, '')) as text, {_SECTOR} sector from talk)), ph(k, phrase, so) as (values {_VALUES}),
+ h as (select doc_id, phrase, so is not null sector_only, cast((length(text) - length(replace(text, phrase, ''))) / length(phrase) as int) n, k from t, ph where so is null or so = key),
+ g as (select *, cast(sum(n) over (partition by doc_id) as int) total, row_number() over (partition by doc_id order by n desc, k) place from h where n > 0)"""
+
+
+def _sectors(s, d):
+    return talk(s, d).withColumn("sector", F.expr(_SECTOR))
 
 
 @query("d10_hedging", _HED + " select doc_id, phrase, sector_only, n, total, place from g where place <= 15")
 def d10(s, d):
     """Hedges of each turn."""
-    return D.hedging(talk(s, d), _PH).select("doc_id", "phrase", "sector_only", "n", "total", "place")
+    return D.hedging(_sectors(s, d), _PH, sector_col="sector").select("doc_id", "phrase", "sector_only", "n", "total", "place")
 
 
 _CALL = oracle("talk") + """, t as (select conv_id || '-' || turn doc_id, 'We expect ' || x || ' growth in FY25, with a target. Could you say what is ' || x || '? ' || x as text from (select *, replace(coalesce(text, ''), chr(10), ' ') x from talk))"""
@@ -318,7 +335,7 @@ def d12(s, d):
 @query("d13_candour", _HED + " select doc_id, greatest(10, 80 - 5 * max(total)) score, string_agg(phrase, ',' order by place) filter (where place <= 5) key_phrases from g group by 1")
 def d13(s, d):
     """Candour of each turn."""
-    return D.candour_score(D.hedging(talk(s, d), _PH))
+    return D.candour_score(D.hedging(_sectors(s, d), _PH, sector_col="sector"))
 
 
 @query("d14_rank_passages", _C + """, sp as (select doc_id, string_split(text, chr(10)) ls from c), p as (select doc_id, cast(unnest(range(0, len(ls))) as int) place, unnest(ls) p from sp), q as (select *, cast((length(lower(p)) - length(replace(lower(p), 'the', ''))) / 3 + (length(lower(p)) - length(replace(lower(p), 'tion', ''))) / 4 as int) + case when contains(lower(p), 'the tion') then 10 else 0 end score from p where length(p) >= 30),
@@ -328,16 +345,33 @@ def d14(s, d):
     return D.rank_passages(corpus(s, d), "the tion", 3, parting=r"\n")
 
 
-@query("d15_page_snippet", _C + """, x as (select doc_id, text, coalesce(nullif(position('note 42' in lower(text)), 0), nullif(position('tion and' in lower(text)), 0)) a from c) select doc_id, coalesce(substr(text, greatest(a - 200, 1), a - greatest(a - 200, 1) + 3000), 'NOT FOUND') snippet from x""")
+#: Texts with notes in three spellings, and what is asked for.
+_NOTED = "concat({0}, case doc_id % 4 when 0 then ' see Note 42.' when 1 then ' see note NO. 42' when 2 then ' Notes 42' else '' end, {0})"
+
+
+@query("d15_page_snippet", _C + f""", x as (select doc_id, {_NOTED.format("text")} t from c), y as (select *, coalesce(nullif(position('note 42' in lower(t)), 0), nullif(position('note no. 42' in lower(t)), 0), nullif(position('notes 42' in lower(t)), 0)) a from x)
+ select doc_id, coalesce(substr(t, greatest(a - 200, 1), a - greatest(a - 200, 1) + 3000), chr(39) || ' Note 42' || chr(39) || ' not found in document.') as content, a is not null as found, cast(a - 1 as int) as "position" from y""")
 def d15(s, d):
     """Text around a reference."""
-    return corpus(s, d).select("doc_id", D.page_snippet(F.col("text"), ["note 42", "tion and"]).alias("snippet"))
+    rows = corpus(s, d).select("doc_id", D.page_snippet(F.expr(_NOTED.format("text")), F.lit(" Note 42")).alias("r"))
+    return rows.select("doc_id", "r.content", "r.found", "r.position")
+
+
+#: Texts that state growth and shares in several ways.
+_GROWN = """concat(text, case doc_id % 4 when 0 then ' Underlying volume growth was ' when 1 then ' volumes grew by ' when 2 then ' volume decline of about ' else ' volume ' end, cast(doc_id % 37 as {0}), '.5 % and ',
+ case doc_id % 3 when 0 then 'price/mix growth of ' when 1 then 'Pricing contributed ' else 'price ' end, cast(doc_id % 11 as {0}), '%; ',
+ case doc_id % 5 when 0 then concat('rural share stood at ', cast(doc_id % 90 as {0}), '.25%') when 1 then concat('Rural:Urban split of ', cast(doc_id % 60 as {0}), ':', cast(60 - doc_id % 60 as {0}), ' and rural demand contributed 9%') else ' no more' end)"""
+_NUMBER = lambda ps, k=1: "try_cast(coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{p}', {k}), '')" for p in ps) + ") as double)"
 
 
-@query("d16_growth_split", _C + r""", x as (select doc_id, try_cast(nullif(regexp_extract(text, '([0-9]+)\.[0-9]+', 1), '') as double) v, try_cast(nullif(regexp_extract(text, '\(([0-9]+)\)', 1), '') as double) p, try_cast(coalesce(nullif(regexp_extract(text, 'rural ([0-9]+)', 1), ''), nullif(regexp_extract(text, '-([0-9]{2})', 1), '')) as double) r from c) select doc_id, v volume_pct, p price_pct, r rural_pct, 100 - r urban_pct from x""")
+@query("d16_growth_split", _C + f""", x as (select doc_id, {_GROWN.format("varchar")} t from c), y as (select doc_id, {_NUMBER(D.VOLUME_PATTERNS)} v, {_NUMBER(D.PRICE_PATTERNS)} p, {_NUMBER(D.RURAL_PATTERNS)} r,
+ case when not regexp_matches(t, '{D.RURAL_PATTERNS[0]}') then {_NUMBER(D.RURAL_PATTERNS[1:2], 2)} end u from x)
+ select doc_id, v volume_pct, p price_pct, r rural_pct, coalesce(u, {R("100 - r", 1)}) urban_pct, concat_ws(' | ', 'Volume growth: ' || v || '%', 'Price/Mix growth: ' || p || '%') summary,
+ cast(case when v is null and p is null then 1 else 0 end + case when r is null then 1 else 0 end as int) n_gaps from y""")
 def d16(s, d):
-    """Numbers by ordered patterns."""
-    return D.growth_split(corpus(s, d), [r"([0-9]+)\.[0-9]+"], [r"\(([0-9]+)\)"], ["rural ([0-9]+)", "-([0-9]{2})"])
+    """Growth and shares that texts state."""
+    out = D.growth_split(corpus(s, d).withColumn("text", F.expr(_GROWN.format("string"))))
+    return out.withColumn("n_gaps", F.size("gaps")).drop("gaps")
 
 
 def _payloads(s, d):
@@ -360,13 +394,24 @@ def d18(s, d):
     return D.dedupe_lines(corpus(s, d))
 
 
-_RULES = [("tion", "TION"), ("[0-9]{3,}", "#"), (" and ", " & ")]
+#: Reports: texts with phrases that must not stand in one.
+_REPORT = "concat(', The forensic_quant agent flags ', text, case doc_id % 3 when 0 then ' our moat analysis shows that cash is good' when 1 then ' US generics account for 12% of sales. U.S. OTC represents about 45% of total revenue' else ' growth is slowing; it contradicts' end, ',  ', {0}, '   ', {0}, ' , as per our capital review, ', text)"
+
+
+def _report_sql() -> str:
+    out = _REPORT.format("chr(10)")
+    for pattern, text in D.REPORT_RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{text}', 'g')"
+    out = rf"regexp_replace({out}, '(?s)^(.*?)({D.SHARE_CLAIM})', '\1\2{D.SHARE_NOTE}')"
+    for pattern, text in D.TIDY:
+        out = f"regexp_replace({out}, '{pattern}', '{text}', 'g')"
+    return out
 
 
-@query("d19_rewrite", _C + " select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'tion', 'TION', 'g'), '[0-9]{3,}', '#', 'g'), ' and ', ' & ', 'g'), ' {2,}', ' ', 'g')) as text from c")
+@query("d19_rewrite", _C + f" select doc_id, {_report_sql()} as text from c")
 def d19(s, d):
-    """Texts after ordered replacements."""
-    return corpus(s, d).select("doc_id", D.rewrite(F.col("text"), _RULES).alias("text"))
+    """Reports after their rules."""
+    return corpus(s, d).select("doc_id", D.rewrite(F.expr(_REPORT.format("char(10)"))).alias("text"))
 
 
 @query("d20_truncate", _C + f" select doc_id, md5(substr(text, 1, 900)) head_md5, coalesce({R('greatest(length(text) - 900, 0) * 100.0e0 / nullif(length(text), 0)', 1)}, 0) lost_pct from c")

@@ -271,10 +271,68 @@ def test_repeated_lines(spark):
     assert got == "# Head\n1. Margin up\n- # head\n* volume\n\n•\n# Head\n  # Head\n\n3) x"
 
 
+def test_questions_by_heading_or_speaker(spark):
+    cases = [
+        ("hi Question  and answer now\nx", "Question  and answer now\nx"), ("x interactive session y", "interactive session y"),
+        ("interactive session then Q&A", "Q&A"), ("a\nthe Moderator : x\nb", "the Moderator : x\nb"), ("analyst\n: x", None), ("", None), (None, None),
+    ]
+    assert column(spark, [t for t, _ in cases], D.qa_section) == [q for _, q in cases]
+
+
+def test_snippets_in_three_spellings(spark):
+    long = "x" * 300 + " See Note No. 5 " + "y" * 4000
+    rows = [(1, long, " note 5 "), (2, "NOTES 5 and note 5", "note 5"), (3, "notes 7", "Note 7"), (4, "none", "Note 9"), (5, None, "Note 9")]
+    got = {r["i"]: tuple(r["s"]) for r in spark.createDataFrame(rows, "i int, t string, r string").select("i", D.page_snippet(F.col("t"), F.col("r")).alias("s")).collect()}
+    assert got[1] == (long[105:3305], True, 305) and got[2] == ("NOTES 5 and note 5", True, 12) and got[3] == ("notes 7", True, 0)
+    assert got[4] == got[5] == ("'Note 9' not found in document.", False, None)
+
+
+def test_growth_as_calls_state_it(spark):
+    rows = [
+        (1, "Underlying volume growth stood at 6.5% and price-mix growth was 3 %; rural contribution was 40.25%"),
+        (2, "Volumes declined by 4%. Realization hike of 2%. Rural : Urban ratio of 35/64.5"),
+        (3, "volume decline of about 7 %"), (4, "rural demand contributed 12%"), (5, ""), (6, None),
+    ]
+    got = {r["doc_id"]: tuple(r)[1:] for r in D.growth_split(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gaps = ["Volume vs. price growth not found in available transcripts", "Rural/Urban mix not found in available transcripts"]
+    assert got[1] == (6.5, 3.0, 40.25, 59.8, "Volume growth: 6.5% | Price/Mix growth: 3.0%", [])
+    assert got[2] == (4.0, 2.0, 35.0, 64.5, "Volume growth: 4.0% | Price/Mix growth: 2.0%", [])
+    assert got[3] == (7.0, None, None, None, "Volume growth: 7.0%", gaps[1:]) and got[4] == (None, None, 12.0, 88.0, "", gaps[:1])
+    assert got[5] == (None, None, None, None, "", gaps) and got[6][:4] == (None,) * 4
+
+
+def test_reports_are_rewritten(spark):
+    cases = [
+        ("The forensic_quant agent flags margins", " margins"), ("Our moat analysis shows that it holds", "it holds"), ("As per our capital review, fine", "fine"),
+        ("a direct contradiction contradicts it", "a divergence diverges from it"), ("Cash is strong. Growth  is slowing", "cash conversion is robust. growth rate is decelerating"),
+        ("the moat is weakening, not strengthening", "moat durability is weakening"), ("a   b\n  \nx\n , c", "a b\n\nx\nc"),
+        ("US generics account for 30% of sales", "US generics account for 30% of sales"),
+        ("US OTC represents 30% of sales; U.S. generics comprise about 31% of total revenue; US OTC represents 99% sales", f"US OTC represents 30% of sales; U.S. generics comprise about 31% of total revenue{D.SHARE_NOTE}; US OTC represents 99% sales"),
+        (None, None),
+    ]
+    assert column(spark, [t for t, _ in cases], D.rewrite) == [w for _, w in cases]
+
+
+def test_hedges_of_a_rows_own_sector_equal_plain_counting(spark):
+    rng = random.Random(2)
+    every = D.hedges_of()
+    names = ["Consumer Food", "private bank", "IT - Software", "Pharma", "Metals", None]
+    keys = ["fmcg", "banking", "it_services", "pharma", "general", "general"]
+    rows = [(i, "".join(rng.choices([" ", "x ", *[p.title() for p, _ in every]], k=60)), names[i % 6]) for i in range(60)]
+    got = {}
+    df = spark.createDataFrame(rows, "doc_id long, text string, sector string")
+    for r in D.hedging(df, sector_col="sector").orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append((r["phrase"], r["sector_only"], r["n"], r["context"], r["total"]))
+    for i, text, _ in rows:
+        low, own = text.lower(), [(p.lower(), s) for p, s in every if s in (None, keys[i % 6])]
+        found = sorted(((p, s is not None, low.count(p), text[max(0, low.find(p) - 100) : low.find(p) + len(p) + 200].strip()) for p, s in own if p in low), key=lambda x: -x[2])
+        assert got.get(i, []) == [(*f, sum(x[2] for x in found)) for f in found[:15]]
+
+
 def test_context_and_growth(spark):
     df = spark.createDataFrame([(1, "Volume growth of 6.5% and price growth of 3%; rural is 40%. What now? ok")], "doc_id long, text string")
     r = D.growth_split(df, [r"(?i)volume growth of ([\d.]+)%"], [r"(?i)price growth of ([\d.]+)%"], [r"(?i)rural is ([\d.]+)%"]).first()
-    assert (r["volume_pct"], r["price_pct"], r["urban_pct"]) == (6.5, 3.0, 60.0)
+    assert (r["volume_pct"], r["price_pct"], r["urban_pct"]) == (6.5, 3.0, 60.0)  # rules of the caller's own
     k = D.kwic(df, [r"growth"], 7, 3).orderBy("start").collect()
     assert [x["context"] for x in k] == ["Volume growth of", " price growth of"]
 
