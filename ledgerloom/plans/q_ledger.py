@@ -59,9 +59,9 @@ def episodes(s, d):
 
 
 @query("p2_swing_episodes", _EP + " select * from ep")
-def p2(s, d):
+def p2(s, d, threshold=0.25, min_points=8):
     """Zigzag episodes of every series."""
-    return episodes(s, d)
+    return P.swing_episodes(prices(s, d), threshold, min_points)
 
 
 @query("p3_asof_returns", oracle("prices") + """, e as (select ticker, max(dt) l, min(dt) f, max_by(close_px, dt) now, min_by(close_px, dt) fp from prices group by 1),
