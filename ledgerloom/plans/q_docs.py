@@ -167,13 +167,18 @@ def s13(s, d):
     return S.rows_to_document(table(s, d, "supplier"), "s_nationkey", "s_suppkey", ["s_suppkey", "s_name"], "Suppliers")
 
 
-@query("s14_transcript_listing", "with " + _LINKS + ", f as (select 'P' || page_id % 5 ticker, name, url, place, page_id from links where regexp_matches(lower(name), 'a|b') qualify row_number() over (partition by 'P' || page_id % 5, url order by page_id * 1000 + place) = 1) select ticker, name, url, cast(null as date) published from f where not (ticker = 'P1')")
+_SPEAKS = r"(?i)transcript|conference call|concall"
+
+
+@query("s14_transcript_listing", "with " + _LINKS + rf""", n as (select 'P' || page_id % 5 ticker, case when page_id % 3 = 0 then 'Transcript of 2024-05-1' || place % 10 else regexp_replace(name, '[0-9]', '', 'g') end as name, url, place, page_id from links),
+ f as (select * from n where regexp_matches(name, '{_SPEAKS}') or regexp_matches(url, '{_SPEAKS}') qualify row_number() over (partition by ticker, url order by page_id * 1000 + place) = 1)
+ select ticker, name, url, try_cast(nullif(regexp_extract(name, '[0-9-]+$'), '') as date) published from f where not (ticker = 'P1')""")
 def s14(s, d):
-    """Links that speak of a call and are not stored."""
-    rows = _links(s, d).select(F.concat(F.lit("P"), (F.col("page_id") % 5).cast("string")).alias("ticker"), "name", "url", (F.col("page_id") * 1000 + F.col("place")).alias("place"))
-    rows = rows.where(F.lower("name").rlike("a|b"))
-    out = S.transcript_listing(rows, rows.where("ticker = 'P1'"), "(?s).*")
-    return out.withColumn("published", F.when(F.lit(False), F.col("published")))
+    """Links that speak of a call and are not stored, with their dates."""
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Transcript of 2024-05-1"), (F.col("place") % 10).cast("string"))).otherwise(F.regexp_replace("name", "[0-9]", ""))
+    ticker = F.concat(F.lit("P"), (F.col("page_id") % 5).cast("string"))
+    rows = _links(s, d).select(ticker.alias("ticker"), name.alias("name"), "url", (F.col("page_id") * 1000 + F.col("place")).alias("place"))
+    return S.transcript_listing(rows, rows.where("ticker = 'P1'"))
 
 
 @query("s15_page_sector", r"""select page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<a\s[^>]*href\s*=\s*["'']?[^"''>]*/[^"''>]*["'']?[^>]*>([^<]*)</a>', 1)), ''), 'General') sector from pages""")

@@ -166,13 +166,23 @@ def r6(s, d):
     return V.multi_query(V.search(relation(s, d, "vec"), _queries(s, d), 3), _texts(s, d), 10, key_chars=19)
 
 
-@query("r5_assemble", oracle("vec") + _TEXTS + """, q as (select vec_id query_id, embedding qvec, ticker qt from vec where vec_id % 100 = 0), sc as (select q.query_id, v.vec_id, v.ticker, v.fiscal_year in ('FY22', 'FY24') narrow, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ rel from vec v join q on q.qt = v.ticker),
+#: Vectors whose ids divisible by 100 fall on many companies.
+_SPREAD = ", spread as (select * replace ('S' || (1 + vec_id % 97) as ticker) from vec)"
+
+
+def _spread(s, d):
+    return relation(s, d, "vec").withColumn("ticker", F.expr("concat('S', cast(1 + vec_id % 97 as string))"))
+
+
+@query("r5_assemble", oracle("vec") + _SPREAD + _TEXTS + """, q as (select vec_id query_id, embedding qvec, ticker qt from spread where vec_id % 100 = 0), sc as (select q.query_id, v.vec_id, v.ticker, v.fiscal_year in ('FY22', 'FY24') narrow, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ rel from spread v join q on q.qt = v.ticker),
  a as (select *, row_number() over (partition by query_id order by rel desc, vec_id) place from sc where narrow), b as (select *, row_number() over (partition by query_id order by rel desc, vec_id) place from sc where ticker not in (select ticker from a)),
  h as (select *, false w from a where place <= 5 union all select *, true from b where place <= 5)
  select ticker, count(*) n_chunks, bool_or(w) widened, md5(string_agg(text, chr(10) order by query_id, place, text)) text_md5 from h join tx using (vec_id) group by 1""")
 def r5(s, d):
     """Texts of each ticker within a window, widened where it has none."""
-    return V.assemble(relation(s, d, "vec"), _queries(s, d, "ticker"), _texts(s, d), ["FY22", "FY24"])
+    v = _spread(s, d).where("vec_id % 100 = 0")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("ticker").alias("q_ticker"))
+    return V.assemble(_spread(s, d), asked, _texts(s, d), ["FY22", "FY24"])
 
 
 @query("r7_store_stats", oracle("vec") + " select ticker, count(*) n_chunks, list_sort(list(distinct doc_type)) doc_types, list_sort(list(distinct fiscal_year)) fiscal_years from vec group by 1")
@@ -222,14 +232,16 @@ def r11(s, d):
     return V.band_pairs(table(s, d, "embeddings"), "label", 0.3, 0.92)
 
 
-@query("r12_topic_search", _TOP.format(where="ticker = (select w.ticker from vec w where w.vec_id = query_id) and query_id % 300 <> 0") + """, h as (select query_id, vec_id, relevance, place from top where place <= case query_id % 200 when 0 then 5 else 3 end)
+@query("r12_topic_search", _TOP.replace("sc as (", "spread as (select * replace ('S' || (1 + vec_id % 97) as ticker) from vec), sc as (").replace("from vec v, q", "from spread v, q").format(where="ticker = 'S' || (1 + query_id % 97) and query_id % 300 <> 0")
+ + """, h as (select query_id, vec_id, relevance, place from top where place <= case query_id % 400 when 0 then 5 else 3 end)
  select q.query_id, h.vec_id, coalesce(relevance, 0) relevance, coalesce(place, 1) place, vec_id is not null found from q left join h using (query_id)""")
 def r12(s, d):
-    """Topics of two domains searched among the chunks of their ticker; some requests name none."""
+    """Topics of all domains searched among the chunks of their ticker; some requests name none."""
     e = F.col("vec_id")
-    domain = F.when(e % 200 == 0, "guidance").otherwise("capital")
-    asked = relation(s, d, "vec").where(e % 100 == 0).select(e.alias("query_id"), domain.alias("domain"), F.when(e % 300 != 0, F.col("ticker")).alias("ticker"), F.col("embedding").alias("qvec"))
-    return V.topic_search(relation(s, d, "vec"), asked).select("query_id", "vec_id", "relevance", "place", "found")
+    domain = F.when(e % 400 == 0, "guidance").when(e % 400 == 100, "competitive").when(e % 400 == 200, "capital").otherwise("governance")
+    v = _spread(s, d)
+    asked = v.where(e % 100 == 0).select(e.alias("query_id"), domain.alias("domain"), F.when(e % 300 != 0, F.col("ticker")).alias("ticker"), F.col("embedding").alias("qvec"))
+    return V.topic_search(v, asked).select("query_id", "vec_id", "relevance", "place", "found")
 
 
 @query("r12_topic_passages", r"""with c as (select doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) doc from documents), p0 as (select doc_id, string_split_regex(doc, '\n\s*\n') ps from c),
@@ -243,18 +255,21 @@ def r12b(s, d):
     return V.topic_passages(table(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("ing of tion").alias("topic"), doc.alias("doc")))
 
 
-@query("p7_episode_evidence", WIDE.replace("with recursive", "with recursive vec as (" + VEC + "),") + ", prices as (" + PRICES + ")" + _SWING + """, q as (select embedding qvec from vec where vec_id = 0),
+@query("p7_episode_evidence", WIDE.replace("with recursive", "with recursive vec as (" + VEC + "),") + ", prices as (" + PRICES + ")" + _SWING + """, q as (select vec_id query_id, embedding qvec from vec where vec_id % 100 = 0),
  k as (select *, row_number() over (partition by ticker order by "start" desc) n from ep), w as (select ticker, "start", 'FY' || (22 + fy_end % 5) fy, 'T' || (cast(substr(ticker, 2) as int) % 10) t from k where n <= 2),
- sc as (select w.ticker, w."start", v.vec_id, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ rel from w join vec v on v.ticker = w.t and v.fiscal_year = w.fy and v.doc_type in ('annual_report', 'concall_transcript'), q)
- select ticker, "start", vec_id, rel relevance, row_number() over (partition by ticker, "start" order by rel desc, vec_id) place from sc qualify place <= 2""")
+ sc as (select query_id, v.ticker t, v.fiscal_year fy, v.vec_id, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ rel from vec v, q where v.doc_type in ('annual_report', 'concall_transcript')),
+ best as (select *, row_number() over (partition by query_id, t, fy order by rel desc, vec_id) place from sc qualify place <= 2)
+ select query_id, w.ticker, w."start", vec_id, rel relevance, place from w join best using (t, fy)""")
 def p7(s, d):
-    """Chunks of the years of each recent episode."""
+    """Chunks of the years of each recent episode, for every search query: one search for each company and year that an episode has."""
     ep = P.top_episodes(episodes(s, d), 2)
-    w = ep.select("ticker", "start", F.concat(F.lit("FY"), (22 + F.col("fy_end") % 5).cast("string")).alias("q_fiscal_year"), F.concat(F.lit("T"), (F.substring("ticker", 2, 9).cast("int") % 10).cast("string")).alias("q_ticker"))
-    qvec = relation(s, d, "vec").where("vec_id = 0").select(F.col("embedding").alias("qvec"))
-    chunks = relation(s, d, "vec").where("doc_type in ('annual_report', 'concall_transcript')").select("vec_id", F.col("ticker").alias("q_ticker"), F.col("fiscal_year").alias("q_fiscal_year"), "embedding")
-    rows = w.join(chunks, ["q_ticker", "q_fiscal_year"]).join(F.broadcast(qvec)).withColumn("relevance", rr(V.cosine(F.col("embedding"), F.col("qvec")), 3))
-    return M.top_by(rows, ["ticker", "start"], [F.desc("relevance"), "vec_id"], 2).withColumn("place", F.row_number().over(Window.partitionBy("ticker", "start").orderBy(F.desc("relevance"), "vec_id"))).select("ticker", "start", "vec_id", "relevance", "place")
+    company = F.concat(F.lit("T"), (F.substring("ticker", 2, 9).cast("int") % 10).cast("string"))
+    w = ep.select("ticker", "start", F.concat(F.lit("FY"), (22 + F.col("fy_end") % 5).cast("string")).alias("q_fiscal_year"), company.alias("q_ticker"))
+    chunks = relation(s, d, "vec").where("doc_type in ('annual_report', 'concall_transcript')").select("vec_id", "ticker", "fiscal_year", "embedding")
+    asked = w.select("q_ticker", "q_fiscal_year").distinct().crossJoin(_queries(s, d))  # the stated queries for each pair
+    asked = asked.withColumn("no", F.col("query_id")).withColumn("query_id", F.concat_ws("-", F.col("no").cast("string"), "q_ticker", "q_fiscal_year"))
+    hits = V.search(chunks, asked, 2).select(F.col("no").alias("query_id"), F.col("ticker").alias("q_ticker"), F.col("fiscal_year").alias("q_fiscal_year"), "vec_id", "relevance", "place")
+    return w.join(hits, ["q_ticker", "q_fiscal_year"]).select("query_id", "ticker", "start", "vec_id", "relevance", "place")
 
 
 # --- ledgers ---------------------------------------------------------------------------------------
