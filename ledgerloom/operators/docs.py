@@ -341,13 +341,17 @@ def qa_section(text: Column, headings: list[str] | None = None, speaker: str = Q
     return F.when(at.isNotNull(), F.substring(text, at, F.length(text))).when(first > 0, F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), "\n"))
 
 
-def kwic(docs: DataFrame, patterns: list[str], before: int, after: int, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
+#: Letters before and after a match of each family of RISKS that are its context.
+RISK_CONTEXT = {"contingent_liabilities": (200, 200), "rpt_disclosures": (300, 500), "audit_red_flags": (200, 300), "pledge_mentions": (150, 250)}
+
+
+def kwic(docs: DataFrame, patterns: list[str], before: int | list[int], after: int | list[int], id_col: str = "doc_id", most: int | None = None) -> DataFrame:
     """(id, pattern_no, start, match, context): every match of each pattern, in batches with Python's matcher.
 
-    Spark finds where only the first match stands. `most` keeps the first ones of a text in order of pattern,
-    then of place. A null text has no match.
+    Spark finds where only the first match stands. before and after: letters of context, for all patterns or for each.
+    `most` keeps the first ones of a text in order of pattern, then of place. A null text has no match.
     """
-    import re
+    widths = list(zip(*(x if isinstance(x, list) else [x] * len(patterns) for x in (before, after)), strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [re.compile(p) for p in patterns]
@@ -355,7 +359,7 @@ def kwic(docs: DataFrame, patterns: list[str], before: int, after: int, id_col:
             out = []
             for key, text in zip(pdf["id"], pdf["text"], strict=True):
                 own = [(k, m.start(), m.group()) for k, p in enumerate(compiled) for m in p.finditer(text or "")]
-                out += [(key, k, a, g, text[max(0, a - before) : a + len(g) + after]) for k, a, g in own[:most]]
+                out += [(key, k, a, g, text[max(0, a - widths[k][0]) : a + len(g) + widths[k][1]]) for k, a, g in own[:most]]
             yield pd.DataFrame(out, columns=["id", "pattern_no", "start", "match", "context"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -363,6 +367,14 @@ def kwic(docs: DataFrame, patterns: list[str], before: int, after: int, id_col:
     return rows.mapInPandas(run, f"id {kind}, pattern_no int, start int, match string, context string").withColumnRenamed("id", id_col)
 
 
+def risk_contexts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, family, pattern_no, start, match, context) of every match of RISKS, each family with its own trimmed context, in one pass."""
+    flat = [(name, k, p) for name, own in RISKS.items() for k, p in enumerate(own)]
+    found = kwic(docs, [p for *_, p in flat], [RISK_CONTEXT[n][0] for n, *_ in flat], [RISK_CONTEXT[n][1] for n, *_ in flat], id_col)
+    named = F.element_at(F.array(*[F.struct(F.lit(n).alias("family"), F.lit(k).alias("k")) for n, k, _ in flat]), F.col("pattern_no") + 1)
+    return found.select(id_col, named["family"].alias("family"), named["k"].alias("pattern_no"), "start", "match", _stripped(F.col("context")).alias("context"))
+
+
 def guidance(docs: DataFrame, id_col: str = "doc_id", most: int = 10) -> DataFrame:
     """The first forward-looking passages of each text."""
     return kwic(docs, GUIDANCE, 50, 150, id_col, most)

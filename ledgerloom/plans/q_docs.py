@@ -281,6 +281,20 @@ def d8(s, d):
     return D.kwic(corpus(s, d), _PAT, 200, 300).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+_OWN_TEXT = lambda p: "'" + p.replace("'", "''") + "'"
+#: Texts that name a risk of each family.
+_RISKY = "concat({0}, case doc_id % 5 when 0 then ' Contingent  liabilities ' when 1 then ' related party transactions ' when 2 then ' Emphasis of matter ' when 3 then ' pledge of shares ' else ' none ' end, {0})"
+_FAMILY = " union all ".join(f"select doc_id, '{k}' family, unnest(regexp_extract_all(t, {_OWN_TEXT(p)})) m from x" for k, ps in D.RISKS.items() for p in ps)
+
+
+@query("d8_risk_contexts", _C + f", x as (select doc_id, {_RISKY.format('text')} t from c), y as ({_FAMILY}) select doc_id, family, count(*) n, cast(sum(length(m)) as bigint) letters from y group by 1, 2")
+def d8_families(s, d):
+    """Matches of each family of risks with the family's context, counted."""
+    found = D.risk_contexts(corpus(s, d).withColumn("text", F.expr(_RISKY.format("text"))))
+    held = F.col("context").contains(F.trim("match"))
+    return found.where(held).groupBy("doc_id", "family").agg(F.count("*").alias("n"), F.sum(F.length("match")).alias("letters"))
+
+
 _CELLS = ", ".join(f"cast({_COUNT(ps)} as int) n_{k}, {_COUNT(ps)} > 0 has_{k}" for k, ps in D.RISKS.items())
 
 

@@ -329,6 +329,16 @@ def test_hedges_of_a_rows_own_sector_equal_plain_counting(spark):
         assert got.get(i, []) == [(*f, sum(x[2] for x in found)) for f in found[:15]]
 
 
+def test_each_family_of_risks_has_its_own_context(spark):
+    said = {"contingent_liabilities": "contingent liability", "rpt_disclosures": "related party transaction", "audit_red_flags": "qualified opinion", "pledge_mentions": "pledge of shares"}
+    rows = [(i, "x" * 600 + f" {words} " + "y" * 600) for i, words in enumerate(said.values())] + [(9, None)]
+    got = D.risk_contexts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, (family, _) in enumerate(said.items()):
+        own = [r for r in got if r["doc_id"] == i and r["family"] == family]
+        before, after = D.RISK_CONTEXT[family]
+        assert own and all(r["context"] == rows[i][1][r["start"] - before : r["start"] + len(r["match"]) + after] for r in own)
+
+
 def test_context_and_growth(spark):
     df = spark.createDataFrame([(1, "Volume growth of 6.5% and price growth of 3%; rural is 40%. What now? ok")], "doc_id long, text string")
     r = D.growth_split(df, [r"(?i)volume growth of ([\d.]+)%"], [r"(?i)price growth of ([\d.]+)%"], [r"(?i)rural is ([\d.]+)%"]).first()
