@@ -278,7 +278,7 @@ class Encoder:
         are not held. What is held is a chunk, LONG letters, and the window.
         """
         held, get, slow, chunks = "", self.memo.get, self.pre_token, iter(chunks)
-        for chunk in chunks:
+        for chunk in filter(None, chunks):
             *done, held = self.find(held + chunk)
             if done:
                 yield b"".join([get(w) or slow(w) for w in done])
