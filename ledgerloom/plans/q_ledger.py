@@ -232,15 +232,18 @@ def r11(s, d):
     return V.band_pairs(table(s, d, "embeddings"), "label", 0.3, 0.92)
 
 
-@query("r12_topic_search", _TOP.replace("sc as (", "spread as (select * replace ('S' || (1 + vec_id % 97) as ticker) from vec), sc as (").replace("from vec v, q", "from spread v, q").format(where="ticker = 'S' || (1 + query_id % 97) and query_id % 300 <> 0")
- + """, h as (select query_id, vec_id, relevance, place from top where place <= case query_id % 400 when 0 then 5 else 3 end)
- select q.query_id, h.vec_id, coalesce(relevance, 0) relevance, coalesce(place, 1) place, vec_id is not null found from q left join h using (query_id)""")
+@query("r12_topic_search", oracle("vec") + """, q as (select vec_id no, embedding qvec from vec where vec_id % 100 = 0), asked as (select no || '-' || ticker query_id from q, (select distinct ticker from vec) union all select cast(no as varchar) from q),
+ sc as (select q.no, v.ticker, v.vec_id, """ + R(_COS.format("v.embedding", "q.qvec"), 3) + """ relevance from vec v, q),
+ top as (select *, row_number() over (partition by no, ticker order by relevance desc, vec_id) place from sc),
+ h as (select no || '-' || ticker query_id, vec_id, relevance, place from top where place <= case no % 400 when 0 then 5 else 3 end)
+ select query_id, h.vec_id, coalesce(relevance, 0) relevance, coalesce(place, 1) place, vec_id is not null found from asked left join h using (query_id)""")
 def r12(s, d):
-    """Topics of all domains searched among the chunks of their ticker; some requests name none."""
-    e = F.col("vec_id")
+    """Topics of all domains searched in all chunks: every stated query asks every ticker of the store, and once none."""
+    v, e = relation(s, d, "vec"), F.col("no")
     domain = F.when(e % 400 == 0, "guidance").when(e % 400 == 100, "competitive").when(e % 400 == 200, "capital").otherwise("governance")
-    v = _spread(s, d)
-    asked = v.where(e % 100 == 0).select(e.alias("query_id"), domain.alias("domain"), F.when(e % 300 != 0, F.col("ticker")).alias("ticker"), F.col("embedding").alias("qvec"))
+    stated = _queries(s, d).withColumnRenamed("query_id", "no").withColumn("domain", domain)
+    asked = stated.crossJoin(v.select("ticker").distinct()).unionByName(stated.withColumn("ticker", F.lit(None).cast("string")))
+    asked = asked.withColumn("query_id", F.concat_ws("-", e.cast("string"), "ticker"))
     return V.topic_search(v, asked).select("query_id", "vec_id", "relevance", "place", "found")
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import retrieval as V
 from ledgerloom.operators import topk
+from ledgerloom.plans import load
+from ledgerloom.plans.registry import REGISTRY
+from ledgerloom.plans.tables import relation
 
 
 def plain_relevance(a, b):
@@ -73,3 +76,16 @@ def test_search_has_no_product_of_tables(spark, sf_dir):
     for name in ("r1_search", "r4_multi_query"):
         plan = REGISTRY.queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_topic_query_asks_every_ticker_with_every_stated_query(spark, sf_dir):
+    load()
+    rows = [(r["vec_id"], r["ticker"], list(r["embedding"])) for r in relation(spark, sf_dir, "vec").collect()]
+    want = []
+    for q, _, v in rows:
+        if q % 100 == 0:
+            want.append((str(q), None, 0, 1, False))
+            for t in {t for _, t, _ in rows}:
+                want += [(f"{q}-{t}", i, m, n, True) for _, i, m, n in plain_top(rows, [(q, v, t)], 3 if q % 400 else 5)]
+    got = [(r["query_id"], r["vec_id"], round(r["relevance"] * 1000), r["place"], r["found"]) for r in REGISTRY.queries["r12_topic_search"](spark, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
