@@ -25,7 +25,7 @@ take nothing from each other; repeated rows each give a row; other columns are n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -47,48 +47,55 @@ MAX_CELLS = 1 << 29
 BUCKET = 1 << 22
 #: The sketch is broadcast in pieces of so many bytes.
 PIECE = 1 << 23
-#: Windows that a task of the first pass notes at once, that one of the second tests and sends at once.
-NOTED, TESTED, GROUPED = 1 << 22, 1 << 16, 1 << 19
-#: Words that a task keeps hashed.
-MEMO_WORDS = 1 << 20
+#: Windows that a task of the first pass notes at once, and that one of the second sends at once.
+NOTED, GROUPED = 1 << 22, 1 << 19
+#: Words of the documents that a task takes at once, and that it hashes at once.
+TAKEN, HASHED = 1 << 16, 1 << 16
 
 
-class Hasher(dict):
-    """Lanes of words, kept for words that come again, and of windows of words."""
+class Hasher:
+    """Lanes of windows of words. Words are hashed as they come, many documents at once; none is kept."""
 
     def __init__(self, width: int):
-        super().__init__()
-        self.lanes = np.zeros((2, 1024), np.uint64)
+        self.width = width
         self.factors = np.frombuffer(b"".join(xxh3_128_digest(b"%d" % j, 7) for j in range(width)), np.uint64).reshape(-1, 2) | np.uint64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        k = len(self)
-        if k == self.lanes.shape[1]:
-            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)], axis=1)
-        self.lanes[:, k] = np.frombuffer(xxh3_128_digest(word), np.uint64)
-        self[word] = k
-        return k
-
     def windows(self, words: list[bytes]) -> np.ndarray:
-        """The two lanes (rows) of every window of the words."""
-        width, n = len(self.factors), len(words) - len(self.factors) + 1
-        if n <= 0:
-            return np.zeros((2, 0), np.uint64)
-        if len(self) > MEMO_WORDS:
-            self.clear()
-            self.lanes = np.zeros((2, 1024), np.uint64)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out = np.zeros((2, n), np.uint64)
+        """The two lanes (rows) of every window of a document's words."""
+        return self.of_documents([words])[0]
+
+    def of_documents(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two lanes of every window, document after document; its place in its document; each document's number of windows."""
+        sizes = np.array([len(words) for words in documents], np.int64)
+        counts = np.maximum(sizes - self.width + 1, 0)
+        if not counts.any():
+            return np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), counts
+        words = digests(documents)
+        n = words.shape[1] - self.width + 1
+        whole, part = np.zeros((2, n), np.uint64), np.empty(n, np.uint64)
         for lane in (0, 1):
-            of_word = self.lanes[lane][at]
-            for j in range(width):
-                out[lane] += of_word[j : j + n] * self.factors[j, lane]
-        return out
+            for j in range(self.width):
+                whole[lane] += np.multiply(words[lane, j : j + n], self.factors[j, lane], out=part)
+        del words, part
+        place = np.arange(counts.sum())
+        if len(documents) > 1:  # windows that go on into the next document are none
+            place -= np.repeat(np.cumsum(counts) - counts, counts)
+            whole = whole[:, place + np.repeat(np.cumsum(sizes) - sizes, counts)]
+        return whole, place, counts
+
+
+def digests(documents: list[list[bytes]]) -> np.ndarray:
+    """The two lanes of every word of documents that follow each other."""
+    words = documents[0] if len(documents) == 1 else list(chain.from_iterable(documents))
+    out = np.empty((2, len(words)), np.uint64)
+    for k in range(0, len(words), HASHED):
+        out[:, k : k + HASHED] = np.frombuffer(b"".join(map(xxh3_128_digest, words[k : k + HASHED])), np.uint64).reshape(-1, 2).T
+    return out
 
 
-def of_id(doc: int) -> np.ndarray:
-    """The lanes of an id."""
-    return np.frombuffer(xxh3_128_digest(b"id %d" % doc), np.uint64).reshape(2, 1)
+def of_ids(docs: list[int]) -> np.ndarray:
+    """The lanes of ids."""
+    return digests([[b"id %d" % doc for doc in docs]])
 
 
 def words_of(text: str) -> list[bytes]:
@@ -96,6 +103,21 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows whose last column is a text, with its words instead, as many at once as hold TAKEN words."""
+    rows, size = [], 0
+    for batch in batches:
+        for *own, t in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1], strict=True):
+            words = words_of(t.as_py())
+            rows.append((*own, words))
+            size += len(words) + 1
+            if size >= TAKEN:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def sketch_bits(total_bytes: int, max_cells: int = MAX_CELLS) -> int:
     """Number of bits of a cell's place in one row of the sketch: eight cells for each six bytes of text."""
     cells = min(max_cells, max(1 << 20, 8 * total_bytes // 6))
@@ -174,14 +196,17 @@ def repeated_cells(docs: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         hasher, held, size = Hasher(width), [], 0
-        for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.concatenate([hasher.windows(words_of(t.as_py())), of_id(doc)], axis=1)
-                held += [np.unique(row) for row in cells_of(found, bits).astype(np.uint32)]
-                size += found.shape[1]
-                if size >= NOTED:
-                    yield from _noted(held)
-                    held, size = [], 0
+        for rows in taken(batches):
+            found, _, counts = hasher.of_documents([words for *_, words in rows])
+            cells, of_row = cells_of(np.concatenate([found, of_ids([doc for doc, _ in rows])], axis=1), bits), np.arange(len(rows)) << 32
+            cells += np.concatenate([np.repeat(of_row, counts), of_row])
+            cells = cells.ravel()
+            cells.sort()  # by row, then by cell: each cell once for a row
+            held.append(cells[np.concatenate([[True], cells[1:] != cells[:-1]])].astype(np.uint32))
+            size += found.shape[1] + len(rows)
+            if size >= NOTED:
+                yield from _noted(held)
+                held, size = [], 0
         if held:
             yield from _noted(held)
 
@@ -338,42 +363,19 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CE
     sketch = Sketch(repeated_cells(docs, bits, width), bits)
 
     def run(batches):
-        hasher = Hasher(width)
-        rows: list[tuple[np.ndarray, int, int]] = []
-        tested: list[tuple] = []
-
-        def test() -> None:
-            doc, mark = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
-            mark[~sketch.reached(np.concatenate([of_id(d) for d in doc.tolist()], axis=1))] = 0
-            sizes = [r[0].shape[1] for r in rows]
-            lanes = np.concatenate([r[0] for r in rows], axis=1)
-            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        hasher, tested, size = Hasher(width), [], 0
+        spots = lambda: _spots(np.concatenate([t[0] for t in tested], axis=1), *(np.concatenate([t[k] for t in tested]) for k in (1, 2, 3)), n_buckets)
+        for rows in taken(batches):
+            doc, mark = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            mark[~sketch.reached(of_ids(doc.tolist()))] = 0
+            lanes, place, counts = hasher.of_documents([words for *_, words in rows])
             at = np.flatnonzero(sketch.reached(lanes))
-            tested.append((lanes[:, at], np.repeat(doc, sizes)[at], np.repeat(mark, sizes)[at], place[at]))
-            rows.clear()
-
-        def spots() -> Iterator[pa.RecordBatch]:
-            lanes = np.concatenate([t[0] for t in tested], axis=1)
-            doc, mark, place = (np.concatenate([t[k] for t in tested]) for k in (1, 2, 3))
-            tested.clear()
-            if len(doc):
-                yield from _spots(lanes, doc, mark, place, n_buckets)
-
-        size = 0
-        for batch in batches:
-            for doc, mark, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = hasher.windows(words_of(t.as_py()))
-                if found.shape[1]:
-                    rows.append((found, doc, mark))
-                    size += found.shape[1]
-                if size >= TESTED:
-                    test()
-                    size = 0
-                if sum(t[0].shape[1] for t in tested) >= GROUPED:
-                    yield from spots()
-        if rows:
-            test()
-        if tested:
+            tested.append((lanes[:, at], np.repeat(doc, counts)[at], np.repeat(mark, counts)[at], place[at].astype(np.int32)))
+            size += len(at)
+            if size >= GROUPED:
+                yield from spots()
+                tested, size = [], 0
+        if size:
             yield from spots()
 
     windows = docs.where("doc is not null").select("doc", "mark", "t").mapInArrow(run, LISTS)

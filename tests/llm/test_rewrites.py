@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -186,6 +187,33 @@ def test_noted_cells_come_back(documents):
     assert got == {"met": set(count), "again": {c for c, n in count.items() if n > 1}}
 
 
+@pytest.mark.parametrize("width", [1, 3, 13])
+def test_windows_of_many_documents_at_once_are_those_of_each(width, monkeypatch):
+    monkeypatch.setattr(substrings, "HASHED", 50)
+    rng = random.Random(width)
+    documents = [[rng.choice([b"a", b"a\0", "ü".encode(), b"w%d" % k]) for k in range(n)] for n in (0, 12, 13, 14, 1, 0, 200, 2, 13, 0)]
+    lanes, place, counts = substrings.Hasher(width).of_documents(documents)
+    each = [substrings.Hasher(width).windows(d) for d in documents]
+    assert counts.tolist() == [max(0, len(d) - width + 1) for d in documents] == [e.shape[1] for e in each]
+    assert (lanes == np.concatenate(each, axis=1)).all() and place.tolist() == [k for n in counts.tolist() for k in range(n)]
+    same = defaultdict(set)
+    for d, e in zip(documents, each, strict=True):
+        for k, lane in enumerate(e.T.tolist()):
+            same[tuple(lane)].add(tuple(d[k : k + width]))
+    assert all(len(x) == 1 for x in same.values()) and len(same) == len({tuple(d[k : k + width]) for d in documents for k in range(len(d) - width + 1)})
+
+
+@pytest.mark.parametrize("words", [1, 40, 1 << 16])
+def test_rows_are_taken_whole_and_in_bounded_parts(words, monkeypatch):
+    monkeypatch.setattr(substrings, "TAKEN", words)
+    rng = random.Random(words)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(40))) for _ in range(80)]
+    batches = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(texts)], ["doc", "t"])
+    parts = list(substrings.taken(iter([batches.slice(0, 50), batches.slice(50)])))
+    assert [r for part in parts for r in part] == [(k, [w.encode() for w in t.split()]) for k, t in enumerate(texts)]
+    assert all(sum(len(w) + 1 for _, w in part[:-1]) < words for part in parts)
+
+
 def test_a_hot_passage_comes_once_from_a_task():
     found = substrings.Hasher(13).windows([b"w%d" % k for k in range(20)])
     doc = np.repeat(np.arange(400), 8)
