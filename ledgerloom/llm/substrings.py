@@ -134,9 +134,10 @@ def cells_of(windows: np.ndarray, bits: int) -> np.ndarray:
 
 def _gaps(cells: np.ndarray, new_slice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted cells as gaps of one byte, 255 standing for 255 without a cell, and where each cell's bytes end."""
-    low = (cells & ((1 << SLICE_BITS) - 1)).astype(np.int64)
-    gap = np.where(new_slice, low, np.diff(low, prepend=0))
-    ends = np.cumsum(gap // 255 + 1)
+    low = cells.astype(np.uint16)  # the place in its slice
+    gap = low.copy()
+    np.subtract(low[1:], low[:-1], out=gap[1:], where=~new_slice[1:])
+    ends = np.cumsum(gap // 255 + 1, dtype=np.int64)
     out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
     out[ends - 1] = gap % 255
     return out, ends
@@ -151,19 +152,20 @@ def _noted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     cells = np.concatenate(held)
     cells.sort()
     first = np.concatenate([[True], cells[1:] != cells[:-1]])
-    many = np.diff(np.append(np.flatnonzero(first), len(cells))) > 1
+    many = np.append(~first[1:], False)[first]
     cells = cells[first]
     slices = cells >> SLICE_BITS
     new = np.concatenate([[True], slices[1:] != slices[:-1]])
     starts = np.flatnonzero(new)
     met, met_ends = _gaps(cells, new)
     again_cells = cells[many]
-    again_new = np.concatenate([[True], np.diff(again_cells >> SLICE_BITS) != 0])[: len(again_cells)]
+    again_slices = again_cells >> SLICE_BITS
+    again_new = np.concatenate([[True], np.diff(again_slices) != 0])[: len(again_cells)]
     again, again_ends = _gaps(again_cells, again_new)
     # bytes before each slice, in either list
-    cut = lambda ends, k: np.concatenate([[0], ends])[k].tolist()
-    bounds = np.append(starts, len(cells))
-    met_cut, again_cut = cut(met_ends, bounds), cut(again_ends, np.concatenate([[0], np.cumsum(many)])[bounds])
+    cut = lambda ends, counts: [int(ends[k - 1]) if k else 0 for k in counts.tolist()]
+    met_cut = cut(met_ends, np.append(starts, len(cells)))
+    again_cut = cut(again_ends, np.append(np.searchsorted(again_slices, slices[starts]), len(again_cells)))
     for k in range(0, len(starts), 4096):
         part = range(k, min(k + 4096, len(starts)))
         yield pa.RecordBatch.from_arrays(
