@@ -40,37 +40,58 @@ class TopK:
         self.by_size = {n: unit_rows(queries, n) for n in sizes}
         self.size_of = np.array([-1 if q is None else len(q) for q in queries])
         self.own, self.k, self.n = own, k, len(queries)
+        #: Queries by the value of the first own column, where each asks for one.
+        self.by_value: dict[object, np.ndarray] = {}
+        first = next(iter(own.values()), [None])
+        if None not in first:
+            for k, value in enumerate(first):
+                self.by_value.setdefault(value, []).append(k)
+            self.by_value = {value: np.array(at) for value, at in self.by_value.items()}
         self.worst = np.full(self.n, -1001, np.int32)
         self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]] = []
         self.pairs = self.compared = 0
 
     def add(self, rows: pa.RecordBatch, ids: str, vectors: str) -> None:
-        step = max(1, PAIRS // max(1, self.n))
-        for at in range(0, rows.num_rows, step):
-            self._block(rows.slice(at, step), ids, vectors)
+        for part, asking, own in self._parts(rows):
+            step = max(1, PAIRS // max(1, len(asking)))
+            for at in range(0, part.num_rows, step):
+                self._block(part.slice(at, step), asking, own, ids, vectors)
         self._prune()
 
-    def _allowed(self, rows: pa.RecordBatch) -> np.ndarray | None:
+    def _parts(self, rows: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[str]]]:
+        """Rows, the queries that may take them, and the own columns still to be looked at: a part for each value of the first."""
+        names = list(self.own)
+        if not self.by_value:
+            yield rows, np.arange(self.n), names
+            return
+        places: dict[object, list[int]] = {}
+        for k, value in enumerate(rows.column(names[0]).to_pylist()):
+            if value in self.by_value:
+                places.setdefault(value, []).append(k)
+        for value, at in places.items():
+            yield rows.take(pa.array(at)), self.by_value[value], names[1:]
+
+    def _allowed(self, rows: pa.RecordBatch, asking: np.ndarray, own: list[str]) -> np.ndarray | None:
         """Which row each query may take, by its own filters; a query's null asks for all."""
         out = None
-        for name, wanted in self.own.items():
-            held = rows.column(name).to_pylist()
+        for name in own:
+            held, wanted = rows.column(name).to_pylist(), self.own[name]
             codes = {v: k for k, v in enumerate(dict.fromkeys(held)) if v is not None}
             row = np.array([codes.get(v, -1) for v in held])
-            query = np.array([-3 if w is None else codes.get(w, -2) for w in wanted])
+            query = np.array([-3 if wanted[k] is None else codes.get(wanted[k], -2) for k in asking.tolist()])
             fits = (row[:, None] == query[None]) | (query == -3)[None]
             out = fits if out is None else out & fits
         return out
 
-    def _block(self, rows: pa.RecordBatch, ids: str, vectors: str) -> None:
+    def _block(self, rows: pa.RecordBatch, asking: np.ndarray, own: list[str], ids: str, vectors: str) -> None:
         held, n = rows.column(vectors).to_pylist(), rows.num_rows
-        allowed = self._allowed(rows)
-        marks = np.zeros((n, self.n), np.int32)  # 0 where no angle is defined
-        reach = np.ones((n, self.n), bool) if allowed is None else allowed
+        allowed, worst = self._allowed(rows, asking, own), self.worst[asking]
+        marks = np.zeros((n, len(asking)), np.int32)  # 0 where no angle is defined
+        reach = np.ones((n, len(asking)), bool) if allowed is None else allowed
         self.pairs += int(reach.sum())
         for size, queries in self.by_size.items():
-            asked = np.flatnonzero(self.size_of == size)
-            x, q = unit_rows(held, size), queries[asked]
+            asked = np.flatnonzero(self.size_of[asking] == size)
+            x, q = unit_rows(held, size), queries[asking[asked]]
             real = np.flatnonzero(x.any(axis=1))
             if not len(real):
                 continue
@@ -82,16 +103,16 @@ class TopK:
             for c in np.unique(cell):
                 members = real[cell == c]
                 most = np.cos(np.maximum(0, to_query[c] - angle[cell == c].max() - 1e-7))
-                near = np.floor(most * 1000 + 0.5 + 1e-6) >= self.worst[asked]
+                near = np.floor(most * 1000 + 0.5 + 1e-6) >= worst[asked]
                 self.compared += len(members) * int(near.sum())
                 marks[np.ix_(members, asked[near])] = rounded(x[members] @ q[near].T)
                 reach[np.ix_(members, asked[~near])] = False
-        row, query = np.nonzero(reach & (marks >= self.worst))
+        row, query = np.nonzero(reach & (marks >= worst))
         if len(row):
             used, place = np.unique(row, return_inverse=True)
             kept = pa.Table.from_batches([rows]).drop_columns([vectors]).take(pa.array(used))
             id_of = np.asarray(rows.column(ids).to_numpy(zero_copy_only=False))
-            self._held(query, marks[row, query], id_of[row], kept, place)
+            self._held(asking[query], marks[row, query], id_of[row], kept, place)
 
     def _held(self, query: np.ndarray, mark: np.ndarray, key: np.ndarray, rows: pa.Table, place: np.ndarray) -> None:
         order = self._first(query, mark, key)

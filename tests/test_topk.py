@@ -78,6 +78,24 @@ def test_search_has_no_product_of_tables(spark, sf_dir):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_rows_meet_only_queries_of_their_value():
+    rng = np.random.default_rng(5)
+    held = vectors(rng, 400)
+    rows = [(i, None if i % 31 == 0 else f"T{i % 7}", v) for i, v in enumerate(held)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["vec_id", "ticker", "embedding"])
+    asked = [(k, v, f"T{k % 9}") for k, v in enumerate(held[60:150])]
+    for queries in (asked, [*asked, (90, held[0], None)]):
+        best = topk.TopK([v for _, v, _ in queries], {"ticker": [t for *_, t in queries]}, 4)
+        for at in range(0, 400, 150):
+            best.add(batch.slice(at, 150), "vec_id", "embedding")
+        got = []
+        for query, mark, kept in best.results():
+            got += zip(query.tolist(), mark.tolist(), kept.column("vec_id").to_pylist(), strict=True)
+        assert sorted(got) == sorted((q, m, i) for q, i, m, _ in plain_top(rows, queries, 4))
+        if queries is asked:
+            assert best.compared <= best.pairs == sum(t == u for _, t, _ in rows for *_, u in asked)
+
+
 def test_topic_query_asks_every_ticker_with_every_stated_query(spark, sf_dir):
     load()
     rows = [(r["vec_id"], r["ticker"], list(r["embedding"])) for r in relation(spark, sf_dir, "vec").collect()]
