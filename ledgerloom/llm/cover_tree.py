@@ -3,10 +3,11 @@
 Unit vectors with a cosine of at least t lie within sqrt(2 - 2t) of each other. Equal vectors are
 collapsed first. A greedy net over a bounded sample gives centres; every vector goes to the cell of its
 nearest centre, and to the cells that the halfspace bound leaves within reach. A task is a pair of cells,
-cut into blocks of up to CELL vectors, so that no task grows with the data. There, cover trees with
+cut into blocks. A block holds CELL vectors or, of larger tables, a share of them of up to BLOCK_BYTES, so that a vector
+is sent to few blocks and no task grows beyond that. There, cover trees with
 halving radii are built on both sides and walked together: node pairs further apart than their covering
-radii allow are pruned, pairs wholly within the radius are counted at once, and leaves are compared
-in double precision. Where a net of half the radius does not thin a node out, as with vectors in random
+radii allow are pruned, pairs wholly within the radius are counted at once, and leaves are compared: by products in
+single precision with a margin for its error, and what passes in double precision. Where a net of half the radius does not thin a node out, as with vectors in random
 directions, the node is a leaf.
 
 A task returns a row a vector at most: its links there and the smallest node of its local group, never
@@ -32,8 +33,12 @@ from ledgerloom.llm.common import connected_components, staged
 
 #: Vectors of one block, vectors sampled for the centres, most centres.
 CELL, SAMPLE, CENTRES = 4000, 4096, 1024
-#: Vectors of a leaf, children of a node, rows compared at once.
-LEAF, CHILDREN, ROWS = 48, 24, 512
+#: Blocks that vectors beyond CELL are shared out to, and the bytes of a block's vectors at most (from there, more blocks).
+BLOCKS, BLOCK_BYTES = 12, 32 << 20
+#: Bytes of vectors that a task deals out at once.
+DEALT_BYTES = 4 << 20
+#: Vectors of a leaf, children of a node, rows compared at once, and with how many others.
+LEAF, CHILDREN, ROWS, OTHERS = 48, 24, 512, 4096
 #: Vectors that the balls of a net must hold on the average for a node to have children.
 THIN = 3
 
@@ -75,6 +80,8 @@ class Walk:
     def __init__(self, x: np.ndarray, weight: np.ndarray, threshold: float):
         self.x, self.weight, self.threshold = x, weight, threshold
         self.reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+        self.single = x.astype(np.float32)
+        self.least = threshold - 1e-7 * (x.shape[1] + 8)  # what a product in single precision may be off
         self.links = np.zeros(len(x), np.int64)
         self.label = np.arange(len(x))
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -105,16 +112,26 @@ class Walk:
     def _leaves(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         for k in range(0, len(a), ROWS):
             own = a[k : k + ROWS]
-            others = b[k:] if same else b
-            self.compared += len(own) * len(others)
-            i, j = np.nonzero(self.x[own] @ self.x[others].T >= self.threshold)
-            if same:
-                later = j > i
-                i, j = i[later], j[later]
-            if len(i):
-                i, j = own[i], others[j]
-                self.links += np.bincount(i, self.weight[j], len(self.x)).astype(np.int64) + np.bincount(j, self.weight[i], len(self.x)).astype(np.int64)
-                self._add(i, j)
+            first = k if same else 0
+            self.compared += len(own) * (len(b) - first)
+            mine = self.single[own]
+            for m in range(first, len(b), OTHERS):
+                others = b[m : m + OTHERS]
+                i, j = np.nonzero(mine @ self.single[others].T >= self.least)
+                if same:
+                    later = j + m > i + k
+                    i, j = i[later], j[later]
+                if len(i):
+                    self._near(own[i], others[j])
+
+    def _near(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Link those of the pairs, of one block product, that reach the threshold in double precision."""
+        (rows, i), (cols, j) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+        near = (self.x[rows] @ self.x[cols].T)[i, j] >= self.threshold
+        a, b = a[near], b[near]
+        if len(a):
+            self.links += np.bincount(a, self.weight[b], len(self.x)).astype(np.int64) + np.bincount(b, self.weight[a], len(self.x)).astype(np.int64)
+            self._add(a, b)
 
     def across(self, a: Node, b: Node) -> None:
         stack = [(a, b)]
@@ -183,6 +200,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     points = staged(classes.mapInPandas(packed, "node long, n long, dim int, raw binary"))
     count = points.count()
     sample = points.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("dim", "raw").toPandas()  # at most SAMPLE vectors
+    size = 8 * max([1, *sample["dim"]])
+    cell = max(cell, min(count // BLOCKS, BLOCK_BYTES // size))
     most = max(1, min(CENTRES, math.ceil(count / cell)))
     centres = {int(d): greedy_net(units(list(p["raw"]), kind), most) for d, p in sample.groupby("dim")}
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
@@ -210,19 +229,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     spread = spark.sparkContext.broadcast(blocks)
 
     def dealt(batches):
-        """Every vector to the block pairs that it takes part in; side 0 is the first block of a pair."""
+        """Every vector to the block pairs that it takes part in, some at a time; side 0 is the first block of a pair."""
         for batch in batches:
-            out: list[tuple] = []
-            for node, n, dim, raw, home, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = (home, (node * 0x9E3779B97F4A7C15 % 2**64 >> 33) % spread.value.get((dim, home), 1))
-                for c in near:
-                    for b in range(spread.value.get((dim, c), 1)):
-                        pair = sorted([own, (c, b)])
-                        out.append((dim, *pair[0], *pair[1], int(own != pair[0]), node, n, raw))
-            cols = list(zip(*out, strict=True)) or [()] * 9
-            kinds = [pa.int32()] * 6 + [pa.int64(), pa.int64(), pa.binary()]
-            names = ["dim", "a", "ab", "b", "bb", "side", "node", "n", "raw"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            node, dim, home = (batch.column(k).to_numpy() for k in (0, 2, 4))
+            places = list(zip(dim.tolist(), home.tolist(), strict=True))
+            count = np.array([spread.value.get(at, 1) for at in places], np.int64)
+            ob = ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % count.astype(np.uint64)
+            near = batch.column(5)
+            row = np.repeat(np.arange(batch.num_rows), near.value_lengths().to_numpy())
+            cell = near.flatten().to_numpy()
+            n = np.array([spread.value.get((d, c), 1) for d, c in zip(dim[row].tolist(), cell.tolist(), strict=True)], np.int64)
+            row, cell, ends = np.repeat(row, n), np.repeat(cell, n), np.cumsum(n)
+            block = np.arange(len(row)) - np.repeat(ends - n, n)
+            own = np.stack([home[row].astype(np.int64), ob[row].astype(np.int64)])
+            other = np.stack([cell.astype(np.int64), block])
+            side = (other[0] < own[0]) | ((other[0] == own[0]) & (other[1] < own[1]))
+            first, last = np.where(side, other, own), np.where(side, own, other)
+            step = max(1, DEALT_BYTES // max(1, batch.column(3).nbytes // max(1, batch.num_rows)))
+            for at in range(0, len(row), step):
+                here = slice(at, at + step)
+                ints = [pa.array(c[here].astype(np.int32)) for c in (dim[row], *first, *last, side)]
+                names = ["dim", "a", "ab", "b", "bb", "side", "node", "n", "raw"]
+                held = batch.select(["node", "n", "raw"]).take(pa.array(row[here]))
+                yield pa.RecordBatch.from_arrays([*ints, *held.columns], names)
 
     def compared(table: pa.Table) -> pa.Table:
         side, node = table.column("side").to_numpy(), table.column("node").to_numpy()

@@ -188,6 +188,34 @@ def test_tree_counts_dense_balls_in_bulk():
     assert (walk.links == (x @ x.T >= 0.95).sum(axis=1) - 1).all()
 
 
+def test_vectors_go_to_few_blocks_however_many_they_are(spark, monkeypatch):
+    """Vectors in random directions are sent to every cell: the number of cells may not grow with them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 16))
+    x[600:700] = x[:100] + rng.normal(size=(100, 16)) * 0.2
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    asked, net = [], cover_tree.greedy_net
+    monkeypatch.setattr(cover_tree, "greedy_net", lambda v, most: asked.append(most) or net(v, most))
+    monkeypatch.setattr(cover_tree, "DEALT_BYTES", 2000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in cover_tree.near_vectors(df, 0.95, cell=16).collect())
+    assert got == brute_vectors(rows, 0.95) and asked and max(asked) <= cover_tree.BLOCKS + 1
+
+
+def test_leaves_decide_in_double_precision():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(0, 2000, 2):  # pairs around the threshold, closer to it than single precision can tell
+        side = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        t = 0.95 + rng.normal() * 1e-9
+        x[k + 1] = t * x[k] + np.sqrt(1 - t * t) * side / np.linalg.norm(side)
+    walk = cover_tree.Walk(x, np.ones(2000, np.int64), 0.95)
+    walk.within(cover_tree.build(x, np.arange(2000)))
+    want = ((x @ x.T >= 0.95).sum(axis=1) - 1).astype(int)
+    assert (walk.links == want).all() and 600 < want.sum() < 1400
+
+
 # --- shards ---
 
 
