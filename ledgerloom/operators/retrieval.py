@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.exprs import r
 from ledgerloom.functions.fiscal import fiscal_window
+from ledgerloom.operators.pairs import pairs_within
 from ledgerloom.operators.topk import TopK
 
 #: Domains of topics, the words that go before a topic, and how many hits a topic has.
@@ -223,12 +224,10 @@ def embed(texts: DataFrame, dims: int = 256, idf: bool = True) -> DataFrame:
 def band_pairs(df: DataFrame, group: str, lo: float, hi: float, block: int = 2000) -> DataFrame:
     """Pairs of one group with a cosine in the band.
 
-    A group is cut into blocks of about `block` rows by its size; every row meets each block of its group, so that
-    a task holds a block's rows however large the group is. A null group or vector has no pairs.
+    A group is cut into blocks of `block` rows or, in larger groups, of a share of them; a task compares two blocks by
+    products and holds no more than them, however large the group is. A null group or vector has no pairs.
     """
-    sizes = df.where("embedding is not null").groupBy(F.col(group).alias("g")).agg(F.ceil(F.count("*") / block).alias("_n"))
-    rows = df.where("embedding is not null").select(F.col(group).alias("g"), "vec_id", "embedding").join(sizes, "g")
-    a = rows.select("g", F.col("vec_id").alias("a_id"), F.col("embedding").alias("a_v"), F.pmod(F.xxhash64("vec_id"), "_n").alias("s"))
-    b = rows.select("g", F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("s"))
-    pairs = a.join(b, ["g", "s"]).where("a_id < b_id")
-    return pairs.select("g", "a_id", "b_id", r(cosine(F.col("a_v"), F.col("b_v")), 4).alias("similarity")).where(F.col("similarity").between(lo, hi))
+    rows = df.select(F.col(group).alias("g"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    pairs = pairs_within(rows, lo, hi, block).where("x_id <> y_id")
+    ids = F.least("x_id", "y_id").alias("a_id"), F.greatest("x_id", "y_id").alias("b_id")
+    return pairs.select("g", *ids, r(F.col("cosine"), 4).alias("similarity")).where(F.col("similarity").between(lo, hi))
