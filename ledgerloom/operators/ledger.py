@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.exprs import r
 from ledgerloom.functions.labels import metric_category
+from ledgerloom.operators.pairs import pairs_across, similar
+from ledgerloom.sources.shared import kept
 
 
 def upsert(table: DataFrame, batch: DataFrame, keys: tuple[str, ...], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -125,18 +127,29 @@ def agent_patterns(log: DataFrame, least: float = 0.7, n: int = 5, steps: int =
     return top_by(rows, ["agent_name"], [F.desc("confidence"), F.desc("run_date"), F.desc("id")], n)
 
 
+def alike_pairs(new: DataFrame, store: DataFrame, vectors: DataFrame, lo: float = 0.55, hi: float = 0.92) -> DataFrame:
+    """New and older rows of one ticker and category, from other periods, whose texts are alike but not the same.
+
+    Rows that repeat an id give a pair once.
+    """
+    keys = ["ticker", "metric_category"]
+    side = lambda d, n: d.join(vectors.select("id"), "id", "left_semi").select(*keys, "id", "fiscal_period", "verified_fact", F.lit(n).alias("side"))
+    rows = side(new, 0).unionByName(side(store, 1)).join(vectors.select("id", F.col("embedding").alias("v")), "id")
+    known = kept(rows).where(~F.col("verified_fact").startswith("UNVERIFIABLE")).withColumnRenamed("fiscal_period", "period")
+    out = similar(pairs_across(known, keys, lo, hi), lo, hi)
+    repeated = known.groupBy(*keys, "id").count().where("count > 1")
+    return out if repeated.isEmpty() else out.distinct()
+
+
+def unlinked(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs that no link joins, whichever of the two it names first."""
+    either = [F.least("a_id", "b_id").alias("_lo"), F.greatest("a_id", "b_id").alias("_hi")]
+    return pairs.select("*", *either).join(linked.select(*either), ["_lo", "_hi"], "left_anti").drop("_lo", "_hi")
+
+
 def contradiction_pairs(new: DataFrame, store: DataFrame, linked: DataFrame, vectors: DataFrame, lo: float = 0.55, hi: float = 0.92) -> DataFrame:
-    """New and older rows of one ticker and category, from other periods, whose texts are alike but not the same."""
-    from ledgerloom.operators.retrieval import cosine
-
-    ok = lambda d: d.where(~F.col("verified_fact").startswith("UNVERIFIABLE"))
-    side = lambda d, p: ok(d).join(vectors, "id").select("ticker", "metric_category", F.col("id").alias(f"{p}_id"), F.col("fiscal_period").alias(f"{p}_period"), F.col("embedding").alias(f"{p}_v"))
-    pairs = side(new, "n").join(side(store, "o"), ["ticker", "metric_category"]).where("n_period <> o_period and n_id <> o_id")
-    swap = F.col("n_period") <= F.col("o_period")
-    a, b = F.when(swap, F.col("n_id")).otherwise(F.col("o_id")), F.when(swap, F.col("o_id")).otherwise(F.col("n_id"))
-    out = pairs.select("ticker", "metric_category", a.alias("a_id"), b.alias("b_id"), r(cosine(F.col("n_v"), F.col("o_v")), 4).alias("similarity")).where(F.col("similarity").between(lo, hi)).distinct()
-    out = out.join(linked.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
-    return out.join(linked.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
+    """Pairs of new and older rows that may contradict each other (alike_pairs) and are not linked yet."""
+    return unlinked(alike_pairs(new, store, vectors, lo, hi), linked)
 
 
 def persist_contradictions(store: DataFrame, pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

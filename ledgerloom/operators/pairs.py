@@ -10,6 +10,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.exprs import r
+
 #: Blocks that a group's vectors beyond a block's rows are shared out to, and bytes of a block's vectors at most (from there, more blocks).
 BLOCKS, BLOCK_BYTES = 8, 8 << 20
 #: Rows of one product, those it meets at once, and pairs that a task gathers before it passes them on.
@@ -88,6 +90,12 @@ def gathered(parts: Iterator[list[pa.Array]], names: list[str]) -> Iterator[pa.R
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def similar(pairs: DataFrame, lo: float, hi: float) -> DataFrame:
+    """Pairs whose cosine, rounded to four places, is in the band: (..., similarity). Only near its ends is it rounded to decide."""
+    inside = F.col("cosine").between(lo + MARGIN, hi - MARGIN)
+    return pairs.where(inside | r(F.col("cosine"), 4).between(lo, hi)).withColumn("similarity", r(F.col("cosine"), 4)).drop("cosine")
+
+
 def pairs_within(rows: DataFrame, lo: float, hi: float, block: int) -> DataFrame:
     """(g, x_id, y_id, cosine): pairs of rows (g, id, v) of one group, each once in either order, give or take MARGIN.
 
@@ -120,14 +128,13 @@ def pairs_within(rows: DataFrame, lo: float, hi: float, block: int) -> DataFrame
     return dealt.groupBy("g", "a", "b").applyInArrow(compared, schema)
 
 
-def pairs_across(new: DataFrame, old: DataFrame, keys: list[str], lo: float, hi: float, block: int = 2000) -> DataFrame:
-    """(keys..., a_id, b_id, cosine): pairs of a new and an old row with equal keys, other ids and other periods, give or take MARGIN.
+def pairs_across(rows: DataFrame, keys: list[str], lo: float, hi: float, block: int = 2000) -> DataFrame:
+    """(keys..., a_id, b_id, cosine): pairs of a row of side 0 and one of side 1 with equal keys, other ids and other periods, give or take MARGIN.
 
-    new and old: (keys..., id, period, v). Of a pair the row of the earlier period, by its letters, comes first. Both sides
-    of a group are dealt to blocks; a task compares a block of the new with one of the old.
+    rows: (keys..., id, period, v, side). Of a pair the row of the earlier period, by its letters, comes first. Both sides
+    of a group are dealt to blocks; a task compares a block of one with one of the other.
     """
-    known = lambda d, side: d.select(*keys, "id", F.encode("period", "utf-8").alias("period"), "v", F.lit(side).alias("side")).where(" and ".join(f"{c} is not null" for c in [*keys, "id", "period", "v"]))
-    rows = known(new, 0).unionByName(known(old, 1))
+    rows = rows.select(*keys, "id", F.encode("period", "utf-8").alias("period"), "v", "side").where(" and ".join(f"{c} is not null" for c in [*keys, "id", "period", "v"]))
     sizes = rows.groupBy(*keys, "side").agg(block_count("v", block).alias("_n"))
     sizes = sizes.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == k, F.col("_n"))).alias(f"_n{k}") for k in (0, 1)]).where("_n0 is not null and _n1 is not null")
     own = lambda k: F.pmod(F.xxhash64("id"), f"_n{k}")

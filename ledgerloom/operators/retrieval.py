@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.exprs import r
 from ledgerloom.functions.fiscal import fiscal_window
-from ledgerloom.operators.pairs import pairs_within
+from ledgerloom.operators.pairs import pairs_within, similar
 from ledgerloom.operators.topk import TopK
 
 #: Domains of topics, the words that go before a topic, and how many hits a topic has.
@@ -228,6 +228,5 @@ def band_pairs(df: DataFrame, group: str, lo: float, hi: float, block: int = 200
     products and holds no more than them, however large the group is. A null group or vector has no pairs.
     """
     rows = df.select(F.col(group).alias("g"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    pairs = pairs_within(rows, lo, hi, block).where("x_id <> y_id")
-    ids = F.least("x_id", "y_id").alias("a_id"), F.greatest("x_id", "y_id").alias("b_id")
-    return pairs.select("g", *ids, r(F.col("cosine"), 4).alias("similarity")).where(F.col("similarity").between(lo, hi))
+    pairs = similar(pairs_within(rows, lo, hi, block).where("x_id <> y_id"), lo, hi)
+    return pairs.select("g", F.least("x_id", "y_id").alias("a_id"), F.greatest("x_id", "y_id").alias("b_id"), "similarity")

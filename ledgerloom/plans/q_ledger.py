@@ -13,7 +13,7 @@ from ledgerloom.operators import retrieval as V
 from ledgerloom.plans.q_core import R, WIDE
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.tables import PRICES, VEC, oracle, relation, table
-from ledgerloom.sources.shared import new_folder
+from ledgerloom.sources.shared import kept, new_folder
 from ledgerloom.sources.store import ChunkStore
 
 prices = lambda s, d: relation(s, d, "prices")
@@ -387,9 +387,8 @@ _CON = _L + """, lv as (select l.*, e.embedding v from ledger l join embeddings
 def _contradictions(s, d):
     rows = led(s, d)
     vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    pairs = lambda linked: M.contradiction_pairs(rows.where("id % 2 = 1"), rows.where(_HALF), linked, vectors, 0.1, 0.92)
-    none = s.createDataFrame([], "a_id long, b_id long")
-    return pairs(pairs(none).where("a_id % 10 = 0 or b_id % 10 = 0"))
+    alike = kept(M.alike_pairs(rows.where("id % 2 = 1"), rows.where(_HALF), vectors, 0.1, 0.92))  # read as pairs and as links
+    return M.unlinked(alike, alike.where("a_id % 10 = 0 or b_id % 10 = 0"))
 
 
 @query("m11_contradiction_pairs", _CON + " select * from cp")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import ledger as M
 from ledgerloom.operators import pairs
 from ledgerloom.operators import retrieval as V
 
@@ -59,3 +60,29 @@ def test_pairs_are_compared_by_products_of_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK_BYTES", 8000)
     wide = df.select("label", F.array_repeat(F.lit(1.0), 100).alias("embedding"))
     assert wide.groupBy("label").agg(pairs.block_count("embedding", 3).alias("n")).first()["n"] == 60  # ten of these fill a block
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_contradictions_equal_plain_counting(spark, monkeypatch, repeats):
+    monkeypatch.setattr(pairs, "ROWS", 16)
+    rng, pick = np.random.default_rng(6), random.Random(6)
+    vectors = dict(enumerate(odd_vectors(rng, 160)))
+    fact = lambda i: None if i % 29 == 0 else "UNVERIFIABLE: x" if i % 13 == 0 else f"fact {i}"
+    rows = [(i, pick.choice(["A", "B", None]), pick.choice(["x", "y"]), pick.choice(["Q1", "Q2", "Q3", None]), fact(i)) for i in range(170)]
+    new, old = ([r for r in rows if r[0] % 2 == k] for k in (1, 0))
+    if repeats:
+        new, old = [*new, *rows[:60], (5, "A", "x", "Q9", "again")], [*old, *rows[30:90]]
+    links = [(i, j) for i in range(0, 170, 3) for j in range(1, 170, 5)]
+    ledger = lambda held: spark.createDataFrame(held, "id long, ticker string, metric_category string, fiscal_period string, verified_fact string").repartition(3)
+    held = spark.createDataFrame(list(vectors.items()), "id long, embedding array<float>")
+    got = M.contradiction_pairs(ledger(new), ledger(old), spark.createDataFrame(links, "a_id long, b_id long"), held, 0.1, 0.9)
+    want = set()
+    known = lambda side: [r for r in side if None not in r and not r[4].startswith("UNVERIFIABLE") and r[0] in vectors]
+    for i, t, c, p, _ in known(new):
+        for j, u, d, q, _ in known(old):
+            similarity = rounded(plain_cosine(vectors[i], vectors[j]))
+            a, b = (i, j) if p < q else (j, i)
+            if (t, c) == (u, d) and p != q and i != j and 0.1 <= similarity <= 0.9 and not {(a, b), (b, a)} & set(links):
+                want.add((t, c, a, b, round(similarity, 4)))
+    assert Counter((r["ticker"], r["metric_category"], r["a_id"], r["b_id"], round(r["similarity"], 4)) for r in got.collect()) == Counter(want) and len(want) > 50
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
