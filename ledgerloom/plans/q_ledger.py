@@ -400,7 +400,7 @@ def m11(s, d):
 @query("m12_persist_contradictions", _CON + " select a_id, b_id, case when a_id % 4 = 0 then 'NUMBER' else 'REASON_DRIFT' end kind, 'MEDIUM' severity, 'since ' || b_id rationale from cp where a_id % 3 <> 0 and b_id % 7 <> 0")
 def m12(s, d):
     """Contradictions kept."""
-    pairs = _contradictions(s, d).select("a_id", "b_id", "similarity")
+    pairs = kept(_contradictions(s, d).select("a_id", "b_id", "similarity"))
     verdicts = pairs.select("a_id", "b_id", F.when(F.col("a_id") % 3 != 0, "CONTRADICTION").otherwise("CONSISTENT").alias("label"), F.when(F.col("a_id") % 4 == 0, "NUMBER").alias("kind"), F.lit(None).cast("string").alias("severity"), F.concat(F.lit("since "), F.col("b_id").cast("string")).alias("rationale"))
     return M.persist_contradictions(pairs.where("b_id % 7 = 0"), pairs, verdicts)
 
