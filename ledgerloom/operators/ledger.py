@@ -208,7 +208,9 @@ def silent_gaps(gaps: DataFrame, min_periods: int = 2) -> DataFrame:
 
 
 def inconsistencies(store: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with both records nested, or null where one is gone."""
+    """Pairs with both records nested, or null where one is gone. Only records that pairs name are dealt out with them."""
+    named = pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
+    store = store.select("id", "fiscal_period", "verified_fact").join(named, "id", "left_semi")
     side = lambda p: store.select(F.col("id").alias(f"{p}_id"), F.struct("fiscal_period", "verified_fact").alias(f"fact_{p}"))
     out = pairs.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
     return out.select("a_id", "b_id", F.col("fact_a.fiscal_period").alias("period_a"), F.col("fact_a.verified_fact").alias("text_a"), F.col("fact_b.fiscal_period").alias("period_b"), F.col("fact_b.verified_fact").alias("text_b"))

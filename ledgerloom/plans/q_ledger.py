@@ -449,7 +449,7 @@ def m16(s, d):
 @query("m17_inconsistencies", _CON + " select a_id, b_id, a.fiscal_period period_a, a.verified_fact text_a, b.fiscal_period period_b, b.verified_fact text_b from cp left join (select * from ledger where id % 9 <> 0) a on a.id = a_id left join (select * from ledger where id % 9 <> 0) b on b.id = b_id")
 def m17(s, d):
     """Pairs with both records."""
-    return M.inconsistencies(led(s, d).where("id % 9 <> 0"), _contradictions(s, d).select("a_id", "b_id"))
+    return M.inconsistencies(led(s, d).where("id % 9 <> 0"), kept(_contradictions(s, d).select("a_id", "b_id")))
 
 
 @query("m18_ledger_stats", _G + " select 'ledger' table_name, (select count(*) from ledger) n union all select 'gaps', (select count(*) from gaps)")
