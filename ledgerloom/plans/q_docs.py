@@ -740,14 +740,18 @@ def _known(docs):
 
 @contextmanager
 def _state_in_rocksdb(s):
-    """Processors with state need this provider; the session's own is put back."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    held = s.conf.get(name, None)
-    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Processors with state need this provider, and a store for each task slot or two, as each costs time a trigger; the session's own settings are put back."""
+    slots = 2 * s.sparkContext.defaultParallelism
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    wanted["spark.sql.shuffle.partitions"] = str(min(slots, int(s.conf.get("spark.sql.shuffle.partitions"))))
+    held = {name: s.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        s.conf.set(name, value)
     try:
         yield
     finally:
-        s.conf.unset(name) if held is None else s.conf.set(name, held)
+        for name, value in held.items():
+            s.conf.unset(name) if value is None else s.conf.set(name, value)
 
 
 @query("t7_swing_stream", _EP + " select ticker, kind, \"start\", start_px, \"end\", end_px, ongoing from ep")
@@ -761,7 +765,7 @@ def t7(s, d):
     parts.write.partitionBy("file_no").parquet(f"{path}/all")
     held = s.read.parquet(f"{path}/all")
     for row in held.select("file_no").distinct().orderBy("file_no").toLocalIterator():  # some two a year
-        held.where(F.col("file_no") == row["file_no"]).select(*prices.columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        held.where(F.col("file_no") == row["file_no"]).select(*prices.columns).coalesce(1).write.mode("append").option("parquet.block.size", 8 << 20).parquet(f"{path}/in")  # read in parts
     out = None
     with _state_in_rocksdb(s):
         stream = s.readStream.schema(prices.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")

@@ -8,6 +8,8 @@ that the waiting points would close, and the move that is still going on.
 from __future__ import annotations
 
 import datetime as dt
+import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -71,73 +73,94 @@ class Zigzag:
 
 
 class SwingProcessor(StatefulProcessor):
-    """State of one series: the fold up to the watermark, and the points that wait for it."""
+    """State of the series of one key: of each the fold up to the watermark, and the points that wait for it.
+
+    All of it is one value, read and written once a trigger. Rows without a ticker are of the series that the key names.
+    """
 
     def __init__(self, threshold: float = 0.25, min_points: int = 8, view: bool = True):
         self.threshold, self.min_points, self.view = threshold, min_points, view
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", Zigzag.KIND)
-        self.waiting = handle.getListState("waiting", "dt date, close_px double")
-        self.version = handle.getValueState("version", "n long")
+        self.state = handle.getValueState("series", "held binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [(d, float(p)) for pdf in rows for d, p in zip(pdf["dt"], pdf["close_px"], strict=True)]
-        yield self._advance(key, new, timerValues)
+        new: dict[str, list[Point]] = {}
+        for pdf in rows:
+            names = pdf["ticker"] if "ticker" in pdf else [key[0]] * len(pdf)
+            for name, day, px in zip(names, pdf["dt"], pdf["close_px"], strict=True):
+                new.setdefault(name, []).append((day, float(px)))
+        yield self._advance(new, timerValues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues)
+        yield self._advance({}, timerValues)
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key: Any, new: list[Point], times: Any) -> pd.DataFrame:
+    def _advance(self, new: dict[str, list[Point]], times: Any) -> pd.DataFrame:
+        """Bring on the series that have new points or some that the watermark has passed."""
+        mark = _EPOCH + dt.timedelta(days=times.getCurrentWatermarkInMs() // 86_400_000)  # days are whole
+        found = self.state.get()
+        held, timer = pickle.loads(found[0]) if found is not None else ({}, None)
+        out: list[tuple] = []
+        first = None
+        for name in held.keys() | new.keys():
+            fold, waiting, version = held.get(name, (None, [], 0))
+            due = waiting and waiting[0][0] <= mark and len(waiting) + (fold[0] if fold else 0) >= self.min_points
+            if name in new or due:
+                rows, fold, waiting = self._series(fold, sorted([*waiting, *new.get(name, [])]), mark)
+                version += 1
+                held[name] = (fold, waiting, version)
+                out += [(name, *r, version) for r in rows]
+            late = bisect_right(waiting, mark, key=lambda p: p[0])
+            if late < len(waiting) and (first is None or waiting[late][0] < first):
+                first = waiting[late][0]
+        at = None if first is None else _millis(first)
+        if at != timer:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if at is not None:
+                self.handle.registerTimer(at)
+        self.state.update((pickle.dumps((held, at)),))
+        columns = ["ticker", "kind", "start", "start_px", "end", "end_px", "ongoing", "settled", "version"]
+        made = pd.DataFrame(out, columns=columns)
+        return made.astype({"start_px": "float64", "end_px": "float64", "ongoing": "object", "settled": "bool", "version": "int64"})
+
+    def _series(self, fold: tuple | None, points: list[Point], mark: dt.date) -> tuple[list[tuple], tuple | None, list[Point]]:
         """Fold what the watermark has passed, keep the rest, and give the settled moves and the open view."""
-        mark = times.getCurrentWatermarkInMs()
-        points = sorted([*((r[0], r[1]) for r in self.waiting.get()), *new])
-        zigzag = Zigzag(self.threshold, self.folded.get() if self.folded.exists() else None)
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
+        zigzag = Zigzag(self.threshold, fold)
         out: list[tuple] = []
-        ready = sum(_millis(d) <= mark for d, _ in points)
+        ready = bisect_right(points, mark, key=lambda p: p[0])
         if zigzag.n + ready >= self.min_points and ready:  # a shorter series has no moves yet: all of it waits
             out += [(*m, False, True) for p in points[:ready] if (m := zigzag.add(p))]
-            points = points[ready:]
-            self.folded.update(zigzag.held())
-        self.waiting.put(points) if points else self.waiting.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        late = [_millis(d) for d, _ in points if _millis(d) > mark]
-        if late:
-            self.handle.registerTimer(late[0])
+            points, fold = points[ready:], zigzag.held()
         if self.view:
             view = []
             if zigzag.n + len(points) >= self.min_points:
                 view = [(*m, False, False) for p in points if (m := zigzag.add(p))]
                 view += [(*m, True, False)] if (m := zigzag.ongoing()) else []
             out += view or [(None, None, None, None, None, None, False)]  # says that nothing is open now
-        columns = ["kind", "start", "start_px", "end", "end_px", "ongoing", "settled"]
-        made = pd.DataFrame(out, columns=columns).astype({"start_px": "float64", "end_px": "float64", "ongoing": "object", "settled": "bool"})
-        made.insert(0, "ticker", key[0])
-        return made.assign(version=version)
+        return out, fold, points
 
 
 def _millis(day: dt.date) -> int:
     return (day - _EPOCH).days * 86_400_000
 
 
-def swing_stream(prices: DataFrame, threshold: float = 0.25, min_points: int = 8, delay: str = "60 days", view: bool = True) -> DataFrame:
+def swing_stream(prices: DataFrame, threshold: float = 0.25, min_points: int = 8, delay: str = "60 days", view: bool = True, n_buckets: int = 128) -> DataFrame:
     """Moves of a stream of (ticker, dt, close_px), as MOVES; write it in update mode, or without view in append mode.
 
     Points may arrive in any order; one that comes after the watermark (the largest date less `delay`) has
     passed its date is dropped, as Spark does with late rows. Rows with a null are left out. Settled rows
     are final. The others are a series' open view as of its `version`, and the next version replaces them; a
-    row of nulls says that nothing is open. A series of fewer than min_points points gives no move.
+    row of nulls says that nothing is open. A series of fewer than min_points points gives no move. Series are held in
+    n_buckets by a hash of their ticker, a bucket's state as one value; the number stays for as long as the checkpoint does.
     """
     points = prices.where("ticker is not null and dt is not null and close_px is not null")
     timed = points.select("ticker", "dt", "close_px", F.timestamp_millis(F.unix_date("dt").cast("long") * 86_400_000).alias("at")).withWatermark("at", delay)
-    return timed.groupBy("ticker").transformWithStateInPandas(
+    return timed.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(n_buckets))).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=SwingProcessor(threshold, min_points, view), outputStructType=MOVES, outputMode="Update" if view else "Append", timeMode="EventTime"
     )
 

@@ -240,3 +240,24 @@ def test_a_crash_before_the_heads_leaves_the_store_as_it_was(spark, tmp_path, mo
     assert again.generation() == 1 and state(again) == before
     put(again, [(0, "t", "whole")], "")  # the same generation; what the broken attempt left in that bucket goes
     assert state(again) == sorted([(0, "t", 2, "whole"), *before[1:]])
+
+
+def test_swing_state_holds_many_series_a_key():
+    """One call a trigger brings on all series of a bucket, as if each had a key of its own."""
+    import pandas as pd
+
+    series = {f"S{k}": walk(random.Random(k), n) for k, n in enumerate((30, 5, 60, 8))}
+    handle, processor = Handle(), SwingProcessor()
+    processor.init(handle)
+    got = []
+    for at in range(0, 60, 20):
+        rows = [(name, *p) for name, points in series.items() for p in points[at : at + 20]]
+        mark = _millis(DAY + dt.timedelta(weeks=max(0, at - 5)))
+        got += [r for pdf in processor.handleInputRows((3,), iter([pd.DataFrame(rows, columns=["ticker", "dt", "close_px"])]), Times(mark)) for r in pdf.itertuples(index=False)]
+    assert len(handle.timers) == 1
+    for name, points in series.items():
+        alone, _ = run_processor([points], 10_000)
+        held = [r for r in got if r.ticker == name]
+        last = max(r.version for r in held)
+        moves = lambda rows: {(r.kind, r.start, r.end, bool(r.ongoing)) for r in rows if isinstance(r.kind, str)}
+        assert moves(r for r in held if r.settled or r.version == last) == moves(alone) and (moves(alone) or len(points) <= 8)
