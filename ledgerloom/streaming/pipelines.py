@@ -36,7 +36,8 @@ def ingest_batch(store: ChunkStore, batch: DataFrame) -> DataFrame:
     docs = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     one = F.max_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "digest")
     docs = docs.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*")
-    with kept_on_disk(store.changed(docs)) as fresh:
+    typed = store.changed(docs).withColumn("doc_type", F.coalesce("doc_type", classify_documents(F.col("text"))))
+    with kept_on_disk(typed) as fresh:  # read several times, typed once
         chunks, refused = prepare_chunks(fresh)
         chunks = chunks.join(fresh.select("doc_id", "ticker", "digest", "version"), "doc_id")
         with kept_on_disk(chunks) as made:

@@ -261,3 +261,14 @@ def test_swing_state_holds_many_series_a_key():
         last = max(r.version for r in held)
         moves = lambda rows: {(r.kind, r.start, r.end, bool(r.ongoing)) for r in rows if isinstance(r.kind, str)}
         assert moves(r for r in held if r.settled or r.version == last) == moves(alone) and (moves(alone) or len(points) <= 8)
+
+
+def test_ingest_types_documents_before_they_are_read_again(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources.store import ChunkStore
+    from ledgerloom.streaming import pipelines as I
+
+    untyped, prepare = [], I.prepare_chunks
+    monkeypatch.setattr(I, "prepare_chunks", lambda docs: untyped.append(docs.where("doc_type is null").count()) or prepare(docs))
+    docs = spark.createDataFrame([(1, "Annual report of the year."), (2, "nothing known"), (3, None)], "doc_id long, text string")
+    counts = I.ingest_batch(ChunkStore(spark, str(tmp_path / "store"), 2), docs).first()
+    assert untyped == [0] and (counts["n_docs"], counts["n_refused"], counts["n_chunks"]) == (3, 2, 1)
